@@ -5,8 +5,9 @@ blank, so that a long paragraph is several lines. A rolling hash over the hashes
 lines places a chunk boundary where it is zero mod DIVISOR, once the chunk has two lines; boundaries
 therefore depend on nearby lines only and come back after an insertion. Chunks of two or more
 lines whose hash occurs more than once in the corpus are compared byte by byte with the first
-occurrence (smallest id, then text hash, then place), which stays; the others are removed, and each removal is extended on both
-sides through the neighbouring chunks for as long as whole lines equal those beside the first occurrence.
+occurrence (smallest id, then text hash, then place), which stays; the others are removed. A
+removal is extended on both sides into neighbouring chunks that aren't repeated themselves, for as
+long as whole lines equal those beside the first occurrence.
 
 Every removed line equals a line at an earlier place, so of each repeated passage one copy stays.
 
@@ -21,8 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import bitmap, cut, in_bitmap
 from lodestone.llm.text import NOT_SPACE, SPACE, Hasher, binary, mix, slices
@@ -49,27 +52,31 @@ def line_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut_after)
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start, end, hash and number of lines of each chunk."""
-    ends = line_ends(data, offsets)
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)]
-    row = np.searchsorted(offsets, starts, "right") - 1
-    hasher = Hasher(data)
-    h = hasher(starts, ends)
-    rolling = mix(h + _U(3) * np.concatenate([[_U(0)], h[:-1]]).astype(_U)) if len(h) else h
-    wants = (rolling % _U(DIVISOR) == 0).tolist()
-    rows = row.tolist()
-    last = []
-    size = 0
-    for i in range(len(rows)):
-        size += 1
-        if i + 1 == len(rows) or rows[i + 1] != rows[i] or (size > 1 and wants[i]) or size == MAX_LINES:
-            last.append(i)
-            size = 0
-    last = np.array(last, np.int64)
-    opening = np.concatenate([[0], last[:-1] + 1]).astype(np.int64)[: len(last)]
-    a, b = starts[opening], ends[last]
-    return row[opening], a, b, hasher(a, b), last - opening + 1
+class Chunks:
+    """Chunks of all rows: row, the index of the first and of the line after the last, begin, end and hash. Line n is starts[n] to ends[n]."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.ends = line_ends(data, offsets)
+        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)[: len(self.ends)]
+        row = np.searchsorted(offsets, self.starts, "right") - 1
+        hasher = Hasher(data)
+        h = hasher(self.starts, self.ends)
+        rolling = mix(h + _U(3) * np.concatenate([[_U(0)], h[:-1]]).astype(_U)) if len(h) else h
+        stop = np.concatenate([row[1:] != row[:-1], [True]])[: len(row)]
+        wants = (rolling % _U(DIVISOR) == 0).tolist()
+        last, size = [], 0
+        for n, (final, cut_here) in enumerate(zip(stop.tolist(), wants)):
+            size += 1
+            if final or (cut_here and size > 1) or size == MAX_LINES:
+                last.append(n + 1)
+                size = 0
+        self.to = np.array(last, np.int64)
+        self.first = np.concatenate([[0], self.to[:-1]]).astype(np.int64)[: len(self.to)]
+        self.row = row[self.first]
+        self.begin, self.end = self.starts[self.first], self.ends[self.to - 1]
+        self.hash = hasher(self.begin, self.end)
+        words = np.concatenate([[0], np.cumsum(NOT_SPACE[data])])
+        self.counts = (self.to - self.first > 1) & (words[self.end] > words[self.begin])
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -77,48 +84,52 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def multi_line_hashes(docs: DataFrame) -> DataFrame:
-    """(chunk, doc_id, h, place) of every chunk of two or more lines with a word; place is its first byte."""
+    """(chunk, doc_id) of every chunk of two or more lines with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column("doc_id").cast(pa.int64())
             for first, data, offsets in slices(batch.column("text")):
-                row, a, b, h, lines = chunks(data, offsets)
-                words = np.concatenate([[0], np.cumsum(NOT_SPACE[data])])
-                at = np.flatnonzero((lines > 1) & (words[b] > words[a]))
-                own = pa.array(row[at] + first)
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), batch.column("doc_id").cast(pa.int64()).take(own), batch.column("h").take(own), pa.array((a - offsets[row])[at], pa.int64())], ["chunk", "doc_id", "h", "place"])
+                c = Chunks(data, offsets)
+                at = np.flatnonzero(c.counts)
+                yield pa.RecordBatch.from_arrays([pa.array(c.hash[at].view(np.int64)), ids.take(pa.array(c.row[at] + first))], ["chunk", "doc_id"])
 
-    return _scan(docs).mapInArrow(run, "chunk long, doc_id long, h long, place long")
+    return docs.select("doc_id", "text").where("text is not null").mapInArrow(run, "chunk long, doc_id long")
+
+
+_PLACES = pa.list_(pa.struct([("begin", pa.int64()), ("before", pa.list_(pa.binary())), ("after", pa.list_(pa.binary()))]))
 
 
 def repeated_chunks(docs: DataFrame, bits) -> DataFrame:
-    """Chunks whose hash may be repeated, with their bytes and the lines of the chunk before and after."""
+    """(chunk, doc_id, h, body, places): once per document the chunks whose hash may be repeated, with their bytes.
 
-    def lines_of(data: bytes) -> list[bytes]:
-        x = np.frombuffer(data, np.uint8)
-        ends = line_ends(x, np.array([0, len(x)])).tolist()
-        return [data[a:b] for a, b in zip([0, *ends], ends)]
+    Each place has its first byte and the lines of the chunk before and after, none where that chunk may be repeated itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bits.value
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("chunk", "own", "place", "body", "before", "after")}
+            found: dict[tuple, list] = {}
             for first, data, offsets in slices(batch.column("text")):
-                row, a, b, h, lines = chunks(data, offsets)
+                c = Chunks(data, offsets)
                 text = data.tobytes()
-                for i in np.flatnonzero((lines > 1) & in_bitmap(known, h)).tolist():
-                    r = int(row[i])
-                    same = lambda j: 0 <= j < len(row) and int(row[j]) == r
-                    out["chunk"].append(int(h[i].view(np.int64)))
-                    out["own"].append(r + first)
-                    out["place"].append(int(a[i] - offsets[r]))
-                    out["body"].append(text[a[i] : b[i]])
-                    out["before"].append(lines_of(text[a[i - 1] : b[i - 1]]) if same(i - 1) else [])
-                    out["after"].append(lines_of(text[a[i + 1] : b[i + 1]]) if same(i + 1) else [])
-            own = pa.array(out["own"], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(out["chunk"], pa.int64()), batch.column("doc_id").cast(pa.int64()).take(own), batch.column("h").take(own), pa.array(out["place"], pa.int64()), pa.array(out["body"], pa.binary()), pa.array(out["before"], pa.list_(pa.binary())), pa.array(out["after"], pa.list_(pa.binary()))], ["chunk", "doc_id", "h", "place", "body", "before", "after"])
-
-    return _scan(docs).mapInArrow(run, "chunk long, doc_id long, h long, place long, body binary, before array<binary>, after array<binary>")
+                repeated = c.counts & in_bitmap(known, c.hash)
+                at = np.flatnonzero(repeated)
+                n = len(c.row)
+                sides = []
+                for step in (-1, 1):
+                    side = np.clip(at + step, 0, n - 1)
+                    sides.append(np.where((side != at) & (c.row[side] == c.row[at]) & ~repeated[side], side, -1).tolist())
+                lines = lambda i: [] if i < 0 else [text[a:b] for a, b in zip(c.starts[c.first[i] : c.to[i]].tolist(), c.ends[c.first[i] : c.to[i]].tolist())]
+                begin, end, row = c.begin[at].tolist(), c.end[at].tolist(), c.row[at].tolist()
+                start = offsets[c.row[at]].tolist()
+                for k, (h, before, after) in enumerate(zip(c.hash[at].view(np.int64).tolist(), *sides)):
+                    found.setdefault((h, row[k] + first, text[begin[k] : end[k]]), []).append((begin[k] - start[k], lines(before), lines(after)))
+            own = pa.array([k[1] for k in found], pa.int64())
+            places = pa.array([[{"begin": a, "before": b, "after": c} for a, b, c in v] for v in found.values()], _PLACES)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), batch.column("doc_id").cast(pa.int64()).take(own), batch.column("h").take(own), pa.array([k[2] for k in found], pa.binary()), places], ["chunk", "doc_id", "h", "body", "places"])
+
+    return _scan(docs).mapInArrow(run, "chunk long, doc_id long, h long, body binary, places array<struct<begin: long, before: array<binary>, after: array<binary>>>")
 
 
 def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,33 +140,41 @@ def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             if d["body"][i] != d["first_body"][i]:
                 continue  # equal hashes, other bytes
-            begin, end = d["place"][i], d["place"][i] + len(d["body"][i])
-            for mine, theirs in zip(reversed(d["before"][i]), reversed(d["first_before"][i])):
-                if mine != theirs:
-                    break
-                begin -= len(mine)
-            for mine, theirs in zip(d["after"][i], d["first_after"][i]):
-                if mine != theirs:
-                    break
-                end += len(mine)
-            keep.append(i)
-            begins.append(begin)
-            ends.append(end)
+            for place in d["places"][i][1 if d["is_first"][i] else 0 :]:
+                begin, end = place["begin"], place["begin"] + len(d["body"][i])
+                for mine, theirs in zip(reversed(place["before"]), reversed(d["first_place"][i]["before"])):
+                    if mine != theirs:
+                        break
+                    begin -= len(mine)
+                for mine, theirs in zip(place["after"], d["first_place"][i]["after"]):
+                    if mine != theirs:
+                        break
+                    end += len(mine)
+                keep.append(i)
+                begins.append(begin)
+                ends.append(end)
         at = pa.array(keep, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("h").take(at), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], ["doc_id", "h", "begin", "end"])
 
 
+def _order() -> Column:
+    """The id; null after all others."""
+    return F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
+
+
 def duplicate_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, h, begin, end): byte spans to remove, one row per repeated chunk beyond its first occurrence."""
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "place")
-    every = multi_line_hashes(docs).groupBy("chunk").agg(F.min(order).alias("f"), F.max(order).alias("l"))
-    repeated = cut(every.where("f <> l").select("chunk", "f"), "repeated")
+    counted = multi_line_hashes(docs).groupBy("chunk").agg(F.min(_order()).alias("least"), F.count("*").alias("n"))
+    repeated = cut(counted.where("n > 1").select("chunk", "least"), "repeated")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(repeated, "chunk"))
-    found = cut(repeated_chunks(docs, bits), "found").join(repeated, "chunk")
-    is_first = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("h") == F.col("f.h")) & (F.col("place") == F.col("f.place"))
-    first = found.where(is_first).groupBy("chunk").agg(*[F.first(c).alias(f"first_{c}") for c in ("body", "before", "after")])
-    later = found.where(~is_first).drop("f")
-    return later.join(first, "chunk").mapInArrow(_removals, "doc_id long, h long, begin long, end long").distinct()
+    found = cut(repeated_chunks(docs, bits).withColumn("least", _order()), "found")
+    # The first occurrence of each chunk, found by two keys so that a frequent chunk isn't one task's.
+    first = found.join(repeated, ["chunk", "least"]).groupBy("chunk").agg(F.min_by(F.struct("doc_id", "h", "body", F.element_at("places", 1).alias("place")), F.struct("h", "body")).alias("f"))
+    first = cut(first.select("chunk", F.col("f.doc_id").alias("f_id"), F.col("f.h").alias("f_h"), F.col("f.body").alias("first_body"), F.col("f.place").alias("first_place")), "first")
+    # Both sides come from tables, so Spark may split a frequent chunk over tasks.
+    pairs = found.join(first, "chunk").withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")))
+    later = pairs.where("not is_first or size(places) > 1")
+    return later.select("doc_id", "h", "body", "places", "first_body", "first_place", "is_first").mapInArrow(_removals, "doc_id long, h long, begin long, end long").distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -185,8 +204,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 removed.append(len(data) - len(left))
                 emptied.append(not NOT_SPACE[left].any())
             hit = lists.is_valid()
-            import pyarrow.compute as pc
-
             new = pc.replace_with_mask(column, hit, pa.array(texts, pa.binary()).cast(column.type))
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
             arrays[where["text"]] = new
@@ -194,8 +211,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             arrays += [pc.replace_with_mask(zero, hit, pa.array(removed, pa.int64())), pc.replace_with_mask(no, hit, pa.array(emptied, pa.bool_()))]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "_removed", "_emptied"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*[f for f in joined.schema if f.name != "_spans"], T.StructField("_removed", T.LongType()), T.StructField("_emptied", T.BooleanType())])
     out = joined.select(*[c for c in joined.columns if c != "_spans"], "_spans").mapInArrow(run, schema)
     if "n_chars" in docs.columns:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,17 +51,25 @@ def pack_spans(tokens: list[int], max_tokens: int, overlap: int) -> list[tuple[i
 def chunk_pack(sections: DataFrame, max_tokens: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP, least: int = CHUNK_LEAST) -> DataFrame:
     """doc_id, section_no, pos, content, tok of every chunk. sections: doc_id, section_no, content.
 
-    Segments stay an array of their section's row, so packing needs no shuffle; only token counts go to Python.
+    Segments stay an array of their section's row, so packing needs no shuffle. Null content gives no chunk.
     """
 
-    @F.pandas_udf("array<struct<s: int, e: int>>")
-    def pack(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda t: [{"s": a, "e": b} for a, b in pack_spans([int(x) for x in t], max_tokens, overlap)])
 
-    s = sections.select("doc_id", "section_no", segment_array(F.col("content"), max_tokens).alias("seg")).where("size(seg) > 0")
-    s = s.withColumn("spans", pack(F.transform("seg", estimate_tokens)))
-    c = s.select("doc_id", "section_no", "seg", F.posexplode("spans").alias("pos", "w"))
-    c = c.select("doc_id", "section_no", "pos", F.array_join(F.slice("seg", F.col("w.s") + 1, F.col("w.e") - F.col("w.s")), "\n\n").alias("content"))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, pos, content = [], [], []
+            for r, (seg, tok) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                for n, (a, b) in enumerate(pack_spans(tok or [], max_tokens, overlap)):
+                    own.append(r)
+                    pos.append(n)
+                    content.append("\n\n".join(seg[a:b]))
+            at = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array(content, pa.string())], ["doc_id", "section_no", "pos", "content"])
+
+    kinds = dict(sections.dtypes)
+    s = sections.select("doc_id", "section_no", segment_array(F.col("content"), max_tokens).alias("seg"))
+    s = s.select("doc_id", "section_no", "seg", F.transform("seg", lambda x: estimate_tokens(x)).alias("tok"))
+    c = s.mapInArrow(pack, f"doc_id {kinds['doc_id']}, section_no {kinds['section_no']}, pos int, content string")
     return c.withColumn("tok", estimate_tokens(F.col("content"))).where(F.col("tok") >= least)
 
 

@@ -9,7 +9,7 @@ from lodestone.llm.common import cut
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(a, b) long edges to (node, root), root being the smallest node of the component.
+    """(a, b) long edges to (node, root) of each node that isn't the smallest of its component; root is that one.
 
     Each round is a few aggregations and equi-joins over the edges and is written to the shared
     folder; rounds grow with the logarithm of the longest path. No edge leaves the executors.

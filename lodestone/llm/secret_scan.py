@@ -49,11 +49,6 @@ def entropy_windows(run: str) -> list[tuple[int, int]]:
     total, digits, letters = 0.0, 0, 0
     out: list[tuple[int, int]] = []
     for i, ch in enumerate(run):
-        c = counts.get(ch, 0)
-        counts[ch] = c + 1
-        total += _C_LOG_C[c + 1] - _C_LOG_C[c]
-        digits += ch.isdigit()
-        letters += ch.isalpha()
         if i >= WINDOW:
             old = run[i - WINDOW]
             c = counts[old]
@@ -61,6 +56,11 @@ def entropy_windows(run: str) -> list[tuple[int, int]]:
             total += _C_LOG_C[c - 1] - _C_LOG_C[c]
             digits -= old.isdigit()
             letters -= old.isalpha()
+        c = counts.get(ch, 0)
+        counts[ch] = c + 1
+        total += _C_LOG_C[c + 1] - _C_LOG_C[c]
+        digits += ch.isdigit()
+        letters += ch.isalpha()
         if i >= WINDOW - 1 and digits and letters and total <= most:
             begin = i - WINDOW + 1
             if out and begin <= out[-1][1]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,3 +133,36 @@ def stage_text(rows: DataFrame) -> DataFrame:
     """rows with a label for people."""
     counts = F.format_string("%s (%d/%d)", F.initcap("stage"), F.col("processed"), F.col("total"))
     return rows.withColumn("label", F.when(F.col("stage").isin("parsing", "embedding"), counts).otherwise(F.initcap("stage")))
+
+
+def progress_throttle(events: DataFrame, step: int = 5) -> DataFrame:
+    """doc_id, event_id, percent of the updates to forward: step points above the last one forwarded, or the final page.
+
+    A fold over the events of each document in order, streamed through sorted partitions: the state is one number.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, None
+        for batch in batches:
+            keep = []
+            for i, (doc, percent, final) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("doc_id", "percent", "final")])):
+                if doc != at or last is None or percent - last >= step or final:
+                    at, last = doc, percent
+                    keep.append(i)
+            yield batch.select(["doc_id", "event_id", "percent"]).take(pa.array(keep, pa.int64()))
+
+    rows = events.select("doc_id", "event_id", "percent", (F.col("processed") >= F.col("total")).alias("final"), "ts")
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "ts", "event_id").mapInArrow(fold, "doc_id long, event_id long, percent int")
+
+
+def session_patch(sessions: DataFrame, renames: DataFrame, messages: DataFrame) -> DataFrame:
+    """session_id, title, updated_at: valid new titles (1 to 200 characters, stripped) and the time of the last message."""
+    r = renames.withColumn("_new", strip(F.col("new_title"))).where(F.length("_new").between(1, 200)).select("session_id", "_new")
+    m = messages.groupBy("session_id").agg(F.max("created_at").alias("_at"))
+    return sessions.join(r, "session_id", "left").join(m, "session_id", "left").select("session_id", F.coalesce("_new", "title").alias("title"), F.greatest("updated_at", "_at").alias("updated_at"))
+
+
+def backfill_progress(docs: DataFrame) -> DataFrame:
+    """docs where finished documents without progress count as wholly processed."""
+    stuck = (F.col("status") == "done") & (F.col("processed_chunks") == 0) & (F.col("total_chunks") > 0)
+    return docs.withColumn("processed_chunks", F.when(stuck, F.col("total_chunks")).otherwise(F.col("processed_chunks")))

@@ -126,3 +126,41 @@ def memories_list(memories: DataFrame) -> DataFrame:
     """Per user newest first, without vectors: user_id, position, memory_id, content, total."""
     w = Window.partitionBy("user_id")
     return memories.select("user_id", F.row_number().over(w.orderBy(F.col("created_at").desc(), F.col("memory_id").desc())).alias("position"), "memory_id", "content", F.count("*").over(w).alias("total"))
+
+
+def memory_section(users: DataFrame, memories: DataFrame) -> DataFrame:
+    """user_id, section: a bullet list under a heading; empty for users without memories."""
+    m = memories.withColumn("_line", F.concat(F.lit("- "), F.col("content")))
+    lists = m.groupBy("user_id").agg(_joined(["created_at", "memory_id"], "_line", "\n").alias("lines"))
+    return users.select("user_id").join(lists, "user_id", "left").select("user_id", F.coalesce(F.concat(F.lit("Known about the user:\n"), F.col("lines")), F.lit("")).alias("section"))
+
+
+def prompt_table(queries: DataFrame, context: DataFrame, history: DataFrame, sections: DataFrame, rules: str) -> DataFrame:
+    """query_id, system, messages: rules with memories and context; the history of the query's session, then the query."""
+    past = F.transform(F.array_sort(F.collect_list(F.struct("created_at", "message_id", "role", "content"))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    h = history.groupBy("session_id").agg(past.alias("past"))
+    q = queries.join(sections, "user_id", "left").join(context, "query_id", "left").join(h, "session_id", "left")
+    system = F.concat_ws("\n\n", F.nullif(F.coalesce("section", F.lit("")), F.lit("")), F.lit(rules), F.coalesce("context", F.lit("")))
+    now = F.array(F.struct(F.lit("user").alias("role"), F.col("query_text").alias("content")))
+    none = F.array().cast("array<struct<role: string, content: string>>")
+    return q.select("query_id", system.alias("system"), F.concat(F.coalesce("past", none), now).alias("messages"))
+
+
+def flatten_messages(messages: DataFrame) -> DataFrame:
+    """message_id, content: the text blocks (type, text) of each message joined by one space, other blocks dropped."""
+    texts = F.transform(F.filter("blocks", lambda b: b["type"] == "text"), lambda b: b["text"])
+    return messages.select("message_id", F.array_join(texts, " ").alias("content"))
+
+
+def attachment_types(attachments: DataFrame) -> DataFrame:
+    """attachment_id, mime from the first bytes of base64 data; jpeg where nothing fits or it can't be read."""
+    head = F.hex(F.try_to_binary(F.substring("data", 1, 16), F.lit("base64")))
+    mime = F.when(head.startswith("FFD8FF"), "image/jpeg").when(head.startswith("89504E47"), "image/png").when(head.startswith("47494638"), "image/gif").when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image/webp").otherwise("image/jpeg")
+    return attachments.select("attachment_id", mime.alias("mime"))
+
+
+def citation_json(citations: DataFrame) -> DataFrame:
+    """answer_id, citations: the cited chunks in order as JSON, scores at four decimals."""
+    item = F.struct("ord", "marker", "chunk_id", F.round("score", 4).alias("score"))
+    per = citations.groupBy("answer_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return per.select("answer_id", F.to_json(F.transform("items", lambda x: F.struct(x["marker"].alias("marker"), x["chunk_id"].alias("chunk_id"), x["score"].alias("score")))).alias("citations"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import estimate_tokens, estimate_tokens_history, split_sentences
 from lodestone.functions.vocabulary import CONVERTIBLE, DIRECT, LEVELS, TAGS
-from lodestone.operators import access, catalog, chunking, cleaning, conversation, ingest, retrieval
+from lodestone.operators import access, catalog, chunking, cleaning, conversation, embedding, ingest, retrieval
 from lodestone.plans.hybrid import hybrid_search
 from lodestone.sources.views import duck, view
 
@@ -512,5 +512,62 @@ def stage_text(progress):
     return catalog.stage_text(progress).select("event_id", "label")
 
 
+_MEMORY = "coalesce('Known about the user:' || chr(10) || (SELECT string_agg('- ' || m.content, chr(10) ORDER BY m.created_at, m.memory_id) FROM memories m WHERE m.user_id = {0}), '')"
+
+
+@query("users memories", f"SELECT user_id, {_MEMORY.format('users.user_id')} AS section FROM users")
+def memory_section(users, memories):
+    return conversation.memory_section(users, memories)
+
+
+@query("queries users memories messages chunks", _RANKED + f", cx AS (SELECT query_id, string_agg('[' || rank || '] 📄 ' || s || '  第 ' || coalesce(page_number::VARCHAR, '—') || ' 页' || coalesce('  §' || section_title, '') || chr(10) || {_STRIP.format('content')}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM rk GROUP BY query_id), ms AS (SELECT q.query_id, count(m.message_id) + 1 AS n FROM queries q LEFT JOIN messages m ON m.session_id = q.query_id GROUP BY q.query_id), sy AS (SELECT query_id, CASE WHEN u.user_id IS NULL THEN '' ELSE {_MEMORY.format('q.user_id')} END AS section, context FROM queries q LEFT JOIN users u USING (user_id) LEFT JOIN cx USING (query_id)) SELECT query_id, CASE WHEN section = '' THEN '' ELSE section || chr(10) || chr(10) END || 'Answer from the sources.' || chr(10) || chr(10) || coalesce(context, '') AS system, n FROM sy JOIN ms USING (query_id)")
+def prompt_table(queries, users, memories, messages, chunks):
+    q = queries.withColumn("session_id", F.col("query_id"))
+    table = conversation.prompt_table(q, conversation.context_assembly(_ranked(chunks)), messages, conversation.memory_section(users, memories), "Answer from the sources.")
+    return table.select("query_id", "system", F.size("messages").cast("long").alias("n"))
+
+
+@query("messages", "SELECT message_id, content || ' ' || role AS content FROM messages")
+def flatten_messages(messages):
+    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    return conversation.flatten_messages(messages.select("message_id", F.array(block("text", F.col("content")), block("image", F.lit("x")), block("text", F.col("role"))).alias("blocks")))
+
+
+@query("chunks", "SELECT chunk_id AS attachment_id, CASE chunk_id % 5 WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/webp' ELSE 'image/jpeg' END AS mime FROM chunks")
+def attachment_types(chunks):
+    n = F.col("chunk_id") % 5
+    head = F.when(n == 0, "FFD8FFE0").when(n == 1, "89504E470D0A1A0A").when(n == 2, "474946383961").when(n == 3, "524946460000000057454250").otherwise("00")
+    data = F.when(n == 4, F.lit("not base64!")).otherwise(F.base64(F.unhex(F.concat(head, F.lit("000000000000000000000000")))))
+    return conversation.attachment_types(chunks.select(F.col("chunk_id").alias("attachment_id"), data.alias("data")))
+
+
+@query("answers chunks", _CITED + """ SELECT answer_id, '[' || string_agg('{"marker":' || marker || ',"chunk_id":' || chunk_id || ',"score":' || (chunk_id % 8 / 8)::DOUBLE || '}', ',' ORDER BY ord) || ']' AS citations FROM cited GROUP BY answer_id""")
+def citation_json(answers, chunks):
+    cited = conversation.extract_citations(answers, _ranked(chunks))
+    return conversation.citation_json(cited.withColumn("score", (F.col("chunk_id") % 8) / 8))
+
+
+@query("progress")
+def progress_throttle(progress):
+    return catalog.progress_throttle(catalog.progress_percent(progress))
+
+
+@query("sessions messages", "SELECT session_id, CASE WHEN session_id % 3 = 0 THEN 'new ' || session_id ELSE 'old' END AS title, updated_at FROM sessions")
+def session_patch(sessions, messages):
+    renames = sessions.where("session_id % 3 < 2").select("session_id", F.when(F.col("session_id") % 3 == 0, F.concat(F.lit(" new "), F.col("session_id").cast("string"))).otherwise(" ").alias("new_title"))
+    return catalog.session_patch(sessions.withColumn("title", F.lit("old")), renames, messages)
+
+
+@query("uploads", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 AND doc_id % 7 > 0 THEN doc_id % 7 WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS processed_chunks FROM uploads")
+def backfill_progress(uploads):
+    docs = uploads.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "done").otherwise("failed").alias("status"), F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).cast("long").alias("processed_chunks"), (F.col("doc_id") % 7).alias("total_chunks"))
+    return catalog.backfill_progress(docs).select("doc_id", "processed_chunks")
+
+
+@query("chunks")
+def embed_chunks(chunks):
+    return embedding.embed_chunks(chunks)
+
+
 for _old, _new in (("estimate_tokens_query", "estimate_tokens"), ("estimate_tokens_history_query", "estimate_tokens_history"), ("split_sentences_query", "split_sentences"), ("hybrid_search_query", "hybrid_search")):
     QUERIES[_new], ORACLES[_new] = QUERIES.pop(_old), ORACLES.pop(_old)

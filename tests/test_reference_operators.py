@@ -105,3 +105,26 @@ def test_acl_mask_is_below_the_top_k(spark, chunks, users):
     near = chunks.withColumn("dense_embedding", F.when(F.col("chunk_id") == 4, F.array(*[F.lit(1.0).cast("float")] * 8)).otherwise(F.array(F.lit(1.0).cast("float"), *[F.lit(0.0).cast("float")] * 7)))
     q = spark.createDataFrame([(1, 1, [1.0] * 8, "x")], "query_id long, user_id long, query_vector array<float>, query_text string")
     assert [r.chunk_id for r in retrieval.vector_topk(retrieval.principals(q, users), near, 1).collect()] == [1]
+
+
+def test_throttle(spark):
+    rng = random.Random(2)
+    rows = [(d, d * 1000 + i, rng.randint(0, 100), rng.randint(0, 10), 10, i) for d in range(5) for i in range(60)]
+    want = set()
+    for d in range(5):
+        last = None
+        for r in rows[d * 60 : d * 60 + 60]:
+            if last is None or r[2] - last >= 5 or r[3] >= r[4]:
+                last = r[2]
+                want.add((d, r[1], last))
+    events = spark.createDataFrame(rows, "doc_id long, event_id long, percent int, processed int, total int, ts int")
+    assert {tuple(r) for r in catalog.progress_throttle(events).collect()} == want
+
+
+def test_embedding_is_deterministic_and_keeps_order(spark):
+    from lodestone.operators.embedding import embed_chunks
+
+    df = spark.createDataFrame([(1, "hello world"), (2, None), (3, "hello world"), (4, "")], "chunk_id long, content string")
+    got = {r.chunk_id: list(r.dense_embedding) for r in embed_chunks(df, batch=2).collect()}
+    assert got[1] == got[3] and abs(sum(x * x for x in got[1]) - 1) < 1e-5 and not any(got[2]) and not any(got[4])
+    assert embed_chunks(df.limit(0)).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import strip
@@ -166,3 +166,18 @@ def backfill_progress(docs: DataFrame) -> DataFrame:
     """docs where finished documents without progress count as wholly processed."""
     stuck = (F.col("status") == "done") & (F.col("processed_chunks") == 0) & (F.col("total_chunks") > 0)
     return docs.withColumn("processed_chunks", F.when(stuck, F.col("total_chunks")).otherwise(F.col("processed_chunks")))
+
+
+def vocab_tables(spark: SparkSession) -> DataFrame:
+    """vocabulary, value, ordinal: the allowed tags with their place in the list, levels and clearance labels with their ordinals."""
+    rows = [("acl_tag", t, n) for n, t in enumerate(TAGS)] + [(kind, name, n) for kind in ("sensitivity_level", "clearance_level") for name, n in LEVELS.items()]
+    return spark.createDataFrame(rows, "vocabulary string, value string, ordinal int")
+
+
+def vocab_usage(docs: DataFrame) -> DataFrame:
+    """vocabulary, value, ordinal, n: documents that carry each allowed tag or level; 0 for unused ones."""
+    tags = docs.select(F.lit("acl_tag").alias("vocabulary"), F.explode(F.array_distinct("acl_tags")).alias("value"))
+    levels = docs.select(F.lit("sensitivity_level").alias("vocabulary"), F.col("sensitivity_level").alias("value"))
+    n = tags.unionByName(levels).groupBy("vocabulary", "value").agg(F.count("*").alias("n"))
+    allowed = vocab_tables(docs.sparkSession).where("vocabulary <> 'clearance_level'")
+    return allowed.join(n, ["vocabulary", "value"], "left").select("vocabulary", "value", "ordinal", F.coalesce("n", F.lit(0)).alias("n"))

@@ -71,3 +71,20 @@ def table_rows_markdown(tables: DataFrame) -> DataFrame:
     line = lambda a: F.concat(F.lit("| "), F.array_join(a, " | "), F.lit(" |"))
     rows = tables.withColumn("c", cells).withColumn("m", merged).withColumn("line", F.when(F.col("row_no") == 0, F.concat(line(F.col("m")), F.lit("\n"), line(F.array_repeat(F.lit("---"), F.size("m"))))).otherwise(line(F.col("m"))))
     return rows.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+def styled_sections(paragraphs: DataFrame, tables: DataFrame) -> DataFrame:
+    """doc_id, page_number, title, content of the sections that heading styles begin.
+
+    paragraphs: doc_id, seq, style, text; tables: doc_id, table_no, text (see table_rows_markdown),
+    which follow the last paragraph of their document. Blank paragraphs and null texts are left out, a
+    null style is no heading, text before the first heading has a null title. Empty sections are
+    dropped, and page_number counts those that stay.
+    """
+    p = paragraphs.select("doc_id", F.col("seq").cast("long").alias("seq"), strip(F.col("text")).alias("line"), F.coalesce(F.col("style").contains("Heading"), F.lit(False)).alias("heads"), F.lit(0).alias("part"))
+    t = tables.select("doc_id", F.col("table_no").cast("long").alias("seq"), F.col("text").alias("line"), F.lit(False).alias("heads"), F.lit(1).alias("part"))
+    lines = p.unionByName(t).where("line <> ''")
+    s = lines.withColumn("section", F.sum(F.col("heads").cast("int")).over(Window.partitionBy("doc_id").orderBy("part", "seq")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("heads"), F.struct("part", "seq", "line")))), lambda x: x["line"]), "\n")
+    full = clean_text(s.groupBy("doc_id", "section").agg(F.max(F.when(F.col("heads"), F.col("line"))).alias("title"), body.alias("content")), "content").where("content <> ''")
+    return full.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("section")).alias("page_number"), "title", "content")

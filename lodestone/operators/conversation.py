@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,3 +168,56 @@ def citation_json(citations: DataFrame) -> DataFrame:
     item = F.struct("ord", "marker", "chunk_id", F.round("score", 4).alias("score"))
     per = citations.groupBy("answer_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     return per.select("answer_id", F.to_json(F.transform("items", lambda x: F.struct(x["marker"].alias("marker"), x["chunk_id"].alias("chunk_id"), x["score"].alias("score")))).alias("citations"))
+
+
+def memory_replay(existing: DataFrame, candidates: DataFrame, similarity: float = MEMORY_SIMILARITY, cap: int = MEMORY_CAP) -> DataFrame:
+    """memory_id, user_id of each user's store after all messages, taken in order of (created_at, message_id).
+
+    existing: memory_id, user_id, embedding, created_at; candidates have message_id besides. A message's
+    candidates are held against the store that the earlier messages left, not against each other; if
+    any is new, the store is cut to its newest cap rows. A candidate of a null or zero vector is never
+    a duplicate. The order makes one user's messages serial; they stream through sorted partitions, and
+    a task holds one user's store and one message.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, message, store, fresh, first = None, None, [], [], True
+
+        def settle() -> None:
+            nonlocal store, fresh
+            if fresh:
+                store = sorted(store + fresh, key=lambda m: m[:2], reverse=True)[: max(cap, 0)]
+                fresh = []
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([m[1] for m in store], pa.int64()), pa.array([user] * len(store), pa.int64())], ["memory_id", "user_id"])
+
+        for batch in batches:
+            for who, text_of, memory, at, vector in zip(*[batch.column(c).to_pylist() for c in ("user_id", "message_id", "memory_id", "at", "embedding")], strict=True):
+                if first or who != user:
+                    settle()
+                    if not first:
+                        yield rows()
+                    user, message, store, first = who, None, [], False
+                unit = None if vector is None else np.asarray(vector, np.float64)
+                norm = 0.0 if unit is None else float(np.linalg.norm(unit))
+                item = (at, memory, unit / norm if norm > 0 else None)
+                if text_of is None:
+                    store.append(item)
+                    continue
+                if (at, text_of) != message:
+                    settle()
+                    message = (at, text_of)
+                held = [m[2] for m in store if m[2] is not None]
+                near = similarity < 1 and item[2] is not None and held and round(1 - float(np.max(np.stack(held) @ item[2])), 9) <= round(1 - similarity, 9)
+                if not near:
+                    fresh.append(item)
+        settle()
+        if not first:
+            yield rows()
+
+    at = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(0)).alias("at")
+    known = existing.select("user_id", F.lit(None).cast("long").alias("message_id"), "memory_id", at, "embedding")
+    asked = candidates.select("user_id", F.coalesce("message_id", F.lit(-1)).cast("long").alias("message_id"), "memory_id", at, "embedding")
+    ordered = known.unionByName(asked).withColumn("_new", F.col("message_id").isNotNull())
+    return ordered.repartition("user_id").sortWithinPartitions("user_id", "_new", "at", "message_id", "memory_id").mapInArrow(fold, "memory_id long, user_id long")

@@ -30,18 +30,20 @@ def ordinal(level: Column) -> Column:
 def admission_gate(uploads: DataFrame, stored_hashes: DataFrame | None = None) -> DataFrame:
     """uploads with content_hash and reason (null: accepted), the first that holds.
 
-    Of equal contents the one with the smallest doc_id counts as first, whatever becomes of it.
+    Null text counts as empty, null tags as none. Of equal contents that are valid otherwise the
+    smallest doc_id is accepted; a rejected upload blocks no later one.
     """
-    u = uploads.withColumn("content_hash", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    first = u.groupBy("content_hash").agg(F.min("doc_id").alias("_first"))
-    u = u.join(first, "content_hash")
+    text, tags = F.coalesce("text", F.lit("")), F.coalesce("acl_tags", F.array().cast("array<string>"))
+    size = F.octet_length(text)
+    bad = F.when(size > MAX_UPLOAD_BYTES, "too_large").when(size == 0, "empty").when(F.size(tags) == 0, "no_tags").when(F.size(F.array_except(tags, F.array(*map(F.lit, TAGS)))) > 0, "unknown_tag").when(~F.coalesce(F.col("sensitivity_level").isin(*LEVELS), F.lit(False)), "bad_level")
+    u = uploads.withColumn("content_hash", F.sha2(text.cast("binary"), 256)).withColumn("_bad", bad)
+    first = u.where("_bad is null").groupBy("content_hash").agg(F.min("doc_id").alias("_first"))
+    u = u.join(first, "content_hash", "left")
     duplicate = F.col("doc_id") > F.col("_first")
     if stored_hashes is not None:
         u = u.join(stored_hashes.select("content_hash").distinct().withColumn("_stored", F.lit(True)), "content_hash", "left")
         duplicate = duplicate | F.coalesce("_stored", F.lit(False))
-    size = F.octet_length(F.coalesce("text", F.lit("")))
-    reason = F.when(size > MAX_UPLOAD_BYTES, "too_large").when(size == 0, "empty").when(F.size("acl_tags") == 0, "no_tags").when(F.size(F.array_except("acl_tags", F.array(*map(F.lit, TAGS)))) > 0, "unknown_tag").when(~F.col("sensitivity_level").isin(*LEVELS), "bad_level").when(duplicate, "duplicate")
-    return u.withColumn("reason", reason).select(*uploads.columns, "content_hash", "reason")
+    return u.withColumn("reason", F.coalesce("_bad", F.when(duplicate, "duplicate"))).select(*uploads.columns, "content_hash", "reason")
 
 
 def content_hash_dedup(docs: DataFrame) -> DataFrame:

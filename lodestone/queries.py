@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import estimate_tokens, estimate_tokens_history, split_sentences
 from lodestone.functions.vocabulary import CONVERTIBLE, DIRECT, LEVELS, TAGS
-from lodestone.operators import access, catalog, chunking, cleaning, conversation, embedding, ingest, retrieval
+from lodestone.operators import access, ann, catalog, chunking, cleaning, conversation, embedding, ingest, retrieval
 from lodestone.plans.hybrid import hybrid_search
 from lodestone.sources.views import duck, view
 
@@ -52,7 +52,7 @@ def route_by_format(uploads):
     return ingest.route_by_format(uploads).select("doc_id", "suffix", "route")
 
 
-@query("uploads", f", h AS (SELECT *, sha256(text) AS content_hash, min(doc_id) OVER (PARTITION BY sha256(text)) AS first FROM uploads) SELECT doc_id, content_hash, CASE WHEN strlen(text) = 0 THEN 'empty' WHEN len(acl_tags) = 0 THEN 'no_tags' WHEN NOT list_has_all([{_IN(TAGS)}], acl_tags) THEN 'unknown_tag' WHEN sensitivity_level NOT IN ({_IN(LEVELS)}) THEN 'bad_level' WHEN doc_id > first THEN 'duplicate' END AS reason FROM h")
+@query("uploads", f", h AS (SELECT *, sha256(text) AS content_hash, min(CASE WHEN strlen(text) > 0 AND len(acl_tags) > 0 AND list_has_all([{_IN(TAGS)}], acl_tags) AND sensitivity_level IN ({_IN(LEVELS)}) THEN doc_id END) OVER (PARTITION BY sha256(text)) AS first FROM uploads) SELECT doc_id, content_hash, CASE WHEN strlen(text) = 0 THEN 'empty' WHEN len(acl_tags) = 0 THEN 'no_tags' WHEN NOT list_has_all([{_IN(TAGS)}], acl_tags) THEN 'unknown_tag' WHEN sensitivity_level NOT IN ({_IN(LEVELS)}) THEN 'bad_level' WHEN doc_id > first THEN 'duplicate' END AS reason FROM h")
 def admission_gate(uploads):
     return ingest.admission_gate(uploads).select("doc_id", "content_hash", "reason")
 
@@ -569,5 +569,39 @@ def embed_chunks(chunks):
     return embedding.embed_chunks(chunks)
 
 
+
+_LINES = "p AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM uploads)), k AS (SELECT doc_id, i, {strip} AS line, i % 3 = 0 AS heads FROM p UNION ALL SELECT doc_id, 1000000000 AS i, '| ' || source || ' |' AS line, false AS heads FROM uploads WHERE doc_id % 2 = 0)"
+
+
+@query("uploads", f", {_LINES.replace('{strip}', _STRIP.format('line'))}, s AS (SELECT *, sum(heads::INT) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM k WHERE line <> ''), g AS (SELECT doc_id, section, max(CASE WHEN heads THEN line END) AS title, coalesce(string_agg(CASE WHEN NOT heads THEN line END, chr(10) ORDER BY i), '') AS text FROM s GROUP BY doc_id, section), c AS (SELECT doc_id, section, title, {_CLEAN} AS content FROM g) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY section))::INT AS page_number, title, content FROM c WHERE content <> ''")
+def styled_sections(uploads):
+    lines = uploads.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    paragraphs = lines.select("doc_id", (F.col("pos") + 1).alias("seq"), F.when((F.col("pos") + 1) % 3 == 0, "Heading 2").otherwise("Normal").alias("style"), "text")
+    tables = uploads.where("doc_id % 2 = 0").select("doc_id", F.lit(0).alias("table_no"), F.concat(F.lit("| "), F.col("source"), F.lit(" |")).alias("text"))
+    return cleaning.styled_sections(paragraphs, tables)
+
+
+_VOCABULARY = ", ".join([f"('acl_tag', '{t}', {n})" for n, t in enumerate(TAGS)] + [f"('sensitivity_level', '{name}', {n})" for name, n in LEVELS.items()])
+
+
+@query("uploads", f", v(vocabulary, value, ordinal) AS (VALUES {_VOCABULARY}), u AS (SELECT 'acl_tag' AS vocabulary, unnest(list_distinct(acl_tags)) AS value FROM uploads UNION ALL SELECT 'sensitivity_level', sensitivity_level FROM uploads), n AS (SELECT vocabulary, value, count(*) AS n FROM u GROUP BY ALL) SELECT v.vocabulary, v.value, v.ordinal, coalesce(n, 0) AS n FROM v LEFT JOIN n ON n.vocabulary = v.vocabulary AND n.value = v.value")
+def vocab_tables(uploads):
+    return catalog.vocab_usage(uploads)
+
+
+@query("memories")
+def memory_replay(memories):
+    existing = conversation.memory_cap(memories.where("memory_id % 3 > 0"), 10)
+    message = F.floor(F.col("memory_id") / 120)
+    candidates = memories.where("memory_id % 3 = 0").withColumn("message_id", message).withColumn("created_at", F.timestamp_seconds(1704067200 + message * 7200))
+    return conversation.memory_replay(existing, candidates, 0.4, 10)
+
+
+@query("chunks users")
+def vector_topk_ann(chunks, users):
+    queries = chunks.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), (F.col("chunk_id") % 15).alias("user_id"), F.col("dense_embedding").alias("query_vector"))
+    return ann.neighbours_ann(queries, users, chunks)
+
+
 for _old, _new in (("estimate_tokens_query", "estimate_tokens"), ("estimate_tokens_history_query", "estimate_tokens_history"), ("split_sentences_query", "split_sentences"), ("hybrid_search_query", "hybrid_search")):
     QUERIES[_new], ORACLES[_new] = QUERIES.pop(_old), ORACLES.pop(_old)

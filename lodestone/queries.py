@@ -12,6 +12,7 @@ from lodestone.functions.vocabulary import CONVERTIBLE, DIRECT, LEVELS, TAGS
 from lodestone.operators import access, ann, catalog, chunking, cleaning, conversation, embedding, ingest, retrieval
 from lodestone.plans.hybrid import hybrid_search
 from lodestone.sources.views import duck, view
+from lodestone.streaming import queries as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -605,3 +606,6 @@ def vector_topk_ann(chunks, users):
 
 for _old, _new in (("estimate_tokens_query", "estimate_tokens"), ("estimate_tokens_history_query", "estimate_tokens_history"), ("split_sentences_query", "split_sentences"), ("hybrid_search_query", "hybrid_search")):
     QUERIES[_new], ORACLES[_new] = QUERIES.pop(_old), ORACLES.pop(_old)
+
+QUERIES |= streams.QUERIES
+ORACLES |= {name: ORACLES[other] for name, other in streams.SAME.items()}

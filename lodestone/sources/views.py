@@ -7,6 +7,7 @@ timestamp from seconds.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +28,17 @@ VIEWS = {
 _BASE = re.compile(r"\b(documents|embeddings|events|benchmark|conversations)\b(?= [a-z] | GROUP| WHERE|\)|$)")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The view over the tables of a folder."""
+def _at_rest(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, read: Callable[[SparkSession, str, str], DataFrame] = _at_rest) -> DataFrame:
+    """The view over the tables of a folder, as read(spark, sf_dir, table) gives them."""
     sql = VIEWS[name].replace("ARR(", "array(").replace("NONE()", "cast(array() as array<string>)").replace("EPOCH(", "timestamp_seconds(")
     tables = set(re.findall(r"(?:FROM|JOIN) (documents|embeddings|events|benchmark|conversations)\b", sql))
     for t in tables:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    return spark.sql(sql, **{t: read(spark, sf_dir, t) for t in tables})
 
 
 def duck(name: str) -> str:

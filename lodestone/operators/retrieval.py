@@ -72,7 +72,7 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFr
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = np.array(batch.column(3).to_pylist(), np.float64)
+                x = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                 mask, ordinal = batch.column(1).to_numpy(), batch.column(2).to_numpy()
                 d = np.round(1 - vectors @ x.T, 9)

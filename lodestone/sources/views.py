@@ -28,8 +28,19 @@ VIEWS = {
 _BASE = re.compile(r"\b(documents|embeddings|events|benchmark|conversations)\b(?= [a-z] | GROUP| WHERE|\)|$)")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores where the table has no more scan tasks than there are cores.
+
+    Such a table may lie in one or two row groups, which would leave most cores idle below texts and
+    vectors. A table with more scan tasks is read as it lies, without this shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
+
+
 def _at_rest(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return _dealt(rows) if table == "documents" else rows
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, read: Callable[[SparkSession, str, str], DataFrame] = _at_rest) -> DataFrame:

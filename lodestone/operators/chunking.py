@@ -8,15 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.ordering import runs
 from lodestone.functions.text import estimate_tokens, split_sentences, strip
 from lodestone.functions.vocabulary import CHUNK_LEAST, CHUNK_OVERLAP, CHUNK_TOKENS
 
 
 def section_islands(pages: DataFrame) -> DataFrame:
     """pages with section_no: runs of equal titles (null equals null) in page order; a title that comes back is a new section."""
-    w = Window.partitionBy("doc_id").orderBy("page_seq")
-    new = F.when(F.row_number().over(w) == 1, 0).when(F.col("section_title").eqNullSafe(F.lag("section_title").over(w)), 0).otherwise(1)
-    return pages.withColumn("_new", new).withColumn("section_no", F.sum("_new").over(w)).drop("_new")
+    return runs(pages, "doc_id", "page_seq", "section_title", "section_no")
 
 
 def segment_array(text, max_tokens: int = CHUNK_TOKENS):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.ordering import numbered
 from lodestone.functions.text import estimate_tokens, estimate_tokens_history, split_sentences
 from lodestone.functions.vocabulary import CONVERTIBLE, DIRECT, LEVELS, TAGS
 from lodestone.operators import access, ann, catalog, chunking, cleaning, conversation, embedding, ingest, retrieval
@@ -164,7 +165,9 @@ def segments(chunks):
 @query("page_groups", ", t AS (SELECT source AS doc_id, page_number AS page_seq, CASE WHEN doc_id % 7 < 3 THEN 'a' WHEN doc_id % 7 < 5 THEN NULL ELSE 'b' END AS section_title FROM page_groups), l AS (SELECT *, row_number() OVER w = 1 AS f, lag(section_title) OVER w AS prev FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY page_seq)) SELECT doc_id, page_seq::INT AS page_seq, section_title, sum(CASE WHEN f OR section_title IS NOT DISTINCT FROM prev THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page_seq)::BIGINT AS section_no FROM l")
 def section_islands(pages):
     title = F.when(F.col("doc_id") % 7 < 3, "a").when(F.col("doc_id") % 7 >= 5, "b")
-    return chunking.section_islands(pages.select(title.alias("section_title"), F.col("source").alias("doc_id"), F.col("page_number").alias("page_seq")))
+    # The view's own page numbers order a whole source in one task; these don't.
+    pages = numbered(pages.drop("page_number"), "source", "doc_id", "page_number")
+    return chunking.section_islands(pages.select(title.alias("section_title"), F.col("source").alias("doc_id"), F.col("page_number").cast("int").alias("page_seq")))
 
 
 # Packing is a fold over each document's segments: no SQL for it at this size; tests hold it against a plain model.

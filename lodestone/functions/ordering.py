@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 65_536
+BLOCK = 8_192
 
 
 def _blocks(rows: DataFrame, order: str, size: int) -> DataFrame:

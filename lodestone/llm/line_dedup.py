@@ -11,6 +11,13 @@ long as whole lines equal those beside the first occurrence.
 
 Every removed line equals a line at an earlier place, so of each repeated passage one copy stays.
 
+Passages that no chunk lies in are found by words: every run of LEAST_WORDS words (with the blanks
+between them) that stands in an earlier document too is removed, wherever it begins. Runs meet by
+their least hash of GRAM successive words (winnowing), which equal runs share whatever stands around them,
+and are then compared by 128-bit digests of their bytes. Overlapping runs are joined; a part of a
+line at an end stays if it has fewer than LEAST_WORDS words and as many are left without it.
+Repetition inside one document is left to the chunks.
+
 Cases: null texts stay null; texts of one line or without words are unchanged; rows with the same
 id and text are one document and get the same text; a row whose id is null is ordered last; an empty table gives an empty result;
 other columns pass untouched, n_chars (if there) is set to the new length where lines went.
@@ -19,6 +26,7 @@ other columns pass untouched, n_chars (if there) is set to the new length where
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.common import bitmap, cut, in_bitmap
-from lodestone.llm.text import NOT_SPACE, SPACE, Hasher, binary, mix, slices
+from lodestone.llm.text import NOT_SPACE, SPACE, Hasher, binary, mix, row_of, slices, spans
 
 DIVISOR = 3
 MAX_LINES = 16
+#: A run of so many words is found wherever it begins; it is held to others by its least hash of GRAM words.
+LEAST_WORDS, GRAM = 50, 20
 _U = np.uint64
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True  # ! . ?
@@ -177,10 +187,144 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     return later.select("doc_id", "h", "body", "places", "first_body", "first_place", "is_first").mapInArrow(_removals, "doc_id long, h long, begin long, end long").distinct()
 
 
+class Runs:
+    """Successive word runs of LEAST_WORDS words that share their least gram hash, as one: anchor (that hash), row, begin and end."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        starts, ends, first = spans(data, offsets, NOT_SPACE)
+        n = len(starts) - LEAST_WORDS + 1
+        if n < 1:
+            self.anchor, self.row, self.begin, self.end = np.zeros(0, _U), *[np.zeros(0, np.int64)] * 3
+            return
+        least, size, width = Hasher(data)(starts[: len(starts) - GRAM + 1], ends[GRAM - 1 :]), 1, LEAST_WORDS - GRAM + 1
+        while size < width:
+            step = min(size, width - size)
+            least = np.minimum(least[:-step], least[step:])
+            size += step
+        row = row_of(first)
+        inside = row[:n] == row[LEAST_WORDS - 1 :]
+        seam = np.ones(n + 1, bool)
+        seam[1:-1] = (least[1:] != least[:-1]) | (row[1:n] != row[: n - 1])
+        padded = np.concatenate([[False], inside, [False]])
+        begin = np.flatnonzero(inside & (seam[:-1] | ~padded[:-2]))
+        end = np.flatnonzero(inside & (seam[1:] | ~padded[2:]))
+        self.anchor, self.row = least[begin], row[begin]
+        self.begin, self.end = starts[begin], ends[end + LEAST_WORDS - 1]
+
+
+def anchors(docs: DataFrame) -> DataFrame:
+    """(anchor) of every run of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in slices(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(Runs(data, offsets).anchor.view(np.int64))], ["anchor"])
+
+    return docs.select("text").where("text is not null").mapInArrow(run, "anchor long")
+
+
+def _digest(body: bytes) -> bytes:
+    return blake2b(body, digest_size=16).digest()
+
+
+def _anchored(batch: pa.RecordBatch, known: np.ndarray) -> Iterator[tuple]:
+    """(anchor, digest, place, doc_id, h, begin, end, bytes) of the runs of a batch whose anchor may be in the bitmap; place is a hash of digest, id and h."""
+    ids, hs = batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("h").to_pylist()
+    for first, data, offsets in slices(batch.column("text")):
+        r = Runs(data, offsets)
+        at = np.flatnonzero(in_bitmap(known, r.anchor))
+        text = data.tobytes()
+        start = offsets[r.row[at]].tolist()
+        for anchor, row, a, b, s in zip(r.anchor[at].view(np.int64).tolist(), r.row[at].tolist(), r.begin[at].tolist(), r.end[at].tolist(), start):
+            body = text[a:b]
+            digest = _digest(body)
+            place = int.from_bytes(blake2b(digest + repr((ids[first + row], hs[first + row])).encode(), digest_size=8).digest(), "little", signed=True)
+            yield anchor, digest, place, ids[first + row], hs[first + row], a - s, b - s, body
+
+
+def repeated_runs(docs: DataFrame, bits) -> DataFrame:
+    """(anchor, digest, place, doc_id, h, begin, end) of the runs whose anchor may be repeated."""
+    schema = pa.schema([("anchor", pa.int64()), ("digest", pa.binary()), ("place", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = bits.value
+        for batch in batches:
+            found = [x[:-1] for x in _anchored(batch, known)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else [[]] * len(schema), schema)], schema=schema)
+
+    return _scan(docs).mapInArrow(run, "anchor long, digest binary, place long, doc_id long, h long, begin long, end long")
+
+
+def single_runs(docs: DataFrame, bits, places) -> DataFrame:
+    """(digest, doc_id, h, begin, end) of each LEAST_WORDS words inside the runs whose place may be in the second bitmap."""
+    schema = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("h", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, wanted = bits.value, places.value
+        for batch in batches:
+            out = []
+            for _, _, place, doc_id, h, at, _, body in _anchored(batch, known):
+                if in_bitmap(wanted, np.array([place]).view(_U))[0]:
+                    starts, ends, _ = spans(data := np.frombuffer(body, np.uint8), np.array([0, len(data)]), NOT_SPACE)
+                    out += [(_digest(body[a:b]), doc_id, h, at + a, at + b) for a, b in zip(starts.tolist(), ends[LEAST_WORDS - 1 :].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(schema), schema)], schema=schema)
+
+    return _scan(docs).mapInArrow(run, "digest binary, doc_id long, h long, begin long, end long")
+
+
+def _bits(hashes: DataFrame, column: str):
+    """Broadcast bitmap with about 16 bits for each hash, 2**24 at least and 2**29 at most."""
+    return hashes.sparkSession.sparkContext.broadcast(bitmap(hashes, column, min(29, max(24, (16 * hashes.count()).bit_length()))))
+
+
+def _later(found: DataFrame, first: DataFrame) -> DataFrame:
+    """Spans of found in other documents than the first one (o, f_h) of their digest."""
+    return found.join(first.select("digest", "o", "f_h"), "digest").where((_order() != F.col("o")) | (F.col("h") != F.col("f_h"))).select("doc_id", "h", "begin", "end")
+
+
+def repeated_word_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, begin, end): byte spans of LEAST_WORDS words or more that stand in an earlier document."""
+    repeated = cut(anchors(docs).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+    bits = _bits(repeated, "anchor")
+    found = cut(repeated_runs(docs, bits), "runs")
+    least = lambda *more: F.min(F.struct(_order().alias("o"), F.col("h").alias("f_h"), *more)).alias("f")
+    first = cut(found.groupBy("anchor", "digest").agg(least("place")).select("anchor", "digest", "f.*"), "first_runs")
+    # Where an anchor stands in different runs, these may still share some words: the first of each is taken apart.
+    several = cut(first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "several")
+    apart = cut(first.join(several, "anchor").select("place"), "apart")
+    single = cut(single_runs(docs, bits, _bits(apart, "place")), "single_runs")
+    least_single = cut(single.groupBy("digest").agg(F.count("*").alias("n"), least()).where("n > 1").select("digest", "f.*"), "first_single")
+    return _later(found, first).unionByName(_later(single, least_single)).distinct()
+
+
+def whole_lines(data: np.ndarray, begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """The spans of one text joined where they overlap, and cut to whole lines where that leaves fewer than LEAST_WORDS words of each part."""
+    word, stop, _ = spans(data, np.array([0, len(data)]), NOT_SPACE)
+    lines = np.concatenate([[0], line_ends(data, np.array([0, len(data)]))])
+    joined: list[list[int]] = []
+    for a, b in sorted(zip(begins, ends)):
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(b, joined[-1][1])
+        else:
+            joined.append([a, b])
+    words = lambda a, b: int(np.searchsorted(word, b) - np.searchsorted(word, a))
+    out = []
+    for a, b in joined:
+        line, after = int(lines[np.searchsorted(lines, a, "right") - 1]), int(lines[np.searchsorted(lines, b)])
+        a = line if not words(line, a) else a
+        b = after if not words(b, after) else b
+        nearest, last = int(lines[np.searchsorted(lines, a)]), int(lines[np.searchsorted(lines, b, "right") - 1])
+        x = nearest if words(a, nearest) < LEAST_WORDS else a
+        y = last if words(last, b) < LEAST_WORDS else b
+        out.append((x, y) if x < y and words(x, y) >= LEAST_WORDS else (a, b))
+    return out
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with repeated chunks taken out of the text, and two more columns: _removed (bytes) and _emptied (no word is left of a text that had one)."""
-    spans = cut(duplicate_spans(docs.select("doc_id", "text")), "spans")
-    per = cut(spans.groupBy(F.col("doc_id").alias("_s_id"), F.col("h").alias("_s_h")).agg(F.collect_list(F.struct("begin", "end")).alias("_spans")), "per")
+    texts = docs.select("doc_id", "text")
+    gone = cut(duplicate_spans(texts).withColumn("by_words", F.lit(False)).unionByName(repeated_word_spans(texts).withColumn("by_words", F.lit(True))), "spans")
+    per = cut(gone.groupBy(F.col("doc_id").alias("_s_id"), F.col("h").alias("_s_h")).agg(F.collect_list(F.struct("begin", "end", "by_words")).alias("_spans")), "per")
     keyed = docs.withColumn("_h", F.xxhash64("text"))
     joined = keyed.join(per, keyed["doc_id"].eqNullSafe(per["_s_id"]) & (keyed["_h"] == per["_s_h"]), "left").drop("_h", "_s_id", "_s_h")
     where = {f.name: i for i, f in enumerate(joined.schema)}
@@ -196,10 +340,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                     continue
                 data = body[i].as_py()
                 gone = np.zeros(len(data) + 1, np.int64)
-                for s in lists[i].as_py():
-                    gone[s["begin"]] += 1
-                    gone[s["end"]] -= 1
-                left = np.frombuffer(data, np.uint8)[np.cumsum(gone)[:-1] == 0]
+                whole = np.frombuffer(data, np.uint8)
+                found = lists[i].as_py()
+                of_words = [(s["begin"], s["end"]) for s in found if s["by_words"]]
+                for begin, end in [(s["begin"], s["end"]) for s in found if not s["by_words"]] + (whole_lines(whole, *zip(*of_words)) if of_words else []):
+                    gone[begin] += 1
+                    gone[end] -= 1
+                left = whole[np.cumsum(gone)[:-1] == 0]
                 texts.append(left.tobytes())
                 removed.append(len(data) - len(left))
                 emptied.append(not NOT_SPACE[left].any())

@@ -197,6 +197,29 @@ def test_line_dedup(spark, docs, rows, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_finds_every_passage_of_fifty_words(spark):
+    r = random.Random(11)
+    said = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows, passages = [], []
+    for case in range(48):
+        n, parts = 50 + case % 11, 1 + case % 8
+        sizes = [n // parts + (k < n % parts) for k in range(parts)]
+        # Sentences on lines of their own or in a paragraph; every sixth passage begins and ends inside a line.
+        passage = (" ", "\n")[case // 8 % 2].join(said(k) + "." for k in sizes)
+        inside = case % 6 == 5
+        passage = passage[:-1] if inside else passage
+        passages.append(passage)
+        for d in (0, 1):
+            before, after = said(30 + d) + (" " if inside else ". "), (" " if inside else "\n") + said(30 + 5 * d) + "."
+            rows.append((1000 * d + case, before + passage + after, "en", "s"))
+    rows += [(5000, said(40) + ". " + said(49) + ".", "en", "s")]
+    rows += [(5001, said(40) + ". " + rows[-1][1].split(". ")[1], "en", "s")]  # 49 words stay
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    for i, t, _, _ in rows:
+        left = t.replace(passages[i % 1000], "") if 1000 <= i < 5000 else t
+        assert got[i].split() == left.split(), i
+
+
 def test_chunk_boundaries_resist_shifts():
     a = text(40).encode()
     b = (sentence(5) + "\n").encode() + a

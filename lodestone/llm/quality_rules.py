@@ -6,7 +6,8 @@ minimum-covariance-determinant estimate by concentration steps over all its rows
 the half of the rows with the least Mahalanobis distance gives the next mean and covariance. The
 half is found from counts of binned distances, so a group of any size is a few
 aggregations with partial sums, and nothing but one row per group is ever gathered. Covariances get
-TOLERANCE on the diagonal, so that one odd line in an otherwise even group isn't an outlier.
+TOLERANCE on the diagonal, so that a little spread in an otherwise even group isn't an outlier; they are small
+enough for each statistic to reject alone.
 
 Cases: null and blank texts have no words and fail the base; null language or source form groups of
 their own; groups below LEAST_ROWS use the estimate of their language, languages below it the one of all rows, and all
@@ -30,9 +31,9 @@ GRID = 1024
 STEPS = 3
 LEAST_ROWS = 50
 #: Standard deviations that are always allowed: log words, log word length, and roots of the shares of symbols, repeated lines and repeated words.
-TOLERANCE = (0.5, 0.1, 0.1, 0.2, 0.2)
-#: Chi-squared (5 degrees of freedom) median, and the limit on the squared distance, at a tail of about 1e-9.
-MEDIAN, LIMIT = 4.351, 52.0
+TOLERANCE = (0.1, 0.05, 0.05, 0.1, 0.1)
+#: Chi-squared (5 degrees of freedom) median, and the limit on the squared distance, at a tail of 1e-5. Each share alone can exceed it.
+MEDIAN, LIMIT = 4.351, 30.86
 _D = len(TOLERANCE)
 _BINS = 16  # bins for each doubling of a squared distance
 

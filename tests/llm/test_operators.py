@@ -279,6 +279,16 @@ def test_quality_rules_reject_outliers(spark):
     assert all(got[i] for i in range(200)) and not any(got[1000 + i] for i in range(5))
 
 
+def test_quality_rules_reject_repeated_lines_alone(spark):
+    r = random.Random(3)
+    new = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    page = lambda line: "\n".join(f"{new()} {new()} {new()}\n{line or new()}" for _ in range(40))
+    rows = [(i, page(None), "en", "a") for i in range(200)] + [(1000 + i, page("abcdef"), "en", "a") for i in range(5)]
+    got = {x.doc_id: x for x in quality_rules.judge(frame(spark, rows)).collect()}
+    assert all(got[1000 + i].n_dup_lines == 39 and not got[1000 + i].n_repeat_words and not got[1000 + i].base_failed for i in range(5))
+    assert all(got[i].kept for i in range(200)) and not any(got[1000 + i].kept for i in range(5))
+
+
 def labelled(spark, toxic=("blorg", "vexating")):
     d, labels = [], []
     for i in range(400):

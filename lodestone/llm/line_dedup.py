@@ -6,8 +6,8 @@ lines places a chunk boundary where it is zero mod DIVISOR, once the chunk has t
 therefore depend on nearby lines only and come back after an insertion. Chunks of two or more
 lines whose hash occurs more than once in the corpus are compared byte by byte with the first
 occurrence (smallest id, then text hash, then place), which stays; the others are removed. A
-removal is extended on both sides into neighbouring chunks that aren't repeated themselves, for as
-long as whole lines equal those beside the first occurrence.
+removal is extended on both sides into the neighbouring chunks, repeated or not, for as long as
+whole lines equal those beside the first occurrence (by length and 128-bit digest).
 
 Every removed line equals a line at an earlier place, so of each repeated passage one copy stays.
 
@@ -107,13 +107,22 @@ def multi_line_hashes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("text is not null").mapInArrow(run, "chunk long, doc_id long")
 
 
+def _digest(body: bytes) -> bytes:
+    return blake2b(body, digest_size=16).digest()
+
+
+def _token(line: bytes) -> bytes:
+    """Length (4 bytes) and digest of a line."""
+    return len(line).to_bytes(4) + _digest(line)
+
+
 _PLACES = pa.list_(pa.struct([("begin", pa.int64()), ("before", pa.list_(pa.binary())), ("after", pa.list_(pa.binary()))]))
 
 
 def repeated_chunks(docs: DataFrame, bits) -> DataFrame:
     """(chunk, doc_id, h, body, places): once per document the chunks whose hash may be repeated, with their bytes.
 
-    Each place has its first byte and the lines of the chunk before and after, none where that chunk may be repeated itself.
+    Each place has its first byte and the lines of the chunk before and after, each as length and digest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +138,8 @@ def repeated_chunks(docs: DataFrame, bits) -> DataFrame:
                 sides = []
                 for step in (-1, 1):
                     side = np.clip(at + step, 0, n - 1)
-                    sides.append(np.where((side != at) & (c.row[side] == c.row[at]) & ~repeated[side], side, -1).tolist())
-                lines = lambda i: [] if i < 0 else [text[a:b] for a, b in zip(c.starts[c.first[i] : c.to[i]].tolist(), c.ends[c.first[i] : c.to[i]].tolist())]
+                    sides.append(np.where((side != at) & (c.row[side] == c.row[at]), side, -1).tolist())
+                lines = lambda i: [] if i < 0 else [_token(text[a:b]) for a, b in zip(c.starts[c.first[i] : c.to[i]].tolist(), c.ends[c.first[i] : c.to[i]].tolist())]
                 begin, end, row = c.begin[at].tolist(), c.end[at].tolist(), c.row[at].tolist()
                 start = offsets[c.row[at]].tolist()
                 for k, (h, before, after) in enumerate(zip(c.hash[at].view(np.int64).tolist(), *sides)):
@@ -155,11 +164,11 @@ def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for mine, theirs in zip(reversed(place["before"]), reversed(d["first_place"][i]["before"])):
                     if mine != theirs:
                         break
-                    begin -= len(mine)
+                    begin -= int.from_bytes(mine[:4])
                 for mine, theirs in zip(place["after"], d["first_place"][i]["after"]):
                     if mine != theirs:
                         break
-                    end += len(mine)
+                    end += int.from_bytes(mine[:4])
                 keep.append(i)
                 begins.append(begin)
                 ends.append(end)
@@ -223,10 +232,6 @@ def anchors(docs: DataFrame) -> DataFrame:
     return docs.select("text").where("text is not null").mapInArrow(run, "anchor long")
 
 
-def _digest(body: bytes) -> bytes:
-    return blake2b(body, digest_size=16).digest()
-
-
 def _anchored(batch: pa.RecordBatch, known: np.ndarray) -> Iterator[tuple]:
     """(anchor, digest, place, doc_id, h, begin, end, bytes) of the runs of a batch whose anchor may be in the bitmap; place is a hash of digest, id and h."""
     ids, hs = batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("h").to_pylist()

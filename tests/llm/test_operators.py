@@ -220,6 +220,22 @@ def test_line_dedup_finds_every_passage_of_fifty_words(spark):
         assert got[i].split() == left.split(), i
 
 
+def test_line_dedup_does_not_depend_on_bitmap_or_copies(spark, monkeypatch):
+    r = random.Random(4)
+    said = lambda n: "".join(" ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(2)) + ".\n" for _ in range(n))
+    # Twenty lines of two words: too few words in a row for runs of 50, so that chunks and their sides decide.
+    rows = []
+    for case in range(12):
+        passage, first = said(20), said(8)
+        rows += [(case, first + passage + said(8), "en", "s"), (500 + case, said(7) + passage + said(7), "en", "s")]
+    removed = lambda rows: {x.doc_id: x._removed for x in line_dedup.dedup_lines(frame(spark, rows)).collect() if 500 <= x.doc_id < 900}
+    alone = removed(rows)
+    assert all(alone.values())
+    assert removed(rows + [(900 + i, *x) for i, *x in rows if i < 500]) == alone
+    monkeypatch.setattr(line_dedup, "bitmap", lambda hashes, column, log2_bits=24: np.full(1 << 18, ~np.uint64(0)))
+    assert removed(rows) == alone
+
+
 def test_chunk_boundaries_resist_shifts():
     a = text(40).encode()
     b = (sentence(5) + "\n").encode() + a

@@ -20,18 +20,24 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Power tables are kept for the life of a worker up to this many entries (64 MB for both); longer texts make their own and drop them.
+_KEPT = 1 << 22
 _powers: dict[str, np.ndarray] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse mod 2**64, up to n."""
-    if len(_powers.get("up", ())) <= n:
-        size = max(1 << 20, 1 << int(n + 1).bit_length())
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            x = np.full(size, base, _U)
-            x[0] = 1
-            _powers[name] = np.cumprod(x)
-    return _powers["up"], _powers["down"]
+    if len(_powers.get("up", ())) > n:
+        return _powers["up"], _powers["down"]
+    size = n + 1 if n >= _KEPT else min(_KEPT, max(1 << 20, 1 << int(n + 1).bit_length()))
+    made = {}
+    for name, base in (("up", _BASE), ("down", _INVERSE)):
+        x = np.full(size, base, _U)
+        x[0] = 1
+        made[name] = np.cumprod(x)
+    if size <= _KEPT:
+        _powers.update(made)
+    return made["up"], made["down"]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -66,15 +72,35 @@ class Hasher:
     """64-bit hashes of any spans of one byte array, from prefix sums."""
 
     def __init__(self, data: np.ndarray):
-        up, self.down = _power_tables(len(data))
+        self.up, self.down = _power_tables(len(data))
         self.sums = np.zeros(len(data) + 1, _U)
-        np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], out=self.sums[1:])
+        np.cumsum((data.astype(_U) + _U(1)) * self.up[: len(data)], out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         h = (self.sums[ends] - self.sums[starts]) * self.down[starts]
         return mix(h + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+class SecondHasher:
+    """Other 64-bit hashes of the same spans, from sums over their scrambled runs of eight bytes (a shorter span: its length only).
+
+    Together with Hasher they are a digest of 128 bits that no linear relation between bytes gets past.
+    """
+
+    def __init__(self, data: np.ndarray, first: Hasher):
+        n = max(0, len(data) - 7)
+        self.down = first.down
+        self.sums = np.zeros(n + 1, _U)
+        if n:
+            eight = np.ndarray((n,), "<u8", np.ascontiguousarray(data), 0, (1,))
+            np.cumsum(mix(eight + _U(0xA0761D6478BD642F)) * first.up[:n], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        a = np.minimum(starts, len(self.sums) - 1)
+        b = np.maximum(np.minimum(ends - 7, len(self.sums) - 1), a)
+        return mix((self.sums[b] - self.sums[a]) * self.down[a] + (ends - starts).astype(_U) * _U(0xE7037ED1A0B428DB))
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of bytes whose entry of inside is true, never across rows.
 

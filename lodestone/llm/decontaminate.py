@@ -13,7 +13,7 @@ join; it only saves work, since the join and the extension are exact.
 Cases: null and blank texts have no words and are never hit; an item without words matches
 nothing; an item with a null id marks words but isn't counted among the items; repeated items count
 once; rows with the same id are judged each by its own text; an empty table on either side gives
-no hits; other columns are ignored.
+no hits; other columns are ignored, or pass untouched whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bitmap, cut, in_bitmap
+from lodestone.llm.common import bitmap, columns, cut, in_bitmap, names
 from lodestone.llm.text import ALNUM, LOWER, Hasher, gram_ok, grams, mix, row_of, slices, spans
 
 SPAN = 13
@@ -151,9 +151,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, all columns as they were."""
-    gone = cut(contamination(docs.select("doc_id", "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("_g_id"), F.col("h").alias("_g_h")).distinct(), "gone")
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    return keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_g_id"]) & (keyed["_h"] == gone["_g_h"]), "left_anti").select(*docs.columns)
+    h, g_id, g_h = names(docs.columns, "h", "of_id", "of_h")
+    gone = cut(contamination(docs.select("doc_id", "text"), benchmark).where("contaminated").select(F.col("doc_id").alias(g_id), F.col("h").alias(g_h)).distinct(), "gone")
+    keyed = docs.withColumn(h, F.xxhash64("text"))
+    return keyed.join(gone, keyed["doc_id"].eqNullSafe(gone[g_id]) & (keyed[h] == gone[g_h]), "left_anti").select(*columns(docs))
 
 
 ORACLE = """

@@ -10,7 +10,8 @@ windows over one row per source find without a loop.
 
 Cases: a null or blank text has size 0, is emitted like the others and takes 0 words; a null source is a source of its own;
 a source without words has target 0 and rate 0; a null id takes its coin from the text; rows with
-the same id share one coin; an empty table gives an empty result; other columns pass untouched.
+the same id share one coin; an empty table gives an empty result; other columns pass untouched, whatever their
+names, but one named like the number of the copy is replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import column, columns, cut, names
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -54,34 +55,38 @@ def coin(doc_id: Column, text: Column | None = None, seed: str = "mix") -> Colum
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def with_targets(sized: DataFrame, source: str, targets: DataFrame) -> DataFrame:
-    """Adds _source_size and _target. The targets are broadcast only after their size was read."""
-    t = targets.select(F.col("source").alias("_t_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+def with_targets(sized: DataFrame, source: str, targets: DataFrame, size_name: str, target_name: str) -> DataFrame:
+    """Adds the source's size and target under these names. The targets are broadcast only after their size was read."""
+    (of,) = names([*sized.columns, size_name, target_name], "of_source")
+    t = targets.select(F.col("source").alias(of), F.col("source_size").alias(size_name), F.col("target").alias(target_name))
     n, size = targets.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("source") + 24), F.lit(0))).first()
     if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
         t = F.broadcast(t)
-    return sized.join(t, F.col(source).eqNullSafe(F.col("_t_source"))).drop("_t_source")
+    return sized.join(t, column(source).eqNullSafe(column(of))).drop(of)
 
 
-def copies(u: Column) -> Column:
-    """Emissions of a row with _target and _source_size, for a coin u."""
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
+def copies(u: Column, size: Column, target: Column) -> Column:
+    """Emissions of a row whose source has this size and target, for a coin u."""
+    rate = F.when(size > 0, target / size).otherwise(F.lit(0.0))
     return (F.floor(rate) + (u < rate - F.floor(rate)).cast("long")).cast("long")
 
 
 def mix_plan(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (copies * size) of every document."""
     sizes = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), coin(F.col("doc_id"), F.col("text")).alias("u")), "sizes")
-    joined = with_targets(sizes, "source", cut(source_targets(sizes), "targets"))
-    return joined.select("doc_id", "source", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies(F.col("u")).alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    joined = with_targets(sizes, "source", cut(source_targets(sizes), "targets"), "source_size", "target")
+    n = copies(F.col("u"), F.col("source_size"), F.col("target"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", n.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix(docs: DataFrame, copy_column: str = "mix_copy") -> DataFrame:
     """The mixed corpus: every column of docs, one row per emission, numbered from 1 in copy_column."""
-    targets = cut(source_targets(docs.select("source", word_count(F.col("text")).alias("size"))), "targets")
-    joined = with_targets(docs, "source", targets).withColumn("_copies", copies(coin(F.col("doc_id"), F.col("text"))))
-    emitted = joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return emitted.select(*docs.columns, F.col("_copy").alias(copy_column))
+    kept = docs.select(*columns(docs, copy_column))
+    targets = cut(source_targets(kept.select("source", word_count(F.col("text")).alias("size"))), "targets")
+    size, target, n = names([*kept.columns, copy_column], "size", "target", "copies")
+    joined = with_targets(kept, "source", targets, size, target)
+    joined = joined.withColumn(n, copies(coin(F.col("doc_id"), F.col("text")), column(size), column(target)))
+    return joined.where(column(n) > 0).select(*columns(kept), F.explode(F.sequence(F.lit(1), column(n).cast("int"))).alias(copy_column))
 
 
 ORACLE = """

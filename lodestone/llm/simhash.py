@@ -10,8 +10,8 @@ Only spanning edges leave a comparison, so results stay linear in the number of
 
 Cases: null, empty and blank texts have fingerprint zero and are linked like others; fewer than
 three words give one shingle; a repeated word or row changes nothing; rows with null ids get a
-component by their fingerprint, null only if no row of the component has an id; an empty table gives an empty
-result; other columns are ignored.
+component by their fingerprint, null only if no row of the component has an id; ids of any type with an order; an empty table gives an empty
+result; other columns are ignored, or pass untouched whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import columns, cut, names, scratch
 from lodestone.llm.components import components
 from lodestone.llm.text import binary
 
@@ -62,9 +62,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py()) for t in binary(batch.column("text"))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("h"), pa.array(fp.view(np.int64))], ["doc_id", "h", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(fp.view(np.int64))], ["doc_id", "h", "fp"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, fp long")
 
 
 def tile_links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,12 +156,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     stays marks the row of its component with the smallest id (null last), then the smallest h;
     repeated rows share that mark.
     """
-    prints = cut(fingerprints(docs), "fingerprints")
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("first")), "nodes")
-    roots = cut(components(links(nodes, radius)), "roots")
-    rooted = cut(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", "first", F.coalesce("root", "fp").alias("root")), "rooted")
-    best = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("first").alias("first"))
-    label = cut(rooted.drop("least_id", "first").join(best, "root").select("fp", "component_id", "first"), "labels")
+    with scratch(docs.sparkSession) as keep:
+        prints = keep(cut(fingerprints(docs), "fingerprints"))
+        nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("first")), "nodes")
+        roots = cut(components(links(nodes, radius)), "roots")
+        rooted = cut(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+        best = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("first").alias("first"))
+        label = keep(cut(rooted.drop("least_id", "first").join(best, "root").select("fp", "component_id", "first"), "labels"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
     return prints.join(label, "fp").select("doc_id", "h", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", stays.alias("stays"))
 
@@ -172,12 +173,14 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Rows with the same id and text are one document: one of them stays, all columns from one row.
     """
     judged = cut(near_duplicates(docs.select("doc_id", "text"), radius), "judged")
-    gone = judged.where("not stays").select(F.col("doc_id").alias("_g_id"), F.col("h").alias("_g_h")).distinct()
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    left = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_g_id"]) & (keyed["_h"] == gone["_g_h"]), "left_anti")
-    repeated = cut(judged.where("stays").groupBy("doc_id", "h").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_g_id"), F.col("h").alias("_g_h")), "repeated")
+    h, g_id, g_h, row = names(docs.columns, "h", "of_id", "of_h", "row")
+    mark = lambda rows: rows.select(F.col("doc_id").alias(g_id), F.col("h").alias(g_h))
+    gone = mark(judged.where("not stays")).distinct()
+    keyed = docs.withColumn(h, F.xxhash64("text"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b[g_id]) & (a[h] == b[g_h])
+    left = keyed.join(gone, same(keyed, gone), "left_anti")
+    repeated = cut(mark(judged.where("stays").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")), "repeated")
     if repeated.isEmpty():
-        return left.select(*docs.columns)
-    same = left["doc_id"].eqNullSafe(repeated["_g_id"]) & (left["_h"] == repeated["_g_h"])
-    one = left.join(repeated, same, "left_semi").groupBy("doc_id", "_h").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return left.join(repeated, same, "left_anti").select(*docs.columns).unionByName(one)
+        return left.select(*columns(docs))
+    one = left.join(repeated, same(left, repeated), "left_semi").groupBy("doc_id", h).agg(F.first(F.struct(*columns(docs))).alias(row)).select(f"{row}.*")
+    return left.join(repeated, same(left, repeated), "left_anti").select(*columns(docs)).unionByName(one)

@@ -1,17 +1,20 @@
 """URL filters: rules by host and path, and link-graph propagation for hosts that no rule fits.
 
 Hosts that an allow rule fits are trusted seeds, those that a block rule fits are blocked seeds. Personalised
-PageRank carries trust along the links between hosts, and distrust along the reversed links, in
-ROUNDS rounds of one join and one aggregation over the distinct host edges. A host without a rule
-is blocked if its distrust is at least LEAST and exceeds its trust.
+PageRank carries trust along the links between hosts, and distrust along the reversed links. Each seed
+starts with the mass 1, however many there are, so one neighbourhood gets one verdict at every size. A
+host without a rule is blocked if its distrust is at least LEAST and exceeds its trust. A round is one
+join and one aggregation over the distinct host edges; rounds go on until no host's rank grows by
+TOLERANCE or more, ROUNDS at most.
 
-Edges come from absolute and scheme-relative links of a page, and from the host that its copyright
-line names. Links inside a host are no edges.
+Edges come from absolute and scheme-relative links of a page, from the host that its copyright line
+names, from the hosts of e-mail addresses, and from names: a host and its parent domain, down to two
+labels, are linked both ways. Links inside a host are no edges.
 
 Cases: a null url, or one without ://, has an empty host and path, fits no rule and is allowed; a null or empty
 html has no links; ties between rules of one length go to block; repeated pages count their links
-again; an empty table gives an empty result; extra columns are ignored. Ranks are rounded to 1e-9
-each round, so the order of sums doesn't show.
+again; numbers and names of more than MAX_LABELS labels have no parents; an empty table gives an empty result; extra columns are ignored. Masses are
+added as decimals, so the order of sums doesn't show.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, join_keyed, scratch
 
 # The rules of the query, (verdict, host, path).
 RULES = (
@@ -31,10 +34,13 @@ RULES = (
 )
 #: Rules are literals of the plan; more than this many are refused.
 MAX_RULES = 1000
-ROUNDS, DAMPING, LEAST = 8, 0.85, 1e-6
+DAMPING, ROUNDS = 0.7, 40
+#: Limits in shares of one seed's mass: a host that links straight to a blocked one gets 0.21 over that one's links at least.
+LEAST, TOLERANCE = 0.02, 0.002
+MAX_LABELS = 127
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = "(?i)(?:href|src)\\s*=\\s*[\"'](?:[a-z][a-z0-9+.-]*:)?//([^\"'/?#\\s]+)"
-NAMED = "&copy;\\s*((?:[A-Za-z0-9-]+\\.)+[A-Za-z]{2,})"
+NAMED = "(?:&copy;\\s*|@)((?:[A-Za-z0-9-]+\\.)+[A-Za-z]{2,})"
 
 
 def host(url: Column) -> Column:
@@ -57,45 +63,68 @@ def matching_rule(h: Column, p: Column, rules: tuple = RULES) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule: string, verdict: string>")
 
 
+def _parents(hosts: DataFrame) -> DataFrame:
+    """(src, dst) of each of hosts (host) and its parent domain, of that and its own one, and so on; not reversed."""
+    bare = F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", "")
+    labels = hosts.select("host", F.split(bare, "\\.").alias("l")).where((F.size("l") <= MAX_LABELS) & F.col("host").rlike("[a-z]"))
+    above = labels.where("size(l) > 2").select("host", "l", F.explode(F.sequence(F.lit(1), F.size("l") - 2)).alias("i"))
+    name = lambda i: F.array_join(F.slice("l", i + 1, F.size("l")), ".")
+    return above.select(F.when(F.col("i") == 1, F.col("host")).otherwise(name(F.col("i") - 1)).alias("src"), name(F.col("i")).alias("dst")).distinct()
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, links) between different hosts."""
+    """(src, dst, links) between different hosts. pages: host, html."""
     named = F.concat(F.regexp_extract_all("html", F.lit(LINK), 1), F.regexp_extract_all("html", F.lit(NAMED), 1))
     links = pages.select("host", F.explode(named).alias("dst")).select(F.col("host").alias("src"), F.translate("dst", _UPPER, _LOWER).alias("dst"))
-    return links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
-
-
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, rank): personalised PageRank from seeds (host, seed; the seeds sum to 1) along edges (src, dst, share)."""
-    rank = seeds.select("host", F.col("seed").alias("rank"))
-    for _ in range(rounds):
-        moved = rank.join(edges, rank["host"] == edges["src"]).select(F.col("dst").alias("host"), (F.lit(damping) * F.col("rank") * F.col("share")).alias("part"))
-        kept = seeds.select("host", (F.lit(1 - damping) * F.col("seed")).alias("part"))
-        rank = cut(moved.unionByName(kept).groupBy("host").agg(F.round(F.sum("part"), 9).alias("rank")).where("rank > 0"), "rank")
-    return rank
+    links = cut(links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links")), "links")
+    hosts = pages.select("host").unionByName(links.select(F.col("dst").alias("host"))).distinct()
+    up = cut(_parents(hosts), "parents").where("src <> dst")
+    both = up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("links", F.lit(1).cast("long"))
+    return links.unionByName(both).groupBy("src", "dst").agg(F.sum("links").alias("links"))
 
 
 def _shares(edges: DataFrame) -> DataFrame:
-    out = edges.groupBy("src").agg(F.sum("links").alias("total"))
-    return cut(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("total")).alias("share")), "shares")
+    """edges (kind, src, dst, links) with the share that each has of its source's links."""
+    out = edges.groupBy("kind", "src").agg(F.sum("links").alias("total"))
+    return edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("links") / F.col("total")).alias("share"))
+
 
+def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(kind, host, rank): personalised PageRank from seeds (kind, host) of mass 1 each along edges (kind, src, dst, share).
 
-def _seeds(hosts: DataFrame, column: str) -> DataFrame:
-    """Seeds with equal shares; each host's share is 1 over their number."""
-    chosen = cut(hosts.where(F.col(column) > 0).select("host"), "seeds")
-    return chosen.withColumn("seed", F.lit(1.0 / max(1, chosen.count())))
+    The rank is 1 - damping times the sum of what arrives in each round, damped once more in each.
+    """
+    mass = cut(seeds.select("kind", "host", F.lit(1.0).alias("mass")), "mass")
+    arrived = [mass]
+    for _ in range(rounds):
+        moved = mass.join(edges, (mass["kind"] == edges["kind"]) & (mass["host"] == edges["src"])).select(edges["kind"], F.col("dst").alias("host"), (F.lit(damping) * F.col("mass") * F.col("share")).cast("decimal(38,18)").alias("part"))
+        mass = cut(moved.groupBy("kind", "host").agg(F.sum("part").cast("double").alias("mass")), "mass")
+        arrived.append(mass)
+        if (1 - damping) * (mass.agg(F.max("mass")).first()[0] or 0.0) < tolerance:
+            break
+    every = arrived[0]
+    for m in arrived[1:]:
+        every = every.unionByName(m)
+    total = F.sum(F.col("mass").cast("decimal(38,18)")).cast("double")
+    return every.groupBy("kind", "host").agg(F.round((1 - damping) * total, 6).alias("rank"))
 
 
 def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every page."""
     parts = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "html")
     judged = parts.withColumn("m", matching_rule(F.col("host"), F.col("path"), rules))
-    edges = cut(host_edges(parts), "edges")
-    urls = cut(judged.select("page_id", "host", "path", "m.rule", "m.verdict"), "urls")
-    hosts = cut(urls.groupBy("host").agg(F.count_if(F.col("verdict") == "allow").alias("allowed"), F.count_if(F.col("verdict") == "block").alias("blocked")), "hosts")
-    trust = propagate(_seeds(hosts, "allowed"), _shares(edges))
-    distrust = propagate(_seeds(hosts, "blocked"), _shares(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")))
-    ranks = hosts.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left").na.fill(0.0)
-    out = urls.join(ranks, "host")
+    with scratch(pages.sparkSession) as keep:
+        edges = cut(host_edges(parts), "edges")
+        urls = keep(cut(judged.select("page_id", "host", "path", "m.rule", "m.verdict"), "urls"))
+        hosts = cut(urls.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "allow").alias("allowed"), F.count_if(F.col("verdict") == "block").alias("blocked")), "hosts")
+        seeds = hosts.where("allowed > 0").select(F.lit("trust").alias("kind"), "host").unionByName(hosts.where("blocked > 0").select(F.lit("distrust").alias("kind"), "host"))
+        reversed_ = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
+        shares = cut(_shares(edges.select(F.lit("trust").alias("kind"), "src", "dst", "links").unionByName(reversed_)), "shares")
+        rank = propagate(seeds, shares)
+        of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("rank"))).alias(kind)
+        ranks = hosts.select("host", F.col("n").alias("_n")).join(rank.groupBy("host").agg(of("trust"), of("distrust")), "host", "left").na.fill(0.0, ["trust", "distrust"])
+        n_hosts, n = hosts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        out = join_keyed(urls, keep(cut(ranks, "ranks")), "host", n_hosts, n)
     by_graph = F.when((F.col("distrust") >= LEAST) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", by_graph).alias("verdict"), "trust", "distrust")
 
@@ -103,24 +132,23 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
 def _oracle() -> str:
     cases = "".join(f" WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{'rule': '{h + p}', 'verdict': '{v}'}}" for v, h, p in sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[0] != "block", r[1] + r[2])))
     link, named = (x.replace("'", "''") for x in (LINK, NAMED))
-    sql = f"""
-WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
+    return f"""
+WITH RECURSIVE p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
 j AS (SELECT page_id, host, path, html, CASE{cases} END AS m FROM p),
 l AS (SELECT host AS src, translate(unnest(list_concat(regexp_extract_all(html, '{link}', 1), regexp_extract_all(html, '{named}', 1))), '{_UPPER}', '{_LOWER}') AS dst FROM p),
-e AS (SELECT src, dst, count(*) AS links FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
-f AS (SELECT src, dst, links / sum(links) OVER (PARTITION BY src) AS share FROM e),
-g AS (SELECT dst AS src, src AS dst, links / sum(links) OVER (PARTITION BY dst) AS share FROM e),
+e0 AS (SELECT src, dst, count(*) AS links FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+n AS (SELECT host, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS l FROM (SELECT host FROM p UNION SELECT dst FROM e0) WHERE regexp_matches(host, '[a-z]')),
+u AS (SELECT DISTINCT CASE WHEN i = 1 THEN host ELSE array_to_string(l[i:], '.') END AS src, array_to_string(l[i + 1:], '.') AS dst FROM (SELECT host, l, unnest(range(1, len(l) - 1)) AS i FROM n WHERE len(l) BETWEEN 3 AND {MAX_LABELS})),
+e AS (SELECT src, dst, sum(links) AS links FROM (SELECT * FROM e0 UNION ALL SELECT src, dst, 1 FROM u WHERE src <> dst UNION ALL SELECT dst, src, 1 FROM u WHERE src <> dst) GROUP BY src, dst),
+f AS MATERIALIZED (SELECT 'trust' AS kind, src, dst, (links / sum(links) OVER (PARTITION BY src))::DOUBLE AS share FROM e UNION ALL SELECT 'distrust', dst, src, (links / sum(links) OVER (PARTITION BY dst))::DOUBLE FROM e),
 h AS (SELECT host, count(*) FILTER (m.verdict = 'allow') AS allowed, count(*) FILTER (m.verdict = 'block') AS blocked FROM j GROUP BY host),
-t0 AS (SELECT host, 1.0::DOUBLE / count(*) OVER () AS rank FROM h WHERE allowed > 0),
-d0 AS (SELECT host, 1.0::DOUBLE / count(*) OVER () AS rank FROM h WHERE blocked > 0)"""
-    for i in range(ROUNDS):
-        for name, edges in (("t", "f"), ("d", "g")):
-            sql += f""",
-{name}{i + 1} AS MATERIALIZED (SELECT host, round(sum(part), 9) AS rank FROM (SELECT dst AS host, {DAMPING}::DOUBLE * rank * share AS part FROM {name}{i} JOIN {edges} ON src = host UNION ALL SELECT host, {1 - DAMPING}::DOUBLE * rank FROM {name}0) GROUP BY host HAVING round(sum(part), 9) > 0)"""
-    return sql + f"""
-SELECT page_id, j.host, path, m.rule AS rule, coalesce(m.verdict, CASE WHEN coalesce(d{ROUNDS}.rank, 0) >= {LEAST}::DOUBLE AND coalesce(d{ROUNDS}.rank, 0) > coalesce(t{ROUNDS}.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict,
-  coalesce(t{ROUNDS}.rank, 0.0) AS trust, coalesce(d{ROUNDS}.rank, 0.0) AS distrust
-FROM j LEFT JOIN t{ROUNDS} ON t{ROUNDS}.host = j.host LEFT JOIN d{ROUNDS} ON d{ROUNDS}.host = j.host
+s AS MATERIALIZED (SELECT 'trust' AS kind, host FROM h WHERE allowed > 0 UNION ALL SELECT 'distrust', host FROM h WHERE blocked > 0),
+r AS (SELECT 0 AS t, kind, host, 1.0::DOUBLE AS mass FROM s UNION ALL SELECT t + 1, f.kind, f.dst, sum(({DAMPING}::DOUBLE * mass * share)::DECIMAL(38,18))::DOUBLE FROM r JOIN f ON f.kind = r.kind AND f.src = r.host WHERE t < {ROUNDS} GROUP BY ALL),
+z AS (SELECT coalesce(min(t), {ROUNDS}) AS last FROM (SELECT t, max(mass) AS m FROM r GROUP BY t) WHERE t > 0 AND {1 - DAMPING}::DOUBLE * m < {TOLERANCE}),
+k AS (SELECT kind, host, round({1 - DAMPING}::DOUBLE * sum(mass::DECIMAL(38,18))::DOUBLE, 6) AS rank FROM r, z WHERE t <= last GROUP BY kind, host)
+SELECT page_id, j.host, path, m.rule AS rule, coalesce(m.verdict, CASE WHEN coalesce(d.rank, 0) >= {LEAST} AND coalesce(d.rank, 0) > coalesce(t.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(t.rank, 0.0) AS trust, coalesce(d.rank, 0.0) AS distrust
+FROM j LEFT JOIN k t ON t.host = j.host AND t.kind = 'trust' LEFT JOIN k d ON d.host = j.host AND d.kind = 'distrust'
 """
 
 

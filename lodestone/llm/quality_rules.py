@@ -2,10 +2,13 @@
 
 Statistic vectors are transformed (logarithms, square roots of shares), put on a grid of 1/GRID so
 that all sums are exact integers, and each group of language and source gets a
-minimum-covariance-determinant estimate by concentration steps over all its rows: from medians,
-the half of the rows with the least Mahalanobis distance gives the next mean and covariance. The
-half is found from counts of binned distances, so a group of any size is a few
-aggregations with partial sums, and nothing but one row per group is ever gathered. Covariances get
+minimum-covariance-determinant estimate over all its rows. Concentration steps run from STARTS
+starts: the exact medians with the tolerances, and with the median deviations, as spread; the mean of
+all rows, and their medians, with the covariance of all. A step gives the mean and covariance of the half of the
+rows with the least Mahalanobis distance. After FIRST_STEPS steps the start of the smallest determinant goes
+on until its determinant no longer falls. A step is one aggregation: moments by bins of the distance, of which the
+nearest bins that hold half of the rows are summed, so a group of any size needs partial sums only, and
+nothing but one row per group and start is ever gathered. Covariances get
 TOLERANCE on the diagonal, so that a little spread in an otherwise even group isn't an outlier; they are small
 enough for each statistic to reject alone.
 
@@ -21,14 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, join_keyed, scratch
 from lodestone.llm.statistics import base, per_row
 
 GRID = 1024
-STEPS = 3
+STARTS, FIRST_STEPS, MOST_STEPS = 4, 2, 20
+#: A fall of the logarithm of the determinant that is worth another step.
+SETTLED = 1e-6
 LEAST_ROWS = 50
 #: Standard deviations that are always allowed: log words, log word length, and roots of the shares of symbols, repeated lines and repeated words.
 TOLERANCE = (0.1, 0.05, 0.05, 0.1, 0.1)
@@ -36,6 +41,10 @@ TOLERANCE = (0.1, 0.05, 0.05, 0.1, 0.1)
 MEDIAN, LIMIT = 4.351, 30.86
 _D = len(TOLERANCE)
 _BINS = 16  # bins for each doubling of a squared distance
+_Z, _M = [f"z{i}" for i in range(_D)], [f"m{i}" for i in range(_D)]
+_PAIRS = [(i, j) for i in range(_D) for j in range(i, _D)]
+_V, _S, _P = [f"v{i}{j}" for i, j in _PAIRS], [f"s{i}" for i in range(_D)], [f"p{i}{j}" for i, j in _PAIRS]
+_ESTIMATE = "key string, start int, half int, logdet double, " + ", ".join(f"{c} double" for c in _M + _V)
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -52,95 +61,150 @@ def statistics(docs: DataFrame) -> DataFrame:
 def _vector() -> list[Column]:
     share = lambda a, b: F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))
     raw = [F.log1p("n_words"), F.log1p(F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))), share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")]
-    return [F.round(x * GRID).cast("long").alias(f"z{i}") for i, x in enumerate(raw)]
+    return [F.round(x * GRID).cast("long").alias(z) for x, z in zip(raw, _Z)]
 
 
-def _moments() -> list[Column]:
-    """Count, sums and sums of products, all exact integers."""
-    z = [F.col(f"z{i}").cast("decimal(10,0)") for i in range(_D)]
-    sums = [F.sum(x).cast("double") for x in z] + [F.sum((z[i] * z[j]).cast("decimal(18,0)")).cast("double") for i in range(_D) for j in range(i, _D)]
-    return [F.count("*").alias("n"), F.array(*sums).alias("m")]
+def _key(level: Column, lang: Column, source: Column) -> Column:
+    """The group's name in one string: level 2 is a language and source, 1 a language, 0 all rows. Null is a name of its own."""
+    part = lambda c, least: F.when(level < least, "").otherwise(F.coalesce(F.concat(F.char_length(c).cast("string"), F.lit("+"), c), F.lit("-")))
+    return F.concat(level.cast("string"), F.lit(":"), part(lang, 1), F.lit(":"), part(source, 2))
 
 
-def _estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Mean and inverse of the ridged covariance, from moments; one row per group."""
-    floor = np.diag((np.array(TOLERANCE) * GRID) ** 2)
-    i, j = np.triu_indices(_D)
-    for pdf in batches:
-        out = []
-        for n, m in zip(pdf["n"], pdf["m"]):
-            mean = np.asarray(m[:_D]) / n
-            second = np.zeros((_D, _D))
-            second[i, j] = second[j, i] = np.asarray(m[_D:]) / n
-            inverse = np.linalg.inv(second - np.outer(mean, mean) + floor)
-            out.append((mean.tolist(), inverse.ravel().tolist()))
-        yield pd.DataFrame({"lvl": pdf["lvl"], "lang": pdf["lang"], "source": pdf["source"], "mean": [x[0] for x in out], "inv": [x[1] for x in out]})
+def _sums() -> list[Column]:
+    """Count, sums and sums of products: exact integers, for up to 2e10 rows in a bin."""
+    return [F.count("*").alias("n"), *[F.sum(z).alias(s) for z, s in zip(_Z, _S)], *[F.sum(F.col(_Z[i]) * F.col(_Z[j])).alias(p) for (i, j), p in zip(_PAIRS, _P)]]
 
 
-def _distance() -> Column:
-    d = [F.col(f"z{i}") - F.element_at("mean", i + 1) for i in range(_D)]
-    terms = [d[i] * d[j] * F.element_at("inv", i * _D + j + 1) for i in range(_D) for j in range(_D)]
-    return sum(terms[1:], terms[0])
+def _floor() -> np.ndarray:
+    return np.diag((np.array(TOLERANCE) * GRID) ** 2)
 
 
-def _bin(distance: Column) -> Column:
-    return F.floor(F.log2(F.greatest(distance, F.lit(1e-6))) * _BINS).cast("int")
+def _inverted(spread: np.ndarray) -> tuple[list[float], float]:
+    """The inverse's upper triangle and the logarithm of the determinant."""
+    inverse = np.linalg.inv(spread)
+    return [float(inverse[i, j]) for i, j in _PAIRS], float(np.linalg.slogdet(spread)[1])
+
 
+def _moments(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from the sums of a group."""
+    mean, second = np.array([row[s] for s in _S], float) / row["n"], np.zeros((_D, _D))
+    for (i, j), p in zip(_PAIRS, _P):
+        second[i, j] = second[j, i] = row[p] / row["n"]
+    return mean, second - np.outer(mean, mean)
 
-_KEY = ["lvl", "lang", "source"]
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["key", "start", "half", "logdet", *_M, *_V]).astype({"start": "int32", "half": "int32"})
 
-def _join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Equi-join on the group key, null-safe; Spark broadcasts the groups if they are few."""
-    renamed = right.select(*[F.col(k).alias(f"_{k}") for k in _KEY], *[c for c in right.columns if c not in _KEY])
-    return left.join(renamed, (left["lvl"] == renamed["_lvl"]) & left["lang"].eqNullSafe(renamed["_lang"]) & left["source"].eqNullSafe(renamed["_source"])).drop("_lvl", "_lang", "_source")
 
+def _estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The estimate of each group and start, from sums over its half."""
+    for pdf in batches:
+        out = []
+        for row in pdf.to_dict("records"):
+            mean, spread = _moments(row)
+            inverse, logdet = _inverted(spread + _floor())
+            out.append((row["key"], row["start"], row["half"], logdet, *mean, *inverse))
+        yield _frame(out)
 
-def _half(binned: DataFrame) -> DataFrame:
-    """Per group, the least bin up to which half of the rows lie."""
-    counts = binned.groupBy(*_KEY, "bin").agg(F.count("*").alias("c"))
-    from pyspark.sql import Window
 
-    group = Window.partitionBy(*_KEY)
-    reached = F.sum("c").over(group.orderBy("bin"))
-    return counts.withColumn("reached", reached).withColumn("all", F.sum("c").over(group)).where("2 * reached >= all").groupBy(*_KEY).agg(F.min("bin").alias("half"))
+def _begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """STARTS estimates of each group, from its medians (med), median deviations (mad) and sums."""
+    for pdf in batches:
+        out = []
+        for row in pdf.to_dict("records"):
+            mean, spread = _moments(row)
+            med, mad = np.array(row["med"], float), 1.4826 * np.array(row["mad"], float)
+            for k, (m, s) in enumerate([(med, 0 * spread), (med, np.diag(mad**2)), (mean, spread), (med, spread)]):
+                inverse, logdet = _inverted(s + _floor())
+                out.append((row["key"], k, 0, logdet, *m, *inverse))
+        yield _frame(out)
+
+
+def _distance() -> Column:
+    d = [F.col(z) - F.col(m) for z, m in zip(_Z, _M)]
+    terms = [d[i] * d[j] * F.col(v) * (1.0 if i == j else 2.0) for (i, j), v in zip(_PAIRS, _V)]
+    return sum(terms[1:], terms[0])
+
+
+def _bin(distance: Column) -> Column:
+    return F.floor(F.log2(F.greatest(distance, F.lit(1e-6))) * _BINS).cast("int")
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """lvl, lang, source, n, mean, inv and scale of each group, each language (lvl 1) and all (lvl 0)."""
-    every = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("lvl"), (F.col("lang") if k else F.lit(None).cast("string")).alias("lang"), (F.col("source") if k == 2 else F.lit(None).cast("string")).alias("source")) for k in (0, 1, 2)])).alias("g"), *[f"z{i}" for i in range(_D)]).select("g.*", *[f"z{i}" for i in range(_D)])
-    # Rows of one group that share a vector are one row with a weight.
-    sizes = every.groupBy(*_KEY).agg(F.count("*").alias("n_rows"))
-    schema = "lvl int, lang string, source string, mean array<double>, inv array<double>"
-    # Begin at the medians, with the tolerances as the spread.
-    start = every.groupBy(*_KEY).agg(F.array(*[F.percentile_approx(f"z{i}", 0.5, 1000).cast("double") for i in range(_D)]).alias("mean"))
-    inverse = [1 / (TOLERANCE[i] * GRID) ** 2 if i == j else 0.0 for i in range(_D) for j in range(_D)]
-    now = cut(start.withColumn("inv", F.array(*[F.lit(float(x)) for x in inverse])), "start")
-    for _ in range(STEPS):
-        binned = _join(every, now).withColumn("bin", _bin(_distance())).drop("mean", "inv")
-        half = cut(_half(binned), "half")
-        moments = _join(binned, half).where("bin <= half").groupBy(*_KEY).agg(*_moments())
-        now = cut(moments.mapInPandas(_estimate, schema), "estimate")
+def _step(joined: DataFrame) -> DataFrame:
+    """One concentration step of rows joined with estimates: the estimates that follow. half is the bin that half of the rows reach."""
+    bins = joined.select("key", "start", _bin(_distance()).alias("bin"), *_Z).groupBy("key", "start", "bin").agg(*_sums())
+    group = Window.partitionBy("key", "start")
+    placed = bins.withColumns({"_before": F.sum("n").over(group.orderBy("bin")) - F.col("n"), "_all": F.sum("n").over(group)})
+    exact = [F.sum(F.col(c).cast("decimal(38,0)")).cast("double").alias(c) for c in ("n", *_S, *_P)]
+    return placed.where("2 * _before < _all").groupBy("key", "start").agg(F.max("bin").alias("half"), *exact).mapInPandas(_estimate, _ESTIMATE)
+
+
+def estimates(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The estimate with scale of each group. rows: key and vector; groups: key and _n, the number of its rows.
+
+    One row per key: key, the mean m*, the inverse covariance's upper triangle v*, logdet and scale.
+    """
+    keys, total = groups.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    meet = lambda side: join_keyed(rows, side.join(groups, "key"), "key", keys, total)
+    middle = lambda x: F.percentile(x, 0.5)  # noqa: E731 - exact; a group has at most some 20,000 different values on the grid
+    named = meet(groups.select("key")).drop("_n")
+    med = cut(named.groupBy("key").agg(F.array(*[middle(z) for z in _Z]).alias("med")), "medians")
+    around = [middle(F.abs(F.col(z) - F.element_at("med", i + 1))) for i, z in enumerate(_Z)]
+    begin = meet(med).groupBy("key").agg(F.first("med").alias("med"), F.array(*around).alias("mad"), *_sums())
+    now = cut(begin.mapInPandas(_begin, _ESTIMATE), "starts")
+    for _ in range(FIRST_STEPS):
+        now = cut(_step(meet(now)), "step")
+    fields = [c.split()[0] for c in _ESTIMATE.split(", ")]
+    best = cut(now.groupBy("key").agg(F.min(F.struct("logdet", "start", *[c for c in fields if c not in ("key", "logdet", "start")])).alias("b")).select("key", "b.*").select(*fields), "best")
+    settled = []
+    for n in range(MOST_STEPS):
+        after = _step(meet(best)).select("key", F.col("half").alias("_half"), F.struct(*fields[2:]).alias("_after"))
+        # The step's half belongs to the estimate it began with, which stays if the determinant no longer falls.
+        falls = (F.col("_after.logdet") < F.col("logdet") - SETTLED) & F.lit(n < MOST_STEPS - 1)
+        judged = cut(best.drop("half").join(after, "key").withColumn("_falls", falls), "judged")
+        settled.append(judged.where("not _falls").select("key", F.col("_half").alias("half"), "logdet", *_M, *_V))
+        falling = judged.where("_falls")
+        if falling.isEmpty():
+            break
+        best = falling.select("key", "start", "_after.*").select(*fields)
+    out = settled[0]
+    for s in settled[1:]:
+        out = out.unionByName(s)
     # Make the median distance that of a chi-squared variable; never below one tolerance.
-    half = _half(_join(every, now).withColumn("bin", _bin(_distance())))
-    scaled = _join(now, half).withColumn("scale", F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("half") + 1) / F.lit(float(_BINS))) / F.lit(MEDIAN))).drop("half")
-    return _join(scaled, sizes)
+    return out.withColumn("scale", F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("half") + 1) / F.lit(float(_BINS))) / F.lit(MEDIAN))).drop("half")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, distance (squared, scaled; null without an estimate) and kept of every document."""
-    stats = cut(statistics(docs), "statistics")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = stats.select("*", *_vector(), failed.alias("base_failed"))
-    fitted = cut(estimates(rows.where("not base_failed")).where(F.col("n_rows") >= LEAST_ROWS), "fitted")
-    # Each group takes its own estimate, else its language's, else that of all: one row per group again.
-    groups = rows.select("lang", "source").distinct()
-    part = lambda k, name: fitted.where(F.col("lvl") == k).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.struct("mean", "inv", "scale").alias(name))
-    two, one, zero = part(2, "own"), part(1, "of_lang"), part(0, "of_all")
-    chosen = groups.join(two, groups["lang"].eqNullSafe(two["_l"]) & groups["source"].eqNullSafe(two["_s"]), "left").drop("_l", "_s")
-    chosen = chosen.join(one, chosen["lang"].eqNullSafe(one["_l"]), "left").drop("_l", "_s")
-    chosen = chosen.join(F.broadcast(zero.drop("_l", "_s")), F.lit(True), "left")  # one row at most
-    chosen = cut(chosen.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.coalesce("own", "of_lang", "of_all").alias("e")).select("_l", "_s", "e.*"), "chosen")
-    joined = rows.join(chosen, rows["lang"].eqNullSafe(chosen["_l"]) & rows["source"].eqNullSafe(chosen["_s"]), "left")
-    distance = F.when(F.col("mean").isNotNull(), _distance() / F.col("scale"))
+    with scratch(docs.sparkSession) as keep:
+        failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+        rows = keep(cut(statistics(docs).select("*", *_vector(), failed.alias("base_failed")), "statistics"))
+        passed = rows.where("not base_failed")
+        # The level on which each group is large enough, from one row a group.
+        sizes = cut(rows.groupBy("lang", "source").agg(F.count("*").alias("n_all"), F.count_if(~F.col("base_failed")).alias("n")), "sizes")
+        by_lang = sizes.groupBy(F.col("lang").alias("_l")).agg(F.sum("n").alias("n_lang"))
+        level = F.when(F.col("n") >= LEAST_ROWS, 2).when(F.col("n_lang") >= LEAST_ROWS, 1).otherwise(0)
+        own = _key(F.lit(2), F.col("lang"), F.col("source"))
+        placed = sizes.join(by_lang, sizes["lang"].eqNullSafe(by_lang["_l"])).withColumn("level", level)
+        placed = cut(placed.select(own.alias("key"), _key(F.col("level"), F.col("lang"), F.col("source")).alias("of"), "lang", "n_all", "n", "n_lang", "level"), "placed")
+        total = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        groups = placed.where("level = 2").select("key", F.col("n").alias("_n"))
+        members = [passed.select(own.alias("key"), *_Z)]
+        # Languages and all rows only where a small group needs them; they are estimated over all their rows.
+        langs = placed.where("level = 1").select(F.col("of").alias("key"), F.col("n_lang").alias("_n")).distinct()
+        if not langs.isEmpty():
+            groups = groups.unionByName(langs)
+            members.append(passed.select(_key(F.lit(1), F.col("lang"), F.col("source")).alias("key"), *_Z))
+        if total >= LEAST_ROWS and not placed.where("level = 0").isEmpty():
+            groups = groups.unionByName(placed.sparkSession.range(1).select(_key(F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("key"), F.lit(total).cast("long").alias("_n")))
+            members.append(passed.select(_key(F.lit(0), F.col("lang"), F.col("source")).alias("key"), *_Z))
+        every = members[0]
+        for m in members[1:]:
+            every = every.unionByName(m)
+        fitted = cut(estimates(every, cut(groups, "groups")), "fitted")
+        chosen = keep(cut(placed.join(fitted.withColumnRenamed("key", "of"), "of", "left").select("key", F.col("n_all").alias("_n"), "scale", *_M, *_V), "chosen"))
+    keys, n_rows = chosen.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    joined = join_keyed(rows.withColumn("key", own), chosen, "key", keys, n_rows)
+    distance = F.when(F.col("scale").isNotNull(), _distance() / F.col("scale"))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"), (~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= LIMIT)).alias("kept"))

@@ -23,11 +23,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damage found in a replica of the pages that has known faults."""
-    from lodestone.llm.common import cut
-
-    pages = _table(spark, sf_dir, "pages")
-    records = cut(warc_fixity.archive(pages), "archive")
-    return warc_fixity.audit(records, warc_fixity.damaged(pages, records))
+    return warc_fixity.audit(*warc_fixity.replicas(_table(spark, sf_dir, "pages")))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import Row
 from lodestone.llm import decontaminate, line_dedup, mixing, quality_gbt, quality_rules, secret_scan, simhash, toxicity_cnn, url_filters, warc_fixity
 from lodestone.llm.components import components
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, h long, score double, row string"
+#: Columns whose names clash with those that the operators make for themselves.
+CLASHES = ("size", "h", "score", "row", "_h", "_target", "target", "copies", "_copies", "spans", "of_id", "OF_H", "_lang", "_score", "rejected", "_rejected", "lang_of", "key", "_n", "a.b")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` long" for c in CLASHES)
 rng = random.Random(5)
 WORDS = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7))) for _ in range(300)]
 
@@ -26,8 +28,8 @@ def text(lines):
 
 
 def frame(spark, rows):
-    """Documents with four extra columns whose names clash with the operators' own."""
-    return spark.createDataFrame([(i, t, lang, source, None if t is None else len(t), 7, 7, 0.5, "x") for i, t, lang, source in rows], SCHEMA)
+    """Documents with extra columns whose names clash with the operators' own."""
+    return spark.createDataFrame([(i, t, lang, source, None if t is None else len(t), *range(len(CLASHES))) for i, t, lang, source in rows], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -80,6 +82,9 @@ def test_mixing(spark, docs, rows, empty):
     mixed = mixing.mix(docs)
     assert mixed.columns == [*docs.columns, "mix_copy"]
     assert mixed.count() == sum(r.copies for r in plan)
+    assert all(tuple(r)[5:-1] == tuple(range(len(CLASHES))) for r in mixed.collect())
+    again = mixing.mix(mixed.withColumnRenamed("mix_copy", "MIX_copy"))
+    assert again.columns == mixed.columns and again.count() > 0
     assert sorted(map(str, mixing.mix_plan(docs).collect())) == sorted(map(str, plan))
     assert mixing.mix_plan(empty).count() == mixing.mix(empty).count() == 0
 
@@ -108,6 +113,10 @@ def test_simhash(spark, docs, rows, empty):
     assert sorted(str((r.doc_id, r.fingerprint, r.component_id)) for r in got) == want
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and kept.count() == len(set(group))
+    assert all(tuple(r)[5:] == tuple(range(len(CLASHES))) for r in kept.collect())
+    named = docs.withColumn("doc_id", docs["doc_id"].cast("string"))
+    want = {str(i) for i in {min((x for x in ids if x is not None), default=None) for ids in [[r[0] for r, g in zip(rows, group) if g == k] for k in set(group)]}}
+    assert {r.component_id for r in simhash.near_duplicates(named).where("component_id is not null").collect()} <= {str(r[0]) for r in rows} and len(want) == len(set(group))
     assert simhash.near_duplicates(empty).count() == simhash.keep_one(empty).count() == 0
 
 
@@ -195,6 +204,11 @@ def test_line_dedup(spark, docs, rows, empty):
             assert s in everything
     assert after[300].text is None and after[303].text == "word" and after[301].text == ""
     assert line_dedup.dedup_lines(empty).count() == 0
+    assert all(tuple(r)[5:-2] == tuple(range(len(CLASHES))) for r in out.collect())
+    again = line_dedup.dedup_lines(out)
+    assert again.columns == out.columns and again.where("_removed > 0").count() == 0
+    named = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs.withColumn("doc_id", docs["doc_id"].cast("string"))).collect()}
+    assert named["0"] == rows[0][1] and named["303"] == "word" and sum(len(named[str(i)] or "") for i in range(100, 106)) == sum(len(after[i].text) for i in range(100, 106))
 
 
 def test_line_dedup_finds_every_passage_of_fifty_words(spark):
@@ -259,18 +273,41 @@ def test_secrets(spark, empty):
 
 
 def test_entropy_counts_are_incremental():
-    for n in (20, 21, 60):
-        run = "".join(rng.choice("ABCdef0123456789xyz") for _ in range(n))
+    alphabets = ("ABCdef0123456789xyz", "0123456789abcdefA", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "aB3/_-=x9Kq")
+    for n, letters in [(n, a) for n in (20, 21, 60, 300) for a in alphabets]:
+        run = "".join(rng.choice(letters) for _ in range(n))
         want = set()
-        kind = "hex" if re.fullmatch("[0-9a-fA-F]+", run) else "alnum"
         for i in range(n - 19):
             w = run[i : i + 20]
+            kind = "hex" if re.fullmatch("[0-9a-fA-F]+", w) else "alnum" if w.isalnum() else "base64"
             p = np.array([w.count(c) for c in set(w)]) / 20
-            if -(p * np.log2(p)).sum() >= secret_scan.LEAST_ENTROPY[kind] - 1e-9 and any(c.isdigit() for c in w) and any(c.isalpha() for c in w):
+            digit, upper, lower = (sum(map(f, w)) for f in (str.isdigit, str.isupper, str.islower))
+            mixed = digit and upper and lower if kind == "base64" else digit and (upper or lower) or min(upper, lower) >= secret_scan.LEAST_CASES
+            if -(p * np.log2(p)).sum() >= secret_scan.LEAST_ENTROPY[kind] - 1e-9 and mixed:
                 want.update(range(i, i + 20))
         assert {k for a, b in secret_scan.entropy_windows(run) for k in range(a, b)} == want
 
 
+def test_secrets_are_found_whatever_they_are_joined_to():
+    r = random.Random(9)
+    for joint in ("sig=", "key_", "id-", "a/b/", " "):
+        for letters in ("0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+            secret = "".join(r.choice(letters) for _ in range(40))
+            spans = secret_scan.scan_text(f"x {joint}{secret} y")[1]
+            assert sum(b - a for a, _, b in spans) >= 20, (joint, secret)
+    assert not secret_scan.scan_text("a-long-name-of-some-page-2024-05-17 /usr/local/share/some/file getUserAccountDetailsByName")[1]
+
+
+def test_many_secrets_in_one_text():
+    import time
+
+    text = " ".join(f"secret: {i:08d}abcdEFGH id {'aB3dE5gH7jK9mN1pQ2rS'} " for i in range(20_000))
+    began = time.process_time()
+    base, spans = secret_scan.scan_text(text)
+    assert len(base) == 20_000 and len(spans) == 40_000 and time.process_time() - began < 20
+    assert all(any(s <= a and b <= e for s, _, e in base[i : i + 1]) for i, (a, _, b) in enumerate(base))
+
+
 def test_quality_rules(spark, docs, rows, empty):
     got = quality_rules.judge(docs).collect()
     want = []
@@ -352,12 +389,81 @@ def test_url_filters(spark):
     assert url_filters.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_url_verdicts_do_not_depend_on_the_number_of_seeds(spark):
+    from pyspark.sql import functions as F
+
+    verdicts = []
+    for n in (1_000, 200_000):
+        own = spark.createDataFrame([(1, "http://spam.org/p", '<a href="http://s1.net/x">y</a>'), (2, "http://far.org/", '<a href="http://spam.org/">y</a>'), (3, "http://clean.org/", ""), (4, "http://b.deep.s2.net/de/", "")], "page_id long, url string, html string")
+        seeds = spark.range(n).select((F.col("id") + 10).alias("page_id"), F.concat(F.lit("http://s"), F.col("id").cast("string"), F.lit(".net/es/")).alias("url"), F.lit("").alias("html"))
+        verdicts.append({r.page_id: (r.verdict, r.trust, r.distrust) for r in url_filters.judge(own.unionByName(seeds)).where("page_id < 10").collect()})
+    assert verdicts[0] == verdicts[1] and {i: v[0] for i, v in verdicts[0].items()} == {1: "block", 2: "block", 3: "allow", 4: "block"}
+
+
+def test_url_ranks_against_a_slow_pagerank(spark):
+    r = random.Random(3)
+    hosts = ["a.com", "b.a.com", "c.b.a.com", "x.net", "y.x.net", "one.org", "two.org", "z.one.org", "10.0.0.1", "h.de:80"]
+    pages = [(i, f"https://{r.choice(hosts)}/{r.choice(['en', 'es', 'fr'])}/{i}", "".join(f'<a href="//{h}/">' for h in r.sample(hosts, 2)) + r.choice(["", "x@mail.one.org", "&copy; two.org"])) for i in range(80)]
+    got = {x.host: (x.trust, x.distrust) for x in url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    links, seeds = {}, {"trust": set(), "distrust": set()}
+    add = lambda a, b: links.update({(a, b): links.get((a, b), 0) + 1}) if a != b else None
+    known = set()
+    for _, url, html in pages:
+        h, p = url[8:].split("/", 1)
+        known.add(h)
+        for d in re.findall("//([^/]+)/", html) + re.findall("(?:@|&copy; )([a-z.]+)", html):
+            add(h, d)
+            known.add(d)
+        if h.endswith(".com"):
+            seeds["trust"].add(h)
+        elif h.endswith(".net") and p[:3] in ("es/", "fr/"):
+            seeds["distrust"].add(h)
+    pairs = set()
+    for h in known:
+        while re.search("[a-z]", h) and h.count(".") > 1:
+            up = h.split(":")[0].split(".", 1)[1]
+            pairs |= {(h, up), (up, h)}
+            h = up
+    for p in pairs:
+        links[p] = links.get(p, 0) + 1
+    for n, kind in enumerate(("trust", "distrust")):
+        edges = {(a, b) if not n else (b, a): v for (a, b), v in links.items()}
+        out = {}
+        for (a, _), v in edges.items():
+            out[a] = out.get(a, 0) + v
+        mass, total = dict.fromkeys(seeds[kind], 1.0), dict.fromkeys(seeds[kind], 1.0)
+        for _ in range(200):
+            moved = {}
+            for (a, b), v in edges.items():
+                moved[b] = moved.get(b, 0) + url_filters.DAMPING * mass.get(a, 0) * v / out[a]
+            mass = moved
+            for h, v in mass.items():
+                total[h] = total.get(h, 0) + v
+        for h, ranks in got.items():
+            assert ranks[n] == pytest.approx((1 - url_filters.DAMPING) * total.get(h, 0), abs=0.02), (h, kind)
+
+
 def test_warc_fixity(spark):
+    from pyspark.sql import functions as F
+
     rows = [(i, f"http://h/{i}", "x" * (i * 37 % 5000)) for i in range(2500)] + [(None, "u", "b"), (None, None, None), (9, "http://h/9", "x" * 333)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    records = warc_fixity.archive(pages).cache()
+    rows += [(7, "http://h/7", "y" * (k % 300)) for k in range(1500)] + [(101, "http://h/101", "same")] * 400
+    pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, file long, hash string")
+    records, other = (x.cache() for x in warc_fixity.replicas(pages))
+    plain = [tuple(r) for r in warc_fixity.archive(pages).collect()]
+    assert sorted(map(str, plain)) == sorted(str(tuple(r)) for r in records.collect()) and len(plain) == len(rows)
+    # Offsets follow each other without gaps in the order of id and hash.
+    for f in {x[1] for x in plain}:
+        at = 0
+        for _, _, position, length, _ in sorted((x for x in plain if x[1] == f), key=lambda x: (x[0] is None, x[0] or 0, x[4], x[2])):
+            assert position == at
+            at += length
+    # Every record is hashed as it is stored.
+    sha = lambda i, u, b: hashlib.sha256(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{'' if i is None else i}>\r\nWARC-Target-URI: {u or ''}\r\nContent-Length: {len(b or '')}\r\n\r\n{b or ''}\r\n\r\n".encode()).hexdigest()
+    assert sorted(x[4] for x in plain) == sorted(sha(*r) for r in rows)
+    spoilt = lambda i, b: b if i is None or i % 101 > 2 else None if i % 101 == 2 else "?" + b[1:] if i % 101 == 0 else b[: len(b) // 2]
+    assert sorted(r.hash for r in other.collect()) == sorted(sha(i, u, spoilt(i, b or "")) for i, u, b in rows if spoilt(i, b or "") is not None)
     assert warc_fixity.audit(records, records).count() == 0
-    other = warc_fixity.damaged(pages, records).cache()
     key = lambda df: {(r.file, r.position): (r.page_id, r.hash) for r in df.collect()}
     a, b = key(records), key(other)
     want = {(a[k][0], *k, "missing" if k not in b else "changed") for k in a if k not in b or a[k][1] != b[k][1]}
@@ -366,6 +472,8 @@ def test_warc_fixity(spark):
     assert {r.damage for r in warc_fixity.audit(other, records).collect()} == {"changed", "extra"}
     assert warc_fixity.audit(records, records.limit(0)).count() == len(rows)
     assert warc_fixity.audit(records.limit(0), records.limit(0)).count() == 0
+    assert warc_fixity.audit(*warc_fixity.replicas(pages.limit(0))).columns == ["page_id", "file", "position", "length", "damage"]
+    assert {r.damage for r in warc_fixity.audit(records, other.where(F.col("file") != 1)).collect()} == {"changed", "missing"}
 
 
 def test_pipeline_stages_pass_documents_on(spark, tmp_path):

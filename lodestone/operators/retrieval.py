@@ -1,51 +1,95 @@
 """Retrieval over tables of queries and chunks.
 
-Query sets are taken in blocks of BLOCK rows, whose vectors and trigrams go to the tasks; each task
-keeps the best k per query of its own chunks, so what is shuffled is k rows per query and task,
-whatever the corpus holds. Permissions are part of the kernels, below every top-k.
+Chunks and queries are packed in tiles of TILE rows inside their partitions and meet by a join on a salt:
+one scan of the chunks whatever the number of queries, which never pass through the driver. Query tiles
+whose size was found to be small are broadcast, and the chunks aren't shuffled; larger ones are copied to
+every salt. Each task keeps the best k per query of its own chunks, so what is shuffled after that is k
+rows per query and task, whatever the corpus holds. Permissions are part of the kernels, below every top-k.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
-from collections import defaultdict
 from collections.abc import Callable, Iterator
-from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.vocabulary import RERANK_K, RERANK_THRESHOLD, RRF_K, TOP_K, TRIGRAM_THRESHOLD
 from lodestone.operators.access import tag_mask
 
-BLOCK = 1024
+TILE = 512
+#: Query tiles of at most so many bytes are broadcast; query tiles whose best rows a task holds at a time.
+BROADCAST_BYTES, HELD = 8 << 20, 64
+#: Trigrams that are compared at a time.
+WIDTH = 4096
 _WORD = re.compile(r"[^\W_]+")
 _PAIRS = "query_id long, chunk_id long, score double"
+_TILE = "tile long, ids array<long>, mask array<long>, level array<int>, sizes array<int>, data array<{0}>"
 
 
-def _blocks(queries: DataFrame) -> Iterator[list]:
-    """Rows of the query table, BLOCK at a time."""
-    held = []
-    for row in queries.toLocalIterator(prefetchPartitions=True):
-        held.append(row)
-        if len(held) == BLOCK:
-            yield held
-            held = []
-    if held:
-        yield held
+def _tiles(rows: DataFrame, encode: Callable[[pa.Array], tuple[list[int], np.ndarray]], kind: str) -> DataFrame:
+    """rows (id, mask, level, value) as tiles; encode gives the number of items of each value and all items."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TILE):
+                part = batch.slice(at, TILE)
+                sizes, data = encode(part.column(3))
+                ids, mask, level = (part.column(i).to_numpy() for i in range(3))
+                name = int.from_bytes(blake2b(ids.tobytes(), digest_size=8).digest(), "little", signed=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), *[pa.array([x], pa.list_(t)) for x, t in ((ids, pa.int64()), (mask, pa.int64()), (level, pa.int32()), (sizes, pa.int32()), (data, pa.from_numpy_dtype(data.dtype)))]], ["tile", "ids", "mask", "level", "sizes", "data"])
+
+    return rows.mapInArrow(run, _TILE.format(kind))
+
+
+def _met(queries: DataFrame, chunks: DataFrame, encode: Callable, kind: str, size: Column, best: Callable, k: int | None) -> DataFrame:
+    """Pairs (query_id, chunk_id, score) of best(query tile, chunk tile), the k of lowest score of each query and task if k is given.
 
-def _by_block(queries: DataFrame, chunks: DataFrame, kernel: Callable) -> DataFrame:
-    """Union over query blocks of chunks mapped by kernel(block)."""
-    parts = [chunks.mapInArrow(kernel(block), _PAIRS) for block in _blocks(queries)]
-    return reduce(DataFrame.unionByName, parts) if parts else chunks.sparkSession.createDataFrame([], _PAIRS)
+    queries and chunks: id, mask, level, value; size: the bytes of a query's value.
+    """
+    held = queries.agg(F.coalesce(F.sum(size + 24), F.lit(0))).first()[0]
+    asked, tiles = _tiles(queries, encode, kind), _tiles(chunks, encode, kind)
+    right = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns])
+    salts = 1 if held <= BROADCAST_BYTES else 4 * chunks.sparkSession.sparkContext.defaultParallelism
+    left = tiles.withColumn("salt", F.pmod("tile", F.lit(salts)).cast("int"))
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pairs = left.join(F.broadcast(right) if salts == 1 else right, "salt").drop("salt")
 
+    def unpack(batch: pa.RecordBatch, row: int, first: int) -> tuple:
+        return tuple(batch.column(first + i)[row].values.to_numpy(zero_copy_only=False) for i in range(1, 6))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, list] = {}
+
+        def settled(name: int) -> pa.RecordBatch:
+            ids, score, chunk = kept.pop(name)
+            q, c = np.nonzero(np.isfinite(score))
+            return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(chunk[q, c]), pa.array(score[q, c])], ["query_id", "chunk_id", "score"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                mine, theirs, name = unpack(batch, row, 0), unpack(batch, row, 6), batch.column(6)[row].as_py()
+                score = best(theirs, mine)
+                score[((theirs[1][:, None] & mine[1][None]) == 0) | (mine[2][None] > theirs[2][:, None])] = np.inf
+                if k is None:
+                    q, c = np.nonzero(np.isfinite(score))
+                    yield pa.RecordBatch.from_arrays([pa.array(theirs[0][q]), pa.array(mine[0][c]), pa.array(score[q, c])], ["query_id", "chunk_id", "score"])
+                    continue
+                chunk = np.broadcast_to(mine[0], score.shape)
+                if name in kept:
+                    score, chunk = np.concatenate([kept[name][1], score], axis=1), np.concatenate([kept[name][2], chunk], axis=1)
+                elif len(kept) == HELD:
+                    yield settled(next(iter(kept)))
+                order = np.lexsort((chunk, score), axis=1)[:, :k]
+                kept[name] = [theirs[0], np.take_along_axis(score, order, 1), np.take_along_axis(chunk, order, 1)]
+        for name in list(kept):
+            yield settled(name)
 
-def _pairs_batch(rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "chunk_id", "score"])
+    return pairs.mapInArrow(run, _PAIRS)
 
 
 def principals(queries: DataFrame, users: DataFrame) -> DataFrame:
@@ -58,36 +102,24 @@ def _guarded(chunks: DataFrame, column: str) -> DataFrame:
     return chunks.select("chunk_id", tag_mask(F.col("acl_tags")).alias("mask"), F.col("sensitivity_ordinal").cast("int").alias("ordinal"), F.col(column)).where(f"mask <> 0 and {column} is not null")
 
 
-def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
-    """query_id, chunk_id, dist, rank of the k nearest permitted chunks. queries: query_id, query_vector, mask, clearance_level."""
+def _asked(queries: DataFrame, column: str) -> DataFrame:
+    return queries.select("query_id", "mask", F.col("clearance_level").cast("int").alias("level"), F.col(column)).where(F.col(column).isNotNull())
 
-    def kernel(block: list) -> Callable:
-        ids = [r["query_id"] for r in block]
-        vectors = np.array([r["query_vector"] for r in block], np.float64)
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-        masks, clear = np.array([r["mask"] for r in block], np.int64), np.array([r["clearance_level"] for r in block])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best_d, best_i = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                mask, ordinal = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-                d = np.round(1 - vectors @ x.T, 9)
-                d[((masks[:, None] & mask[None]) == 0) | (ordinal[None] > clear[:, None])] = np.inf
-                d = np.concatenate([best_d, d], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(batch.column(0).to_numpy(), (len(ids), batch.num_rows))], axis=1)
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            q, c = np.nonzero(np.isfinite(best_d))
-            yield _pairs_batch(list(zip([ids[n] for n in q.tolist()], best_i[q, c].tolist(), best_d[q, c].tolist())))
+def _unit_vectors(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    return np.full(len(x), x.shape[1], np.int32), x.ravel()
 
-        return run
 
-    usable = queries.where("query_vector is not null").select("query_id", "query_vector", "mask", "clearance_level")
-    return _ranked(_by_block(usable, _guarded(chunks, "dense_embedding"), kernel), k, F.col("score").asc()).withColumnRenamed("score", "dist")
+def _distances(query: tuple, chunk: tuple) -> np.ndarray:
+    return np.round(1 - query[4].reshape(len(query[0]), -1) @ chunk[4].reshape(len(chunk[0]), -1).T, 9)
+
+
+def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
+    """query_id, chunk_id, dist, rank of the k nearest permitted chunks. queries: query_id, query_vector, mask, clearance_level."""
+    pairs = _met(_asked(queries, "query_vector"), _guarded(chunks, "dense_embedding"), _unit_vectors, "double", 8 * F.size("query_vector"), _distances, k)
+    return _ranked(pairs, k, F.col("score").asc()).withColumnRenamed("score", "dist")
 
 
 def _ranked(pairs: DataFrame, k: int, order) -> DataFrame:
@@ -104,43 +136,41 @@ def trigrams(text: str) -> set[str]:
     return out
 
 
+def _trigram_codes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of each text as numbers: three code points of 21 bits."""
+    sets = [trigrams(t) for t in values.to_pylist()]
+    points = np.array(list(map(ord, "".join(t for s in sets for t in s))), np.int64).reshape(-1, 3)
+    return np.array([len(s) for s in sets], np.int32), points[:, 0] << 42 | points[:, 1] << 21 | points[:, 2]
+
+
+def _overlap(query: tuple, chunk: tuple) -> np.ndarray:
+    """1 - similarity of each pair: shared trigrams over all of both."""
+    n, m = len(query[0]), len(chunk[0])
+    codes, at = np.unique(query[4], return_inverse=True)
+    place = np.searchsorted(codes, chunk[4])
+    hit = place < len(codes)
+    hit[hit] = codes[place[hit]] == chunk[4][hit]
+    rows, own, place = np.repeat(np.arange(n), query[3]), np.repeat(np.arange(m), chunk[3])[hit], place[hit]
+    common = np.zeros((n, m), np.float32)
+    for low in range(0, len(codes), WIDTH):
+        # Incidence of WIDTH trigrams; sums of ones are exact.
+        a, b = np.zeros((n, WIDTH), np.float32), np.zeros((m, WIDTH), np.float32)
+        x, y = (at >= low) & (at < low + WIDTH), (place >= low) & (place < low + WIDTH)
+        a[rows[x], at[x] - low] = b[own[y], place[y] - low] = 1
+        common += a @ b.T
+    return 1 - common.astype(np.float64) / np.maximum(query[3][:, None] + chunk[3][None] - common, 1)
+
+
 def trigram_similarity(queries: DataFrame, chunks: DataFrame, threshold: float = TRIGRAM_THRESHOLD, k: int | None = None) -> DataFrame:
     """query_id, chunk_id, score of permitted pairs at the threshold or above; with k the best k of each task only."""
 
-    def kernel(block: list) -> Callable:
-        sets = [trigrams(r["query_text"]) for r in block]
-        postings: dict[str, list[int]] = defaultdict(list)
-        for n, s in enumerate(sets):
-            for t in s:
-                postings[t].append(n)
-        index = {t: np.array(v) for t, v in postings.items()}
-        sizes, ids = np.array([len(s) for s in sets]), [r["query_id"] for r in block]
-        masks, clear = np.array([r["mask"] for r in block], np.int64), np.array([r["clearance_level"] for r in block])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            heaps: list[list] = [[] for _ in ids]
-            for batch in batches:
-                found = []
-                for chunk, mask, ordinal, text in zip(*[c.to_pylist() for c in batch.columns]):
-                    mine = trigrams(text)
-                    hits = [index[t] for t in mine if t in index]
-                    if not hits:
-                        continue
-                    common = np.bincount(np.concatenate(hits), minlength=len(ids))
-                    score = common / (sizes + len(mine) - common)
-                    for n in np.flatnonzero((score >= threshold) & ((masks & mask) != 0) & (ordinal <= clear)).tolist():
-                        if k is None:
-                            found.append((ids[n], chunk, float(score[n])))
-                        else:
-                            (heapq.heappush if len(heaps[n]) < k else heapq.heappushpop)(heaps[n], (round(float(score[n]), 9), -chunk))
-                yield _pairs_batch(found)
-            if k is not None:
-                yield _pairs_batch([(ids[n], -c, s) for n, h in enumerate(heaps) for s, c in h])
-
-        return run
-
-    usable = queries.where("query_text is not null").select("query_id", "query_text", "mask", "clearance_level")
-    return _by_block(usable, _guarded(chunks, "content"), kernel)
+    def similar(query: tuple, chunk: tuple) -> np.ndarray:
+        far = _overlap(query, chunk)
+        # Rounded before the order counts, so that equal similarities are ties.
+        return np.where(1 - far >= threshold - 1e-12, np.round(far, 9), np.inf)
+
+    pairs = _met(_asked(queries, "query_text"), _guarded(chunks, "content"), _trigram_codes, "long", 8 * F.length("query_text"), similar, k)
+    return pairs.withColumn("score", F.round(1 - F.col("score"), 9))
 
 
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, threshold: float = TRIGRAM_THRESHOLD) -> DataFrame:
@@ -162,25 +192,63 @@ def vector_only(vector: DataFrame, rrf_k: int = RRF_K) -> DataFrame:
     return vector.select("query_id", "chunk_id", F.col("rank").alias("vector_rank"), F.lit(None).cast("int").alias("keyword_rank"), F.round(1.0 / (rrf_k + F.col("rank")), 9).alias("rrf_score"), "rank")
 
 
+_TOKENS = "[a-z0-9\\x{80}-\\x{10FFFF}]+"
+#: Tokens are broadcast up to this number.
+BROADCAST_TOKENS = 10_000
+
+
+def _tokens(text: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TOKENS), 0))
+
+
 def token_match(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) where the chunk has every lower-cased token of the query; an inverted index joined by token."""
-    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9\\x{80}-\\x{10FFFF}]+"), 0)))
-    q = queries.select("query_id", words(F.col("query_text")).alias("token"))
-    need = q.groupBy("query_id").agg(F.count("*").alias("need"))
-    hits = chunks.select("chunk_id", words(F.col("content")).alias("token")).join(q, "token").groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"))
-    return hits.join(need, "query_id").where("n = need").select("query_id", "chunk_id")
+    """(query_id, chunk_id) where the chunk has every lower-cased token of the query; queries without a token match nothing.
+
+    Each query is looked up by its token of the fewest chunks only; the chunks found are then held
+    against all its tokens. Counts of tokens are summed before they are shuffled, and ids alone are looked up.
+    """
+    asked = queries.select("query_id", _tokens("query_text").alias("tokens")).where("size(tokens) > 0")
+    wanted = asked.select(F.explode("tokens").alias("token")).distinct()
+    held = chunks.select("chunk_id", _tokens("content").alias("has"))
+    counts = held.select(F.explode("has").alias("token")).groupBy("token").agg(F.count("*").alias("n")).join(wanted, "token")
+    # A token that no chunk has is the rarest: such a query finds nothing.
+    by_token = asked.select("query_id", F.explode("tokens").alias("token")).join(counts, "token", "left")
+    rarest = by_token.groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("r")).where("r.n > 0").select("query_id", F.col("r.token").alias("token"))
+    few = rarest.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
+    found = held.select("chunk_id", F.explode("has").alias("token")).join(F.broadcast(rarest) if few else rarest, "token").select("query_id", "chunk_id")
+    return found.join(asked, "query_id").join(held, "chunk_id").where(F.size(F.array_except("tokens", "has")) == 0).select("query_id", "chunk_id")
 
 
-def rerank(retrieved: DataFrame, scorer: str = "passthrough") -> DataFrame:
-    """retrieved with rerank_score and position: passthrough keeps the order, trigram scores query_text against content."""
-    if scorer == "passthrough":
-        return retrieved.withColumn("rerank_score", F.lit(1.0))
+def passthrough(batches: Iterator[tuple]) -> Iterator[np.ndarray]:
+    """Keeps the order: every score is 1."""
+    for queries, _ in batches:
+        yield np.ones(len(queries))
+
+
+def trigram_scorer(batches: Iterator[tuple]) -> Iterator[np.ndarray]:
+    """Shared trigrams over all trigrams of both texts."""
+    for queries, contents in batches:
+        pairs = [(trigrams(a or ""), trigrams(b or "")) for a, b in zip(queries, contents, strict=True)]
+        yield np.array([len(a & b) / len(a | b) if a or b else 0.0 for a, b in pairs])
+
+
+def rerank(retrieved: DataFrame, scorer: Callable[[Iterator[tuple]], Iterator[np.ndarray]] = passthrough) -> DataFrame:
+    """retrieved with rerank_score of scorer: a function from batches (query texts, contents) to their scores.
+
+    It is called once for each task, so a model is loaded once before its first batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [trigrams(x or "") for x in batch.column("query_text").to_pylist()], [trigrams(x or "") for x in batch.column("content").to_pylist()]
-            score = [len(x & y) / len(x | y) if x or y else 0.0 for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "rerank_score"])
+        given: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[tuple]:
+            for batch in batches:
+                given.append(batch)
+                yield batch.column("query_text").to_pylist(), batch.column("content").to_pylist()
+
+        for scores in scorer(texts()):
+            batch = given.pop(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "rerank_score"])
 
     return retrieved.mapInArrow(run, retrieved.withColumn("rerank_score", F.lit(0.0)).schema)
 

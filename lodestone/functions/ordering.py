@@ -1,7 +1,8 @@
 """Places and runs along a group of any size.
 
-A group is cut into blocks of its ordering column's range. Blocks are handled apart and begin where the
-earlier ones end, so a task sorts one block at most, and only one row per block is ordered within a group.
+Rows are dealt to ranges of (group, order) of about equal size, whatever the values are. Ranges are handled
+apart and begin where the earlier ones of their group end, so a task sorts one range, and only one row
+per range is ordered within a group. The ranges are written once, since both steps must see the same ones.
 """
 
 from __future__ import annotations
@@ -9,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 8_192
+from lodestone.sources.shared import at_rest
 
 
-def _blocks(rows: DataFrame, order: str, size: int) -> DataFrame:
-    return rows.withColumn("_block", F.floor(F.col(order) / size))
+def _blocks(rows: DataFrame, group: str, order: str, parts: int | None) -> DataFrame:
+    by = [F.col(group), F.col(order)]
+    dealt = rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)
+    return at_rest(dealt.withColumn("_block", F.spark_partition_id()), "ranges")
 
 
 def _with_block(rows: DataFrame, blocks: DataFrame, group: str) -> DataFrame:
@@ -27,18 +30,18 @@ def _earlier(column: str, group: str):
     return F.coalesce(F.sum(column).over(Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def numbered(rows: DataFrame, group: str, order: str, name: str, block: int = BLOCK) -> DataFrame:
+def numbered(rows: DataFrame, group: str, order: str, name: str, parts: int | None = None) -> DataFrame:
     """rows with name: their place from 1 in the group by order, a whole number without ties."""
-    cut = _blocks(rows, order, block)
+    cut = _blocks(rows, group, order, parts)
     blocks = cut.groupBy(group, "_block").agg(F.count("*").alias("_n"))
     blocks = blocks.select(group, "_block", _earlier("_n", group).alias("_before"))
     own = F.row_number().over(Window.partitionBy(group, "_block").orderBy(order))
     return _with_block(cut.withColumn(name, own), blocks, group).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
 
 
-def runs(rows: DataFrame, group: str, order: str, value: str, name: str, block: int = BLOCK) -> DataFrame:
+def runs(rows: DataFrame, group: str, order: str, value: str, name: str, parts: int | None = None) -> DataFrame:
     """rows with name: from 0, the number of the run of equal values (null equals null) along order, a whole number without ties."""
-    cut = _blocks(rows, order, block)
+    cut = _blocks(rows, group, order, parts)
     w = Window.partitionBy(group, "_block").orderBy(order)
     changed = (F.row_number().over(w) > 1) & ~F.col(value).eqNullSafe(F.lag(value).over(w))
     inner = cut.withColumn("_new", changed.cast("long"))

@@ -4,6 +4,7 @@
 TAGS = ("all", "finance", "hr", "legal", "engineering", "product", "management")
 LEVELS = {"public": 0, "internal": 1, "confidential": 2}
 DEFAULT_ORDINAL = 1
+ROLES = ("user", "assistant")
 CONVERTIBLE = ("doc", "docx", "ppt", "pptx", "xls", "xlsx", "odt", "odp", "ods", "rtf")
 DIRECT = ("pdf", "md", "txt")
 MAX_UPLOAD_BYTES = 50 * 1024 * 1024

@@ -18,17 +18,35 @@ def visible_to(tags: Column, ordinal: Column, user_tags: list[str], clearance: i
     return F.coalesce(F.arrays_overlap(tags, F.array(*map(F.lit, user_tags)).cast("array<string>")), F.lit(False)) & (ordinal <= clearance)
 
 
+def _group(mask: Column, clearance: Column) -> Column:
+    """The number of a group of principals: their tags as bits and their clearance."""
+    return (mask * 4 + clearance).cast("int")
+
+
+def acl_members(users: DataFrame) -> DataFrame:
+    """user_id and acl_group: principals of equal tags and clearance see the same, so they are one group; without tags there is none."""
+    mask = tag_mask(F.col("permission_tags"))
+    return users.where(mask != 0).select("user_id", _group(mask, F.col("clearance_level")).alias("acl_group"))
+
+
 def acl_filter(chunks: DataFrame, users: DataFrame) -> DataFrame:
-    """(user_id, chunk_id) of all permitted pairs: an equi-join on (tag, clearance) groups.
+    """(acl_group, chunk_id) of what each group of acl_members may see.
 
-    Principals collapse to their distinct pairs of tags and clearance before chunks are met.
+    There are at most 2**tags times 3 groups, and as many kinds of chunks (their tags and ordinal); the
+    pairs of both that fit are broadcast, so chunks are neither shuffled nor repeated for each user.
     """
-    groups = users.select("user_id", F.array_sort(F.array_distinct("permission_tags")).alias("tags"), "clearance_level")
-    distinct = groups.select("tags", "clearance_level").distinct()
-    rows = chunks.select("chunk_id", "sensitivity_ordinal", F.explode(F.array_distinct("acl_tags")).alias("tag"))
-    wants = distinct.select("tags", "clearance_level", F.explode("tags").alias("tag"))
-    pairs = rows.join(wants, "tag").where("sensitivity_ordinal <= clearance_level").select("chunk_id", "tags", "clearance_level").distinct()
-    return pairs.join(groups, ["tags", "clearance_level"]).select("user_id", "chunk_id")
+    groups = users.select(tag_mask(F.col("permission_tags")).alias("u"), F.col("clearance_level").alias("c")).where("u <> 0").distinct()
+    rows = chunks.select("chunk_id", tag_mask(F.col("acl_tags")).alias("mask"), "sensitivity_ordinal")
+    bits = lambda c: F.explode(F.filter(F.array(*[F.lit(1 << i).cast("long") for i in range(len(TAGS))]), lambda b: F.col(c).bitwiseAND(b) != 0))
+    kinds = rows.select("mask", "sensitivity_ordinal").distinct().select("mask", "sensitivity_ordinal", bits("mask").alias("bit"))
+    fits = kinds.join(groups.select("u", "c", bits("u").alias("bit")), "bit").where("sensitivity_ordinal <= c")
+    fits = fits.select("mask", "sensitivity_ordinal", _group(F.col("u"), F.col("c")).alias("acl_group")).distinct()
+    return rows.join(F.broadcast(fits), ["mask", "sensitivity_ordinal"]).select("acl_group", "chunk_id")
+
+
+def acl_pairs(chunks: DataFrame, users: DataFrame) -> DataFrame:
+    """(user_id, chunk_id) of all permitted pairs: as many rows as users see chunks, for small tables and tests."""
+    return acl_filter(chunks, users).join(acl_members(users), "acl_group").select("user_id", "chunk_id")
 
 
 def visibility_matrix(chunks: DataFrame, users: DataFrame) -> DataFrame:

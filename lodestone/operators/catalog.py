@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import strip
 from lodestone.functions.vocabulary import DEFAULT_ORDINAL, LEVELS, PHRASE_LENGTH, PHRASES_PER_USER, TAGS
 from lodestone.operators.ingest import ordinal
+from lodestone.sources.shared import at_rest
 
 
 def sessions_list(sessions: DataFrame, messages: DataFrame, limit: int = 50) -> DataFrame:
@@ -39,13 +40,37 @@ def cascade_delete(parents: DataFrame, children: DataFrame, deleted: DataFrame,
     return parents.join(gone, key, "left_anti"), children.join(gone, key, "left_anti")
 
 
+def delete_users(deleted: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables after these users (user_id) are gone.
+
+    users, sessions, memories and phrases lose their rows, messages those of lost sessions; documents
+    stay, with uploaded_by null. Tables that aren't given are left out.
+    """
+    gone = deleted.select("user_id").distinct()
+    out = {name: df.join(gone, "user_id", "left_anti") for name, df in tables.items() if name not in ("messages", "documents")}
+    if "messages" in tables:
+        lost = tables["sessions"].join(gone, "user_id", "left_semi").select("session_id").distinct()
+        out["messages"] = tables["messages"].join(lost, "session_id", "left_anti")
+    if "documents" in tables:
+        docs, who = tables["documents"], gone.select(F.col("user_id").alias("_gone"))
+        left = docs.join(who, docs["uploaded_by"] == who["_gone"], "left").withColumn("uploaded_by", F.when(F.col("_gone").isNull(), F.col("uploaded_by"))).drop("_gone")
+        out["documents"] = left.select(*docs.columns)
+    return out
+
+
 def documents_page(docs: DataFrame, page: int, size: int) -> DataFrame:
-    """One page of documents, newest (highest id) first."""
-    return docs.orderBy(F.col("doc_id").desc()).offset((page - 1) * size).limit(size)
+    """One page of documents, newest (created_at, then the highest id) first, and total, the number of all documents. A page past the end is empty."""
+    rows = docs.orderBy(F.col("created_at").desc(), F.col("doc_id").desc()).offset((page - 1) * size).limit(size)
+    return rows.withColumn("total", F.lit(docs.count()).cast("long"))
+
+
+def visible_docs(docs: DataFrame, hidden: DataFrame) -> DataFrame:
+    """docs without those that a caller has hidden (doc_id); a hidden id without a document changes nothing."""
+    return docs.join(hidden.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def permission_patch(docs: DataFrame, patches: DataFrame) -> DataFrame:
-    """doc_id, acl_tags, sensitivity_level, outcome (applied or the reason of refusal) of each patched document."""
+    """doc_id, acl_tags, sensitivity_level, outcome (applied or the reason of refusal) of each patched document. See patch_chunks."""
     p = patches.select("doc_id", F.col("acl_tags").alias("new_tags"), F.col("sensitivity_level").alias("new_level"))
     unknown = (F.size(F.array_except("new_tags", F.array(*map(F.lit, TAGS)))) > 0) | ~F.col("new_level").isin(*LEVELS)
     outcome = F.when(F.col("status") == "processing", "processing").when(F.col("new_tags").isNull() & F.col("new_level").isNull(), "nothing").when(F.size("new_tags") == 0, "empty_tags").when(F.coalesce(unknown, F.lit(False)), "unknown_value").otherwise("applied")
@@ -53,6 +78,14 @@ def permission_patch(docs: DataFrame, patches: DataFrame) -> DataFrame:
     return docs.join(p, "doc_id").withColumn("outcome", outcome).select("doc_id", F.when(ok, F.coalesce("new_tags", "acl_tags")).otherwise(F.col("acl_tags")).alias("acl_tags"), F.when(ok, F.coalesce("new_level", "sensitivity_level")).otherwise(F.col("sensitivity_level")).alias("sensitivity_level"), "outcome")
 
 
+def patch_chunks(chunks: DataFrame, patched: DataFrame) -> DataFrame:
+    """chunks with the tags and ordinal of the documents whose patch was applied (see permission_patch), so that retrieval follows the documents."""
+    p = patched.where("outcome = 'applied'").select(F.col("doc_id").alias("_doc"), F.col("acl_tags").alias("_tags"), ordinal(F.col("sensitivity_level")).alias("_ordinal"))
+    joined = chunks.join(p, chunks["document_id"] == p["_doc"], "left")
+    joined = joined.withColumn("acl_tags", F.coalesce("_tags", "acl_tags")).withColumn("sensitivity_ordinal", F.coalesce("_ordinal", "sensitivity_ordinal"))
+    return joined.select(*chunks.columns)
+
+
 def permission_consistency(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """chunk_id, document_id of chunks whose copied permissions differ from their document's."""
     d = docs.select(F.col("doc_id").alias("document_id"), F.col("acl_tags").alias("_t"), ordinal(F.col("sensitivity_level")).alias("_o"))
@@ -72,18 +105,23 @@ def backfill_users(users: DataFrame) -> DataFrame:
 
 
 def permission_diff(users: DataFrame, drafts: DataFrame) -> DataFrame:
-    """user_id of users whose draft differs, tags compared without order."""
-    d = drafts.select("user_id", F.col("permission_tags").alias("_t"), F.col("clearance_level").alias("_c"))
-    return users.join(d, "user_id").where((F.array_sort("permission_tags") != F.array_sort("_t")) | (F.col("clearance_level") != F.col("_c"))).select("user_id")
+    """user_id of users whose draft differs in tags (compared without order), clearance, is_admin or is_active."""
+    fields = ("clearance_level", "is_admin", "is_active")
+    d = drafts.select("user_id", F.array_sort("permission_tags").alias("_tags"), *[F.col(c).alias(f"_{c}") for c in fields])
+    same = F.array_sort("permission_tags").eqNullSafe(F.col("_tags"))
+    for c in fields:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return users.join(d, "user_id").where(~same).select("user_id")
 
 
 def user_patch(users: DataFrame, patches: DataFrame, actor: int) -> DataFrame:
-    """user_id, permission_tags, clearance_level, is_admin, outcome of each patched user."""
-    p = patches.select("user_id", F.col("permission_tags").alias("t"), F.col("clearance_level").alias("c"), F.col("is_admin").alias("a"))
-    bad = F.coalesce(F.size(F.array_except("t", F.array(*map(F.lit, TAGS)))) > 0, F.lit(False)) | F.coalesce(~F.col("c").between(0, 2), F.lit(False))
-    outcome = F.when(bad, "unknown_value").when((F.col("user_id") == actor) & F.coalesce(~F.col("a"), F.lit(False)), "self_demotion").otherwise("applied")
-    pick = lambda new, old: F.when(F.col("outcome") == "applied", F.coalesce(new, old)).otherwise(F.col(old)).alias(old)
-    return users.join(p, "user_id").withColumn("outcome", outcome).select("user_id", pick("t", "permission_tags"), pick("c", "clearance_level"), pick("a", "is_admin"), "outcome")
+    """user_id, permission_tags, clearance_level, is_admin, is_active, outcome of each patched user; null in a patch leaves a field as it is."""
+    fields = ("permission_tags", "clearance_level", "is_admin", "is_active")
+    p = patches.select("user_id", *[F.col(c).alias(f"_{c}") for c in fields])
+    bad = F.coalesce(F.size(F.array_except("_permission_tags", F.array(*map(F.lit, TAGS)))) > 0, F.lit(False)) | F.coalesce(~F.col("_clearance_level").between(0, 2), F.lit(False))
+    outcome = F.when(bad, "unknown_value").when((F.col("user_id") == actor) & F.coalesce(~F.col("_is_admin"), F.lit(False)), "self_demotion").otherwise("applied")
+    joined = users.join(p, "user_id").withColumn("outcome", outcome)
+    return joined.select("user_id", *[F.when(F.col("outcome") == "applied", F.coalesce(f"_{c}", c)).otherwise(F.col(c)).alias(c) for c in fields], "outcome")
 
 
 def register_users(requests: DataFrame, users: DataFrame) -> DataFrame:
@@ -94,9 +132,17 @@ def register_users(requests: DataFrame, users: DataFrame) -> DataFrame:
     return fresh.select("request_id", "username", F.array(F.lit("all")).alias("permission_tags"), F.lit(0).alias("clearance_level"), F.lit(False).alias("is_admin"), F.lit(True).alias("is_active"))
 
 
-def users_list(users: DataFrame) -> DataFrame:
-    """Newest first by position."""
-    return users.select("user_id", "clearance_level", F.row_number().over(Window.orderBy(F.col("created_at").desc(), "user_id")).alias("position"))
+def users_list(users: DataFrame, parts: int | None = None) -> DataFrame:
+    """Newest first by position, numbered range by range: a task sorts one range, and one row for each range is ordered in one place."""
+    order = [F.col("created_at").desc(), F.col("user_id")]
+    few = users.select("user_id", "clearance_level", "created_at")
+    dealt = few.repartitionByRange(parts, *order) if parts else few.repartitionByRange(*order)
+    ranges = at_rest(dealt.withColumn("_part", F.spark_partition_id()), "users")
+    rows = ranges.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row for each range.
+    starts = ranges.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
+    return rows.join(F.broadcast(starts), "_part").select("user_id", "clearance_level", (F.col("_own") + F.col("_before")).cast("int").alias("position"))
 
 
 def phrases_list(phrases: DataFrame) -> DataFrame:

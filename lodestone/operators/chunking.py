@@ -24,10 +24,24 @@ def segment_array(text, max_tokens: int = CHUNK_TOKENS):
     return F.flatten(F.transform(paragraphs, lambda p: F.when(estimate_tokens(p) > max_tokens, split_sentences(p)).otherwise(F.array(p))))
 
 
-def segments(pages: DataFrame, max_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """doc_id, seq, text, tok of every segment of doc_id, content."""
-    s = pages.select("doc_id", F.posexplode(segment_array(F.col("content"), max_tokens)).alias("seq", "text"))
-    return s.withColumn("tok", estimate_tokens(F.col("text")))
+def gather_sections(pages: DataFrame) -> DataFrame:
+    """doc_id, section_no, parts: the pages (page_number, content) of each section in the order of page_seq. A row holds one section of one document."""
+    page = F.struct("page_seq", F.struct("page_number", "content").alias("p"))
+    return pages.groupBy("doc_id", "section_no").agg(F.transform(F.array_sort(F.collect_list(page)), lambda x: x["p"]).alias("parts"))
+
+
+def _segment_structs(sections: DataFrame, max_tokens: int):
+    """Array of (text, page_number) of each row: of its parts, or of content (and page_number, if there) as the only one."""
+    if "parts" not in sections.columns:
+        number = F.col("page_number") if "page_number" in sections.columns else F.lit(None).cast("int")
+        return F.transform(segment_array(F.col("content"), max_tokens), lambda t: F.struct(t.alias("text"), number.alias("page_number")))
+    return F.flatten(F.transform("parts", lambda p: F.transform(F.coalesce(segment_array(p["content"], max_tokens), F.array().cast("array<string>")), lambda t: F.struct(t.alias("text"), p["page_number"].alias("page_number")))))
+
+
+def segments(sections: DataFrame, max_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """doc_id, section_no, seq, text, page_number, tok of every segment. sections: doc_id, section_no, and parts (see gather_sections) or content."""
+    s = sections.select("doc_id", "section_no", F.posexplode(_segment_structs(sections, max_tokens)).alias("seq", "s"))
+    return s.select("doc_id", "section_no", "seq", "s.text", "s.page_number", estimate_tokens(F.col("s.text")).alias("tok"))
 
 
 def pack_spans(tokens: list[int], max_tokens: int, overlap: int) -> list[tuple[int, int]]:
@@ -48,27 +62,29 @@ def pack_spans(tokens: list[int], max_tokens: int, overlap: int) -> list[tuple[i
 
 
 def chunk_pack(sections: DataFrame, max_tokens: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP, least: int = CHUNK_LEAST) -> DataFrame:
-    """doc_id, section_no, pos, content, tok of every chunk. sections: doc_id, section_no, content.
+    """doc_id, section_no, pos, content, page_number (of its first segment), tok of every chunk.
 
+    sections: doc_id, section_no, and parts (see gather_sections) or content, with page_number if there.
     Segments stay an array of their section's row, so packing needs no shuffle. Null content gives no chunk.
     """
-
+    kinds = dict(sections.dtypes)
+    s = sections.select("doc_id", "section_no", _segment_structs(sections, max_tokens).alias("seg"))
+    page = s.schema["seg"].dataType.elementType["page_number"].dataType
+    s = s.select("doc_id", "section_no", F.col("seg.text").alias("text"), F.transform("seg", lambda x: estimate_tokens(x["text"])).alias("tok"), F.col("seg.page_number").alias("page"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, pos, content = [], [], []
-            for r, (seg, tok) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            own, pos, content, pages = [], [], [], []
+            for r, (seg, tok, page) in enumerate(zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True)):
                 for n, (a, b) in enumerate(pack_spans(tok or [], max_tokens, overlap)):
                     own.append(r)
                     pos.append(n)
                     content.append("\n\n".join(seg[a:b]))
+                    pages.append(page[a])
             at = pa.array(own, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array(content, pa.string())], ["doc_id", "section_no", "pos", "content"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array(content, pa.string()), pa.array(pages, batch.column(4).type.value_type)], ["doc_id", "section_no", "pos", "content", "page_number"])
 
-    kinds = dict(sections.dtypes)
-    s = sections.select("doc_id", "section_no", segment_array(F.col("content"), max_tokens).alias("seg"))
-    s = s.select("doc_id", "section_no", "seg", F.transform("seg", lambda x: estimate_tokens(x)).alias("tok"))
-    c = s.mapInArrow(pack, f"doc_id {kinds['doc_id']}, section_no {kinds['section_no']}, pos int, content string")
+    c = s.mapInArrow(pack, f"doc_id {kinds['doc_id']}, section_no {kinds['section_no']}, pos int, content string, page_number {page.simpleString()}")
     return c.withColumn("tok", estimate_tokens(F.col("content"))).where(F.col("tok") >= least)
 
 

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import cosine_distance, estimate_tokens_history, strip
+from lodestone.functions.text import estimate_tokens_history, strip
 from lodestone.functions.vocabulary import HISTORY_TOKENS, HISTORY_TURNS, MEMORY_CAP, MEMORY_K, MEMORY_LEAST, MEMORY_SIMILARITY
+from lodestone.operators.tiles import meet, unit_vectors
 
 
 def _joined(order: list[str], text: str, separator: str) -> Column:
@@ -33,9 +34,12 @@ def extract_citations(answers: DataFrame, ranked: DataFrame, refusal: str = "no
     return hit.withColumn("ord", F.row_number().over(Window.partitionBy("answer_id").orderBy("pos"))).select("answer_id", "ord", "marker", "chunk_id")
 
 
-def citation_usage(citations: DataFrame) -> DataFrame:
-    """chunk_id, n_citations, n_answers."""
-    return citations.groupBy("chunk_id").agg(F.count("*").alias("n_citations"), F.count_distinct("answer_id").alias("n_answers"))
+def citation_usage(citations: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """chunk_id, n_citations, n_answers, n_retrieved. retrieved: answer_id and chunk_id of the chunks that each answer was given, cited or not."""
+    cited = citations.groupBy("chunk_id").agg(F.count("*").alias("n_citations"), F.count_distinct("answer_id").alias("n_answers"))
+    given = retrieved.groupBy("chunk_id").agg(F.count_distinct("answer_id").alias("n_retrieved"))
+    n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return cited.join(given, "chunk_id", "full").select("chunk_id", n("n_citations"), n("n_answers"), n("n_retrieved"))
 
 
 def frames_encode(events: DataFrame) -> DataFrame:
@@ -45,10 +49,10 @@ def frames_encode(events: DataFrame) -> DataFrame:
 
 
 def frames_parse(streams: DataFrame) -> DataFrame:
-    """key, seq, type, data; frames without both parts are ignored."""
+    """key, seq, type, data; frames without both parts and those whose data is no JSON are ignored."""
     f = streams.select("key", F.posexplode(F.split("text", "\n\n")).alias("seq", "frame"))
     f = f.select("key", "seq", F.regexp_extract("frame", "(?:^|\\n)event: ?([^\\n]+)", 1).alias("type"), F.regexp_extract("frame", "(?:^|\\n)data: ?([^\\n]+)", 1).alias("data"))
-    return f.where("type <> '' and data <> ''")
+    return f.where((F.col("type") != "") & F.try_parse_json("data").isNotNull())
 
 
 def answer_assembly(events: DataFrame, error_note: str = " [interrupted]") -> DataFrame:
@@ -60,12 +64,22 @@ def answer_assembly(events: DataFrame, error_note: str = " [interrupted]") -> Da
     return out.select("key", F.when(F.col("failed"), F.concat("c", F.lit(error_note))).otherwise(F.col("c")).alias("content"), "citations", "finish_reason").where("content <> '' or citations is not null")
 
 
-def history_window(messages: DataFrame, turns: int = HISTORY_TURNS, tokens: int = HISTORY_TOKENS) -> DataFrame:
-    """messages that fit: the newest 2 * turns of each session, back to the first that would exceed the tokens."""
+def owned(requests: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The requests (session_id, user_id, ...) whose user owns the session; what is read for others is nothing."""
+    return requests.join(sessions.select("session_id", "user_id"), ["session_id", "user_id"]).select(*requests.columns)
+
+
+def history_window(messages: DataFrame, sessions: DataFrame, requests: DataFrame, turns: int = HISTORY_TURNS, tokens: int = HISTORY_TOKENS) -> DataFrame:
+    """session_id, user_id and the messages that fit: the newest 2 * turns of each requested session, back to the first that would exceed the tokens.
+
+    requests: session_id, user_id; a user gets the messages of their own sessions only (sessions: session_id, user_id).
+    """
+    mine = owned(requests.select("session_id", "user_id").distinct(), sessions)
+    rows = messages.join(mine, "session_id")
     if turns <= 0 or tokens <= 0:
-        return messages.limit(0)
+        return rows.limit(0)
     back = Window.partitionBy("session_id").orderBy(F.col("created_at").desc(), F.col("message_id").desc())
-    near = messages.withColumn("_n", F.row_number().over(back)).where(F.col("_n") <= 2 * turns)
+    near = rows.withColumn("_n", F.row_number().over(back)).where(F.col("_n") <= 2 * turns)
     run = F.sum(estimate_tokens_history(F.col("content"))).over(back.rowsBetween(Window.unboundedPreceding, 0))
     return near.withColumn("_sum", run).where(F.col("_sum") <= tokens).drop("_n", "_sum")
 
@@ -91,17 +105,33 @@ def memory_sources(messages: DataFrame, least: int = MEMORY_LEAST) -> DataFrame:
 
 
 def memory_candidates(outputs: DataFrame) -> DataFrame:
-    """message_id, ord, content from model output: a JSON list of strings, code fence allowed, each stripped and cut at 100; bad JSON gives none."""
+    """message_id, ord, content from model output: the strings of a JSON list, code fence allowed, each stripped and cut at 100; other items and bad JSON give none."""
     fenced = F.split("output", "```")
-    body = F.when(F.size(fenced) > 1, F.regexp_replace(F.get(fenced, 1), "^json", "")).otherwise(F.col("output"))
-    items = F.filter(F.transform(F.from_json(strip(body), "array<string>"), lambda x: F.substring(strip(x), 1, 100)), lambda x: x != "")
-    return outputs.select("message_id", F.posexplode(items).alias("ord", "content"))
+    body = F.when(F.size(fenced) > 1, F.ltrim(F.get(fenced, 1), F.lit("json"))).otherwise(F.col("output"))
+    items = F.try_variant_get(F.try_parse_json(strip(body)), "$", "array<variant>")
+    texts = F.transform(F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.substring(strip(F.try_variant_get(v, "$", "string")), 1, 100))
+    return outputs.select("message_id", F.posexplode(F.filter(texts, lambda x: x != "")).alias("ord", "content"))
+
+
+def _pointing(rows: DataFrame, column: str) -> DataFrame:
+    """Rows whose vector has a direction."""
+    return rows.where(F.exists(column, lambda x: x != 0))
 
 
 def memory_topk(queries: DataFrame, memories: DataFrame, k: int = MEMORY_K) -> DataFrame:
-    """query_id, memory_id, dist, rank of the nearest memories of the same user."""
-    pairs = queries.where("query_vector is not null").select("query_id", "user_id", "query_vector").join(memories.select("user_id", "memory_id", "embedding"), "user_id")
-    near = pairs.select("query_id", "memory_id", F.round(cosine_distance(F.col("query_vector"), F.col("embedding")), 9).alias("dist"))
+    """query_id, memory_id, dist, rank of the nearest memories of the same user. Null and zero vectors find nothing and aren't found.
+
+    A user's queries and memories meet in tiles, of which k rows a query go on.
+    """
+
+    def nearest(mine: pa.Array, asked: pa.Array) -> pa.RecordBatch:
+        d = np.round(1 - unit_vectors(asked.field("query_vector")) @ unit_vectors(mine.field("embedding")).T, 9)
+        ids = np.broadcast_to(mine.field("memory_id").to_numpy(), d.shape)
+        order = np.lexsort((ids, d), axis=1)[:, :k]
+        found = [np.repeat(asked.field("query_id").to_numpy(), order.shape[1]), np.take_along_axis(ids, order, 1).ravel(), np.take_along_axis(d, order, 1).ravel()]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, found)), ["query_id", "memory_id", "dist"])
+
+    near = meet(_pointing(memories, "embedding"), _pointing(queries, "query_vector"), "user_id", ("memory_id", "query_id"), (["memory_id", "embedding"], ["query_id", "query_vector"]), nearest, "query_id long, memory_id long, dist double")
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "memory_id"))).where(F.col("rank") <= k)
 
 
@@ -112,11 +142,16 @@ def memory_touch(memories: DataFrame, hits: DataFrame, now: Column) -> DataFrame
 
 
 def memory_dedup(existing: DataFrame, candidates: DataFrame, similarity: float = MEMORY_SIMILARITY) -> DataFrame:
-    """Candidates (candidate_id, user_id, embedding) without a stored memory of the user at the similarity or above."""
+    """Candidates (candidate_id, user_id, embedding) without a stored memory (memory_id, user_id, embedding) of the user at the similarity or above."""
     if similarity >= 1:
         return candidates
-    pairs = candidates.select("candidate_id", "user_id", F.col("embedding").alias("_c")).join(existing.select("user_id", F.col("embedding").alias("_e")), "user_id")
-    near = pairs.where(F.round(cosine_distance(F.col("_c"), F.col("_e")), 9) <= round(1 - similarity, 9)).select("candidate_id").distinct()
+
+    def close(mine: pa.Array, new: pa.Array) -> pa.RecordBatch:
+        d = np.round(1 - unit_vectors(new.field("embedding")) @ unit_vectors(mine.field("embedding")).T, 9)
+        return pa.RecordBatch.from_arrays([new.field("candidate_id").filter(pa.array((d <= round(1 - similarity, 9)).any(axis=1)))], ["candidate_id"])
+
+    fields = (["memory_id", "embedding"], ["candidate_id", "embedding"])
+    near = meet(_pointing(existing, "embedding"), _pointing(candidates, "embedding"), "user_id", ("memory_id", "candidate_id"), fields, close, "candidate_id long").distinct()
     return candidates.join(near, "candidate_id", "left_anti").select(*candidates.columns)
 
 
@@ -139,28 +174,52 @@ def memory_section(users: DataFrame, memories: DataFrame) -> DataFrame:
     return users.select("user_id").join(lists, "user_id", "left").select("user_id", F.coalesce(F.concat(F.lit("Known about the user:\n"), F.col("lines")), F.lit("")).alias("section"))
 
 
-def prompt_table(queries: DataFrame, context: DataFrame, history: DataFrame, sections: DataFrame, rules: str) -> DataFrame:
-    """query_id, system, messages: rules with memories and context; the history of the query's session, then the query."""
-    past = F.transform(F.array_sort(F.collect_list(F.struct("created_at", "message_id", "role", "content"))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    h = history.groupBy("session_id").agg(past.alias("past"))
-    q = queries.join(sections, "user_id", "left").join(context, "query_id", "left").join(h, "session_id", "left")
+_BLOCKS = "array<struct<type: string, mime: string, data: string, text: string>>"
+
+
+def _text_block(text: Column) -> Column:
+    return F.array(F.struct(F.lit("text").alias("type"), F.lit(None).cast("string").alias("mime"), F.lit(None).cast("string").alias("data"), text.alias("text"))).cast(_BLOCKS)
+
+
+def prompt_table(queries: DataFrame, context: DataFrame, history: DataFrame, sections: DataFrame, rules: str, attachments: DataFrame | None = None) -> DataFrame:
+    """query_id, system, messages (role, blocks): rules with memories and context; the history of the query's session, then the query.
+
+    history: as history_window gives it, so a query sees no session but its user's own. attachments:
+    query_id, seq, data (base64) of images, which come before the text of the question with their types.
+    """
+    past = F.transform(F.array_sort(F.collect_list(F.struct("created_at", "message_id", "role", "content"))), lambda m: F.struct(m["role"].alias("role"), _text_block(m["content"]).alias("blocks")))
+    h = history.groupBy("session_id", "user_id").agg(past.alias("past"))
+    q = queries.join(sections, "user_id", "left").join(context, "query_id", "left").join(h, ["session_id", "user_id"], "left")
     system = F.concat_ws("\n\n", F.nullif(F.coalesce("section", F.lit("")), F.lit("")), F.lit(rules), F.coalesce("context", F.lit("")))
-    now = F.array(F.struct(F.lit("user").alias("role"), F.col("query_text").alias("content")))
-    none = F.array().cast("array<struct<role: string, content: string>>")
+    blocks = _text_block(F.col("query_text"))
+    if attachments is not None:
+        image = F.struct(F.lit("image").alias("type"), image_type(F.col("data")).alias("mime"), F.col("data"), F.lit(None).cast("string").alias("text"))
+        images = attachments.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("seq", image.alias("block")))).alias("_images"))
+        q = q.join(images, "query_id", "left")
+        blocks = F.concat(F.coalesce(F.transform("_images", lambda x: x["block"]).cast(_BLOCKS), F.array().cast(_BLOCKS)), blocks)
+    now = F.array(F.struct(F.lit("user").alias("role"), blocks.alias("blocks")))
+    none = F.array().cast(f"array<struct<role: string, blocks: {_BLOCKS}>>")
     return q.select("query_id", system.alias("system"), F.concat(F.coalesce("past", none), now).alias("messages"))
 
 
-def flatten_messages(messages: DataFrame) -> DataFrame:
-    """message_id, content: the text blocks (type, text) of each message joined by one space, other blocks dropped."""
-    texts = F.transform(F.filter("blocks", lambda b: b["type"] == "text"), lambda b: b["text"])
-    return messages.select("message_id", F.array_join(texts, " ").alias("content"))
+def flatten_messages(prompts: DataFrame) -> DataFrame:
+    """query_id, seq, role, content of the messages of prompt_table: the system text first, then each message's text blocks joined by one space, other blocks dropped."""
+    text = lambda m: F.array_join(F.transform(F.filter(m["blocks"], lambda b: b["type"] == "text"), lambda b: b["text"]), " ")
+    first = F.array(F.struct(F.lit("system").alias("role"), F.col("system").alias("content")))
+    rest = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), text(m).alias("content")))
+    return prompts.select("query_id", F.posexplode(F.concat(first, rest)).alias("seq", "m")).select("query_id", "seq", "m.role", "m.content")
+
+
+def image_type(data: Column) -> Column:
+    """The type by the first bytes of base64 data; jpeg where nothing fits or it can't be read."""
+    head = F.hex(F.try_to_binary(F.substring(data, 1, 16), F.lit("base64")))
+    mime = F.when(head.startswith("FFD8FF"), "image/jpeg").when(head.startswith("89504E47"), "image/png").when(head.startswith("47494638"), "image/gif")
+    return mime.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image/webp").otherwise("image/jpeg")
 
 
 def attachment_types(attachments: DataFrame) -> DataFrame:
-    """attachment_id, mime from the first bytes of base64 data; jpeg where nothing fits or it can't be read."""
-    head = F.hex(F.try_to_binary(F.substring("data", 1, 16), F.lit("base64")))
-    mime = F.when(head.startswith("FFD8FF"), "image/jpeg").when(head.startswith("89504E47"), "image/png").when(head.startswith("47494638"), "image/gif").when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image/webp").otherwise("image/jpeg")
-    return attachments.select("attachment_id", mime.alias("mime"))
+    """attachment_id, mime."""
+    return attachments.select("attachment_id", image_type(F.col("data")).alias("mime"))
 
 
 def citation_json(citations: DataFrame) -> DataFrame:

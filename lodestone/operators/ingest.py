@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.vocabulary import CONVERTIBLE, DEFAULT_ORDINAL, DIRECT, LEVELS, MAX_UPLOAD_BYTES, TAGS
+from lodestone.functions.vocabulary import CONVERTIBLE, DEFAULT_ORDINAL, DIRECT, LEVELS, MAX_UPLOAD_BYTES, ROLES, TAGS
 
 
 def suffix(filename: Column) -> Column:
@@ -46,11 +46,16 @@ def admission_gate(uploads: DataFrame, stored_hashes: DataFrame | None = None) -
     return u.withColumn("reason", F.coalesce("_bad", F.when(duplicate, "duplicate"))).select(*uploads.columns, "content_hash", "reason")
 
 
-def content_hash_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, content_hash of the first document of each content; null texts never collide."""
-    h = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
-    known = h.where("content_hash is not null").groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
-    return known.select("doc_id", "content_hash").unionByName(h.where("content_hash is null"))
+def content_hash_dedup(docs: DataFrame, order: str = "doc_id", stored: DataFrame | None = None) -> DataFrame:
+    """doc_id, content_hash of the first document of each content by order, then doc_id; null texts never collide.
+
+    stored: content_hash of the documents that are held already, whatever became of them; their contents are left out.
+    """
+    h = docs.select("doc_id", F.col(order).alias("_order"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    known = h.where("content_hash is not null").groupBy("content_hash").agg(F.min(F.struct("_order", "doc_id")).alias("_first"))
+    if stored is not None:
+        known = known.join(stored.select("content_hash").distinct(), "content_hash", "left_anti")
+    return known.select("_first.doc_id", "content_hash").unionByName(h.where("content_hash is null").drop("_order"))
 
 
 def upload_name_dedup(batch: DataFrame, existing: DataFrame) -> DataFrame:
@@ -64,9 +69,21 @@ def ingest_rows(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return chunks.drop("acl_tags", "sensitivity_ordinal").join(d, "doc_id")
 
 
-def publish(rows: DataFrame, path: str) -> None:
-    """Adds chunk rows to a table partitioned by ordinal; a failed job leaves no visible row."""
-    rows.write.mode("append").partitionBy("sensitivity_ordinal").parquet(path)
+def publish(rows: DataFrame, documents: DataFrame, path: str, batch: int) -> None:
+    """Adds chunk rows and the documents (doc_id, status, ...) that they belong to, both under batch=N.
+
+    Chunks are written first and the documents are the manifest: published() shows chunks of documents that
+    are there and done, so both appear together. A batch that is run again replaces its own rows.
+    """
+    rows.write.mode("overwrite").partitionBy("sensitivity_ordinal").parquet(f"{path}/chunks/batch={batch}")
+    documents.write.mode("overwrite").parquet(f"{path}/documents/batch={batch}")
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The chunk rows of all batches whose documents are done."""
+    done = spark.read.parquet(f"{path}/documents").where("status = 'done'").select(F.col("doc_id").alias("_doc"), F.col("batch").alias("_batch"))
+    rows = spark.read.parquet(f"{path}/chunks")
+    return rows.join(done, (rows["document_id"] == done["_doc"]) & (rows["batch"] == done["_batch"]), "left_semi").drop("batch")
 
 
 def chunk_key_audit(chunks: DataFrame) -> DataFrame:
@@ -74,13 +91,19 @@ def chunk_key_audit(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("document_id", "chunk_index").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def check_audit(messages: DataFrame, documents: DataFrame) -> DataFrame:
+    """table, id, column, value of the rows that a CHECK forbids: roles other than user and assistant, levels outside the vocabulary. Null passes, as in SQL."""
+    bad = lambda df, name, id_, column, allowed: df.where(~F.col(column).isin(*allowed)).select(F.lit(name).alias("table"), F.col(id_).alias("id"), F.lit(column).alias("column"), F.col(column).alias("value"))
+    return bad(messages, "messages", "message_id", "role", ROLES).unionByName(bad(documents, "documents", "doc_id", "sensitivity_level", LEVELS))
+
+
 def finalize_documents(docs: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """doc_id, total_chunks, processed_chunks, total_pages, file_type."""
+    """doc_id, total_chunks, processed_chunks, total_pages, file_type, status and stage (null: nothing is going on) of finished documents."""
     n = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
     p = pages.groupBy("doc_id").agg(F.max("page_number").alias("total_pages"))
     s = suffix(F.col("filename"))
     total = F.coalesce("n", F.lit(0))
-    return docs.select("doc_id", F.when(s == "", "unknown").otherwise(s).alias("file_type")).join(n, "doc_id", "left").join(p, "doc_id", "left").select("doc_id", total.alias("total_chunks"), total.alias("processed_chunks"), "total_pages", "file_type")
+    return docs.select("doc_id", F.when(s == "", "unknown").otherwise(s).alias("file_type")).join(n, "doc_id", "left").join(p, "doc_id", "left").select("doc_id", total.alias("total_chunks"), total.alias("processed_chunks"), "total_pages", "file_type", F.lit("done").alias("status"), F.lit(None).cast("string").alias("stage"))
 
 
 def ingest_failures(docs: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:

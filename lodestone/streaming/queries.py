@@ -45,4 +45,4 @@ def answer_assembly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (stream_ingest, progress_latest_stream, progress_throttle_stream, answer_assembly_stream)}
 #: Queries whose rows equal those of a query over the tables at rest.
-SAME = {"progress_latest_stream": "progress_latest", "answer_assembly_stream": "answer_assembly"}
+SAME = {"progress_latest_stream": "progress_latest", "progress_throttle_stream": "progress_throttle", "answer_assembly_stream": "answer_assembly"}

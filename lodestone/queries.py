@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from lodestone.functions.text import estimate_tokens, estimate_tokens_history, s
 from lodestone.functions.vocabulary import CONVERTIBLE, DIRECT, LEVELS, TAGS
 from lodestone.operators import access, ann, catalog, chunking, cleaning, conversation, embedding, ingest, retrieval
 from lodestone.plans.hybrid import hybrid_search
+from lodestone.sources.shared import at_rest, shared_folder
 from lodestone.sources.views import duck, view
 from lodestone.streaming import queries as streams
 
@@ -20,7 +22,7 @@ ORACLES: dict[str, str] = {}
 
 
 def _with(*views: str) -> str:
-    return "WITH " + ", ".join(duck(v) for v in views) + " "
+    return "WITH RECURSIVE " + ", ".join(duck(v) for v in views) + " "
 
 
 def query(views: str, sql: str | None = None):
@@ -59,22 +61,35 @@ def admission_gate(uploads):
     return ingest.admission_gate(uploads).select("doc_id", "content_hash", "reason")
 
 
-@query("uploads", "SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM uploads GROUP BY sha256(text)")
+_STORED = "doc_id % 3 = 0 AND source IN (SELECT min(source) FROM uploads)"
+
+
+@query("uploads", f", s AS (SELECT sha256(text) AS h FROM uploads WHERE {_STORED}), o AS (SELECT doc_id, sha256(text) AS content_hash, row_number() OVER (PARTITION BY sha256(text) ORDER BY filename, doc_id) AS n FROM uploads) SELECT doc_id, content_hash FROM o WHERE n = 1 AND content_hash NOT IN (SELECT h FROM s)")
 def content_hash_dedup(uploads):
-    return ingest.content_hash_dedup(uploads)
+    """Arrival in the order of file names; the first source's every third document is stored already."""
+    first = uploads.agg(F.min("source").alias("least"))
+    stored = uploads.where("doc_id % 3 = 0").join(F.broadcast(first), F.col("source") == F.col("least")).select(F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    return ingest.content_hash_dedup(uploads, "filename", stored)
 
 
-@query("uploads", "SELECT doc_id, filename FROM uploads WHERE doc_id % 2 = 0 AND source NOT IN (SELECT source FROM uploads WHERE doc_id % 50 = 1)")
+@query("uploads", "SELECT doc_id, filename FROM uploads WHERE source NOT IN (SELECT source FROM uploads WHERE doc_id % 50 = 1)")
 def upload_name_dedup(uploads):
+    """A file is named after its source here; the names selected before are those of every fiftieth document."""
     named = uploads.withColumn("filename", F.col("source"))
-    kept = ingest.upload_name_dedup(named.where("doc_id % 2 = 0"), named.where("doc_id % 50 = 1"))
+    kept = ingest.upload_name_dedup(named, named.where("doc_id % 50 = 1"))
     return kept.select("doc_id").join(uploads.select("doc_id", "filename"), "doc_id")
 
 
-@query("chunks uploads", f"SELECT chunk_id, document_id, array_to_string(u.acl_tags, ',') AS acl_tags, {_ORDINAL.format('sensitivity_level')} AS sensitivity_ordinal FROM chunks c JOIN uploads u ON u.doc_id = c.document_id")
+@query("chunks uploads", f"SELECT chunk_id, document_id, array_to_string(u.acl_tags, ',') AS acl_tags, {_ORDINAL.format('sensitivity_level')} AS sensitivity_ordinal FROM chunks c JOIN uploads u ON u.doc_id = c.document_id WHERE c.document_id % 7 > 0")
 def ingest_sink(chunks, uploads):
-    rows = ingest.ingest_rows(chunks.withColumn("doc_id", F.col("document_id")), uploads)
-    return rows.select("chunk_id", "document_id", F.array_join("acl_tags", ",").alias("acl_tags"), "sensitivity_ordinal")
+    """Chunks are published in two batches and read back; every seventh document isn't done, so its chunks aren't visible."""
+    path = shared_folder(chunks.sparkSession, "ingest_sink")
+    status = F.when(F.col("doc_id") % 7 > 0, "done").otherwise("failed")
+    for batch in (0, 1):
+        docs = uploads.where(F.col("doc_id") % 2 == batch)
+        rows = ingest.ingest_rows(chunks.withColumn("doc_id", F.col("document_id")), docs).select("chunk_id", "document_id", "acl_tags", "sensitivity_ordinal")
+        ingest.publish(rows, docs.select("doc_id", status.alias("status")), path, batch)
+    return ingest.published(chunks.sparkSession, path).select("chunk_id", "document_id", F.array_join("acl_tags", ",").alias("acl_tags"), "sensitivity_ordinal")
 
 
 @query("chunks", "SELECT document_id % 500 AS document_id, chunk_index, count(*) AS n FROM chunks GROUP BY ALL HAVING count(*) > 1")
@@ -82,7 +97,12 @@ def chunk_key_audit(chunks):
     return ingest.chunk_key_audit(chunks.withColumn("document_id", F.col("document_id") % 500))
 
 
-@query("uploads", f"SELECT doc_id, length(text) // 500 AS total_chunks, length(text) // 500 AS processed_chunks, CASE WHEN doc_id % 5 > 0 THEN doc_id % 5 END AS total_pages, CASE WHEN {_SUFFIX} = '' THEN 'unknown' ELSE {_SUFFIX} END AS file_type FROM uploads")
+@query("messages uploads", f"SELECT 'messages' AS \"table\", message_id AS id, 'role' AS \"column\", role AS value FROM messages WHERE role NOT IN ('user', 'assistant') UNION ALL SELECT 'documents', doc_id, 'sensitivity_level', sensitivity_level FROM uploads WHERE sensitivity_level NOT IN ({_IN(LEVELS)})")
+def check_audit(messages, uploads):
+    return ingest.check_audit(messages, uploads)
+
+
+@query("uploads", f"SELECT doc_id, length(text) // 500 AS total_chunks, length(text) // 500 AS processed_chunks, CASE WHEN doc_id % 5 > 0 THEN doc_id % 5 END AS total_pages, CASE WHEN {_SUFFIX} = '' THEN 'unknown' ELSE {_SUFFIX} END AS file_type, 'done' AS status, NULL::VARCHAR AS stage FROM uploads")
 def finalize_documents(uploads):
     chunks = uploads.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 500).cast("int"))).alias("i")).where("i > 0")
     pages = uploads.select("doc_id", F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 5).cast("int"))).alias("p")).select("doc_id", F.when(F.col("p") > 0, F.col("p")).alias("page_number"))
@@ -129,9 +149,9 @@ def heading_sections(uploads):
     return cleaning.heading_sections(uploads.select("doc_id", F.array_join(marked, "\n").alias("text")))
 
 
-@query("uploads", f", w AS (SELECT doc_id // 10 AS table_id, doc_id % 10 AS row_no, list_transform(string_split(text, ' ')[1:6], lambda x: {_STRIP.format('replace(x, chr(10), chr(32))')}) AS c FROM uploads), m AS (SELECT table_id, row_no, list_filter(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN i = 1 OR c[i] <> c[i - 1] THEN c[i] END), lambda x: x IS NOT NULL) AS m FROM w), r AS (SELECT table_id, row_no, '| ' || array_to_string(m, ' | ') || ' |' || CASE WHEN row_no = 0 THEN chr(10) || '| ' || array_to_string(list_transform(m, lambda x: '---'), ' | ') || ' |' ELSE '' END AS line FROM m) SELECT table_id, string_agg(line, chr(10) ORDER BY row_no) AS text FROM r GROUP BY table_id")
+@query("uploads", f", w AS (SELECT doc_id // 10 AS table_id, doc_id % 10 AS row_no, list_transform(string_split(text, ' '), lambda x: {_STRIP.format('replace(x, chr(10), chr(32))')}) AS c FROM uploads), m AS (SELECT table_id, row_no, list_filter(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN i = 1 OR c[i] <> c[i - 1] THEN c[i] END), lambda x: x IS NOT NULL) AS m FROM w), r AS (SELECT table_id, row_no, '| ' || array_to_string(m, ' | ') || ' |' || CASE WHEN row_no = 0 THEN chr(10) || '| ' || array_to_string(list_transform(m, lambda x: '---'), ' | ') || ' |' ELSE '' END AS line FROM m) SELECT table_id, string_agg(line, chr(10) ORDER BY row_no) AS text FROM r GROUP BY table_id")
 def table_rows_markdown(uploads):
-    return cleaning.table_rows_markdown(uploads.select(F.floor(F.col("doc_id") / 10).alias("table_id"), (F.col("doc_id") % 10).alias("row_no"), F.slice(F.split("text", " "), 1, 6).alias("cells")))
+    return cleaning.table_rows_markdown(uploads.select(F.floor(F.col("doc_id") / 10).alias("table_id"), (F.col("doc_id") % 10).alias("row_no"), F.split("text", " ").alias("cells")))
 
 
 # Chunking
@@ -154,12 +174,19 @@ def split_sentences_query(chunks):
 
 
 _LIMIT, _OVERLAP, _LEAST = 120, 50, 20
-_SEGMENTS = f"p AS (SELECT chunk_id AS doc_id, list_filter(list_transform(string_split_regex(content, '\\n{{2,}}'), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS ps FROM chunks), g AS (SELECT doc_id, flatten(list_transform(ps, lambda q: CASE WHEN {_tok('q')} > {_LIMIT} THEN {_SENTENCES.format('q')} ELSE [q] END)) AS seg FROM p)"
+#: Four documents are the pages of one; the last two are a section of their own, and some pages have no number.
+_PAGES = "pg AS (SELECT chunk_id // 4 AS doc_id, (chunk_id % 4 // 2)::INT AS section_no, (chunk_id % 4)::INT AS page_seq, CASE WHEN chunk_id % 7 > 0 THEN (chunk_id % 4 + 1)::INT END AS page_number, content FROM chunks)"
+_SEGMENTS = f"{_PAGES}, p AS (SELECT doc_id, section_no, page_seq, page_number, list_filter(list_transform(string_split_regex(content, '\\n{{2,}}'), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS ps FROM pg), gp AS (SELECT doc_id, section_no, page_seq, page_number, flatten(list_transform(ps, lambda q: CASE WHEN {_tok('q')} > {_LIMIT} THEN {_SENTENCES.format('q')} ELSE [q] END)) AS seg FROM p), g AS (SELECT doc_id, section_no, flatten(list(seg ORDER BY page_seq)) AS seg, flatten(list(list_transform(seg, lambda x: page_number) ORDER BY page_seq)) AS page FROM gp GROUP BY doc_id, section_no)"
+
 
+def _sections(chunks: DataFrame) -> DataFrame:
+    n = F.col("chunk_id") % 4
+    return chunking.gather_sections(chunks.select(F.floor(F.col("chunk_id") / 4).alias("doc_id"), F.floor(n / 2).cast("int").alias("section_no"), n.cast("int").alias("page_seq"), F.when(F.col("chunk_id") % 7 > 0, (n + 1).cast("int")).alias("page_number"), "content"))
 
-@query("chunks", f", {_SEGMENTS} SELECT doc_id, unnest(range(len(seg)))::INT AS seq, unnest(seg) AS text, unnest(list_transform(seg, lambda t: {_tok('t')})) AS tok FROM g")
+
+@query("chunks", f", {_SEGMENTS} SELECT doc_id, section_no, unnest(range(len(seg)))::INT AS seq, unnest(seg) AS text, unnest(page) AS page_number, unnest(list_transform(seg, lambda t: {_tok('t')})) AS tok FROM g")
 def segments(chunks):
-    return chunking.segments(chunks.withColumn("doc_id", F.col("chunk_id")), _LIMIT)
+    return chunking.segments(_sections(chunks), _LIMIT)
 
 
 @query("page_groups", ", t AS (SELECT source AS doc_id, page_number AS page_seq, CASE WHEN doc_id % 7 < 3 THEN 'a' WHEN doc_id % 7 < 5 THEN NULL ELSE 'b' END AS section_title FROM page_groups), l AS (SELECT *, row_number() OVER w = 1 AS f, lag(section_title) OVER w AS prev FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY page_seq)) SELECT doc_id, page_seq::INT AS page_seq, section_title, sum(CASE WHEN f OR section_title IS NOT DISTINCT FROM prev THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page_seq)::BIGINT AS section_no FROM l")
@@ -170,27 +197,38 @@ def section_islands(pages):
     return chunking.section_islands(pages.select(title.alias("section_title"), F.col("source").alias("doc_id"), F.col("page_number").cast("int").alias("page_seq")))
 
 
-# Packing is a fold over each document's segments: no SQL for it at this size; tests hold it against a plain model.
+# Packing is a fold over each section's segments. f is one step: segment n is next, the window began at b and holds total tokens.
+_PACK = f""", {_SEGMENTS}, k AS (SELECT doc_id, section_no, seg, page, list_transform(seg, lambda t: {_tok('t')}) AS tk FROM g WHERE len(seg) > 0),
+f AS (SELECT doc_id, section_no, tk, 0::BIGINT AS n, 0::BIGINT AS b, 0::BIGINT AS total, -1::BIGINT AS ea, -1::BIGINT AS eb FROM k
+  UNION ALL SELECT doc_id, section_no, tk, n + 1, nb, list_sum(tk[nb + 1:n + 1])::BIGINT, CASE WHEN full_ THEN b ELSE -1 END, CASE WHEN full_ THEN n ELSE -1 END
+  FROM (SELECT *, CASE WHEN full_ THEN n - len(list_filter(range(b, n), lambda j: list_sum(tk[j + 1:n]) <= {_OVERLAP})) ELSE b END AS nb
+    FROM (SELECT *, n > b AND total + tk[n + 1] > {_LIMIT} AS full_ FROM f WHERE n < len(tk)))),
+w AS (SELECT doc_id, section_no, ea AS a, eb AS e FROM f WHERE eb >= 0 UNION ALL SELECT doc_id, section_no, b, n FROM f WHERE n = len(tk)),
+c0 AS (SELECT w.doc_id, w.section_no, (row_number() OVER (PARTITION BY w.doc_id, w.section_no ORDER BY a, e) - 1)::INT AS pos, array_to_string(seg[a + 1:e], chr(10) || chr(10)) AS content, page[a + 1] AS page_number FROM w JOIN k ON k.doc_id = w.doc_id AND k.section_no = w.section_no),
+c AS (SELECT *, {_tok('content')} AS tok FROM c0 WHERE {_tok('content')} >= {_LEAST}),
+ci AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY section_no, pos) - 1)::INT AS chunk_index FROM c)"""
+
+
 def _packed(chunks: DataFrame) -> DataFrame:
-    return chunking.chunk_pack(chunks.select(F.col("chunk_id").alias("doc_id"), F.lit(0).alias("section_no"), "content"), _LIMIT, _OVERLAP, _LEAST)
+    return chunking.chunk_pack(_sections(chunks), _LIMIT, _OVERLAP, _LEAST)
 
 
-@query("chunks")
+@query("chunks", _PACK + " SELECT doc_id, section_no, pos, content, page_number, tok FROM c")
 def chunk_pack(chunks):
-    return _packed(chunks).drop("section_no")
+    return _packed(chunks)
 
 
-@query("chunks")
+@query("chunks", _PACK + " SELECT doc_id, section_no, pos, chunk_index FROM ci")
 def chunk_index(chunks):
-    return chunking.chunk_index(_packed(chunks)).select("doc_id", "pos", "chunk_index")
+    return chunking.chunk_index(_packed(chunks)).select("doc_id", "section_no", "pos", "chunk_index")
 
 
-@query("chunks")
+@query("chunks", _PACK + " SELECT doc_id, count(*) AS n, sum(length(content))::BIGINT AS char_count, sum(tok)::BIGINT AS estimated_tokens FROM c GROUP BY doc_id")
 def chunk_metadata(chunks):
     return chunking.chunk_metadata(_packed(chunks)).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("metadata.char_count").alias("char_count"), F.sum("metadata.estimated_tokens").alias("estimated_tokens"))
 
 
-@query("chunks")
+@query("chunks", _PACK + " SELECT doc_id, content, chunk_index FROM ci WHERE chunk_index < 10")
 def chunk_preview(chunks):
     return chunking.chunk_preview(chunking.chunk_index(_packed(chunks))).select("doc_id", "content", "chunk_index")
 
@@ -207,11 +245,20 @@ def embedding_qc(chunks):
 
 
 # Retrieval
-@query("chunks users", "SELECT user_id, chunk_id FROM users JOIN chunks ON list_has_any(acl_tags, permission_tags) AND sensitivity_ordinal <= clearance_level")
+_MASK = "list_sum(list_transform({0}, lambda t: CASE t " + " ".join(f"WHEN '{t}' THEN {1 << i}" for i, t in enumerate(TAGS)) + " ELSE 0 END))::BIGINT"
+_GROUPS = f", gr AS (SELECT user_id, permission_tags, clearance_level, ({_MASK.format('permission_tags')} * 4 + clearance_level)::INT AS acl_group FROM users WHERE len(permission_tags) > 0)"
+
+
+@query("chunks users", _GROUPS + " SELECT DISTINCT acl_group, chunk_id FROM (SELECT DISTINCT acl_group, permission_tags, clearance_level FROM gr) JOIN chunks ON list_has_any(acl_tags, permission_tags) AND sensitivity_ordinal <= clearance_level")
 def acl_filter(chunks, users):
     return access.acl_filter(chunks, users)
 
 
+@query("users", _GROUPS + " SELECT user_id, acl_group FROM gr")
+def acl_members(users):
+    return access.acl_members(users)
+
+
 @query("chunks users", "SELECT user_id, sensitivity_ordinal, count(*) AS n_chunks FROM users JOIN chunks ON list_has_any(acl_tags, permission_tags) AND sensitivity_ordinal <= clearance_level GROUP BY ALL")
 def visibility_matrix(chunks, users):
     return access.visibility_matrix(chunks, users)
@@ -261,16 +308,14 @@ def hybrid_search_query(queries, users, chunks):
 _TOKENS = "regexp_extract_all(lower({0}), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')"
 
 
-@query("queries chunks", f", q AS (SELECT query_id, {_TOKENS.format('query_text')}[1:2] AS t FROM queries), c AS (SELECT chunk_id, {_TOKENS.format('content')} AS t FROM chunks) SELECT query_id, chunk_id FROM q JOIN c ON list_has_all(c.t, q.t) WHERE len(q.t) > 0")
+@query("queries chunks", f", q AS MATERIALIZED (SELECT query_id, list_distinct({_TOKENS.format('query_text')}) AS t FROM queries), c AS MATERIALIZED (SELECT chunk_id, {_TOKENS.format('content')} AS t FROM chunks) SELECT query_id, chunk_id FROM q JOIN c ON list_has_all(c.t, q.t) WHERE len(q.t) > 0")
 def token_match(queries, chunks):
-    """Queries are the first two tokens of each query text, so that some chunks have them all."""
-    two = F.array_join(F.slice(F.regexp_extract_all(F.lower("query_text"), F.lit("[a-z0-9\\x{80}-\\x{10FFFF}]+"), 0), 1, 2), " ")
-    return retrieval.token_match(queries.withColumn("query_text", two), chunks)
+    return retrieval.token_match(queries, chunks)
 
 
-def _reranked(queries, users, chunks, scorer):
+def _reranked(queries, users, chunks):
     found = hybrid_search(queries, users, chunks).join(queries.select("query_id", "query_text"), "query_id").join(chunks.select("chunk_id", "content"), "chunk_id")
-    return retrieval.rerank(found.select("query_id", "chunk_id", "rank", "query_text", "content"), scorer)
+    return retrieval.rerank(found.select("query_id", "chunk_id", "rank", "query_text", "content"), retrieval.trigram_scorer)
 
 
 _RERANK = _HYBRID + f", rr AS (SELECT query_id, chunk_id, rank, len(list_intersect({_TRI.format('query_text')}, {_TRI.format('content')})) / len(list_distinct(list_concat({_TRI.format('query_text')}, {_TRI.format('content')}))) AS rerank_score FROM hy JOIN queries USING (query_id) JOIN chunks USING (chunk_id)), tk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rerank_score, 9) DESC, rank)::INT AS final_rank FROM rr QUALIFY final_rank <= 5)"
@@ -278,52 +323,56 @@ _RERANK = _HYBRID + f", rr AS (SELECT query_id, chunk_id, rank, len(list_interse
 
 @query("queries users chunks", _RERANK + " SELECT query_id, chunk_id, rank, round(rerank_score, 6) AS rerank_score FROM rr")
 def rerank(queries, users, chunks):
-    return _reranked(queries, users, chunks, "trigram").select("query_id", "chunk_id", "rank", F.round("rerank_score", 6).alias("rerank_score"))
+    return _reranked(queries, users, chunks).select("query_id", "chunk_id", "rank", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 @query("queries users chunks", _RERANK + " SELECT query_id, chunk_id, final_rank, round(rerank_score, 6) AS rerank_score FROM tk")
 def ranked_topk(queries, users, chunks):
-    return retrieval.ranked_topk(_reranked(queries, users, chunks, "trigram")).select("query_id", "chunk_id", "final_rank", F.round("rerank_score", 6).alias("rerank_score"))
+    return retrieval.ranked_topk(_reranked(queries, users, chunks)).select("query_id", "chunk_id", "final_rank", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 @query("queries users chunks", _RERANK + " SELECT query_id, round(best, 6) AS best, CASE WHEN coalesce(best < 0.3, true) THEN 'no_relevant_content' ELSE 'answer' END AS finish_reason FROM queries LEFT JOIN (SELECT query_id, max(rerank_score) AS best FROM tk GROUP BY query_id) b USING (query_id)")
 def relevance_gate(queries, users, chunks):
-    ranked = retrieval.ranked_topk(_reranked(queries, users, chunks, "trigram"))
+    ranked = retrieval.ranked_topk(_reranked(queries, users, chunks))
     return retrieval.relevance_gate(queries, ranked, 0.3).withColumn("best", F.round("best", 6))
 
 
 @query("queries users chunks", _RERANK + " SELECT CASE WHEN rerank_score > 0.6 THEN 'high' WHEN rerank_score > 0.35 THEN 'mid' ELSE 'low' END AS band, count(*) AS n FROM rr GROUP BY band")
 def score_bands(queries, users, chunks):
-    return retrieval.score_bands(_reranked(queries, users, chunks, "trigram"), "rerank_score")
+    return retrieval.score_bands(_reranked(queries, users, chunks), "rerank_score")
 
 
 # Contexts and citations
-_RANKED = ", rk AS (SELECT source AS s, chunk_id, row_number() OVER (PARTITION BY chunk_id % 40 ORDER BY chunk_id)::INT AS rank, chunk_id % 40 AS query_id, CASE WHEN chunk_id % 3 > 0 THEN chunk_id % 9 END AS page_number, CASE WHEN chunk_id % 4 = 0 THEN source END AS section_title, content FROM chunks QUALIFY rank <= 5)"
+_RANKED = _HYBRID + ", rk AS (SELECT query_id, rank, chunk_id, source AS s, CASE WHEN chunk_id % 3 > 0 THEN chunk_id % 9 END AS page_number, CASE WHEN chunk_id % 4 = 0 THEN source END AS section_title, content FROM hy JOIN chunks USING (chunk_id) WHERE rank <= 5)"
 
 
-def _ranked(chunks: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
+def _ranked(queries: DataFrame, users: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The five best chunks of every query by hybrid search, as contexts show them."""
+    best = at_rest(hybrid_search(queries, users, chunks).where("rank <= 5").select("query_id", "rank", "chunk_id"), "ranked")
+    shown = chunks.select("chunk_id", "source", F.when(F.col("chunk_id") % 3 > 0, F.col("chunk_id") % 9).alias("page_number"), F.when(F.col("chunk_id") % 4 == 0, F.col("source")).alias("section_title"), "content")
+    return best.join(shown, "chunk_id")
 
-    rank = F.row_number().over(Window.partitionBy(F.col("chunk_id") % 40).orderBy("chunk_id"))
-    return chunks.select("source", "chunk_id", rank.alias("rank"), (F.col("chunk_id") % 40).alias("query_id"), F.when(F.col("chunk_id") % 3 > 0, F.col("chunk_id") % 9).alias("page_number"), F.when(F.col("chunk_id") % 4 == 0, F.col("source")).alias("section_title"), "content").where("rank <= 5")
 
+_CONTEXT = f"SELECT query_id, string_agg('[' || rank || '] 📄 ' || s || '  第 ' || coalesce(page_number::VARCHAR, '—') || ' 页' || coalesce('  §' || section_title, '') || chr(10) || {_STRIP.format('content')}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM rk GROUP BY query_id"
 
-@query("chunks", _RANKED + f" SELECT query_id, string_agg('[' || rank || '] 📄 ' || s || '  第 ' || coalesce(page_number::VARCHAR, '—') || ' 页' || coalesce('  §' || section_title, '') || chr(10) || {_STRIP.format('content')}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM rk GROUP BY query_id")
-def context_assembly(chunks):
-    return conversation.context_assembly(_ranked(chunks))
+
+@query("queries users chunks", _RANKED + " " + _CONTEXT)
+def context_assembly(queries, users, chunks):
+    return conversation.context_assembly(_ranked(queries, users, chunks))
 
 
 _CITED = _RANKED + ", m AS (SELECT answer_id, query_id, list_transform(regexp_extract_all(answer, '\\[(\\d{1,2})\\]', 1), lambda x: x::INT) AS ms FROM answers), x AS (SELECT answer_id, query_id, unnest(range(len(ms))) AS pos, unnest(ms) AS marker FROM m), y AS (SELECT answer_id, query_id, marker, min(pos) AS pos FROM x GROUP BY ALL), cited AS (SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY pos)::INT AS ord, marker, chunk_id FROM y JOIN rk ON rk.query_id = y.query_id AND rk.rank = y.marker)"
 
 
-@query("answers chunks", _CITED + " SELECT * FROM cited")
-def extract_citations(answers, chunks):
-    return conversation.extract_citations(answers, _ranked(chunks))
+@query("answers queries users chunks", _CITED + " SELECT * FROM cited")
+def extract_citations(answers, queries, users, chunks):
+    return conversation.extract_citations(answers, _ranked(queries, users, chunks))
 
 
-@query("answers chunks", _CITED + " SELECT chunk_id, count(*) AS n_citations, count(DISTINCT answer_id) AS n_answers FROM cited GROUP BY chunk_id")
-def citation_usage(answers, chunks):
-    return conversation.citation_usage(conversation.extract_citations(answers, _ranked(chunks)))
+@query("answers queries users chunks", _CITED + ", gv AS (SELECT chunk_id, count(DISTINCT answer_id) AS n_retrieved FROM answers JOIN rk USING (query_id) GROUP BY chunk_id), us AS (SELECT chunk_id, count(*) AS n_citations, count(DISTINCT answer_id) AS n_answers FROM cited GROUP BY chunk_id) SELECT chunk_id, coalesce(n_citations, 0) AS n_citations, coalesce(n_answers, 0) AS n_answers, coalesce(n_retrieved, 0) AS n_retrieved FROM us FULL JOIN gv USING (chunk_id)")
+def citation_usage(answers, queries, users, chunks):
+    ranked = at_rest(_ranked(queries, users, chunks).select("query_id", "rank", "chunk_id"), "given")
+    return conversation.citation_usage(conversation.extract_citations(answers, ranked), answers.select("answer_id", "query_id").join(ranked, "query_id").select("answer_id", "chunk_id"))
 
 
 @query("messages", "SELECT session_id AS key, string_agg('event: ' || role || chr(10) || 'data: ' || to_json(content) || chr(10) || chr(10), '' ORDER BY message_id) AS text FROM messages GROUP BY session_id")
@@ -332,10 +381,15 @@ def frames_encode(messages):
     return conversation.frames_encode(events)
 
 
-@query("messages", "SELECT session_id AS key, (row_number() OVER (PARTITION BY session_id ORDER BY message_id) - 1)::INT AS seq, role AS type, length(content)::VARCHAR AS data FROM messages")
+_DATA = "CASE message_id % 4 WHEN 0 THEN to_json(content)::VARCHAR WHEN 1 THEN '{\"text\":' || to_json(content)::VARCHAR || '}' WHEN 2 THEN '{bad ' || role ELSE length(content)::VARCHAR END"
+
+
+@query("messages", f", d AS (SELECT session_id AS key, (row_number() OVER (PARTITION BY session_id ORDER BY message_id) - 1)::INT AS seq, role AS type, {_DATA} AS data FROM messages) SELECT * FROM d WHERE json_valid(data)")
 def frames_parse(messages):
-    events = messages.select(F.col("session_id").alias("key"), F.col("message_id").alias("seq"), F.col("role").alias("type"), F.length("content").cast("string").alias("data"))
-    return conversation.frames_parse(conversation.frames_encode(events))
+    """Data of several kinds over the whole texts; a quarter of the frames is no JSON."""
+    n, text = F.col("message_id") % 4, F.regexp_extract(F.to_json(F.struct("content")), "(?s)^\\{\"content\":(.*)\\}$", 1)
+    data = F.when(n == 0, text).when(n == 1, F.concat(F.lit('{"text":'), text, F.lit("}"))).when(n == 2, F.concat(F.lit("{bad "), F.col("role"))).otherwise(F.length("content").cast("string"))
+    return conversation.frames_parse(conversation.frames_encode(messages.select(F.col("session_id").alias("key"), F.col("message_id").alias("seq"), F.col("role").alias("type"), data.alias("data"))))
 
 
 @query("messages", ", e AS (SELECT session_id AS key, message_id AS seq, CASE role WHEN 'assistant' THEN 'token' WHEN 'user' THEN 'citation' ELSE 'error' END AS type, content AS data FROM messages), a AS (SELECT key, coalesce(string_agg(CASE WHEN type = 'token' THEN data END, '' ORDER BY seq), '') AS c, arg_max(CASE WHEN type = 'citation' THEN data END, CASE WHEN type = 'citation' THEN seq END) AS citations, bool_or(type = 'error') AS failed FROM e GROUP BY key) SELECT key, CASE WHEN failed THEN c || ' [interrupted]' ELSE c END AS content, citations, NULL::VARCHAR AS finish_reason FROM a WHERE c <> '' OR failed OR citations IS NOT NULL")
@@ -345,9 +399,20 @@ def answer_assembly(messages):
 
 
 # Histories and memories
-@query("messages", ", t AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, message_id DESC) AS n, greatest(1, length(content) // 4) AS tok FROM messages), s AS (SELECT *, sum(tok) OVER (PARTITION BY session_id ORDER BY n) AS total FROM t WHERE n <= 10) SELECT session_id, message_id FROM s WHERE total <= 1500")
-def history_window(messages):
-    return conversation.history_window(messages).select("session_id", "message_id")
+#: Every session is asked for by its own user, and every third by another one, who gets nothing.
+_ASKED = "rq AS (SELECT session_id, user_id FROM sessions UNION ALL SELECT session_id, user_id + 1 FROM sessions WHERE session_id % 3 = 0)"
+_HISTORY = f", {_ASKED}, t AS (SELECT m.*, user_id, row_number() OVER (PARTITION BY session_id ORDER BY m.created_at DESC, message_id DESC) AS n, greatest(1, length(content) // 4) AS tok FROM messages m JOIN (SELECT * FROM rq INTERSECT SELECT session_id, user_id FROM sessions) USING (session_id)), hs AS (SELECT *, sum(tok) OVER (PARTITION BY session_id ORDER BY n) AS total FROM t WHERE n <= 10), hw AS (SELECT * FROM hs WHERE total <= 1500)"
+
+
+def _history(messages: DataFrame, sessions: DataFrame) -> DataFrame:
+    pairs = sessions.select("session_id", "user_id")
+    requests = pairs.unionByName(pairs.where("session_id % 3 = 0").withColumn("user_id", F.col("user_id") + 1))
+    return conversation.history_window(messages, sessions, requests)
+
+
+@query("messages sessions", _HISTORY + " SELECT session_id, user_id, message_id FROM hw")
+def history_window(messages, sessions):
+    return _history(messages, sessions).select("session_id", "user_id", "message_id")
 
 
 @query("messages", ", t AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, message_id DESC) AS n FROM messages) SELECT session_id, string_agg(CASE WHEN role = 'user' THEN '用户: ' ELSE '助手: ' END || content, chr(10) ORDER BY n DESC) || chr(10) || 'next' AS prompt FROM t WHERE n <= 4 GROUP BY session_id")
@@ -361,10 +426,13 @@ def condense_fallback(queries):
     return conversation.condense_fallback(queries, rewrites)
 
 
-@query("messages", ", u AS (SELECT message_id, content FROM messages WHERE role = 'user' AND length(" + _STRIP.format("content") + ") >= 15) SELECT message_id, 0 AS ord, " + _STRIP.format("substr(content, 1, 12)") + " AS content FROM u WHERE message_id % 3 < 2 AND " + _STRIP.format("substr(content, 1, 12)") + " <> ''")
+@query("messages", ", u AS (SELECT message_id, " + _STRIP.format("content") + " AS content FROM messages WHERE role = 'user' AND length(" + _STRIP.format("content") + ") >= 15), i AS (SELECT message_id, unnest([0, 1]) AS ord, unnest([substr(content, 1, 100), 'second']) AS content FROM u WHERE message_id % 4 < 2) SELECT * FROM i")
 def memory_candidates(messages):
-    body = F.to_json(F.array(F.substring("content", 1, 12), F.lit(" ")))
-    output = F.when(F.col("message_id") % 3 == 0, body).when(F.col("message_id") % 3 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise("not json")
+    """Model output made of the whole messages: lists with blanks, numbers, null and objects among the strings, in code fences, and no JSON."""
+    n = F.col("message_id") % 4
+    text = F.regexp_extract(F.to_json(F.struct("content")), "(?s)^\\{\"content\":(.*)\\}$", 1)
+    body = F.concat(F.lit('["  ", 1, '), text, F.lit(', null, {"x": 2}, true, ["y"], " second "]'))
+    output = F.when(n == 0, body).when(n == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(n == 2, F.concat(text, F.lit(" {"))).otherwise(text)
     return conversation.memory_candidates(conversation.memory_sources(messages).select("message_id", output.alias("output")))
 
 
@@ -412,27 +480,42 @@ def session_titles(messages):
     return catalog.session_titles(messages)
 
 
-@query("sessions messages", "SELECT session_id, count(*) AS n FROM messages WHERE session_id % 5 <> 2 GROUP BY session_id")
-def cascade_delete(sessions, messages):
-    _, left = catalog.cascade_delete(sessions, messages, sessions.where("session_id % 5 = 2"), "session_id")
-    return left.groupBy("session_id").agg(F.count("*").alias("n"))
+@query("users sessions messages memories phrases uploads", ", g AS (SELECT user_id FROM users WHERE user_id % 5 = 2), s AS (SELECT session_id, user_id FROM sessions WHERE user_id NOT IN (FROM g)), d AS (SELECT doc_id, doc_id % 15 AS uploaded_by FROM uploads) SELECT 'users' AS \"table\", user_id AS id, NULL::BIGINT AS owner FROM users WHERE user_id NOT IN (FROM g) UNION ALL SELECT 'sessions', session_id, user_id FROM s UNION ALL SELECT 'messages', message_id, session_id FROM messages WHERE session_id IN (SELECT session_id FROM s) UNION ALL SELECT 'memories', memory_id, user_id FROM memories WHERE user_id NOT IN (FROM g) UNION ALL SELECT 'phrases', phrase_id, user_id FROM phrases WHERE user_id NOT IN (FROM g) UNION ALL SELECT 'documents', doc_id, CASE WHEN uploaded_by NOT IN (FROM g) THEN uploaded_by END FROM d")
+def cascade_delete(users, sessions, messages, memories, phrases, uploads):
+    """Every fifth user goes, with all that is theirs; their documents stay without an owner."""
+    tables = {"users": users, "sessions": sessions, "messages": messages, "memories": memories, "phrases": phrases, "documents": uploads.withColumn("uploaded_by", F.col("doc_id") % 15)}
+    left = catalog.delete_users(users.where("user_id % 5 = 2"), tables)
+    owner = {"users": (F.col("user_id"), F.lit(None).cast("long")), "sessions": (F.col("session_id"), F.col("user_id")), "messages": (F.col("message_id"), F.col("session_id")), "memories": (F.col("memory_id"), F.col("user_id")), "phrases": (F.col("phrase_id"), F.col("user_id")), "documents": (F.col("doc_id"), F.col("uploaded_by"))}
+    rows = [left[name].select(F.lit(name).alias("table"), a.cast("long").alias("id"), b.cast("long").alias("owner")) for name, (a, b) in owner.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
-@query("uploads", "SELECT doc_id, filename FROM uploads ORDER BY doc_id DESC LIMIT 20 OFFSET 40")
+@query("uploads", "SELECT doc_id, filename, (SELECT count(*) FROM uploads) AS total FROM uploads ORDER BY doc_id % 97 DESC, doc_id DESC LIMIT 20 OFFSET 40")
 def documents_page(uploads):
-    return catalog.documents_page(uploads, 3, 20).select("doc_id", "filename")
+    """Creation times are the same for many documents here."""
+    return catalog.documents_page(uploads.withColumn("created_at", F.timestamp_seconds(F.col("doc_id") % 97)), 3, 20).select("doc_id", "filename", "total")
 
 
 _PATCH = "CASE WHEN doc_id % 5 = 0 THEN ['hr'] WHEN doc_id % 5 = 1 THEN CAST([] AS VARCHAR[]) WHEN doc_id % 5 = 2 THEN ['nobody'] END"
+_PATCHED = f", p AS (SELECT *, {_PATCH} AS nt, CASE WHEN doc_id % 5 = 3 THEN 'public' END AS nl, CASE WHEN doc_id % 11 = 0 THEN 'processing' ELSE 'done' END AS status FROM uploads WHERE doc_id % 2 = 0), o AS (SELECT *, CASE WHEN status = 'processing' THEN 'processing' WHEN nt IS NULL AND nl IS NULL THEN 'nothing' WHEN len(nt) = 0 THEN 'empty_tags' WHEN list_contains(nt, 'nobody') THEN 'unknown_value' ELSE 'applied' END AS outcome FROM p), pp AS (SELECT doc_id, CASE WHEN outcome = 'applied' THEN coalesce(nt, acl_tags) ELSE acl_tags END AS tags, CASE WHEN outcome = 'applied' THEN coalesce(nl, sensitivity_level) ELSE sensitivity_level END AS level, outcome FROM o)"
 
 
-@query("uploads", f", p AS (SELECT *, {_PATCH} AS nt, CASE WHEN doc_id % 5 = 3 THEN 'public' END AS nl, CASE WHEN doc_id % 11 = 0 THEN 'processing' ELSE 'done' END AS status FROM uploads WHERE doc_id % 2 = 0), o AS (SELECT *, CASE WHEN status = 'processing' THEN 'processing' WHEN nt IS NULL AND nl IS NULL THEN 'nothing' WHEN len(nt) = 0 THEN 'empty_tags' WHEN list_contains(nt, 'nobody') THEN 'unknown_value' ELSE 'applied' END AS outcome FROM p) SELECT doc_id, array_to_string(CASE WHEN outcome = 'applied' THEN coalesce(nt, acl_tags) ELSE acl_tags END, ',') AS acl_tags, CASE WHEN outcome = 'applied' THEN coalesce(nl, sensitivity_level) ELSE sensitivity_level END AS sensitivity_level, outcome FROM o")
-def permission_patch(uploads):
+def _patched(uploads: DataFrame) -> DataFrame:
     n = F.col("doc_id") % 5
     tags = F.when(n == 0, F.array(F.lit("hr"))).when(n == 1, F.array().cast("array<string>")).when(n == 2, F.array(F.lit("nobody")))
     patches = uploads.where("doc_id % 2 = 0").select("doc_id", tags.alias("acl_tags"), F.when(n == 3, "public").alias("sensitivity_level"))
-    docs = uploads.withColumn("status", F.when(F.col("doc_id") % 11 == 0, "processing").otherwise("done"))
-    return catalog.permission_patch(docs, patches).withColumn("acl_tags", F.array_join("acl_tags", ","))
+    return catalog.permission_patch(uploads.withColumn("status", F.when(F.col("doc_id") % 11 == 0, "processing").otherwise("done")), patches)
+
+
+@query("uploads", _PATCHED + " SELECT doc_id, array_to_string(tags, ',') AS acl_tags, level AS sensitivity_level, outcome FROM pp")
+def permission_patch(uploads):
+    return _patched(uploads).withColumn("acl_tags", F.array_join("acl_tags", ","))
+
+
+@query("uploads chunks", _PATCHED + f" SELECT chunk_id, array_to_string(CASE WHEN outcome = 'applied' THEN tags ELSE acl_tags END, ',') AS acl_tags, CASE WHEN outcome = 'applied' THEN {_ORDINAL.format('level')} ELSE sensitivity_ordinal END AS sensitivity_ordinal FROM chunks LEFT JOIN pp ON doc_id = document_id")
+def permission_patch_chunks(uploads, chunks):
+    """The chunks that retrieval reads after the patches of permission_patch."""
+    return catalog.patch_chunks(chunks, _patched(uploads)).select("chunk_id", F.array_join("acl_tags", ",").alias("acl_tags"), "sensitivity_ordinal")
 
 
 @query("uploads chunks", f"SELECT chunk_id, document_id FROM chunks c JOIN uploads u ON u.doc_id = c.document_id WHERE list_sort(c.acl_tags) <> list_sort(u.acl_tags) OR c.sensitivity_ordinal <> {_ORDINAL.format('sensitivity_level')}")
@@ -450,10 +533,12 @@ def backfill_users(users):
     return catalog.backfill_users(users).select("user_id", F.array_join("permission_tags", ",").alias("permission_tags"), "clearance_level")
 
 
-@query("users", "SELECT user_id FROM users WHERE user_id % 4 = 0 OR (user_id % 4 = 1 AND len(permission_tags) = 0)")
+@query("users", "SELECT user_id FROM users WHERE user_id % 6 = 0 OR (user_id % 6 = 1 AND len(permission_tags) = 0) OR user_id % 6 IN (2, 3)")
 def permission_diff(users):
-    n = F.col("user_id") % 4
-    drafts = users.withColumn("clearance_level", F.when(n == 0, F.col("clearance_level") + 1).otherwise(F.col("clearance_level"))).withColumn("permission_tags", F.when((n == 1) & (F.size("permission_tags") == 0), F.array(F.lit("hr"))).otherwise(F.reverse("permission_tags")))
+    """Drafts change the clearance, the tags, is_admin, is_active, the order of tags or nothing."""
+    n = F.col("user_id") % 6
+    tags = F.when((n == 1) & (F.size("permission_tags") == 0), F.array(F.lit("hr"))).when(n == 4, F.reverse("permission_tags")).otherwise(F.col("permission_tags"))
+    drafts = users.select("user_id", tags.alias("permission_tags"), F.when(n == 0, F.col("clearance_level") + 1).otherwise(F.col("clearance_level")).alias("clearance_level"), F.when(n == 2, ~F.col("is_admin")).otherwise(F.col("is_admin")).alias("is_admin"), F.when(n == 3, ~F.col("is_active")).otherwise(F.col("is_active")).alias("is_active"))
     return catalog.permission_diff(users, drafts)
 
 
@@ -462,10 +547,10 @@ def users_list(users):
     return catalog.users_list(users)
 
 
-@query("users", ", o AS (SELECT *, CASE WHEN user_id % 4 = 1 THEN 'unknown_value' WHEN user_id = 0 THEN 'self_demotion' ELSE 'applied' END AS outcome FROM users) SELECT user_id, array_to_string(CASE WHEN outcome = 'applied' AND user_id % 4 = 2 THEN ['hr'] ELSE permission_tags END, ',') AS permission_tags, clearance_level, CASE WHEN outcome = 'applied' THEN false ELSE is_admin END AS is_admin, outcome FROM o")
+@query("users", ", o AS (SELECT *, CASE WHEN user_id % 4 = 1 THEN 'unknown_value' WHEN user_id = 0 THEN 'self_demotion' ELSE 'applied' END AS outcome FROM users) SELECT user_id, array_to_string(CASE WHEN outcome = 'applied' AND user_id % 4 = 2 THEN ['hr'] ELSE permission_tags END, ',') AS permission_tags, clearance_level, CASE WHEN outcome = 'applied' THEN false ELSE is_admin END AS is_admin, CASE WHEN outcome = 'applied' AND user_id % 4 = 3 THEN NOT is_active ELSE is_active END AS is_active, outcome FROM o")
 def user_patch(users):
     n = F.col("user_id") % 4
-    patches = users.select("user_id", F.when(n == 1, F.array(F.lit("x"))).when(n == 2, F.array(F.lit("hr"))).alias("permission_tags"), F.lit(None).cast("int").alias("clearance_level"), F.lit(False).alias("is_admin"))
+    patches = users.select("user_id", F.when(n == 1, F.array(F.lit("x"))).when(n == 2, F.array(F.lit("hr"))).alias("permission_tags"), F.lit(None).cast("int").alias("clearance_level"), F.lit(False).alias("is_admin"), F.when(n.isin(1, 3), ~F.col("is_active")).alias("is_active"))
     return catalog.user_patch(users, patches, 0).withColumn("permission_tags", F.array_join("permission_tags", ","))
 
 
@@ -494,7 +579,7 @@ def phrases_append(phrases):
 
 @query("uploads", "SELECT doc_id, filename FROM uploads WHERE doc_id % 6 <> 0")
 def visible_docs(uploads):
-    return uploads.join(uploads.where("doc_id % 6 = 0").select("doc_id"), "doc_id", "left_anti").select("doc_id", "filename")
+    return catalog.visible_docs(uploads, uploads.where("doc_id % 6 = 0")).select("doc_id", "filename")
 
 
 # Progress
@@ -524,34 +609,55 @@ def memory_section(users, memories):
     return conversation.memory_section(users, memories)
 
 
-@query("queries users memories messages chunks", _RANKED + f", cx AS (SELECT query_id, string_agg('[' || rank || '] 📄 ' || s || '  第 ' || coalesce(page_number::VARCHAR, '—') || ' 页' || coalesce('  §' || section_title, '') || chr(10) || {_STRIP.format('content')}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM rk GROUP BY query_id), ms AS (SELECT q.query_id, count(m.message_id) + 1 AS n FROM queries q LEFT JOIN messages m ON m.session_id = q.query_id GROUP BY q.query_id), sy AS (SELECT query_id, CASE WHEN u.user_id IS NULL THEN '' ELSE {_MEMORY.format('q.user_id')} END AS section, context FROM queries q LEFT JOIN users u USING (user_id) LEFT JOIN cx USING (query_id)) SELECT query_id, CASE WHEN section = '' THEN '' ELSE section || chr(10) || chr(10) END || 'Answer from the sources.' || chr(10) || chr(10) || coalesce(context, '') AS system, n FROM sy JOIN ms USING (query_id)")
-def prompt_table(queries, users, memories, messages, chunks):
-    q = queries.withColumn("session_id", F.col("query_id"))
-    table = conversation.prompt_table(q, conversation.context_assembly(_ranked(chunks)), messages, conversation.memory_section(users, memories), "Answer from the sources.")
-    return table.select("query_id", "system", F.size("messages").cast("long").alias("n"))
+#: A query continues the session of its own number; every fourth query has two images, made of the bytes of a magic number and the query itself.
+_PROMPT = _RANKED + _HISTORY + f""", cx AS ({_CONTEXT}), sy AS (SELECT q.query_id, q.user_id, query_text, CASE WHEN u.user_id IS NULL THEN '' ELSE {_MEMORY.format('q.user_id')} END AS section, context FROM queries q LEFT JOIN users u USING (user_id) LEFT JOIN cx USING (query_id)),
+pr AS (SELECT query_id, CASE WHEN section = '' THEN '' ELSE section || chr(10) || chr(10) END || 'Answer from the sources.' || chr(10) || chr(10) || coalesce(context, '') AS system FROM sy),
+ms AS (SELECT q.query_id, (row_number() OVER (PARTITION BY q.query_id ORDER BY h.created_at, message_id) - 1)::INT AS seq, role, content AS text, CAST([] AS VARCHAR[]) AS images FROM queries q JOIN hw h ON h.session_id = q.query_id AND h.user_id = q.user_id
+  UNION ALL SELECT query_id, (SELECT count(*) FROM hw WHERE session_id = query_id AND hw.user_id = q.user_id)::INT, 'user', query_text, CASE WHEN query_id % 4 = 0 THEN ['image/png', 'image/gif'] ELSE CAST([] AS VARCHAR[]) END FROM queries q)"""
+
+
+def _prompts(queries, users, memories, messages, sessions, chunks):
+    asked = queries.withColumn("session_id", F.col("query_id"))
+    image = lambda seq, magic: queries.where("query_id % 4 = 0").select("query_id", F.lit(seq).alias("seq"), F.base64(F.concat(F.unhex(F.lit(magic)), F.col("query_text").cast("binary"))).alias("data"))
+    images = image(1, "474946383961").unionByName(image(0, "89504E470D0A1A0A"))
+    return conversation.prompt_table(asked, conversation.context_assembly(_ranked(queries, users, chunks)), _history(messages, sessions), conversation.memory_section(users, memories), "Answer from the sources.", images)
 
 
-@query("messages", "SELECT message_id, content || ' ' || role AS content FROM messages")
-def flatten_messages(messages):
-    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
-    return conversation.flatten_messages(messages.select("message_id", F.array(block("text", F.col("content")), block("image", F.lit("x")), block("text", F.col("role"))).alias("blocks")))
+@query("queries users memories messages sessions chunks", _PROMPT + " SELECT query_id, seq, role, text, array_to_string(images, ',') AS images, system FROM ms JOIN pr USING (query_id)")
+def prompt_table(queries, users, memories, messages, sessions, chunks):
+    """Every message with its place, role, text and the types of its images."""
+    table = _prompts(queries, users, memories, messages, sessions, chunks)
+    rows = table.select("query_id", "system", F.posexplode("messages").alias("seq", "m"))
+    text = F.array_join(F.transform(F.filter("m.blocks", lambda b: b["type"] == "text"), lambda b: b["text"]), "")
+    images = F.array_join(F.transform(F.filter("m.blocks", lambda b: (b["type"] == "image") & b["data"].isNotNull()), lambda b: b["mime"]), ",")
+    return rows.select("query_id", "seq", F.col("m.role").alias("role"), text.alias("text"), images.alias("images"), "system")
+
+
+@query("queries users memories messages sessions chunks", _PROMPT + " SELECT query_id, 0 AS seq, 'system' AS role, system AS content FROM pr UNION ALL SELECT query_id, seq + 1, role, text FROM ms")
+def flatten_messages(queries, users, memories, messages, sessions, chunks):
+    return conversation.flatten_messages(_prompts(queries, users, memories, messages, sessions, chunks))
 
 
 @query("chunks", "SELECT chunk_id AS attachment_id, CASE chunk_id % 5 WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/webp' ELSE 'image/jpeg' END AS mime FROM chunks")
 def attachment_types(chunks):
+    """Attachments of the whole texts behind a magic number; every fifth isn't base64."""
     n = F.col("chunk_id") % 5
     head = F.when(n == 0, "FFD8FFE0").when(n == 1, "89504E470D0A1A0A").when(n == 2, "474946383961").when(n == 3, "524946460000000057454250").otherwise("00")
-    data = F.when(n == 4, F.lit("not base64!")).otherwise(F.base64(F.unhex(F.concat(head, F.lit("000000000000000000000000")))))
+    data = F.when(n == 4, F.concat(F.lit("not base64! "), F.col("content"))).otherwise(F.base64(F.concat(F.unhex(head), F.coalesce("content", F.lit("")).cast("binary"))))
     return conversation.attachment_types(chunks.select(F.col("chunk_id").alias("attachment_id"), data.alias("data")))
 
 
-@query("answers chunks", _CITED + """ SELECT answer_id, '[' || string_agg('{"marker":' || marker || ',"chunk_id":' || chunk_id || ',"score":' || (chunk_id % 8 / 8)::DOUBLE || '}', ',' ORDER BY ord) || ']' AS citations FROM cited GROUP BY answer_id""")
-def citation_json(answers, chunks):
-    cited = conversation.extract_citations(answers, _ranked(chunks))
+@query("answers queries users chunks", _CITED + """ SELECT answer_id, '[' || string_agg('{"marker":' || marker || ',"chunk_id":' || chunk_id || ',"score":' || (chunk_id % 8 / 8)::DOUBLE || '}', ',' ORDER BY ord) || ']' AS citations FROM cited GROUP BY answer_id""")
+def citation_json(answers, queries, users, chunks):
+    cited = conversation.extract_citations(answers, _ranked(queries, users, chunks))
     return conversation.citation_json(cited.withColumn("score", (F.col("chunk_id") % 8) / 8))
 
 
-@query("progress")
+#: A fold over each document's events: the last percentage that was forwarded.
+_THROTTLE = f", o AS MATERIALIZED (SELECT doc_id, event_id, {_PERCENT} AS percent, processed >= total AS final, row_number() OVER (PARTITION BY doc_id ORDER BY ts, event_id) AS n FROM progress), w AS (SELECT doc_id, event_id, n, percent AS last, true AS sent FROM o WHERE n = 1 UNION ALL SELECT o.doc_id, o.event_id, o.n, CASE WHEN percent - last >= 5 OR final THEN percent ELSE last END, percent - last >= 5 OR final FROM w JOIN o ON o.doc_id = w.doc_id AND o.n = w.n + 1)"
+
+
+@query("progress", _THROTTLE + " SELECT doc_id, event_id, last AS percent FROM w WHERE sent")
 def progress_throttle(progress):
     return catalog.progress_throttle(catalog.progress_percent(progress))
 

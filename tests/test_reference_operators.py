@@ -26,9 +26,10 @@ def users(spark):
 
 def test_access_matrix(spark, chunks, users):
     got = {}
-    for r in access.acl_filter(chunks, users).collect():
+    for r in access.acl_pairs(chunks, users).collect():
         got.setdefault(r.user_id, set()).add(r.chunk_id)
     assert got == VISIBLE
+    assert access.acl_filter(chunks, users).count() == sum(map(len, VISIBLE.values())) and access.acl_members(users).count() == len(VISIBLE)
     counts = {(r.user_id, r.sensitivity_ordinal): r.n_chunks for r in access.visibility_matrix(chunks, users).collect()}
     level = {i: o for i, _, o in CHUNKS}
     assert counts == {(u, o): sum(level[c] == o for c in cs) for u, cs in VISIBLE.items() for o in (0, 1, 2) if any(level[c] == o for c in cs)}
@@ -77,6 +78,45 @@ def test_packing_against_a_slow_model(spark):
     assert {r.doc_id for r in packed} == {1} and sorted(r.chunk_index for r in packed) == list(range(len(packed)))
 
 
+def test_chunks_pages_metadata_and_preview_against_a_slow_model(spark):
+    rng = random.Random(4)
+    said = lambda n: " ".join("".join(rng.choice("abcd") for _ in range(5)) for _ in range(n)).capitalize() + "."
+    pages = [(d, s, p, None if rng.random() < 0.2 else 10 * d + p, rng.choice([None, ""]) if rng.random() < 0.1 else "\n\n".join(" ".join(said(rng.randint(2, 15)) for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(1, 5)))) for d in range(6) for s in range(2) for p in range(3 * s, 3 * s + 3)]
+    tok = lambda t: len(t) // 4  # noqa: E731 - ASCII only
+    want = []
+    for d in range(6):
+        index = 0
+        for s in range(2):
+            segs = []
+            for _, _, _, number, content in sorted(x for x in pages if x[:2] == (d, s)):
+                for para in (content or "").split("\n\n"):
+                    parts = [para] if tok(para) <= 60 else [x + "." for x in para[:-1].split(". ")]
+                    segs += [(x, number) for x in parts if x]
+            window = []
+            windows = []
+            for x in segs:
+                if window and sum(tok(t) for t, _ in window) + tok(x[0]) > 60:
+                    windows.append(window)
+                    keep = 0
+                    while keep < len(window) and sum(tok(t) for t, _ in window[-keep - 1 :]) <= 25:
+                        keep += 1
+                    window = window[len(window) - keep :]
+                window = [*window, x]
+            for w in [*windows, window] if segs else []:
+                text = "\n\n".join(t for t, _ in w)
+                if tok(text) >= 20:
+                    want.append((d, index, text, w[0][1], len(text), tok(text)))
+                    index += 1
+    frame = spark.createDataFrame(pages, "doc_id long, section_no int, page_seq int, page_number int, content string").repartition(3)
+    indexed = chunking.chunk_index(chunking.chunk_pack(chunking.gather_sections(frame), 60, 25, 20))
+    full = chunking.chunk_metadata(indexed)
+    got = sorted((r.doc_id, r.chunk_index, r.content, r.page_number, r.metadata.char_count, r.metadata.estimated_tokens) for r in full.collect())
+    assert got == want and any(w[3] is None for w in want)
+    assert sorted((r.doc_id, r.chunk_index) for r in chunking.chunk_preview(indexed, 4).collect()) == [w[:2] for w in want if w[1] < 4]
+    numbered = {(r.doc_id, r.section_no): 0 for r in chunking.segments(chunking.gather_sections(frame), 60).where("page_number is not null").collect()}
+    assert len(numbered) == 12
+
+
 def test_returning_title_is_a_new_section(spark):
     pages = spark.createDataFrame([(1, i, t) for i, t in enumerate(["a", "a", None, None, "a"])], "doc_id long, page_seq int, section_title string")
     assert [r.section_no for r in chunking.section_islands(pages).orderBy("page_seq").collect()] == [0, 0, 1, 1, 2]
@@ -128,3 +168,119 @@ def test_embedding_is_deterministic_and_keeps_order(spark):
     got = {r.chunk_id: list(r.dense_embedding) for r in embed_chunks(df, batch=2).collect()}
     assert got[1] == got[3] and abs(sum(x * x for x in got[1]) - 1) < 1e-5 and not any(got[2]) and not any(got[4])
     assert embed_chunks(df.limit(0)).count() == 0
+
+
+def test_users_see_their_own_sessions_only(spark):
+    start = "2024-01-01 00:00:"
+    messages = spark.createDataFrame([(s, 10 * s + i, f"{start}{i:02d}", "user", f"m{i}") for s in (1, 2) for i in range(3)], "session_id long, message_id long, created_at string, role string, content string")
+    sessions = spark.createDataFrame([(1, 7), (2, 8)], "session_id long, user_id long")
+    asked = spark.createDataFrame([(1, 7), (1, 8), (2, 9), (3, 7)], "session_id long, user_id long")
+    assert sorted((r.session_id, r.user_id, r.message_id) for r in conversation.history_window(messages, sessions, asked).collect()) == [(1, 7, 10), (1, 7, 11), (1, 7, 12)]
+    assert conversation.history_window(messages, sessions, asked, turns=0).count() == 0
+    queries = spark.createDataFrame([(100, 1, 7, "q"), (101, 1, 8, "q"), (102, None, None, None)], "query_id long, session_id long, user_id long, query_text string")
+    empty = spark.createDataFrame([], "user_id long, section string"), spark.createDataFrame([], "query_id long, context string")
+    images = spark.createDataFrame([(101, 1, "iVBORw0KGgo="), (101, 0, "???")], "query_id long, seq int, data string")
+    table = conversation.prompt_table(queries, empty[1], conversation.history_window(messages, sessions, asked), empty[0], "rules", images)
+    got = {r.query_id: r.messages for r in table.collect()}
+    assert [m.blocks[-1].text for m in got[100]] == ["m0", "m1", "m2", "q"] and [m.blocks[-1].text for m in got[101]] == ["q"] and len(got[102]) == 1
+    assert [(b.type, b.mime) for b in got[101][0].blocks] == [("image", "image/jpeg"), ("image", "image/png"), ("text", None)]
+    flat = [(r.seq, r.role, r.content) for r in conversation.flatten_messages(table).where("query_id = 101").orderBy("seq").collect()]
+    assert flat == [(0, "system", "rules\n\n"), (1, "user", "q")]
+
+
+def test_frames_and_candidates_of_any_kind(spark):
+    streams = spark.createDataFrame([("k", 'event: token\ndata: {"a": 1}\n\nevent: token\ndata: {bad\n\nevent: x\n\ndata: 1\n\nevent: done\ndata: "s"\n\n')], "key string, text string")
+    assert [(r.seq, r.data) for r in conversation.frames_parse(streams).orderBy("seq").collect()] == [(0, '{"a": 1}'), (4, '"s"')]
+    outputs = [(1, '[" a ", 1, null, {"x": 2}, ["b"], true, "", "c"]'), (2, "```json\n[\"d\"]\n```"), (3, '{"x": "y"}'), (4, "[1"), (5, None), (6, '"text"'), (7, '["' + "e" * 150 + '"]')]
+    got = sorted((r.message_id, r.ord, r.content) for r in conversation.memory_candidates(spark.createDataFrame(outputs, "message_id long, output string")).collect())
+    assert got == [(1, 0, "a"), (1, 1, "c"), (2, 0, "d"), (7, 0, "e" * 100)]
+
+
+def test_retrieval_follows_a_permission_patch(spark, chunks, users):
+    docs = chunks.select(F.col("chunk_id").alias("doc_id"), "acl_tags", F.lit("public").alias("sensitivity_level"), F.lit("done").alias("status"))
+    patches = spark.createDataFrame([(4, ["finance"], "public"), (5, None, "confidential"), (6, [], None), (7, ["x"], None)], "doc_id long, acl_tags array<string>, sensitivity_level string")
+    patched = catalog.permission_patch(docs, patches)
+    assert {r.doc_id: r.outcome for r in patched.collect()} == {4: "applied", 5: "applied", 6: "empty_tags", 7: "unknown_value"}
+    after = catalog.patch_chunks(chunks.withColumn("document_id", F.col("chunk_id")), patched)
+    queries = spark.createDataFrame([(u, u, [0.01] * 8) for u, _, _ in USERS], "query_id long, user_id long, query_vector array<float>")
+    seen = {}
+    for r in retrieval.vector_topk(retrieval.principals(queries, users), after).collect():
+        seen.setdefault(r.query_id, set()).add(r.chunk_id)
+    assert seen == {1: {1, 2, 4}, 3: {1, 4}, 4: {1, 2, 3, 4}, 6: {6}, 7: {1, 2, 4}}
+
+
+def test_retrieval_in_tiles_against_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcde"), 4)) for _ in range(60)]
+    text = lambda: " ".join(rng.choice(words, 6))
+    tags = [["hr"], ["legal"], ["hr", "all"], []]
+    chunks = [(i, tags[i % 4], i % 3, rng.normal(size=6).round(1).tolist() if i % 9 else None, text() if i % 11 else None) for i in range(700)]
+    users = [(0, ["hr"], 1), (1, ["legal", "all"], 2), (2, [], 2)]
+    queries = [(i, i % 3, rng.normal(size=6).round(1).tolist(), text()) for i in range(60)]
+    frame = spark.createDataFrame(chunks, "chunk_id long, acl_tags array<string>, sensitivity_ordinal int, dense_embedding array<double>, content string").repartition(3)
+    asked = retrieval.principals(spark.createDataFrame(queries, "query_id long, user_id long, query_vector array<double>, query_text string"), spark.createDataFrame(users, "user_id long, permission_tags array<string>, clearance_level int"))
+    near, alike = {}, {}
+    for q, u, v, t in queries:
+        mine = [c for c in chunks if set(c[1]) & set(users[u][1]) and c[2] <= users[u][2]]
+        cos = lambda a, b: round(1 - float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))), 9)
+        near |= {(q, c): n + 1 for n, (_, c) in enumerate(sorted((cos(v, c[3]), c[0]) for c in mine if c[3])[:5])}
+        grams = retrieval.trigrams
+        for c in mine:
+            if c[4] and len(grams(t) & grams(c[4])) / len(grams(t) | grams(c[4])) >= 0.3:
+                alike[q, c[0]] = round(len(grams(t) & grams(c[4])) / len(grams(t) | grams(c[4])), 9)
+    for limit in (retrieval.BROADCAST_BYTES, 0):  # by broadcast, and by salts
+        monkeypatch.setattr(retrieval, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(retrieval, "TILE", 64)
+        monkeypatch.setattr(retrieval, "HELD", 1)
+        assert {(r.query_id, r.chunk_id): r["rank"] for r in retrieval.vector_topk(asked, frame, 5).collect()} == near
+        assert {(r.query_id, r.chunk_id): pytest.approx(r.score) for r in retrieval.trigram_similarity(asked, frame).collect()} == alike and alike
+        top = {(r.query_id, r.chunk_id) for r in retrieval.keyword_topk(asked, frame, 3).collect()}
+        assert top == {(q, c) for q in range(60) for _, c in sorted((-s, c) for (p, c), s in alike.items() if p == q)[:3]}
+    assert retrieval.vector_topk(asked.limit(0), frame).count() == retrieval.trigram_similarity(asked, frame.limit(0)).count() == 0
+
+
+def test_token_match(spark):
+    chunks = spark.createDataFrame([(1, "The quick fox"), (2, "the fox"), (3, None), (4, "")], "chunk_id long, content string")
+    queries = spark.createDataFrame([(1, "fox the"), (2, "QUICK the"), (3, "quick bear"), (4, None), (5, "..."), (6, "the the")], "query_id long, query_text string")
+    assert sorted(map(tuple, retrieval.token_match(queries, chunks).collect())) == [(1, 1), (1, 2), (2, 1), (6, 1), (6, 2)]
+
+
+def test_a_scorer_of_ones_own(spark):
+    rows = spark.createDataFrame([(1, i, i, "q", "x" * i) for i in range(5)], "query_id long, chunk_id long, rank int, query_text string, content string")
+
+    def longest(batches):
+        for queries, contents in batches:
+            yield [float(len(c)) for c in contents]
+
+    assert [r.chunk_id for r in retrieval.ranked_topk(retrieval.rerank(rows, longest), 2).orderBy("final_rank").collect()] == [4, 3]
+    assert {r.rerank_score for r in retrieval.rerank(rows).collect()} == {1.0}
+
+
+def test_users_and_documents(spark):
+    users = spark.createDataFrame([(i, ["all"], 1, False, True, i // 3) for i in range(20)], "user_id long, permission_tags array<string>, clearance_level int, is_admin boolean, is_active boolean, created_at int")
+    for parts in (1, 4, None):
+        assert [r.user_id for r in catalog.users_list(users, parts).orderBy("position").collect()] == sorted(range(20), key=lambda i: (-(i // 3), i))
+    patches = spark.createDataFrame([(1, None, None, None, False), (2, ["x"], None, None, False), (3, None, None, False, False), (4, None, 5, None, None)], "user_id long, permission_tags array<string>, clearance_level int, is_admin boolean, is_active boolean")
+    got = {r.user_id: (r.is_active, r.outcome) for r in catalog.user_patch(users, patches, 3).collect()}
+    assert got == {1: (False, "applied"), 2: (True, "unknown_value"), 3: (True, "self_demotion"), 4: (True, "unknown_value")}
+    drafts = users.withColumn("is_admin", F.col("user_id") == 2).withColumn("is_active", F.when(F.col("user_id") != 5, True))
+    assert {r.user_id for r in catalog.permission_diff(users, drafts).collect()} == {2, 5}
+    docs = spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, created_at int")
+    assert [(r.doc_id, r.total) for r in catalog.documents_page(docs, 2, 2).collect()] == [(2, 5), (1, 5)] and catalog.documents_page(docs, 9, 2).count() == 0
+
+
+def test_chunks_appear_with_their_documents(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 10, ["hr"], 0), (2, 11, ["hr"], 1)], "chunk_id long, document_id long, acl_tags array<string>, sensitivity_ordinal int")
+    docs = spark.createDataFrame([(10, "done"), (11, "failed")], "doc_id long, status string")
+    for _ in range(2):  # a batch that runs again replaces its rows
+        ingest.publish(rows, docs, str(tmp_path), 0)
+    rows.write.partitionBy("sensitivity_ordinal").parquet(f"{tmp_path}/chunks/batch=1")  # a batch whose documents aren't written yet
+    assert [r.chunk_id for r in ingest.published(spark, str(tmp_path)).collect()] == [1]
+
+
+def test_stored_contents_are_left_out(spark):
+    docs = spark.createDataFrame([(1, "a", 9), (2, "a", 3), (3, "b", 1), (4, None, 1), (5, None, 1)], "doc_id long, text string, at int")
+    stored = spark.createDataFrame([("b",), (None,)], "text string").select(F.sha2("text", 256).alias("content_hash"))
+    assert sorted(r.doc_id for r in ingest.content_hash_dedup(docs, "at", stored).collect()) == [2, 4, 5]

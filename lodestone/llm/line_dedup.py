@@ -2,7 +2,8 @@
 
 A text is read as lines: pieces ended by a newline, and inside a line by a sentence end before a
 blank, so that a long paragraph is several lines. A rolling hash over the hashes of the last two
-lines places a chunk boundary where it is zero mod DIVISOR, once the chunk has two lines; boundaries
+lines places a chunk boundary where it is zero mod DIVISOR, once the chunk has two lines, and after
+MAX_LINES lines at the latest; boundaries
 therefore depend on nearby lines only and come back after an insertion. Chunks of two or more
 lines whose hash occurs more than once in the corpus are compared byte by byte with the first
 occurrence (smallest id, then text hash, then place), which stays; the others are removed. A
@@ -18,25 +19,29 @@ and are then compared by 128-bit digests of their bytes. Overlapping runs are jo
 line at an end stays if it has fewer than LEAST_WORDS words and as many are left without it.
 Repetition inside one document is left to the chunks.
 
-Cases: null texts stay null; texts of one line or without words are unchanged; rows with the same
-id and text are one document and get the same text; a row whose id is null is ordered last; an empty table gives an empty result;
-other columns pass untouched, n_chars (if there) is set to the new length where lines went.
+A text is read five times: for the hashes of its chunks and runs, for the places of the repeated ones, twice for
+single runs of those that differ where they begin or end (their hashes, then the places of the repeated ones), and to be cut. Bitmaps of hashes keep the rest
+out of the joins and decide nothing.
+
+Cases: null texts stay null; texts of one line or without words are unchanged but for repeated runs; rows with the same
+id and text are one document and get the same text; ids of any type; a row whose id is null is ordered last; an empty table gives an empty result;
+other columns pass untouched, whatever their names, n_chars (if there) is set to the new length where lines went.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import bitmap, cut, in_bitmap
-from lodestone.llm.text import NOT_SPACE, SPACE, Hasher, binary, mix, row_of, slices, spans
+from lodestone.llm.common import bitmap, column, columns, cut, in_bitmap, map_batches, names, scratch
+from lodestone.llm.statistics import repeats
+from lodestone.llm.text import NOT_SPACE, SPACE, Hasher, SecondHasher, binary, mix, row_of, slices, spans
 
 DIVISOR = 3
 MAX_LINES = 16
@@ -45,6 +50,7 @@ LEAST_WORDS, GRAM = 50, 20
 _U = np.uint64
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True  # ! . ?
+_NONE = np.zeros(0, np.int64)
 
 
 def line_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -65,12 +71,12 @@ def line_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Chunks:
     """Chunks of all rows: row, the index of the first and of the line after the last, begin, end and hash. Line n is starts[n] to ends[n]."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, hasher: Hasher | None = None):
         self.ends = line_ends(data, offsets)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)[: len(self.ends)]
         row = np.searchsorted(offsets, self.starts, "right") - 1
-        hasher = Hasher(data)
-        h = hasher(self.starts, self.ends)
+        hasher = hasher or Hasher(data)
+        h = self.lines = hasher(self.starts, self.ends)
         rolling = mix(h + _U(3) * np.concatenate([[_U(0)], h[:-1]]).astype(_U)) if len(h) else h
         stop = np.concatenate([row[1:] != row[:-1], [True]])[: len(row)]
         wants = (rolling % _U(DIVISOR) == 0).tolist()
@@ -88,124 +94,35 @@ class Chunks:
         words = np.concatenate([[0], np.cumsum(NOT_SPACE[data])])
         self.counts = (self.to - self.first > 1) & (words[self.end] > words[self.begin])
 
+    def sides(self, at: np.ndarray, step: int, second: SecondHasher) -> tuple[pa.Array, pa.Array]:
+        """For each chunk, the lines of the chunk before (step -1) or after (1) in its row, nearest first: both hashes of each, and lengths."""
+        side = np.clip(at + step, 0, len(self.row) - 1)
+        number = np.where((side != at) & (self.row[side] == self.row[at]), (self.to - self.first)[side], 0)
+        line = _ranges(np.where(step > 0, self.first[side], self.to[side] - 1), number, step)
+        key = np.column_stack([self.lines[line], second(self.starts[line], self.ends[line])])
+        ends = np.concatenate([[0], np.cumsum(number)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(2 * ends), pa.array(key.ravel().view(np.int64))), pa.ListArray.from_arrays(pa.array(ends), pa.array((self.ends - self.starts)[line].astype(np.int32)))
 
-def _scan(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").where("text is not null")
-
-
-def multi_line_hashes(docs: DataFrame) -> DataFrame:
-    """(chunk, doc_id) of every chunk of two or more lines with a word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64())
-            for first, data, offsets in slices(batch.column("text")):
-                c = Chunks(data, offsets)
-                at = np.flatnonzero(c.counts)
-                yield pa.RecordBatch.from_arrays([pa.array(c.hash[at].view(np.int64)), ids.take(pa.array(c.row[at] + first))], ["chunk", "doc_id"])
 
-    return docs.select("doc_id", "text").where("text is not null").mapInArrow(run, "chunk long, doc_id long")
+def _ranges(first: np.ndarray, number: np.ndarray, step: int = 1) -> np.ndarray:
+    """first, first + step, ... of each range, number of them, one range after the other."""
+    begin = np.cumsum(number) - number
+    return np.repeat(first, number) + step * (np.arange(int(number.sum())) - np.repeat(begin, number))
 
 
-def _digest(body: bytes) -> bytes:
-    return blake2b(body, digest_size=16).digest()
-
-
-def _token(line: bytes) -> bytes:
-    """Length (4 bytes) and digest of a line."""
-    return len(line).to_bytes(4) + _digest(line)
-
-
-_PLACES = pa.list_(pa.struct([("begin", pa.int64()), ("before", pa.list_(pa.binary())), ("after", pa.list_(pa.binary()))]))
-
-
-def repeated_chunks(docs: DataFrame, bits) -> DataFrame:
-    """(chunk, doc_id, h, body, places): once per document the chunks whose hash may be repeated, with their bytes.
+class Runs:
+    """Successive word runs of LEAST_WORDS words that share their least gram hash, as one: anchor (of that hash), row, begin and end.
 
-    Each place has its first byte and the lines of the chunk before and after, each as length and digest.
+    at and number say which of them: words at, at + 1, ... begin one. single gives their places.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bits.value
-        for batch in batches:
-            found: dict[tuple, list] = {}
-            for first, data, offsets in slices(batch.column("text")):
-                c = Chunks(data, offsets)
-                text = data.tobytes()
-                repeated = c.counts & in_bitmap(known, c.hash)
-                at = np.flatnonzero(repeated)
-                n = len(c.row)
-                sides = []
-                for step in (-1, 1):
-                    side = np.clip(at + step, 0, n - 1)
-                    sides.append(np.where((side != at) & (c.row[side] == c.row[at]), side, -1).tolist())
-                lines = lambda i: [] if i < 0 else [_token(text[a:b]) for a, b in zip(c.starts[c.first[i] : c.to[i]].tolist(), c.ends[c.first[i] : c.to[i]].tolist())]
-                begin, end, row = c.begin[at].tolist(), c.end[at].tolist(), c.row[at].tolist()
-                start = offsets[c.row[at]].tolist()
-                for k, (h, before, after) in enumerate(zip(c.hash[at].view(np.int64).tolist(), *sides)):
-                    found.setdefault((h, row[k] + first, text[begin[k] : end[k]]), []).append((begin[k] - start[k], lines(before), lines(after)))
-            own = pa.array([k[1] for k in found], pa.int64())
-            places = pa.array([[{"begin": a, "before": b, "after": c} for a, b, c in v] for v in found.values()], _PLACES)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), batch.column("doc_id").cast(pa.int64()).take(own), batch.column("h").take(own), pa.array([k[2] for k in found], pa.binary()), places], ["chunk", "doc_id", "h", "body", "places"])
-
-    return _scan(docs).mapInArrow(run, "chunk long, doc_id long, h long, body binary, places array<struct<begin: long, before: array<binary>, after: array<binary>>>")
-
-
-def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Byte comparison with the first occurrence, then extension by whole lines on both sides."""
-    for batch in batches:
-        keep, begins, ends = [], [], []
-        d = batch.to_pydict()
-        for i in range(batch.num_rows):
-            if d["body"][i] != d["first_body"][i]:
-                continue  # equal hashes, other bytes
-            for place in d["places"][i][1 if d["is_first"][i] else 0 :]:
-                begin, end = place["begin"], place["begin"] + len(d["body"][i])
-                for mine, theirs in zip(reversed(place["before"]), reversed(d["first_place"][i]["before"])):
-                    if mine != theirs:
-                        break
-                    begin -= int.from_bytes(mine[:4])
-                for mine, theirs in zip(place["after"], d["first_place"][i]["after"]):
-                    if mine != theirs:
-                        break
-                    end += int.from_bytes(mine[:4])
-                keep.append(i)
-                begins.append(begin)
-                ends.append(end)
-        at = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("h").take(at), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], ["doc_id", "h", "begin", "end"])
-
-
-def _order() -> Column:
-    """The id; null after all others."""
-    return F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
-
-
-def duplicate_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, begin, end): byte spans to remove, one row per repeated chunk beyond its first occurrence."""
-    counted = multi_line_hashes(docs).groupBy("chunk").agg(F.min(_order()).alias("least"), F.count("*").alias("n"))
-    repeated = cut(counted.where("n > 1").select("chunk", "least"), "repeated")
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(repeated, "chunk"))
-    found = cut(repeated_chunks(docs, bits).withColumn("least", _order()), "found")
-    # The first occurrence of each chunk, found by two keys so that a frequent chunk isn't one task's.
-    first = found.join(repeated, ["chunk", "least"]).groupBy("chunk").agg(F.min_by(F.struct("doc_id", "h", "body", F.element_at("places", 1).alias("place")), F.struct("h", "body")).alias("f"))
-    first = cut(first.select("chunk", F.col("f.doc_id").alias("f_id"), F.col("f.h").alias("f_h"), F.col("f.body").alias("first_body"), F.col("f.place").alias("first_place")), "first")
-    # Both sides come from tables, so Spark may split a frequent chunk over tasks.
-    pairs = found.join(first, "chunk").withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")))
-    later = pairs.where("not is_first or size(places) > 1")
-    return later.select("doc_id", "h", "body", "places", "first_body", "first_place", "is_first").mapInArrow(_removals, "doc_id long, h long, begin long, end long").distinct()
-
-
-class Runs:
-    """Successive word runs of LEAST_WORDS words that share their least gram hash, as one: anchor (that hash), row, begin and end."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        starts, ends, first = spans(data, offsets, NOT_SPACE)
-        n = len(starts) - LEAST_WORDS + 1
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, hasher: Hasher | None = None):
+        self.starts, self.ends, first = spans(data, offsets, NOT_SPACE)
+        n = len(self.starts) - LEAST_WORDS + 1
         if n < 1:
-            self.anchor, self.row, self.begin, self.end = np.zeros(0, _U), *[np.zeros(0, np.int64)] * 3
+            self.anchor, self.row, self.begin, self.end, self.at, self.number = np.zeros(0, _U), *[_NONE] * 5
             return
-        least, size, width = Hasher(data)(starts[: len(starts) - GRAM + 1], ends[GRAM - 1 :]), 1, LEAST_WORDS - GRAM + 1
+        least, size, width = (hasher or Hasher(data))(self.starts[: len(self.starts) - GRAM + 1], self.ends[GRAM - 1 :]), 1, LEAST_WORDS - GRAM + 1
         while size < width:
             step = min(size, width - size)
             least = np.minimum(least[:-step], least[step:])
@@ -215,91 +132,201 @@ class Runs:
         seam = np.ones(n + 1, bool)
         seam[1:-1] = (least[1:] != least[:-1]) | (row[1:n] != row[: n - 1])
         padded = np.concatenate([[False], inside, [False]])
-        begin = np.flatnonzero(inside & (seam[:-1] | ~padded[:-2]))
+        self.at = np.flatnonzero(inside & (seam[:-1] | ~padded[:-2]))
         end = np.flatnonzero(inside & (seam[1:] | ~padded[2:]))
-        self.anchor, self.row = least[begin], row[begin]
-        self.begin, self.end = starts[begin], ends[end + LEAST_WORDS - 1]
+        # Least hashes are small; scrambled they fill a bitmap evenly.
+        self.anchor, self.row, self.number = mix(least[self.at]), row[self.at], end - self.at + 1
+        self.begin, self.end = self.starts[self.at], self.ends[end + LEAST_WORDS - 1]
+
+    def single(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(run, begin, end) of each LEAST_WORDS words inside the chosen runs."""
+        word = _ranges(self.at[chosen], self.number[chosen])
+        return np.repeat(chosen, self.number[chosen]), self.starts[word], self.ends[word + LEAST_WORDS - 1]
+
+
+def _scan(docs: DataFrame) -> DataFrame:
+    """doc_id, h (of the text), r (of id and text) and text of the documents with a text."""
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").where("text is not null").select("doc_id", "h", F.xxhash64("doc_id", "h").alias("r"), "text")
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """(anchor) of every run of every document."""
+def hashes(docs: DataFrame) -> DataFrame:
+    """(kind, hash): every chunk (kind 0) of two or more lines with a word, and the anchors of word runs (kind 1), each once for a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in slices(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array(Runs(data, offsets).anchor.view(np.int64))], ["anchor"])
+                hasher = Hasher(data)
+                c, r = Chunks(data, offsets, hasher), Runs(data, offsets, hasher)
+                _, once = np.unique(mix(r.anchor + r.row.astype(_U) * _U(0xC2B2AE3D27D4EB4F)), return_index=True)
+                h = np.concatenate([c.hash[c.counts], r.anchor[once]])
+                kind = np.repeat(np.array([0, 1], np.int32), [int(c.counts.sum()), len(once)])
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(h.view(np.int64))], ["kind", "hash"])
+
+    return docs.select("text").where("text is not null").mapInArrow(run, "kind int, hash long")
+
 
-    return docs.select("text").where("text is not null").mapInArrow(run, "anchor long")
+_FOUND = [("kind", "int"), ("hash", "long"), ("k1", "long"), ("k2", "long"), ("h", "long"), ("begin", "long"), ("end", "long"), ("place", "long"), ("again", "boolean"), ("body", "binary"), ("before", "array<long>"), ("n_before", "array<int>"), ("after", "array<long>"), ("n_after", "array<int>")]
 
 
-def _anchored(batch: pa.RecordBatch, known: np.ndarray) -> Iterator[tuple]:
-    """(anchor, digest, place, doc_id, h, begin, end, bytes) of the runs of a batch whose anchor may be in the bitmap; place is a hash of digest, id and h."""
-    ids, hs = batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("h").to_pylist()
-    for first, data, offsets in slices(batch.column("text")):
-        r = Runs(data, offsets)
-        at = np.flatnonzero(in_bitmap(known, r.anchor))
-        text = data.tobytes()
-        start = offsets[r.row[at]].tolist()
-        for anchor, row, a, b, s in zip(r.anchor[at].view(np.int64).tolist(), r.row[at].tolist(), r.begin[at].tolist(), r.end[at].tolist(), start):
-            body = text[a:b]
-            digest = _digest(body)
-            place = int.from_bytes(blake2b(digest + repr((ids[first + row], hs[first + row])).encode(), digest_size=8).digest(), "little", signed=True)
-            yield anchor, digest, place, ids[first + row], hs[first + row], a - s, b - s, body
+def _kind(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
 
 
-def repeated_runs(docs: DataFrame, bits) -> DataFrame:
-    """(anchor, digest, place, doc_id, h, begin, end) of the runs whose anchor may be repeated."""
-    schema = pa.schema([("anchor", pa.int64()), ("digest", pa.binary()), ("place", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
+def _place(r: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A hash of a document and a byte of it."""
+    return mix(r + begin.astype(_U) * _U(0x9FB21C651E98DF25))
+
+
+def repeated_places(docs: DataFrame, chunk_bits, run_bits) -> DataFrame:
+    """The places of the chunks and runs whose hash may be repeated: doc_id and the columns of _FOUND.
+
+    A chunk has its bytes, the lines of the chunks before and after, and whether one with its hash (again)
+    stands earlier in its document; if that one's bytes are equal, they aren't given again. A run has its digest (k1, k2) and a hash of its place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bits.value
+        of_chunks, of_runs = chunk_bits.value, run_bits.value
         for batch in batches:
-            found = [x[:-1] for x in _anchored(batch, known)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else [[]] * len(schema), schema)], schema=schema)
+            ids, h = batch.column("doc_id"), batch.column("h")
+            doc = batch.column("r").to_numpy().view(_U)
+            for first, data, offsets in slices(batch.column("text")):
+                hasher = Hasher(data)
+                second, text = SecondHasher(data, hasher), data.tobytes()
+                c, r = Chunks(data, offsets, hasher), Runs(data, offsets, hasher)
+                at, to = np.flatnonzero(c.counts & in_bitmap(of_chunks, c.hash)), np.flatnonzero(in_bitmap(of_runs, r.anchor))
+                n, m = len(at), len(to)
+                row = np.concatenate([c.row[at], r.row[to]])
+                begin, end = np.concatenate([c.begin[at], r.begin[to]]), np.concatenate([c.end[at], r.end[to]])
+                zero, start = np.zeros(n, np.int64), offsets[row]
+                k1, k2 = hasher(r.begin[to], r.end[to]).view(np.int64), second(r.begin[to], r.end[to]).view(np.int64)
+                place = _place(doc[r.row[to] + first], (begin - start)[n:]).view(np.int64)
+                again = np.concatenate([repeats(c.row[at], c.hash[at])[0], np.zeros(m, bool)])
+                bodies, own_first = [], {}
+                for k, a, b, x, seen in zip(c.hash[at].tolist(), begin[:n].tolist(), end[:n].tolist(), row[:n].tolist(), again[:n].tolist()):
+                    body = text[a:b]
+                    if not seen:
+                        own_first[x, k] = body
+                    bodies.append(None if seen and own_first[x, k] == body else body)
+                sides = [pa.concat_arrays([x, pa.nulls(m, x.type)]) for step in (-1, 1) for x in c.sides(at, step, second)]
+                own = pa.array(row + first)
+                both = [np.repeat(np.array([0, 1], np.int32), [n, m]), np.concatenate([c.hash[at].view(np.int64), r.anchor[to].view(np.int64)]), np.concatenate([zero, k1]), np.concatenate([zero, k2])]
+                rest = [begin - start, end - start, np.concatenate([zero, place]), again]
+                yield pa.RecordBatch.from_arrays([ids.take(own), *map(pa.array, both), h.take(own), *map(pa.array, rest), pa.array(bodies + [None] * m, pa.binary()), *sides], ["doc_id", *[x[0] for x in _FOUND]])
+
+    return _scan(docs).mapInArrow(run, f"doc_id {_kind(docs, 'doc_id')}, " + ", ".join(f"{a} {b}" for a, b in _FOUND))
+
+
+def _agreeing(mine: pa.Array, theirs: pa.Array, lengths: pa.Array) -> np.ndarray:
+    """Bytes of the lines at the begin of each pair of line lists that are equal, up to the first that differs. lengths: of mine."""
+    flat = lambda x: (x.values.to_numpy(), x.offsets.to_numpy().astype(np.int64))
+    (a, a0), (b, b0), (n, n0) = flat(mine), flat(theirs), flat(lengths)
+    number = np.minimum(np.diff(a0), np.diff(b0)) // 2
+    i, j = _ranges(a0[:-1] // 2, number), _ranges(b0[:-1] // 2, number)
+    differs = (a.reshape(-1, 2)[i] != b.reshape(-1, 2)[j]).any(axis=1)
+    owner = np.repeat(np.arange(len(number)), number)
+    # Lines count as long as no difference was seen inside the pair.
+    seen = np.cumsum(differs)
+    good = seen == np.concatenate([[0], seen])[np.cumsum(number) - number][owner]
+    return np.bincount(owner[good], n[_ranges(n0[:-1], number)][good], len(number)).astype(np.int64)
+
+
+def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Byte comparison with the first occurrence, then extension by whole lines on both sides."""
+    for batch in batches:
+        # Else equal hashes, other bytes; no bytes where they equal those of an earlier place of the document.
+        same = pc.fill_null(pc.equal(batch.column("body"), batch.column("first_body")), True)
+        begin = batch.column("begin").to_numpy() - _agreeing(batch.column("before"), batch.column("first_before"), batch.column("n_before"))
+        end = batch.column("end").to_numpy() + _agreeing(batch.column("after"), batch.column("first_after"), batch.column("n_after"))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(begin), pa.array(end)], ["doc_id", "h", "begin", "end"]).filter(same)
+
 
-    return _scan(docs).mapInArrow(run, "anchor long, digest binary, place long, doc_id long, h long, begin long, end long")
+def _later(found: DataFrame, first: DataFrame, keys: list[str], ties: bool) -> DataFrame:
+    """Rows of found in other documents than the first of their keys. first: keys and first_id, the smallest id (null if all are).
 
+    ties: one id may have several texts (see _ties); of these the smallest text hash is first.
+    """
+    joined = found.join(first, keys)
+    others = joined.where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
+    if not ties:
+        return others
+    level = joined.where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    least = level.groupBy(*keys).agg(F.min("h").alias("first_h"))
+    return others.unionByName(level.join(least, keys).where("h <> first_h").drop("first_h"))
+
+
+def _ties(found: DataFrame) -> bool:
+    """Whether some id (or no id) has several texts."""
+    return not found.groupBy("doc_id").agg((F.min("h") != F.max("h")).alias("several")).where("several").isEmpty()
+
+
+def duplicate_spans(chunks: DataFrame) -> DataFrame:
+    """(doc_id, h, begin, end): byte spans to remove, one row per repeated chunk beyond its first occurrence. chunks: the places of kind 0."""
+    least = chunks.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    least = cut(least, "least")
+    # The first occurrence of each chunk, from the rows of its smallest id only, so that a frequent chunk isn't one task's.
+    at = chunks.where("not again").join(least, "hash").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    first = at.groupBy("hash").agg(F.min_by(F.struct("h", "body", "before", "after"), "h").alias("f"))
+    first = cut(first.select("hash", F.col("f.h").alias("first_h"), F.col("f.body").alias("first_body"), F.col("f.before").alias("first_before"), F.col("f.after").alias("first_after")).join(least, "hash"), "first")
+    # Both sides come from tables, so Spark may split a frequent chunk over tasks.
+    later = chunks.join(first, "hash").where(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("first_id")) | (F.col("h") != F.col("first_h")))
+    return later.select("doc_id", "h", "begin", "end", "body", "before", "n_before", "after", "n_after", "first_body", "first_before", "first_after").mapInArrow(_removals, f"doc_id {_kind(chunks, 'doc_id')}, h long, begin long, end long")
+
+
+def _single(docs: DataFrame, places, shared=None) -> DataFrame:
+    """Each LEAST_WORDS words inside the runs whose place may be in the bitmap: k1 of each, once for a batch.
 
-def single_runs(docs: DataFrame, bits, places) -> DataFrame:
-    """(digest, doc_id, h, begin, end) of each LEAST_WORDS words inside the runs whose place may be in the second bitmap."""
-    schema = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("h", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
+    With shared, a bitmap of k1: k1, k2, doc_id, h, begin and end of those that may be in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, wanted = bits.value, places.value
+        wanted, known = places.value, None if shared is None else shared.value
         for batch in batches:
-            out = []
-            for _, _, place, doc_id, h, at, _, body in _anchored(batch, known):
-                if in_bitmap(wanted, np.array([place]).view(_U))[0]:
-                    starts, ends, _ = spans(data := np.frombuffer(body, np.uint8), np.array([0, len(data)]), NOT_SPACE)
-                    out += [(_digest(body[a:b]), doc_id, h, at + a, at + b) for a, b in zip(starts.tolist(), ends[LEAST_WORDS - 1 :].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(schema), schema)], schema=schema)
+            doc = batch.column("r").to_numpy().view(_U)
+            for first, data, offsets in slices(batch.column("text")):
+                hasher = Hasher(data)
+                r = Runs(data, offsets, hasher)
+                chosen = np.flatnonzero(in_bitmap(wanted, _place(doc[r.row + first], r.begin - offsets[r.row])))
+                if not len(chosen):
+                    continue
+                of, begin, end = r.single(chosen)
+                k1 = hasher(begin, end)
+                if known is None:
+                    # Words in two documents of one batch count twice.
+                    once = np.unique(mix(k1 + r.row[of].astype(_U) * _U(0xC2B2AE3D27D4EB4F)), return_index=True)[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(k1[once].view(np.int64))], ["k1"])
+                    continue
+                at = np.flatnonzero(in_bitmap(known, k1))
+                of, begin, end, k1 = of[at], begin[at], end[at], k1[at]
+                own, start = pa.array(r.row[of] + first), offsets[r.row[of]]
+                keys = [k1.view(np.int64), SecondHasher(data, hasher)(begin, end).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), batch.column("doc_id").take(own), batch.column("h").take(own), pa.array(begin - start), pa.array(end - start)], ["k1", "k2", "doc_id", "h", "begin", "end"])
 
-    return _scan(docs).mapInArrow(run, "digest binary, doc_id long, h long, begin long, end long")
+    full = f"k1 long, k2 long, doc_id {_kind(docs, 'doc_id')}, h long, begin long, end long"
+    return _scan(docs).mapInArrow(run, "k1 long" if shared is None else full)
 
 
-def _bits(hashes: DataFrame, column: str):
-    """Broadcast bitmap with about 16 bits for each hash, 2**24 at least and 2**29 at most."""
-    return hashes.sparkSession.sparkContext.broadcast(bitmap(hashes, column, min(29, max(24, (16 * hashes.count()).bit_length()))))
+def _bits(values: DataFrame, column: str):
+    """Broadcast bitmap with about 16 bits for each value, 2**24 at least and 2**29 at most."""
+    return values.sparkSession.sparkContext.broadcast(bitmap(values, column, min(29, max(24, (16 * values.count()).bit_length()))))
 
 
-def _later(found: DataFrame, first: DataFrame) -> DataFrame:
-    """Spans of found in other documents than the first one (o, f_h) of their digest."""
-    return found.join(first.select("digest", "o", "f_h"), "digest").where((_order() != F.col("o")) | (F.col("h") != F.col("f_h"))).select("doc_id", "h", "begin", "end")
+_SPAN = ["doc_id", "h", "begin", "end"]
 
 
-def repeated_word_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, begin, end): byte spans of LEAST_WORDS words or more that stand in an earlier document."""
-    repeated = cut(anchors(docs).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
-    bits = _bits(repeated, "anchor")
-    found = cut(repeated_runs(docs, bits), "runs")
-    least = lambda *more: F.min(F.struct(_order().alias("o"), F.col("h").alias("f_h"), *more)).alias("f")
-    first = cut(found.groupBy("anchor", "digest").agg(least("place")).select("anchor", "digest", "f.*"), "first_runs")
+def repeated_word_spans(docs: DataFrame, runs: DataFrame, ties: bool) -> DataFrame:
+    """(doc_id, h, begin, end): byte spans of LEAST_WORDS words or more that stand in an earlier document. runs: the places of kind 1."""
+    key = ["k1", "k2"]
+    first = cut(runs.groupBy("hash", *key).agg(F.min("doc_id").alias("first_id")), "first_runs")
     # Where an anchor stands in different runs, these may still share some words: the first of each is taken apart.
-    several = cut(first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "several")
-    apart = cut(first.join(several, "anchor").select("place"), "apart")
-    single = cut(single_runs(docs, bits, _bits(apart, "place")), "single_runs")
-    least_single = cut(single.groupBy("digest").agg(F.count("*").alias("n"), least()).where("n > 1").select("digest", "f.*"), "first_single")
-    return _later(found, first).unionByName(_later(single, least_single)).distinct()
+    several = first.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    of_first = runs.join(first.drop("hash"), key).where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    apart = cut(of_first.join(several, "hash", "left_semi").select("place"), "apart")
+    where = _bits(apart, "place")
+    # Counted first, so that words that stand once are never written.
+    twice = cut(_single(docs, where).groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1"), "twice")
+    single = cut(_single(docs, where, _bits(twice, "k1")), "single_runs")
+    shared = cut(single.groupBy(*key).agg(F.min("doc_id").alias("first_id")), "shared")
+    return _later(runs, first.drop("hash"), key, ties).select(*_SPAN).unionByName(_later(single, shared, key, ties).select(*_SPAN))
 
 
 def whole_lines(data: np.ndarray, begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -325,46 +352,58 @@ def whole_lines(data: np.ndarray, begins: list[int], ends: list[int]) -> list[tu
     return out
 
 
+def removals(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, spans) of the documents (doc_id, text) that lose something: spans are longs of begin, end and whether words found it."""
+    with scratch(docs.sparkSession) as keep:
+        repeated = cut(hashes(docs).groupBy("kind", "hash").agg(F.count("*").alias("n")).where("n > 1").select("kind", "hash"), "repeated")
+        bits = [_bits(repeated.where(F.col("kind") == k), "hash") for k in (0, 1)]
+        found = cut(repeated_places(docs, *bits), "found")
+        by_chunks, by_words = duplicate_spans(found.where("kind = 0")), repeated_word_spans(docs, found.where("kind = 1"), _ties(found))
+        code = lambda n: F.shiftleft("begin", 32).bitwiseOR(F.shiftleft("end", 1)).bitwiseOR(F.lit(n).cast("long")).alias("span")
+        gone = by_chunks.select("doc_id", "h", code(0)).unionByName(by_words.select("doc_id", "h", code(1)))
+        return keep(cut(gone.groupBy("doc_id", "h").agg(F.collect_set("span").alias("spans")), "spans"))
+
+
+def _without(data: bytes, codes: list[int]) -> tuple[bytes, int, bool]:
+    """The text without the spans, the number of bytes removed, and whether no word is left."""
+    gone = np.zeros(len(data) + 1, np.int64)
+    whole = np.frombuffer(data, np.uint8)
+    found = [(x >> 32, (x & 0xFFFFFFFF) >> 1, x & 1) for x in codes]
+    of_words = [(a, b) for a, b, words in found if words]
+    for begin, end in [(a, b) for a, b, words in found if not words] + (whole_lines(whole, *zip(*of_words)) if of_words else []):
+        gone[begin] += 1
+        gone[end] -= 1
+    left = whole[np.cumsum(gone)[:-1] == 0]
+    return left.tobytes(), len(data) - len(left), not NOT_SPACE[left].any()
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks taken out of the text, and two more columns: _removed (bytes) and _emptied (no word is left of a text that had one)."""
-    texts = docs.select("doc_id", "text")
-    gone = cut(duplicate_spans(texts).withColumn("by_words", F.lit(False)).unionByName(repeated_word_spans(texts).withColumn("by_words", F.lit(True))), "spans")
-    per = cut(gone.groupBy(F.col("doc_id").alias("_s_id"), F.col("h").alias("_s_h")).agg(F.collect_list(F.struct("begin", "end", "by_words")).alias("_spans")), "per")
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    joined = keyed.join(per, keyed["doc_id"].eqNullSafe(per["_s_id"]) & (keyed["_h"] == per["_s_h"]), "left").drop("_h", "_s_id", "_s_h")
-    where = {f.name: i for i, f in enumerate(joined.schema)}
+    """docs with repeated chunks taken out of the text, and two more columns: _removed (bytes) and _emptied (no word is left of a text that had one).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Columns of these names that docs has are replaced.
+    """
+    kept = docs.select(*columns(docs, "_removed", "_emptied"))
+    per = removals(docs.select("doc_id", "text"))
+    h, spans_, s_id, s_h = names(kept.columns, "h", "spans", "of_id", "of_h")
+    per = per.select(F.col("doc_id").alias(s_id), F.col("h").alias(s_h), F.col("spans").alias(spans_))
+    keyed = kept.withColumn(h, F.xxhash64("text"))
+    joined = keyed.join(per, keyed["doc_id"].eqNullSafe(per[s_id]) & (keyed[h] == per[s_h]), "left").select(*columns(kept), column(spans_))
+    width = len(kept.columns)
+    at = [c.lower() for c in kept.columns].index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for batch in batches:
-            texts, removed, emptied = [], [], []
-            lists = batch.column(where["_spans"])
-            column = batch.column(where["text"])
-            body = binary(column)
-            for i in range(batch.num_rows):
-                if not lists[i].is_valid:
-                    continue
-                data = body[i].as_py()
-                gone = np.zeros(len(data) + 1, np.int64)
-                whole = np.frombuffer(data, np.uint8)
-                found = lists[i].as_py()
-                of_words = [(s["begin"], s["end"]) for s in found if s["by_words"]]
-                for begin, end in [(s["begin"], s["end"]) for s in found if not s["by_words"]] + (whole_lines(whole, *zip(*of_words)) if of_words else []):
-                    gone[begin] += 1
-                    gone[end] -= 1
-                left = whole[np.cumsum(gone)[:-1] == 0]
-                texts.append(left.tobytes())
-                removed.append(len(data) - len(left))
-                emptied.append(not NOT_SPACE[left].any())
+            lists, text = batch.column(width), batch.column(at)
+            body = binary(text)
             hit = lists.is_valid()
-            new = pc.replace_with_mask(column, hit, pa.array(texts, pa.binary()).cast(column.type))
-            arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
-            arrays[where["text"]] = new
+            done = [_without(body[i].as_py(), lists[i].as_py()) for i in np.flatnonzero(hit.to_numpy(zero_copy_only=False)).tolist()]
+            arrays = list(batch.columns[:width])
+            arrays[at] = pc.replace_with_mask(text, hit, pa.array([x[0] for x in done], pa.binary()).cast(text.type))
             zero, no = pa.array(np.zeros(batch.num_rows, np.int64)), pa.array(np.zeros(batch.num_rows, bool))
-            arrays += [pc.replace_with_mask(zero, hit, pa.array(removed, pa.int64())), pc.replace_with_mask(no, hit, pa.array(emptied, pa.bool_()))]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "_removed", "_emptied"])
+            yield [*arrays, pc.replace_with_mask(zero, hit, pa.array([x[1] for x in done], pa.int64())), pc.replace_with_mask(no, hit, pa.array([x[2] for x in done], pa.bool_()))]
 
-    schema = T.StructType([*[f for f in joined.schema if f.name != "_spans"], T.StructField("_removed", T.LongType()), T.StructField("_emptied", T.BooleanType())])
-    out = joined.select(*[c for c in joined.columns if c != "_spans"], "_spans").mapInArrow(run, schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    out = map_batches(joined, run, [*kept.schema.fields, T.StructField("_removed", T.LongType()), T.StructField("_emptied", T.BooleanType())])
+    size = [c for c in kept.columns if c.lower() == "n_chars"]
+    if size:
+        out = out.withColumn(size[0], F.when(F.col("_removed") > 0, F.char_length("text").cast(kept.schema[size[0]].dataType)).otherwise(column(size[0])))
     return out

@@ -56,7 +56,10 @@ def route_by_format(uploads):
     return ingest.route_by_format(uploads).select("doc_id", "suffix", "route")
 
 
-@query("uploads", f", h AS (SELECT *, sha256(text) AS content_hash, min(CASE WHEN strlen(text) > 0 AND len(acl_tags) > 0 AND list_has_all([{_IN(TAGS)}], acl_tags) AND sensitivity_level IN ({_IN(LEVELS)}) THEN doc_id END) OVER (PARTITION BY sha256(text)) AS first FROM uploads) SELECT doc_id, content_hash, CASE WHEN strlen(text) = 0 THEN 'empty' WHEN len(acl_tags) = 0 THEN 'no_tags' WHEN NOT list_has_all([{_IN(TAGS)}], acl_tags) THEN 'unknown_tag' WHEN sensitivity_level NOT IN ({_IN(LEVELS)}) THEN 'bad_level' WHEN doc_id > first THEN 'duplicate' END AS reason FROM h")
+_GATE = f", h AS (SELECT *, sha256(text) AS content_hash, min(CASE WHEN strlen(text) > 0 AND len(acl_tags) > 0 AND list_has_all([{_IN(TAGS)}], acl_tags) AND sensitivity_level IN ({_IN(LEVELS)}) THEN doc_id END) OVER (PARTITION BY sha256(text)) AS first FROM uploads), ga AS (SELECT *, CASE WHEN strlen(text) = 0 THEN 'empty' WHEN len(acl_tags) = 0 THEN 'no_tags' WHEN NOT list_has_all([{_IN(TAGS)}], acl_tags) THEN 'unknown_tag' WHEN sensitivity_level NOT IN ({_IN(LEVELS)}) THEN 'bad_level' WHEN doc_id > first THEN 'duplicate' END AS reason FROM h)"
+
+
+@query("uploads", _GATE + " SELECT doc_id, content_hash, reason FROM ga")
 def admission_gate(uploads):
     return ingest.admission_gate(uploads).select("doc_id", "content_hash", "reason")
 
@@ -176,7 +179,8 @@ def split_sentences_query(chunks):
 _LIMIT, _OVERLAP, _LEAST = 120, 50, 20
 #: Four documents are the pages of one; the last two are a section of their own, and some pages have no number.
 _PAGES = "pg AS (SELECT chunk_id // 4 AS doc_id, (chunk_id % 4 // 2)::INT AS section_no, (chunk_id % 4)::INT AS page_seq, CASE WHEN chunk_id % 7 > 0 THEN (chunk_id % 4 + 1)::INT END AS page_number, content FROM chunks)"
-_SEGMENTS = f"{_PAGES}, p AS (SELECT doc_id, section_no, page_seq, page_number, list_filter(list_transform(string_split_regex(content, '\\n{{2,}}'), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS ps FROM pg), gp AS (SELECT doc_id, section_no, page_seq, page_number, flatten(list_transform(ps, lambda q: CASE WHEN {_tok('q')} > {_LIMIT} THEN {_SENTENCES.format('q')} ELSE [q] END)) AS seg FROM p), g AS (SELECT doc_id, section_no, flatten(list(seg ORDER BY page_seq)) AS seg, flatten(list(list_transform(seg, lambda x: page_number) ORDER BY page_seq)) AS page FROM gp GROUP BY doc_id, section_no)"
+_CUT = f", p AS (SELECT doc_id, section_no, page_seq, page_number, list_filter(list_transform(string_split_regex(content, '\\n{{2,}}'), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS ps FROM pg), gp AS (SELECT doc_id, section_no, page_seq, page_number, flatten(list_transform(ps, lambda q: CASE WHEN {_tok('q')} > {_LIMIT} THEN {_SENTENCES.format('q')} ELSE [q] END)) AS seg FROM p), g AS (SELECT doc_id, section_no, flatten(list(seg ORDER BY page_seq)) AS seg, flatten(list(list_transform(seg, lambda x: page_number) ORDER BY page_seq)) AS page FROM gp GROUP BY doc_id, section_no)"
+_SEGMENTS = _PAGES + _CUT
 
 
 def _sections(chunks: DataFrame) -> DataFrame:
@@ -198,7 +202,7 @@ def section_islands(pages):
 
 
 # Packing is a fold over each section's segments. f is one step: segment n is next, the window began at b and holds total tokens.
-_PACK = f""", {_SEGMENTS}, k AS (SELECT doc_id, section_no, seg, page, list_transform(seg, lambda t: {_tok('t')}) AS tk FROM g WHERE len(seg) > 0),
+_FOLD = f""", k AS (SELECT doc_id, section_no, seg, page, list_transform(seg, lambda t: {_tok('t')}) AS tk FROM g WHERE len(seg) > 0),
 f AS (SELECT doc_id, section_no, tk, 0::BIGINT AS n, 0::BIGINT AS b, 0::BIGINT AS total, -1::BIGINT AS ea, -1::BIGINT AS eb FROM k
   UNION ALL SELECT doc_id, section_no, tk, n + 1, nb, list_sum(tk[nb + 1:n + 1])::BIGINT, CASE WHEN full_ THEN b ELSE -1 END, CASE WHEN full_ THEN n ELSE -1 END
   FROM (SELECT *, CASE WHEN full_ THEN n - len(list_filter(range(b, n), lambda j: list_sum(tk[j + 1:n]) <= {_OVERLAP})) ELSE b END AS nb
@@ -207,6 +211,7 @@ w AS (SELECT doc_id, section_no, ea AS a, eb AS e FROM f WHERE eb >= 0 UNION ALL
 c0 AS (SELECT w.doc_id, w.section_no, (row_number() OVER (PARTITION BY w.doc_id, w.section_no ORDER BY a, e) - 1)::INT AS pos, array_to_string(seg[a + 1:e], chr(10) || chr(10)) AS content, page[a + 1] AS page_number FROM w JOIN k ON k.doc_id = w.doc_id AND k.section_no = w.section_no),
 c AS (SELECT *, {_tok('content')} AS tok FROM c0 WHERE {_tok('content')} >= {_LEAST}),
 ci AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY section_no, pos) - 1)::INT AS chunk_index FROM c)"""
+_PACK = f", {_SEGMENTS}" + _FOLD
 
 
 def _packed(chunks: DataFrame) -> DataFrame:
@@ -717,4 +722,6 @@ for _old, _new in (("estimate_tokens_query", "estimate_tokens"), ("estimate_toke
     QUERIES[_new], ORACLES[_new] = QUERIES.pop(_old), ORACLES.pop(_old)
 
 QUERIES |= streams.QUERIES
+_INGESTED = _GATE + f", pg AS (SELECT doc_id, 0 AS section_no, 0 AS page_seq, NULL::INT AS page_number, {_CLEAN} AS content FROM ga WHERE reason IS NULL)" + _CUT + _FOLD + f", n AS (SELECT doc_id, count(*) AS total_chunks, sum(tok)::BIGINT AS tokens FROM c GROUP BY doc_id)"
+ORACLES["stream_ingest"] = _with("uploads") + _INGESTED + f" SELECT ga.doc_id, content_hash, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN total_chunks IS NULL THEN 'failed' ELSE 'done' END AS status, coalesce(reason, CASE WHEN total_chunks IS NULL THEN 'chunk empty' END) AS reason, coalesce(total_chunks, 0) AS total_chunks, tokens, CASE WHEN total_chunks > 0 THEN {_ORDINAL.format('sensitivity_level')} END AS sensitivity_ordinal FROM ga LEFT JOIN n ON n.doc_id = ga.doc_id"
 ORACLES |= {name: ORACLES[other] for name, other in streams.SAME.items()}

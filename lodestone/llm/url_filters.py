@@ -1,14 +1,14 @@
 """URL filters: rules by host and path, and link-graph propagation for hosts that no rule fits.
 
 Hosts that an allow rule fits are trusted seeds, those that a block rule fits are blocked seeds. Personalised
-PageRank carries trust along the links between hosts, and distrust along the reversed links. Each seed
-starts with the mass 1, however many there are, so one neighbourhood gets one verdict at every size. A
+PageRank carries trust along the links between hosts, and distrust along the reversed links. A seed
+starts with the share of its pages that its rule fits, however many seeds there are, so one neighbourhood gets one verdict at every size. A
 host without a rule is blocked if its distrust is at least LEAST and exceeds its trust. A round is one
 join and one aggregation over the distinct host edges; rounds go on until no host's rank grows by
 TOLERANCE or more, ROUNDS at most.
 
 Edges come from absolute and scheme-relative links of a page, from the host that its copyright line
-names, from the hosts of e-mail addresses, and from names: a host and its parent domain, down to two
+names, and from names: a host and its parent domain, down to two
 labels, are linked both ways. Links inside a host are no edges.
 
 Cases: a null url, or one without ://, has an empty host and path, fits no rule and is allowed; a null or empty
@@ -35,12 +35,12 @@ RULES = (
 #: Rules are literals of the plan; more than this many are refused.
 MAX_RULES = 1000
 DAMPING, ROUNDS = 0.7, 40
-#: Limits in shares of one seed's mass: a host that links straight to a blocked one gets 0.21 over that one's links at least.
-LEAST, TOLERANCE = 0.02, 0.002
+#: Limits in shares of a whole seed: a host that links straight to one whose pages are all blocked gets 0.21 over that one's links at least.
+LEAST, TOLERANCE = 0.05, 0.005
 MAX_LABELS = 127
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = "(?i)(?:href|src)\\s*=\\s*[\"'](?:[a-z][a-z0-9+.-]*:)?//([^\"'/?#\\s]+)"
-NAMED = "(?:&copy;\\s*|@)((?:[A-Za-z0-9-]+\\.)+[A-Za-z]{2,})"
+NAMED = "&copy;\\s*((?:[A-Za-z0-9-]+\\.)+[A-Za-z]{2,})"
 
 
 def host(url: Column) -> Column:
@@ -90,11 +90,11 @@ def _shares(edges: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """(kind, host, rank): personalised PageRank from seeds (kind, host) of mass 1 each along edges (kind, src, dst, share).
+    """(kind, host, rank): personalised PageRank from seeds (kind, host, mass) along edges (kind, src, dst, share).
 
     The rank is 1 - damping times the sum of what arrives in each round, damped once more in each.
     """
-    mass = cut(seeds.select("kind", "host", F.lit(1.0).alias("mass")), "mass")
+    mass = cut(seeds.select("kind", "host", "mass"), "mass")
     arrived = [mass]
     for _ in range(rounds):
         moved = mass.join(edges, (mass["kind"] == edges["kind"]) & (mass["host"] == edges["src"])).select(edges["kind"], F.col("dst").alias("host"), (F.lit(damping) * F.col("mass") * F.col("share")).cast("decimal(38,18)").alias("part"))
@@ -117,7 +117,7 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
         edges = cut(host_edges(parts), "edges")
         urls = keep(cut(judged.select("page_id", "host", "path", "m.rule", "m.verdict"), "urls"))
         hosts = cut(urls.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "allow").alias("allowed"), F.count_if(F.col("verdict") == "block").alias("blocked")), "hosts")
-        seeds = hosts.where("allowed > 0").select(F.lit("trust").alias("kind"), "host").unionByName(hosts.where("blocked > 0").select(F.lit("distrust").alias("kind"), "host"))
+        seeds = hosts.where("allowed > 0").select(F.lit("trust").alias("kind"), "host", (F.col("allowed") / F.col("n")).alias("mass")).unionByName(hosts.where("blocked > 0").select(F.lit("distrust").alias("kind"), "host", (F.col("blocked") / F.col("n")).alias("mass")))
         reversed_ = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
         shares = cut(_shares(edges.select(F.lit("trust").alias("kind"), "src", "dst", "links").unionByName(reversed_)), "shares")
         rank = propagate(seeds, shares)
@@ -141,9 +141,9 @@ n AS (SELECT host, string_split(regexp_replace(regexp_replace(host, '^.*@', ''),
 u AS (SELECT DISTINCT CASE WHEN i = 1 THEN host ELSE array_to_string(l[i:], '.') END AS src, array_to_string(l[i + 1:], '.') AS dst FROM (SELECT host, l, unnest(range(1, len(l) - 1)) AS i FROM n WHERE len(l) BETWEEN 3 AND {MAX_LABELS})),
 e AS (SELECT src, dst, sum(links) AS links FROM (SELECT * FROM e0 UNION ALL SELECT src, dst, 1 FROM u WHERE src <> dst UNION ALL SELECT dst, src, 1 FROM u WHERE src <> dst) GROUP BY src, dst),
 f AS MATERIALIZED (SELECT 'trust' AS kind, src, dst, (links / sum(links) OVER (PARTITION BY src))::DOUBLE AS share FROM e UNION ALL SELECT 'distrust', dst, src, (links / sum(links) OVER (PARTITION BY dst))::DOUBLE FROM e),
-h AS (SELECT host, count(*) FILTER (m.verdict = 'allow') AS allowed, count(*) FILTER (m.verdict = 'block') AS blocked FROM j GROUP BY host),
-s AS MATERIALIZED (SELECT 'trust' AS kind, host FROM h WHERE allowed > 0 UNION ALL SELECT 'distrust', host FROM h WHERE blocked > 0),
-r AS (SELECT 0 AS t, kind, host, 1.0::DOUBLE AS mass FROM s UNION ALL SELECT t + 1, f.kind, f.dst, sum(({DAMPING}::DOUBLE * mass * share)::DECIMAL(38,18))::DOUBLE FROM r JOIN f ON f.kind = r.kind AND f.src = r.host WHERE t < {ROUNDS} GROUP BY ALL),
+h AS (SELECT host, count(*)::DOUBLE AS n, count(*) FILTER (m.verdict = 'allow') AS allowed, count(*) FILTER (m.verdict = 'block') AS blocked FROM j GROUP BY host),
+s AS MATERIALIZED (SELECT 'trust' AS kind, host, allowed / n AS mass FROM h WHERE allowed > 0 UNION ALL SELECT 'distrust', host, blocked / n FROM h WHERE blocked > 0),
+r AS (SELECT 0 AS t, kind, host, mass::DOUBLE AS mass FROM s UNION ALL SELECT t + 1, f.kind, f.dst, sum(({DAMPING}::DOUBLE * mass * share)::DECIMAL(38,18))::DOUBLE FROM r JOIN f ON f.kind = r.kind AND f.src = r.host WHERE t < {ROUNDS} GROUP BY ALL),
 z AS (SELECT coalesce(min(t), {ROUNDS}) AS last FROM (SELECT t, max(mass) AS m FROM r GROUP BY t) WHERE t > 0 AND {1 - DAMPING}::DOUBLE * m < {TOLERANCE}),
 k AS (SELECT kind, host, round({1 - DAMPING}::DOUBLE * sum(mass::DECIMAL(38,18))::DOUBLE, 6) AS rank FROM r, z WHERE t <= last GROUP BY kind, host)
 SELECT page_id, j.host, path, m.rule AS rule, coalesce(m.verdict, CASE WHEN coalesce(d.rank, 0) >= {LEAST} AND coalesce(d.rank, 0) > coalesce(t.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict,

@@ -42,6 +42,25 @@ def test_hashes_depend_on_the_span_alone():
     assert len(SecondHasher(short, Hasher(short))(np.array([0]), np.array([3]))) == 1
 
 
+def test_long_texts_leave_no_large_tables():
+    from lodestone.llm import decontaminate, simhash, statistics, text
+
+    body = "Some words of a line. And more, of another one.\n" * 110_000  # 5 MB
+    data, offsets = np.frombuffer(body.encode(), np.uint8), np.array([0, len(body)])
+    assert len(data) > text._KEPT
+    hasher = Hasher(data)
+    ends = np.array([48, 96, len(data)])
+    assert len(set(hasher(ends - 48, ends).tolist())) == 1 and hasher(np.array([0]), np.array([48]))[0] == slow_hash(body[:48].encode())
+    assert len(text._powers.get("up", ())) <= text._KEPT
+    assert statistics.base(data, offsets)["n_words"][0] == 1_100_000
+    assert simhash.fingerprint(body.encode()) == simhash.fingerprint(body.encode().upper())
+    chunks = line_dedup.Chunks(data, offsets)
+    assert chunks.begin[0] == 0 and chunks.end[-1] == len(data) and (chunks.begin[1:] == chunks.end[:-1]).all()
+    runs = line_dedup.Runs(data, offsets)
+    assert runs.begin[0] == 0 and runs.end[-1] == len(data) - 1 and int(runs.number.sum()) == 1_100_000 - 49
+    assert decontaminate.winnow(hasher(*spans(data, offsets, text.NOT_SPACE)[:2]), np.array([0, 1_100_000]))[1].any()
+
+
 # Line dedup
 
 

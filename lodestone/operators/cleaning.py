@@ -54,7 +54,7 @@ def paragraph_pages(docs: DataFrame, group: int = 10) -> DataFrame:
 
 
 def heading_sections(docs: DataFrame) -> DataFrame:
-    """doc_id, section_no, title, content of the texts between ATX headings of levels 1 and 2, kept inside each row."""
+    """doc_id, section_no, title, content of the texts between ATX headings of levels 1 and 2; lines are shuffled by document."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     is_heading = F.col("line").rlike("^#{1,2}\\s+\\S")
     w = Window.partitionBy("doc_id").orderBy("i")

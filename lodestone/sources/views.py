@@ -15,7 +15,7 @@ _TAGS = "CASE {0} % 8 WHEN 0 THEN ARR('finance') WHEN 1 THEN ARR('hr') WHEN 2 TH
 VIEWS = {
     "chunks": f"SELECT d.doc_id AS chunk_id, d.doc_id AS document_id, d.text AS content, d.source AS source, e.embedding AS dense_embedding, 0 AS chunk_index, CAST(d.doc_id % 3 AS INT) AS sensitivity_ordinal, {_TAGS.format('d.doc_id')} AS acl_tags FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id",
     "users": "SELECT user_id, CASE user_id % 6 WHEN 0 THEN ARR('all') WHEN 1 THEN ARR('all','finance') WHEN 2 THEN ARR('all','hr') WHEN 3 THEN ARR('all','legal','product') WHEN 4 THEN ARR('all','management') ELSE NONE() END AS permission_tags, CAST(user_id % 3 AS INT) AS clearance_level, user_id % 11 <> 0 AS is_active, user_id % 13 = 0 AS is_admin, EPOCH(1704067200 + user_id * 60) AS created_at FROM (SELECT DISTINCT user_id FROM events) u",
-    "queries": "SELECT b.item_id AS query_id, b.item_id % 15 AS user_id, CASE WHEN b.item_id % 10 = 9 THEN substring(b.text, 1, 2) ELSE b.text END AS query_text, e.embedding AS query_vector FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id * 7",
+    "queries": "SELECT b.item_id AS query_id, b.item_id % 15 AS user_id, CASE WHEN b.item_id % 10 = 9 THEN CAST(b.item_id % 10 AS STRING) ELSE b.text END AS query_text, e.embedding AS query_vector FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id * 7",
     "messages": "SELECT conv_id AS session_id, role, text AS content, EPOCH(1704067200 + conv_id * 3600 + turn * 60) AS created_at, conv_id * 1000 + turn AS message_id FROM conversations",
     "sessions": "SELECT conv_id AS session_id, conv_id % 15 AS user_id, max(EPOCH(1704067200 + conv_id * 3600 + turn * 60)) AS updated_at FROM conversations GROUP BY conv_id",
     "memories": "SELECT vec_id AS memory_id, vec_id % 20 AS user_id, concat('memory ', CAST(vec_id AS STRING)) AS content, embedding, EPOCH(1704067200 + vec_id * 60) AS created_at FROM embeddings",
@@ -23,7 +23,7 @@ VIEWS = {
     "page_groups": "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_number, text AS content FROM documents",
     "progress": "SELECT event_id, user_id AS doc_id, CASE event_type WHEN 'signup' THEN 'parsing' WHEN 'view' THEN 'chunking' WHEN 'click' THEN 'embedding' WHEN 'purchase' THEN 'storing' ELSE 'failed' END AS stage, CAST(event_id % 101 AS INT) AS processed, 100 AS total, ts FROM events",
     "answers": "SELECT conv_id * 1000 + turn AS answer_id, conv_id % 40 AS query_id, concat(text, ' [', CAST(turn % 7 + 1 AS STRING), '] [', CAST(conv_id % 6 AS STRING), '] [', CAST(turn % 7 + 1 AS STRING), '] [123]') AS answer FROM conversations WHERE role = 'assistant'",
-    "phrases": "SELECT conv_id AS phrase_id, conv_id % 15 AS user_id, substring(text, 1, 40) AS content, CAST(conv_id % 5 AS INT) AS sort_order, EPOCH(1704067200 + conv_id * 60) AS created_at FROM conversations WHERE turn = 0",
+    "phrases": "SELECT conv_id AS phrase_id, conv_id % 15 AS user_id, text AS content, CAST(conv_id % 5 AS INT) AS sort_order, EPOCH(1704067200 + conv_id * 60) AS created_at FROM conversations WHERE turn = 0",
 }
 _BASE = re.compile(r"\b(documents|embeddings|events|benchmark|conversations)\b(?= [a-z] | GROUP| WHERE|\)|$)")
 

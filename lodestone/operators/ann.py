@@ -69,7 +69,8 @@ def with_cells(rows: DataFrame, column: str, centres: np.ndarray, n: int = 1) ->
         for b in batches:
             if not b.num_rows:
                 continue
-            near = np.argsort(-(_matrix(b.column(column)) @ centres.T), axis=1, kind="stable")[:, :n]
+            # One cell holds all, whatever its centre (there may be no vector to know the dimension by).
+            near = np.zeros((b.num_rows, 1), np.int64) if len(centres) == 1 else np.argsort(-(_matrix(b.column(column)) @ centres.T), axis=1, kind="stable")[:, :n]
             at = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
             yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns), pa.array(near.ravel().astype(np.int32))], [*b.schema.names, "cell"])
 

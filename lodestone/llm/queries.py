@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, line_dedup, mixing, quality_gbt, quality_rules, secret_scan, simhash, toxicity_cnn, url_filters, warc_fixity
+from lodestone.llm import alignment, decontaminate, line_dedup, mixing, packing, quality_gbt, quality_rules, secret_scan, simhash, spelling, toxicity_cnn, url_filters, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,5 +57,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("h")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_warc_fixity, op4_quality_classifier, op5_toxicity, op6_secret_scan, op7_simhash, op8_quality_rules, op9_url_filters, op10_decontaminate)}
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = alignment.align(_table(spark, sf_dir, "documents"), digest=True)
+    return documents.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_warc_fixity, op4_quality_classifier, op5_toxicity, op6_secret_scan, op7_simhash, op8_quality_rules, op9_url_filters, op10_decontaminate, op11_best_fit_packing, op12_tokenizer_alignment, op13_spelling_variants)}
 ORACLES = {"op1_mix_sources": mixing.ORACLE, "op3_warc_fixity": warc_fixity.ORACLE, "op9_url_filters": url_filters.ORACLE, "op10_decontaminate": decontaminate.ORACLE}

@@ -36,7 +36,7 @@ from lodestone.llm.tokens import PairTokenizer, pair_tokenizer, public
 #: A tokens of one place in the state vector.
 LANE = 256
 #: Bytes of text that are merged at once (a longer text comes alone).
-SLICE = 1 << 21
+SLICE = 1 << 22
 #: Pairs of more than one link in so many are sent to all tasks: 16 bytes each, 4 MB at most.
 HOT_ONE_IN = 1 << 18
 #: Distinct pairs that a task holds before it hands them on.

@@ -34,6 +34,8 @@ from lodestone.llm.text import slices
 from lodestone.llm.tokens import public, word_tokenizer
 
 CAPACITY = 2048
+#: Bytes of text that are encoded at once (a longer text comes alone).
+SLICE = 1 << 23
 #: Nodes of the search, fillings that a node branches on, and steps of their enumeration.
 NODES, FILLINGS, STEPS = 400, 32, 4000
 #: A filling: (length, times) by falling length; a plan: (filling, number of sequences).
@@ -228,7 +230,7 @@ def pieces(docs: DataFrame, capacity: int, path: str, with_ids: bool) -> DataFra
         tokenizer, task = word_tokenizer(path), TaskContext.get().partitionId()
         numbers = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for row, data, offsets in slices(batch.column(1)):
+            for row, data, offsets in slices(batch.column(1), SLICE):
                 ids, n = tokenizer(data, offsets)
                 rows = len(n)
                 # Each row's ids with 0 behind.

@@ -10,15 +10,19 @@ from __future__ import annotations
 
 import functools
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from lodestone.llm.text import SPACE
+from lodestone.llm.text import LOWER, SPACE
 
 #: Units longer than this are left to the tokenizers library where tiktoken would do.
 _LONG = 500
-#: Bytes that the word tokenizer splits by their kind alone: printable ASCII but the apostrophe.
+#: Units that a worker remembers with their ids; all are forgotten when there are more.
+_KNOWN = 400_000
+#: Bytes that the word tokenizer splits by their kind alone: printable ASCII but the apostrophe (and letters of two bytes, see _latin).
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
 _PLAIN[ord("'")] = False
@@ -26,9 +30,19 @@ _PLAIN[ord("'")] = False
 _KIND = np.full(256, 3, np.uint8)
 _KIND[48:58] = 2
 _KIND[65:91] = _KIND[97:123] = 1
-#: Bytes before a blank after which both the byte and the piece tokenizer begin anew: no white space, whole characters.
-_BEFORE = np.zeros(256, bool)
-_BEFORE[0x21:0x7F] = True
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[0x21:0x7F] = True
+#: The characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the others from U+0100 on in their order.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def _latin(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(both bytes of U+00C0 to U+00FF, second bytes of its letters)."""
+    second = np.zeros(len(data), bool)
+    second[1:] = data[:-1] == 0xC3
+    both = second | (data == 0xC3)
+    return both, second & (data != 0x97) & (data != 0xB7)
 
 
 def public(name: str) -> str:
@@ -62,7 +76,7 @@ class Pool:
     def __init__(self, runs: list[list[int]]):
         self.lengths = np.fromiter(map(len, runs), np.int64, len(runs))
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.ids = np.fromiter((i for run in runs for i in run), np.int64, int(self.lengths.sum()))
+        self.ids = np.fromiter(chain.from_iterable(runs), np.int64, int(self.lengths.sum()))
 
     def __call__(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the units in a row, number of ids of each)."""
@@ -70,38 +84,61 @@ class Pool:
         return self.ids[ragged(self.starts[codes], n)], n
 
 
+def _remember(known: dict, units: list[bytes], runs: list, new: list[int]) -> None:
+    if len(known) + len(new) > _KNOWN:
+        known.clear()
+    for i in new[:_KNOWN]:
+        if len(units[i]) <= _LONG:
+            known[units[i]] = runs[i]
+
+
 class WordTokenizer:
     """Ids of texts by the lower-casing word tokenizer, as encode(text, add_special_tokens=False) gives them."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import json
+
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.whole = Tokenizer.from_file(path)
-        # Plain units need neither normalising nor splitting.
-        self.bare = Tokenizer(self.whole.model)
+        # Plain units need neither normalising nor splitting, and are remembered here.
+        with open(path) as f:
+            model = json.load(f)["model"]
+        self.bare = Tokenizer(BPE(vocab=model["vocab"], merges=[tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0))
+        self.closes = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.closes[[i for t, i in model["vocab"].items() if t.endswith(model["end_of_word_suffix"])]] = True
         self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values() if t.special]
+        self.known: dict[bytes, list[int]] = {}
 
     def _units(self, units: list[bytes], plain: np.ndarray) -> Pool:
-        runs: list[list[int]] = [[]] * len(units)
-        at = np.flatnonzero(plain).tolist()
+        runs = list(map(self.known.get, units))
+        new = [i for i, r in enumerate(runs) if r is None]
+        at = [i for i in new if plain[i]]
         for lo in range(0, len(at), 1000):
             some = at[lo : lo + 1000]
-            coded = self.bare.encode_batch([[units[i].decode().lower() for i in some]], is_pretokenized=True, add_special_tokens=False)[0]
-            n = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(some))
-            ids, end = coded.ids, np.cumsum(n).tolist()
+            ids = self.bare.encode_batch_fast([[units[i].decode("latin-1").translate(_CHARS) for i in some]], is_pretokenized=True, add_special_tokens=False)[0].ids
+            # A unit's last id, and no other, carries the mark of a word's end.
+            end = (np.flatnonzero(self.closes[ids]) + 1).tolist()
             for i, a, b in zip(some, [0, *end], end):
                 runs[i] = ids[a:b]
-        at = np.flatnonzero(~plain).tolist()
+        at = [i for i in new if not plain[i]]
         for i, coded in zip(at, self.whole.encode_batch_fast([units[i].decode() for i in at], add_special_tokens=False)):
             runs[i] = coded.ids
+        _remember(self.known, units, runs, new)
         return Pool(runs)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows in a row, number of ids of each row) of UTF-8 rows."""
         rows = len(offsets) - 1
         text = data.tobytes()
-        odd = [r for r in range(rows) if any(text.find(s, offsets[r], offsets[r + 1]) >= 0 for s in self.special)] if any(s in text for s in self.special) else []
+        both, letter = _latin(data)
+        data = LOWER[data]
+        # Capitals U+00C0 to U+00DE end in bytes up to 0x9E, their small letters 0x20 higher.
+        data[letter & (data <= 0x9E)] += 32
+        low = data.tobytes()
+        odd = {r for r in range(rows) if any(low.find(s, offsets[r], offsets[r + 1]) >= 0 for s in self.special)} if any(s in low for s in self.special) else ()
         inside = ~SPACE[data]
         first = np.zeros(len(data) + 1, bool)
         first[offsets[:-1]] = True
@@ -109,8 +146,10 @@ class WordTokenizer:
         opens |= inside & first[:-1]
         word = np.cumsum(opens) - 1
         hard = np.zeros(int(opens.sum()) + 1, bool)
-        hard[word[inside & ~_PLAIN[data]]] = True
+        letter[:-1] |= letter[1:]
+        hard[word[inside & ~_PLAIN[data] & ~letter]] = True
         kind = _KIND[data]
+        kind[letter] = 1
         changes = np.zeros(len(data), bool)
         if len(data):
             changes[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
@@ -146,15 +185,10 @@ class PairTokenizer:
         import sentencepiece
         import tiktoken
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(path_a)
         self.whole.encode_special_tokens = True
-        # The characters that stand for bytes: printable Latin-1 for itself, the others from U+0100 on in their order.
-        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        rest = [b for b in range(256) if b not in printable]
-        byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-        assert set(byte) == set(ByteLevel.alphabet())
+        byte = {c: b for b, c in _CHARS.items()}
         special = {t.content for t in self.whole.get_added_tokens_decoder().values()}
         vocabulary = {i: bytes(byte[c] for c in t) for t, i in self.whole.get_vocab().items() if t not in special}
         with open(path_a) as f:
@@ -168,18 +202,51 @@ class PairTokenizer:
         self.bytes_b = [bytes([int(self.piece.id_to_piece(i)[3:5], 16)]) if self.piece.is_byte(i) else self.piece.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
         self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
 
+        self.table_a, self.table_b = (pa.array(x, pa.large_binary()) for x in (self.bytes_a, self.bytes_b))
+        self.known: dict[bytes, tuple[list[int], list[int]]] = {}
+
     def _a(self, unit: str) -> list[int]:
         return self.fast.encode_ordinary(unit) if len(unit) <= _LONG else self.whole.encode(unit, add_special_tokens=False).ids
 
+    def _encoded(self, units: list[bytes], simple: np.ndarray) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of each unit by both tokenizers. Simple units are a blank and visible characters: the byte tokenizer begins anew at each."""
+        runs = list(map(self.known.get, units))
+        new = [i for i, r in enumerate(runs) if r is None]
+        b = self.piece.encode([units[i][1:].decode() for i in new], num_threads=1)
+        joined = [i for i in new if simple[i]]
+        of: dict[int, list[int]] = {}
+        for lo in range(0, len(joined), 4096):
+            some = joined[lo : lo + 4096]
+            ids = self.fast.encode_ordinary(b"".join(units[i] for i in some).decode())
+            end = np.searchsorted(np.cumsum(self.size_a[ids]), np.cumsum([len(units[i]) for i in some]), "left") + 1
+            for i, x, y in zip(some, [0, *end.tolist()], end.tolist()):
+                of[i] = ids[x:y]
+        a = [of[i] if i in of else self._a(units[i].decode()) for i in new]
+        for i, x, y in zip(new, a, b):
+            runs[i] = (x, y)
+        _remember(self.known, units, runs, new)
+        return [x for x, _ in runs], [y for _, y in runs]
+
+    def _same(self, units: list[bytes], a: Pool, b: Pool) -> np.ndarray:
+        """Whether the ids of each unit give its bytes back on both sides."""
+        out = np.ones(len(units), bool)
+        for pool, table, size in ((a, self.table_a, self.size_a), (b, self.table_b, self.size_b)):
+            sums = np.concatenate([[0], np.cumsum(size[pool.ids])])
+            lengths = sums[pool.starts + pool.lengths] - sums[pool.starts]
+            back = pc.take(table, pa.array(pool.ids)).buffers()[2] if len(pool.ids) else None
+            if (lengths == np.fromiter(map(len, units), np.int64, len(units))).all() and (back or b"") == b"".join(units):
+                continue
+            values = table.to_pylist()
+            out &= np.fromiter((b"".join(values[i] for i in pool.ids[s : s + n].tolist()) == u for s, n, u in zip(pool.starts.tolist(), pool.lengths.tolist(), units)), bool, len(units))
+        return out
+
     def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(starts, ends) of the units of rows that begin with a blank: cut before each blank between a whole visible character and another one."""
         begin = np.zeros(len(data), bool)
         begin[offsets[:-1][np.diff(offsets) > 0]] = True
         if len(data) > 2:
-            visible = _BEFORE[data]
-            # Letters U+00C0 to U+00FF end in a byte after 0xC3.
-            ends = visible.copy()
-            ends[1:] |= data[:-1] == 0xC3
+            visible = _VISIBLE[data]
+            ends = visible | _latin(data)[0]
             begin[1:-1] |= (data[1:-1] == 32) & ends[:-2] & (visible | (data >= 0xC3))[2:]
             # The next row's blank is behind this row's last byte, which is no unit's middle.
         starts = np.flatnonzero(begin)
@@ -192,17 +259,20 @@ class PairTokenizer:
         """
         rows = len(offsets) - 1
         starts, ends = self.units(data, offsets)
-        codes, texts = distinct(data, starts, ends)
-        strings = [t.decode() for t in texts]
-        a, b = [self._a(s) for s in strings], self.piece.encode([s[1:] for s in strings], num_threads=1)
-        same = np.fromiter((b"".join(map(self.bytes_a.__getitem__, x)) == t and b"".join(map(self.bytes_b.__getitem__, y)) == t for x, y, t in zip(a, b, texts)), bool, len(texts))
+        codes, units = distinct(data, starts, ends)
+        # Units with nothing but visible characters behind their blank.
+        other = np.concatenate([[0], np.cumsum(~(_VISIBLE[data] | _latin(data)[0]))])
+        simple = np.zeros(len(units), bool)
+        simple[codes] = (ends - starts > 1) & (other[ends] - other[starts] == 1)
+        a, b = map(Pool, self._encoded(units, simple))
+        same = self._same(units, a, b)
         row = np.searchsorted(offsets, starts, "right") - 1
         good = np.diff(offsets) > 1
         good[row[~same[codes]]] = False
         use = good[row]
         out = []
-        for runs, size in ((a, self.size_a), (b, self.size_b)):
-            ids, n = Pool(runs)(codes[use])
+        for pool, size in ((a, self.size_a), (b, self.size_b)):
+            ids, n = pool(codes[use])
             sizes = size[ids]
             # Inside a unit, ends count from its start.
             total = np.cumsum(sizes)

@@ -36,7 +36,7 @@ from lodestone.llm.tokens import PairTokenizer, pair_tokenizer, public
 #: A tokens of one place in the state vector.
 LANE = 256
 #: Bytes of text that are merged at once (a longer text comes alone).
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Pairs of more than one link in so many are sent to all tasks: 16 bytes each, 4 MB at most.
 HOT_ONE_IN = 1 << 18
 #: Distinct pairs that a task holds before it hands them on.
@@ -67,6 +67,8 @@ def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, first: np.ndarray, offsets:
     stop = np.minimum(a + LANE, np.repeat(first[1:], lanes))
     # Each place begins with the B token above the first byte of its A token.
     b = np.searchsorted(ends_b, np.where(inner > 0, ends_a[a - 1], np.repeat(offsets[:-1], lanes)), "right")
+    # Token numbers fit in 32 bits: a slice has no more tokens than bytes.
+    a, b = a.astype(np.int32), b.astype(np.int32)
     cuts_a, cuts_b = np.zeros(len(ends_a), bool), np.zeros(len(ends_b), bool)
     links_a, links_b = [a[:0]], [b[:0]]
     while len(a):
@@ -114,42 +116,73 @@ class _Merged:
         data, offsets = with_blank(data, offsets)
         self.ids_a, ends_a, self.ids_b, ends_b, self.good = tokenizer(data, offsets)
         self.first_a, self.first_b = (np.searchsorted(e, offsets, "right") for e in (ends_a, ends_b))
-        self.a, self.b, self.cuts_a, self.cuts_b = lockstep(ends_a, ends_b, self.first_a, offsets)
-        self.pairs = self.ids_a[self.a] << 32 | self.ids_b[self.b]
-        self.row = np.searchsorted(self.first_a, self.a, "right") - 1
+        a, b, self.cuts_a, self.cuts_b = lockstep(ends_a, ends_b, self.first_a, offsets)
+        bits_a, bits_b = (int(max(1, x.max(initial=0))).bit_length() for x in (self.ids_a, self.ids_b))
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first_a))[a]
+        # Sorted by row and pair, so that equal ones stand together.
+        keys = np.sort(row << (bits_a + bits_b) | self.ids_a[a] << bits_b | self.ids_b[b])
+        self.starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        #: Of each row's distinct linked pairs: row, pair and number of links.
+        once = keys[self.starts]
+        self.times = np.diff(np.append(self.starts, len(keys)))
+        self.row = once >> (bits_a + bits_b)
+        self.pairs = ((once >> bits_b) & ((1 << bits_a) - 1)) << 32 | once & ((1 << bits_b) - 1)
+
+
+def merged(docs: DataFrame, path_a: str, path_b: str, digest: bool) -> DataFrame:
+    """doc_id, row (a number of its own), n_a, n_b, n_groups, n_links, groups, pairs, times of every row: its distinct linked pairs and their links."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+        from pyspark import TaskContext
 
-def token_links(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """pair (A id << 32 | B id), a_id, b_id, n, best of every linked id pair: n links, and whether no A id has more links with this B id."""
+        tokenizer = pair_tokenizer(path_a, path_b)
+        sizes = len(tokenizer.bytes_a), len(tokenizer.bytes_b)
+        labels = _labels(sizes[0], ",|"), _labels(sizes[1], ",;")
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for row, data, offsets in slices(batch.column(1), SLICE):
+                m = _Merged(tokenizer, data, offsets)
+                rows = len(offsets) - 1
+                cuts = np.concatenate([[0], np.cumsum(m.cuts_a)])
+                texts = groups(m.ids_a, m.ids_b, m.cuts_a, m.cuts_b, m.first_a, labels, sizes)
+                links = np.bincount(m.row, m.times, rows).astype(np.int64)
+                shown = [hashlib.sha256(t).hexdigest() if t else "" for t in texts] if digest else [t.decode() for t in texts]
+                lists = pa.array(np.searchsorted(m.row, np.arange(rows + 1)).astype(np.int32))
+                columns = (np.diff(m.first_a), np.diff(m.first_b), np.diff(cuts[m.first_a]), links)
+                yield [batch.column(0).slice(row, rows), pa.array(number + np.arange(rows)), *[pa.array(c, pa.int64()) for c in columns], pa.array(shown, pa.string()), pa.ListArray.from_arrays(lists, pa.array(m.pairs)), pa.ListArray.from_arrays(lists, pa.array(m.times.astype(np.int32)))]
+                number += rows
+
+    long = T.LongType()
+    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, long) for c in ("row", "n_a", "n_b", "n_groups", "n_links")], T.StructField("groups", T.StringType()), T.StructField("pairs", T.ArrayType(long)), T.StructField("times", T.ArrayType(T.IntegerType()))]
+    return map_batches(docs.select("doc_id", "text"), run, fields)
+
+
+def token_links(rows: DataFrame) -> DataFrame:
+    """pair (A id << 32 | B id), a_id, b_id, n, best of every linked id pair of merged rows: n links, and whether no A id has more links with this B id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
-        tokenizer = pair_tokenizer(path_a, path_b)
-        pairs, counts, rows = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-        held: list = []
+        pairs, counts, held, n = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def summed(last: bool) -> Iterator[list[pa.Array]]:
-            nonlocal pairs, counts, held, rows
-            keys = np.concatenate([pairs, *[k for k, _ in held]])
-            pairs, place = np.unique(keys, return_inverse=True)
-            counts = np.bincount(place, np.concatenate([counts, *[n for _, n in held]]), len(pairs)).astype(np.int64)
-            held, rows = [], 0
+            nonlocal pairs, counts, held, n
+            pairs, place = np.unique(np.concatenate([pairs, *[k for k, _ in held]]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, *[t for _, t in held]]), len(pairs)).astype(np.int64)
+            held, n = [], 0
             if last or len(pairs) > _HELD:
                 yield [pa.array(pairs), pa.array(counts)]
                 pairs, counts = pairs[:0], counts[:0]
 
         for batch in batches:
-            for _, data, offsets in slices(batch.column(0), SLICE):
-                found = np.unique(_Merged(tokenizer, data, offsets).pairs, return_counts=True)
-                held.append(found)
-                rows += len(found[0])
-                if rows > _HELD:
-                    yield from summed(False)
+            held.append((batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy()))
+            n += len(held[-1][0])
+            if n > _HELD:
+                yield from summed(False)
         yield from summed(True)
 
-    each = map_batches(docs.select("text"), run, [T.StructField("pair", T.LongType()), T.StructField("k", T.LongType())])
+    each = map_batches(rows.select("pairs", "times"), run, [T.StructField("pair", T.LongType()), T.StructField("k", T.LongType())])
     n = cut(each.groupBy("pair").agg(F.sum("k").alias("n")).withColumn("b_id", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")), "counts")
-    most = n.groupBy("b_id").agg(F.max("n").alias("most"))
     # One row for each id of the B vocabulary.
+    most = n.groupBy("b_id").agg(F.max("n").alias("most"))
     joined = n.join(F.broadcast(most), "b_id")
     return joined.select("pair", F.shiftright("pair", 32).cast("int").alias("a_id"), "b_id", "n", (F.col("n") == F.col("most")).alias("best"))
 
@@ -160,63 +193,37 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     groups is the text `a1,a2|b1;a3|b2,b3`, with digest its SHA-256 in lowercase hex. n_best counts the links whose pair is
     best for its B id, count_sum sums the pairs' corpus-wide counts over the row's links.
     """
-    path_a, path_b = path_a or public("byte_bpe_50k.json"), path_b or public("piece_bpe_32k.model")
     spark = docs.sparkSession
-    numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
     with scratch(spark) as keep:
-        links = keep(cut(token_links(docs, path_a, path_b), "links"))
+        # Rows are numbered as they are written; repeated ids stay apart by that number.
+        rows = cut(merged(docs, path_a or public("byte_bpe_50k.json"), path_b or public("piece_bpe_32k.model"), digest), "merged")
+        links = keep(cut(token_links(rows), "links"))
         total = links.agg(F.sum("n")).first()[0] or 0
         hot = links.where(F.col("n") * F.lit(HOT_ONE_IN) > F.lit(total)).orderBy("pair").toArrow()
-        known = spark.sparkContext.broadcast(tuple(hot[c].to_numpy(zero_copy_only=False) for c in ("pair", "n", "best")))
+        known = spark.sparkContext.broadcast(tuple(hot[c].to_numpy() for c in ("pair", "n", "best")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
-            from pyspark import TaskContext
-
-            tokenizer = pair_tokenizer(path_a, path_b)
-            sizes = len(tokenizer.bytes_a), len(tokenizer.bytes_b)
-            labels = _labels(sizes[0], ",|"), _labels(sizes[1], ",;")
             pairs, counts, best = known.value
-            row = TaskContext.get().partitionId() << 33
             for batch in batches:
-                out: list[list] = [[] for _ in range(8)]
-                rare_rows = []
-                for _, data, offsets in slices(batch.column(1), SLICE):
-                    m = _Merged(tokenizer, data, offsets)
-                    rows = len(offsets) - 1
-                    at = np.minimum(np.searchsorted(pairs, m.pairs), max(0, len(pairs) - 1))
-                    is_hot = pairs[at] == m.pairs if len(pairs) else np.zeros(len(m.pairs), bool)
-                    hot_at, hot_row = at[is_hot], m.row[is_hot]
-                    cuts = np.concatenate([[0], np.cumsum(m.cuts_a)])
-                    texts = groups(m.ids_a, m.ids_b, m.cuts_a, m.cuts_b, m.first_a, labels, sizes)
-                    # Sums by int64: a float would lose the last digits of large ones.
-                    n_sum = np.zeros(rows, np.int64)
-                    np.add.at(n_sum, hot_row, counts[hot_at])
-                    values = (np.diff(m.first_a), np.diff(m.first_b), np.diff(cuts[m.first_a]), np.bincount(m.row, minlength=rows), np.bincount(hot_row[best[hot_at]], minlength=rows), n_sum)
-                    for column, v in zip(out, values):
-                        column.append(v)
-                    out[6] += ([hashlib.sha256(t).hexdigest() if t else "" for t in texts] if digest else [t.decode() for t in texts])
-                    rare, own = m.pairs[~is_hot], m.row[~is_hot]
-                    order = np.lexsort((rare, own))
-                    rare, own = rare[order], own[order]
-                    new = np.ones(len(rare), bool)
-                    new[1:] = (rare[1:] != rare[:-1]) | (own[1:] != own[:-1])
-                    starts = np.flatnonzero(new)
-                    out[7].append((rare[starts], np.diff(np.append(starts, len(rare)))))
-                    rare_rows.append(np.bincount(own[starts], minlength=rows))
                 n = batch.num_rows
-                join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-                lists = np.concatenate([[0], np.cumsum(join(rare_rows))]).astype(np.int32)
-                structs = pa.StructArray.from_arrays([pa.array(join([p for p, _ in out[7]])), pa.array(join([k for _, k in out[7]]))], ["pair", "k"])
-                yield [batch.column(0), pa.array(row + np.arange(n)), *[pa.array(join(c), pa.int64()) for c in out[:6]], pa.array(out[6], pa.string()), pa.ListArray.from_arrays(pa.array(lists, pa.int32()), structs)]
-                row += n
+                lists, times = batch.column(7), batch.column(8).flatten().to_numpy().astype(np.int64)
+                flat, row = lists.flatten().to_numpy(), np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy())
+                at = np.minimum(np.searchsorted(pairs, flat), max(0, len(pairs) - 1))
+                is_hot = pairs[at] == flat if len(pairs) else np.zeros(len(flat), bool)
+                at = at[is_hot]
+                k, of = times[is_hot], row[is_hot]
+                sums = np.zeros(n, np.int64)
+                np.add.at(sums, of, k * counts[at])
+                n_best = np.bincount(of, k * best[at], n).astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row[~is_hot], minlength=n))]).astype(np.int32)
+                rare = pa.StructArray.from_arrays([pa.array(flat[~is_hot]), pa.array(times[~is_hot])], ["pair", "k"])
+                yield [*batch.columns[:7], pa.array(n_best), pa.array(sums), pa.ListArray.from_arrays(pa.array(ends), rare)]
 
         long = T.LongType()
         rare = T.ArrayType(T.StructType([T.StructField("pair", long), T.StructField("k", long)]))
-        fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("row", long), *[T.StructField(c, long) for c in numbers], T.StructField("groups", T.StringType()), T.StructField("rare", rare)]
-        # Rows are numbered as they are written; repeated ids stay apart by that number.
-        merged = keep(cut(map_batches(docs.select("doc_id", "text"), run, fields), "merged"))
-        rest = merged.select("row", F.explode("rare").alias("r")).select("row", "r.pair", "r.k").join(links.select("pair", "n", "best"), "pair")
-        more = rest.groupBy("row").agg(F.sum(F.col("k") * F.col("n")).alias("_sum"), F.sum(F.when(F.col("best"), F.col("k")).otherwise(0)).alias("_best"))
-        added = lambda c, extra: (F.col(c) + F.coalesce(extra, F.lit(0))).alias(c)
-        documents = merged.drop("rare").join(more, "row", "left").select("doc_id", *numbers[:4], added("n_best", "_best"), added("count_sum", "_sum"), "groups")
+        counted = keep(cut(map_batches(rows, run, [*rows.schema.fields[:7], T.StructField("n_best", long), T.StructField("count_sum", long), T.StructField("rare", rare)]), "counted"))
+    rest = counted.select("row", F.explode("rare").alias("r")).select("row", "r.pair", "r.k").join(links.select("pair", "n", "best"), "pair")
+    more = rest.groupBy("row").agg(F.sum(F.col("k") * F.col("n")).alias("_sum"), F.sum(F.when(F.col("best"), F.col("k")).otherwise(0)).alias("_best"))
+    added = lambda c, extra: (F.col(c) + F.coalesce(extra, F.lit(0))).alias(c)
+    documents = counted.drop("rare").join(more, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", added("n_best", "_best"), added("count_sum", "_sum"), "groups")
     return documents, links

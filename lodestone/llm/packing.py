@@ -35,7 +35,7 @@ from lodestone.llm.tokens import public, word_tokenizer
 
 CAPACITY = 2048
 #: Bytes of text that are encoded at once (a longer text comes alone).
-SLICE = 1 << 23
+SLICE = 1 << 22
 #: Nodes of the search, fillings that a node branches on, and steps of their enumeration.
 NODES, FILLINGS, STEPS = 400, 32, 4000
 #: A filling: (length, times) by falling length; a plan: (filling, number of sequences).

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import cut, map_batches, scratch
 from lodestone.llm.text import LOWER, mix, slices, spans
-from lodestone.llm.tokens import distinct
+from lodestone.llm.tokens import as_bytes, distinct
 
 LEAST_LENGTH, LEAST_N = 6, 5
 #: A form is this many times as frequent as its word.
@@ -98,7 +98,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for row, data, offsets in slices(batch.column(1), 1 << 23):
                 data = LOWER[data]
                 starts, ends, of = runs(data, offsets)
-                codes, words = distinct(data, starts, ends)
+                codes, found = distinct(data, starts, ends)
+                words = as_bytes(found)
                 length = np.fromiter(map(len, words), np.int64, len(words))
                 crc = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
                 doc = np.fromiter((zlib.crc32(h) for h in heads[row : row + len(offsets) - 1]), np.uint32, len(offsets) - 1)

@@ -21,7 +21,7 @@ from lodestone.llm.text import LOWER, SPACE
 #: Units longer than this are left to the tokenizers library where tiktoken would do.
 _LONG = 500
 #: Units that a worker remembers with their ids; all are forgotten when there are more.
-_KNOWN = 400_000
+_KNOWN = 200_000
 #: Bytes that the word tokenizer splits by their kind alone: printable ASCII but the apostrophe (and letters of two bytes, see _latin).
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
@@ -52,7 +52,7 @@ def public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
     """(code of each span, the distinct spans by code). Spans are disjoint and in order."""
     lengths = ends - starts
     edge = np.bincount(starts, minlength=len(data) + 1) - np.bincount(ends, minlength=len(data) + 1)
@@ -61,7 +61,22 @@ def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     np.cumsum(lengths, out=offsets[1:])
     flat = np.ascontiguousarray(data[inside])
     coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def content(values: pa.LargeBinaryArray) -> memoryview:
+    """All bytes of an array without offset or nulls, in a row."""
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[: len(values) + 1] if len(values) else np.zeros(1, np.int64)
+    return memoryview(values.buffers()[2] or b"").cast("B")[offsets[0] : offsets[-1]]
+
+
+def as_bytes(values: pa.LargeBinaryArray) -> list[bytes]:
+    """The array as a list (much faster than its own conversion)."""
+    if not len(values):
+        return []
+    data, offsets = bytes(content(values)), np.frombuffer(values.buffers()[1], np.int64)[: len(values) + 1]
+    offsets = (offsets - offsets[0]).tolist()
+    return [data[a:b] for a, b in zip(offsets, offsets[1:])]
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -71,12 +86,22 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Pool:
-    """Ids of units: run code of ids is ids[starts[code] : starts[code] + lengths[code]]."""
+    """Ids of units: those of a code are ids[starts[code] : starts[code] + lengths[code]]."""
+
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
+        self.ids, self.starts, self.lengths = ids, starts, lengths
 
-    def __init__(self, runs: list[list[int]]):
-        self.lengths = np.fromiter(map(len, runs), np.int64, len(runs))
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.ids = np.fromiter(chain.from_iterable(runs), np.int64, int(self.lengths.sum()))
+    @staticmethod
+    def of(runs: list[list[int]]) -> Pool:
+        lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+        return Pool(np.fromiter(chain.from_iterable(runs), np.int64, int(lengths.sum())), np.cumsum(lengths) - lengths, lengths)
+
+    def joined(self, other: Pool, mine: np.ndarray) -> Pool:
+        """The units of both by code: mine[code] tells whose the code is, each pool's in order."""
+        out = Pool(np.concatenate([self.ids, other.ids]), np.empty(len(mine), np.int64), np.empty(len(mine), np.int64))
+        out.starts[mine], out.lengths[mine] = self.starts, self.lengths
+        out.starts[~mine], out.lengths[~mine] = other.starts + len(self.ids), other.lengths
+        return out
 
     def __call__(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the units in a row, number of ids of each)."""
@@ -84,12 +109,14 @@ class Pool:
         return self.ids[ragged(self.starts[codes], n)], n
 
 
-def _remember(known: dict, units: list[bytes], runs: list, new: list[int]) -> None:
-    if len(known) + len(new) > _KNOWN:
+def _remember(known: dict, units: list[bytes], runs: list, new: list[int], codes: np.ndarray) -> None:
+    """Remembers the new units that occur more than once."""
+    again = (np.bincount(codes, minlength=len(units)) > 1).tolist()
+    some = [i for i in new if again[i] and len(units[i]) <= _LONG][:_KNOWN]
+    if len(known) + len(some) > _KNOWN:
         known.clear()
-    for i in new[:_KNOWN]:
-        if len(units[i]) <= _LONG:
-            known[units[i]] = runs[i]
+    for i in some:
+        known[units[i]] = runs[i]
 
 
 class WordTokenizer:
@@ -112,7 +139,7 @@ class WordTokenizer:
         self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values() if t.special]
         self.known: dict[bytes, list[int]] = {}
 
-    def _units(self, units: list[bytes], plain: np.ndarray) -> Pool:
+    def _units(self, units: list[bytes], plain: np.ndarray, codes: np.ndarray) -> Pool:
         runs = list(map(self.known.get, units))
         new = [i for i, r in enumerate(runs) if r is None]
         at = [i for i in new if plain[i]]
@@ -126,8 +153,8 @@ class WordTokenizer:
         at = [i for i in new if not plain[i]]
         for i, coded in zip(at, self.whole.encode_batch_fast([units[i].decode() for i in at], add_special_tokens=False)):
             runs[i] = coded.ids
-        _remember(self.known, units, runs, new)
-        return Pool(runs)
+        _remember(self.known, units, runs, new, codes)
+        return Pool.of(runs)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows in a row, number of ids of each row) of UTF-8 rows."""
@@ -158,10 +185,11 @@ class WordTokenizer:
         # A unit ends where the next one or a blank begins.
         stops = np.flatnonzero(np.concatenate([~inside | begin, [True]]) | first)
         ends = stops[np.searchsorted(stops, starts, "right")]
-        codes, units = distinct(data, starts, ends)
+        codes, spans_ = distinct(data, starts, ends)
+        units = as_bytes(spans_)
         plain = np.zeros(len(units), bool)
         plain[codes] = ~hard[word[starts]]
-        ids, n = self._units(units, plain)(codes)
+        ids, n = self._units(units, plain, codes)(codes)
         unit_row = np.searchsorted(offsets, starts, "right") - 1
         sizes = np.bincount(unit_row, n, rows).astype(np.int64) if len(starts) else np.zeros(rows, np.int64)
         if not odd:
@@ -203,41 +231,38 @@ class PairTokenizer:
         self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
 
         self.table_a, self.table_b = (pa.array(x, pa.large_binary()) for x in (self.bytes_a, self.bytes_b))
-        self.known: dict[bytes, tuple[list[int], list[int]]] = {}
 
     def _a(self, unit: str) -> list[int]:
         return self.fast.encode_ordinary(unit) if len(unit) <= _LONG else self.whole.encode(unit, add_special_tokens=False).ids
 
-    def _encoded(self, units: list[bytes], simple: np.ndarray) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each unit by both tokenizers. Simple units are a blank and visible characters: the byte tokenizer begins anew at each."""
-        runs = list(map(self.known.get, units))
-        new = [i for i, r in enumerate(runs) if r is None]
-        b = self.piece.encode([units[i][1:].decode() for i in new], num_threads=1)
-        joined = [i for i in new if simple[i]]
-        of: dict[int, list[int]] = {}
-        for lo in range(0, len(joined), 4096):
-            some = joined[lo : lo + 4096]
-            ids = self.fast.encode_ordinary(b"".join(units[i] for i in some).decode())
-            end = np.searchsorted(np.cumsum(self.size_a[ids]), np.cumsum([len(units[i]) for i in some]), "left") + 1
-            for i, x, y in zip(some, [0, *end.tolist()], end.tolist()):
-                of[i] = ids[x:y]
-        a = [of[i] if i in of else self._a(units[i].decode()) for i in new]
-        for i, x, y in zip(new, a, b):
-            runs[i] = (x, y)
-        _remember(self.known, units, runs, new)
-        return [x for x, _ in runs], [y for _, y in runs]
-
-    def _same(self, units: list[bytes], a: Pool, b: Pool) -> np.ndarray:
+    def _encoded(self, units: pa.LargeBinaryArray, simple: np.ndarray) -> tuple[Pool, Pool]:
+        """Ids of each unit by both tokenizers. Simple units are a blank and visible characters: the byte tokenizer begins anew at each, so they are encoded as one text."""
+        some = units.take(pa.array(np.flatnonzero(simple)))
+        text = bytes(content(some)).decode()
+        ids = np.array(self.fast.encode_ordinary(text), np.int64)
+        unit_ends = np.cumsum(pc.binary_length(some).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.searchsorted(np.cumsum(self.size_a[ids]), unit_ends, "left") + 1
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)]
+        a = Pool(ids, starts, ends - starts)
+        b = Pool.of(self.piece.encode(text.split(" ")[1:], num_threads=1))
+        if simple.all():
+            return a, b
+        others = [u.decode() for u in as_bytes(units.take(pa.array(np.flatnonzero(~simple))))]
+        return a.joined(Pool.of([self._a(u) for u in others]), simple), b.joined(Pool.of(self.piece.encode([u[1:] for u in others], num_threads=1)), simple)
+
+    def _same(self, units: pa.LargeBinaryArray, a: Pool, b: Pool) -> np.ndarray:
         """Whether the ids of each unit give its bytes back on both sides."""
         out = np.ones(len(units), bool)
+        sizes = pc.binary_length(units).to_numpy(zero_copy_only=False)
         for pool, table, size in ((a, self.table_a, self.size_a), (b, self.table_b, self.size_b)):
-            sums = np.concatenate([[0], np.cumsum(size[pool.ids])])
-            lengths = sums[pool.starts + pool.lengths] - sums[pool.starts]
-            back = pc.take(table, pa.array(pool.ids)).buffers()[2] if len(pool.ids) else None
-            if (lengths == np.fromiter(map(len, units), np.int64, len(units))).all() and (back or b"") == b"".join(units):
+            ids = pool(np.arange(len(units)))[0]
+            sums = np.concatenate([[0], np.cumsum(size[ids])])
+            ends = np.cumsum(pool.lengths)
+            back = content(pc.take(table, pa.array(ids)))
+            if (sums[ends] - sums[ends - pool.lengths] == sizes).all() and np.array_equal(np.frombuffer(back, np.uint8), np.frombuffer(content(units), np.uint8)):
                 continue
             values = table.to_pylist()
-            out &= np.fromiter((b"".join(values[i] for i in pool.ids[s : s + n].tolist()) == u for s, n, u in zip(pool.starts.tolist(), pool.lengths.tolist(), units)), bool, len(units))
+            out &= np.fromiter((b"".join(values[i] for i in ids[e - n : e].tolist()) == u for e, n, u in zip(ends.tolist(), pool.lengths.tolist(), as_bytes(units))), bool, len(units))
         return out
 
     def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +289,7 @@ class PairTokenizer:
         other = np.concatenate([[0], np.cumsum(~(_VISIBLE[data] | _latin(data)[0]))])
         simple = np.zeros(len(units), bool)
         simple[codes] = (ends - starts > 1) & (other[ends] - other[starts] == 1)
-        a, b = map(Pool, self._encoded(units, simple))
+        a, b = self._encoded(units, simple)
         same = self._same(units, a, b)
         row = np.searchsorted(offsets, starts, "right") - 1
         good = np.diff(offsets) > 1

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 # Code point ranges counted as one token each.
 WIDE = "\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{3040}-\\x{30FF}\\x{AC00}-\\x{D7AF}\\x{20000}-\\x{2A6DF}"
 WIDE_HISTORY = "\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}"
-#: Every character of Unicode's White_Space property.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Every character of Unicode's White_Space property, and the four separators U+001C to U+001F.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SENTENCE_END = "(?U)(?<=[。！？…])|(?<=[!?])\\s+|(?<=\\.)\\s+(?=[A-Z一-鿿])"
 
 

@@ -13,5 +13,5 @@ TRIGRAM_THRESHOLD = 0.3
 HISTORY_TURNS, HISTORY_TOKENS = 5, 1500
 MEMORY_K, MEMORY_SIMILARITY, MEMORY_CAP, MEMORY_LEAST = 5, 0.88, 50, 15
 CHUNK_TOKENS, CHUNK_OVERLAP, CHUNK_LEAST = 512, 50, 20
-PHRASES_PER_USER, PHRASE_LENGTH = 15, 200
+PHRASES_PER_USER, PHRASE_LENGTH, TITLE_LENGTH = 15, 200, 200
 NO_CONTENT = "no_relevant_content"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import strip
-from lodestone.functions.vocabulary import DEFAULT_ORDINAL, LEVELS, PHRASE_LENGTH, PHRASES_PER_USER, TAGS
+from lodestone.functions.vocabulary import DEFAULT_ORDINAL, LEVELS, PHRASE_LENGTH, PHRASES_PER_USER, TAGS, TITLE_LENGTH
 from lodestone.operators.ingest import ordinal
 from lodestone.sources.shared import at_rest
 
@@ -69,17 +69,64 @@ def visible_docs(docs: DataFrame, hidden: DataFrame) -> DataFrame:
     return docs.join(hidden.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
-def permission_patch(docs: DataFrame, patches: DataFrame) -> DataFrame:
-    """doc_id, acl_tags, sensitivity_level, outcome (applied or the reason of refusal) of each patched document. See patch_chunks."""
-    p = patches.select("doc_id", F.col("acl_tags").alias("new_tags"), F.col("sensitivity_level").alias("new_level"))
-    unknown = (F.size(F.array_except("new_tags", F.array(*map(F.lit, TAGS)))) > 0) | ~F.col("new_level").isin(*LEVELS)
-    outcome = F.when(F.col("status") == "processing", "processing").when(F.col("new_tags").isNull() & F.col("new_level").isNull(), "nothing").when(F.size("new_tags") == 0, "empty_tags").when(F.coalesce(unknown, F.lit(False)), "unknown_value").otherwise("applied")
+def _folded(patches: DataFrame, keys: list[str], fields: list[str], order: str = "patch_id", at: str | None = None) -> DataFrame:
+    """One row for each key of many patches: _<field>, the last value that an applied patch gives it (null: none does), _applied, whether any was, _outcome, its or the last patch's, and _at, the latest time of an applied one.
+
+    patches carry their outcome. Values are carried in aggregates by their patch number, so tasks fold their own
+    patches before the shuffle and a key of any number of patches is a row from each of them.
+    """
     ok = F.col("outcome") == "applied"
-    return docs.join(p, "doc_id").withColumn("outcome", outcome).select("doc_id", F.when(ok, F.coalesce("new_tags", "acl_tags")).otherwise(F.col("acl_tags")).alias("acl_tags"), F.when(ok, F.coalesce("new_level", "sensitivity_level")).otherwise(F.col("sensitivity_level")).alias("sensitivity_level"), "outcome")
+    last = [F.max_by(f, F.when(ok & F.col(f).isNotNull(), F.col(order))).alias(f"_{f}") for f in fields]
+    times = [F.max(F.when(ok, F.col(at))).alias("_at")] if at else []
+    any_ = F.coalesce(F.bool_or(ok), F.lit(False))
+    return patches.groupBy(*keys).agg(*last, *times, any_.alias("_applied"), F.when(any_, F.lit("applied")).otherwise(F.max_by("outcome", order)).alias("_outcome"))
+
+
+def _timed(patches: DataFrame) -> str | None:
+    return "patched_at" if "patched_at" in patches.columns else None
+
+
+def _touched(rows: DataFrame, fields: list[str], timed: bool) -> list:
+    """The fields after the fold, and updated_at if there is one."""
+    out = [F.when(F.col("_applied"), F.coalesce(f"_{f}", f)).otherwise(F.col(f)).alias(f) for f in fields]
+    if timed and "updated_at" in rows.columns:
+        out.append(F.when(F.col("_applied"), F.greatest("updated_at", "_at")).otherwise(F.col("updated_at")).alias("updated_at"))
+    return out
+
+
+def _judged_permissions(patches: DataFrame) -> DataFrame:
+    tags, level = F.col("acl_tags"), F.col("sensitivity_level")
+    unknown = (F.size(F.array_except(tags, F.array(*map(F.lit, TAGS)))) > 0) | ~level.isin(*LEVELS)
+    return patches.withColumn("outcome", F.when(tags.isNull() & level.isNull(), "nothing").when(F.size(tags) == 0, "empty_tags").when(F.coalesce(unknown, F.lit(False)), "unknown_value").otherwise("applied"))
+
+
+def permission_outcomes(docs: DataFrame, patches: DataFrame) -> DataFrame:
+    """patch_id, doc_id, outcome of each patch: applied, not_found, processing, nothing, empty_tags or unknown_value."""
+    status = docs.select("doc_id", F.col("status").alias("_status"), F.lit(True).alias("_known"))
+    known = _judged_permissions(patches).join(status, "doc_id", "left")
+    outcome = F.when(F.col("_known").isNull(), "not_found").when(F.col("_status") == "processing", "processing").otherwise(F.col("outcome"))
+    return known.select("patch_id", "doc_id", outcome.alias("outcome"))
+
+
+def permission_patch(docs: DataFrame, patches: DataFrame) -> DataFrame:
+    """doc_id, acl_tags, sensitivity_level, outcome, and updated_at if docs have it, of each patched document: one row whatever the number of its patches.
+
+    patches: patch_id, doc_id, acl_tags, sensitivity_level, and patched_at if times are kept. They take effect in the order of
+    patch_id, each field apart; a null leaves its field as it is, and a refused patch changes nothing. outcome is applied if any
+    patch was, else why the last one wasn't (see permission_outcomes for each). See patch_chunks.
+    """
+    fields, at = ["acl_tags", "sensitivity_level"], _timed(patches)
+    p = _folded(_judged_permissions(patches), ["doc_id"], fields, at=at)
+    waiting = F.col("status") == "processing"
+    joined = docs.join(p, "doc_id").withColumn("_applied", F.col("_applied") & ~F.coalesce(waiting, F.lit(False)))
+    return joined.select("doc_id", *_touched(joined, fields, at is not None), F.when(waiting, "processing").otherwise(F.col("_outcome")).alias("outcome"))
 
 
 def patch_chunks(chunks: DataFrame, patched: DataFrame) -> DataFrame:
-    """chunks with the tags and ordinal of the documents whose patch was applied (see permission_patch), so that retrieval follows the documents."""
+    """chunks with the tags and ordinal of the documents of which a patch was applied, so that retrieval follows the documents.
+
+    patched has one row for each document (see permission_patch), so a chunk stays one row.
+    """
     p = patched.where("outcome = 'applied'").select(F.col("doc_id").alias("_doc"), F.col("acl_tags").alias("_tags"), ordinal(F.col("sensitivity_level")).alias("_ordinal"))
     joined = chunks.join(p, chunks["document_id"] == p["_doc"], "left")
     joined = joined.withColumn("acl_tags", F.coalesce("_tags", "acl_tags")).withColumn("sensitivity_ordinal", F.coalesce("_ordinal", "sensitivity_ordinal"))
@@ -114,14 +161,25 @@ def permission_diff(users: DataFrame, drafts: DataFrame) -> DataFrame:
     return users.join(d, "user_id").where(~same).select("user_id")
 
 
+def _judged_users(patches: DataFrame, actor: int) -> DataFrame:
+    bad = F.coalesce(F.size(F.array_except("permission_tags", F.array(*map(F.lit, TAGS)))) > 0, F.lit(False)) | F.coalesce(~F.col("clearance_level").between(0, 2), F.lit(False))
+    return patches.withColumn("outcome", F.when(bad, "unknown_value").when((F.col("user_id") == actor) & F.coalesce(~F.col("is_admin"), F.lit(False)), "self_demotion").otherwise("applied"))
+
+
+def user_outcomes(users: DataFrame, patches: DataFrame, actor: int) -> DataFrame:
+    """patch_id, user_id, outcome of each patch: applied, not_found, unknown_value or self_demotion."""
+    known = _judged_users(patches, actor).join(users.select("user_id", F.lit(True).alias("_known")), "user_id", "left")
+    return known.select("patch_id", "user_id", F.when(F.col("_known").isNull(), "not_found").otherwise(F.col("outcome")).alias("outcome"))
+
+
 def user_patch(users: DataFrame, patches: DataFrame, actor: int) -> DataFrame:
-    """user_id, permission_tags, clearance_level, is_admin, is_active, outcome of each patched user; null in a patch leaves a field as it is."""
-    fields = ("permission_tags", "clearance_level", "is_admin", "is_active")
-    p = patches.select("user_id", *[F.col(c).alias(f"_{c}") for c in fields])
-    bad = F.coalesce(F.size(F.array_except("_permission_tags", F.array(*map(F.lit, TAGS)))) > 0, F.lit(False)) | F.coalesce(~F.col("_clearance_level").between(0, 2), F.lit(False))
-    outcome = F.when(bad, "unknown_value").when((F.col("user_id") == actor) & F.coalesce(~F.col("_is_admin"), F.lit(False)), "self_demotion").otherwise("applied")
-    joined = users.join(p, "user_id").withColumn("outcome", outcome)
-    return joined.select("user_id", *[F.when(F.col("outcome") == "applied", F.coalesce(f"_{c}", c)).otherwise(F.col(c)).alias(c) for c in fields], "outcome")
+    """user_id, permission_tags, clearance_level, is_admin, is_active, outcome of each patched user, one row whatever the number of patches.
+
+    Patches take effect in the order of patch_id, each field apart; null in a patch leaves a field as it is. outcome as in permission_patch.
+    """
+    fields = ["permission_tags", "clearance_level", "is_admin", "is_active"]
+    joined = users.join(_folded(_judged_users(patches, actor), ["user_id"], fields), "user_id")
+    return joined.select("user_id", *_touched(joined, fields, False), F.col("_outcome").alias("outcome"))
 
 
 def register_users(requests: DataFrame, users: DataFrame) -> DataFrame:
@@ -201,11 +259,29 @@ def progress_throttle(events: DataFrame, step: int = 5) -> DataFrame:
     return rows.repartition("doc_id").sortWithinPartitions("doc_id", "ts", "event_id").mapInArrow(fold, "doc_id long, event_id long, percent int")
 
 
+def _judged_renames(renames: DataFrame) -> DataFrame:
+    r = renames.withColumn("title", strip(F.col("new_title")))
+    return r.withColumn("outcome", F.when(F.coalesce(F.length("title").between(1, TITLE_LENGTH), F.lit(False)), "applied").otherwise("bad_title"))
+
+
+def rename_outcomes(sessions: DataFrame, renames: DataFrame) -> DataFrame:
+    """patch_id, session_id, outcome of each rename: applied, bad_title, or not_found for sessions that don't exist or that the requester doesn't own."""
+    owned = sessions.select("session_id", "user_id", F.lit(True).alias("_owned"))
+    known = _judged_renames(renames).join(owned, ["session_id", "user_id"], "left")
+    return known.select("patch_id", "session_id", F.when(F.col("_owned").isNull(), "not_found").otherwise(F.col("outcome")).alias("outcome"))
+
+
 def session_patch(sessions: DataFrame, renames: DataFrame, messages: DataFrame) -> DataFrame:
-    """session_id, title, updated_at: valid new titles (1 to 200 characters, stripped) and the time of the last message."""
-    r = renames.withColumn("_new", strip(F.col("new_title"))).where(F.length("_new").between(1, 200)).select("session_id", "_new")
-    m = messages.groupBy("session_id").agg(F.max("created_at").alias("_at"))
-    return sessions.join(r, "session_id", "left").join(m, "session_id", "left").select("session_id", F.coalesce("_new", "title").alias("title"), F.greatest("updated_at", "_at").alias("updated_at"))
+    """session_id, title, updated_at of every session: the last valid title (1 to 200 characters, stripped) that its owner gave it, and the time of the last message or rename.
+
+    renames: patch_id (their order), session_id, user_id (who asks), new_title, and patched_at if times are kept.
+    """
+    at = _timed(renames)
+    r = _folded(_judged_renames(renames), ["session_id", "user_id"], ["title"], at=at)
+    m = messages.groupBy("session_id").agg(F.max("created_at").alias("_message"))
+    joined = sessions.join(r, ["session_id", "user_id"], "left").join(m, "session_id", "left")
+    times = [F.col("updated_at"), F.col("_message"), *([F.col("_at")] if at else [])]
+    return joined.select("session_id", F.coalesce("_title", "title").alias("title"), F.greatest(*times).alias("updated_at"))
 
 
 def backfill_progress(docs: DataFrame) -> DataFrame:
@@ -220,10 +296,11 @@ def vocab_tables(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "vocabulary string, value string, ordinal int")
 
 
-def vocab_usage(docs: DataFrame) -> DataFrame:
-    """vocabulary, value, ordinal, n: documents that carry each allowed tag or level; 0 for unused ones."""
+def vocab_usage(docs: DataFrame, users: DataFrame) -> DataFrame:
+    """vocabulary, value, ordinal, n: documents that carry each allowed tag or level, users of each clearance; 0 for unused ones."""
     tags = docs.select(F.lit("acl_tag").alias("vocabulary"), F.explode(F.array_distinct("acl_tags")).alias("value"))
     levels = docs.select(F.lit("sensitivity_level").alias("vocabulary"), F.col("sensitivity_level").alias("value"))
     n = tags.unionByName(levels).groupBy("vocabulary", "value").agg(F.count("*").alias("n"))
-    allowed = vocab_tables(docs.sparkSession).where("vocabulary <> 'clearance_level'")
-    return allowed.join(n, ["vocabulary", "value"], "left").select("vocabulary", "value", "ordinal", F.coalesce("n", F.lit(0)).alias("n"))
+    clearance = F.create_map(*[x for name, o in LEVELS.items() for x in (F.lit(o), F.lit(name))])
+    of_users = users.groupBy("clearance_level").agg(F.count("*").alias("n")).select(F.lit("clearance_level").alias("vocabulary"), F.element_at(clearance, F.col("clearance_level")).alias("value"), "n")
+    return vocab_tables(docs.sparkSession).join(n.unionByName(of_users), ["vocabulary", "value"], "left").select("vocabulary", "value", "ordinal", F.coalesce("n", F.lit(0)).alias("n"))

@@ -98,5 +98,6 @@ def chunk_metadata(chunks: DataFrame) -> DataFrame:
 
 
 def chunk_preview(indexed: DataFrame, limit: int = 10) -> DataFrame:
-    """The first chunks of each document."""
-    return indexed.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index"))).where(F.col("n") <= limit).drop("n")
+    """The first chunks of each document, with estimated_tokens from their metadata, 0 where there is none."""
+    first = indexed.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index"))).where(F.col("n") <= limit).drop("n")
+    return first.withColumn("estimated_tokens", F.coalesce("metadata.estimated_tokens", F.lit(0)) if "metadata" in indexed.columns else F.lit(0))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.text import clean, strip
+from lodestone.operators.markup import element_sections, markdown_elements
 
 
 @F.pandas_udf(T.StringType())
@@ -54,14 +55,21 @@ def paragraph_pages(docs: DataFrame, group: int = 10) -> DataFrame:
 
 
 def heading_sections(docs: DataFrame) -> DataFrame:
-    """doc_id, section_no, title, content of the texts between ATX headings of levels 1 and 2; lines are shuffled by document."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    is_heading = F.col("line").rlike("^#{1,2}\\s+\\S")
-    w = Window.partitionBy("doc_id").orderBy("i")
-    s = lines.withColumn("section_no", F.sum(is_heading.cast("int")).over(w)).withColumn("is_heading", is_heading)
-    title = F.max(F.when(F.col("is_heading"), strip(F.regexp_replace("line", "^#{1,2}\\s+", ""))))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_heading"), F.struct("i", "line")))), lambda x: x["line"]), "\n")
-    return s.groupBy("doc_id", "section_no").agg(title.alias("title"), strip(body).alias("content")).where("content <> ''")
+    """doc_id, section_no, title, content of the paragraphs between the headings of levels 1 and 2 of Markdown texts.
+
+    Headings are Markdown's own, with # or underlined, also in quotes and list items; deeper ones are text. Code, HTML blocks and link
+    definitions are left out (see markup.markdown_blocks). Empty sections are dropped, an empty heading is a null title.
+    """
+    return _cleaned(element_sections(markdown_elements(docs), "doc_id"))
+
+
+def html_sections(elements: DataFrame) -> DataFrame:
+    """page_id, section_no, title, content of the texts between h1 and h2 (elements: see markup.html_elements)."""
+    return _cleaned(element_sections(elements))
+
+
+def _cleaned(sections: DataFrame) -> DataFrame:
+    return clean_text(sections.withColumn("title", strip(F.col("title"))), "content").where("content <> ''")
 
 
 def table_rows_markdown(tables: DataFrame) -> DataFrame:

@@ -222,11 +222,14 @@ def attachment_types(attachments: DataFrame) -> DataFrame:
     return attachments.select("attachment_id", image_type(F.col("data")).alias("mime"))
 
 
-def citation_json(citations: DataFrame) -> DataFrame:
-    """answer_id, citations: the cited chunks in order as JSON, scores at four decimals."""
+def citation_json(citations: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """answer_id, citations: the cited chunks in order as JSON, scores at four decimals. With answers (answer_id), those without a citation read []."""
     item = F.struct("ord", "marker", "chunk_id", F.round("score", 4).alias("score"))
     per = citations.groupBy("answer_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return per.select("answer_id", F.to_json(F.transform("items", lambda x: F.struct(x["marker"].alias("marker"), x["chunk_id"].alias("chunk_id"), x["score"].alias("score")))).alias("citations"))
+    shown = per.select("answer_id", F.to_json(F.transform("items", lambda x: F.struct(x["marker"].alias("marker"), x["chunk_id"].alias("chunk_id"), x["score"].alias("score")))).alias("citations"))
+    if answers is None:
+        return shown
+    return answers.select("answer_id").join(shown, "answer_id", "left").select("answer_id", F.coalesce("citations", F.lit("[]")).alias("citations"))
 
 
 def memory_replay(existing: DataFrame, candidates: DataFrame, similarity: float = MEMORY_SIMILARITY, cap: int = MEMORY_CAP) -> DataFrame:

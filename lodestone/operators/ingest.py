@@ -113,12 +113,22 @@ def ingest_failures(docs: DataFrame, pages: DataFrame, chunks: DataFrame) -> Dat
     return docs.select("doc_id").join(has_page, "doc_id", "left").join(has_chunk, "doc_id", "left").select("doc_id", F.substring(error, 1, 1000).alias("error")).where("error is not null")
 
 
+def _batch_size(n: Column, cap: int) -> Column:
+    return F.greatest(F.lit(1), F.least(F.lit(cap), F.ceil(n / 10).cast("int")))
+
+
 def embed_batch_plan(chunk_counts: DataFrame, cap: int = 32) -> DataFrame:
-    """doc_id, n, batch_size, n_batches: about ten batches a document, at most cap chunks each."""
-    size = F.greatest(F.lit(1), F.least(F.lit(cap), F.ceil(F.col("n") / 10).cast("int")))
+    """doc_id, n, batch_size, n_batches: about ten batches a document, at most cap chunks each. See embed_batches."""
+    size = _batch_size(F.col("n"), cap)
     return chunk_counts.select("doc_id", "n", size.alias("batch_size"), F.ceil(F.col("n") / size).cast("int").alias("n_batches"))
 
 
+def embed_batches(chunks: DataFrame, cap: int = 32) -> DataFrame:
+    """chunks (doc_id, chunk_index) with batch_no from 0: the batch of its document in which a chunk is embedded."""
+    n = chunks.groupBy("doc_id").agg(F.count("*").alias("_n"))
+    return chunks.join(n, "doc_id").withColumn("batch_no", F.floor(F.col("chunk_index") / _batch_size(F.col("_n"), cap)).cast("int")).drop("_n")
+
+
 def embedding_qc(vectors: DataFrame, dim: int, limit: float = 3.0) -> DataFrame:
     """vec_id and flags of missing, wrong_dim, all_zero and out_of_range (first 20 components)."""
     v = F.col("embedding")

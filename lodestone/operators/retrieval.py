@@ -15,6 +15,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,17 +108,32 @@ def _asked(queries: DataFrame, column: str) -> DataFrame:
 
 
 def _unit_vectors(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-    return np.full(len(x), x.shape[1], np.int32), x.ravel()
+    n = pc.list_value_length(values).to_numpy(zero_copy_only=False).astype(np.int32)
+    x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    row = np.repeat(np.arange(len(n)), n)
+    return n, x / np.maximum(np.sqrt(np.bincount(row, x * x, len(n))), 1e-300)[row]
+
+
+def _of_length(side: tuple, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, matrix) of a tile's vectors of n components."""
+    rows = np.flatnonzero(side[3] == n)
+    return rows, side[4][np.repeat(side[3] == n, side[3])].reshape(len(rows), n)
 
 
 def _distances(query: tuple, chunk: tuple) -> np.ndarray:
-    return np.round(1 - query[4].reshape(len(query[0]), -1) @ chunk[4].reshape(len(chunk[0]), -1).T, 9)
+    """Cosine distances; infinite, as if not permitted, between vectors of different lengths."""
+    out = np.full((len(query[0]), len(chunk[0])), np.inf)
+    for n in np.unique(query[3]).tolist():
+        (i, a), (j, b) = _of_length(query, n), _of_length(chunk, n)
+        out[np.ix_(i, j)] = np.round(1 - a @ b.T, 9)
+    return out
 
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
-    """query_id, chunk_id, dist, rank of the k nearest permitted chunks. queries: query_id, query_vector, mask, clearance_level."""
+    """query_id, chunk_id, dist, rank of the k nearest permitted chunks. queries: query_id, query_vector, mask, clearance_level.
+
+    A chunk whose vector has another length than the query's is never near it (embedding_qc reports such vectors).
+    """
     pairs = _met(_asked(queries, "query_vector"), _guarded(chunks, "dense_embedding"), _unit_vectors, "double", 8 * F.size("query_vector"), _distances, k)
     return _ranked(pairs, k, F.col("score").asc()).withColumnRenamed("score", "dist")
 
@@ -259,6 +275,17 @@ def ranked_topk(reranked: DataFrame, k: int = RERANK_K) -> DataFrame:
     return reranked.withColumn("final_rank", F.row_number().over(w)).where(F.col("final_rank") <= k)
 
 
+def ranked_by_index(retrieved: DataFrame, results: DataFrame, k: int = RERANK_K) -> DataFrame:
+    """The k best of a reranker's results of each query joined to the rows they point to; final_rank 1..k is the place among the results.
+
+    retrieved: query_id, rank from 1; results: query_id, index (rank - 1), rerank_score, equal scores in the order of index. A result whose index
+    is out of range is left out and keeps its rank, so ranks may have gaps.
+    """
+    w = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "index")
+    best = results.withColumn("final_rank", F.row_number().over(w)).where(F.col("final_rank") <= k)
+    return retrieved.join(best.select("query_id", (F.col("index") + 1).alias("rank"), "rerank_score", "final_rank"), ["query_id", "rank"])
+
+
 def relevance_gate(queries: DataFrame, ranked: DataFrame, threshold: float = RERANK_THRESHOLD) -> DataFrame:
     """query_id, best, finish_reason: no_relevant_content without a candidate or below the threshold."""
     best = ranked.groupBy("query_id").agg(F.max("rerank_score").alias("best"))

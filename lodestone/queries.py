@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.ordering import numbered
 from lodestone.functions.text import estimate_tokens, estimate_tokens_history, split_sentences
 from lodestone.functions.vocabulary import CONVERTIBLE, DIRECT, LEVELS, TAGS
-from lodestone.operators import access, ann, catalog, chunking, cleaning, conversation, embedding, ingest, retrieval
+from lodestone.operators import access, ann, catalog, chunking, cleaning, conversation, embedding, ingest, markup, retrieval
 from lodestone.plans.hybrid import hybrid_search
 from lodestone.sources.shared import at_rest, shared_folder
 from lodestone.sources.views import duck, view
@@ -146,10 +146,35 @@ def paragraph_pages(uploads):
     return cleaning.paragraph_pages(uploads.withColumn("text", F.regexp_replace("text", "\n", "\n\n")))
 
 
-@query("uploads", f", t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM uploads), l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, ls FROM t), k AS (SELECT doc_id, i, ls[i] AS line, i % 3 = 0 AND trim(ls[i]) <> '' AS heading FROM l), s AS (SELECT *, sum(heading::INT) OVER (PARTITION BY doc_id ORDER BY i) AS section_no FROM k), g AS (SELECT doc_id, section_no::BIGINT AS section_no, max(CASE WHEN heading THEN {_STRIP.format('line')} END) AS title, {_STRIP.format('coalesce(string_agg(CASE WHEN NOT heading THEN line END, chr(10) ORDER BY i), ' + chr(39) * 2 + ')')} AS content FROM s GROUP BY doc_id, section_no) SELECT * FROM g WHERE content <> ''")
+#: Every third line is a heading, with # or underlined; fences with a # inside follow other lines.
+@query("uploads", f", t AS (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS ls FROM uploads), l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, ls FROM t), k AS (SELECT doc_id, i, 'line: ' || trim(ls[i]) || '.' AS line, i % 3 = 0 AS heading FROM l WHERE trim(ls[i]) <> ''), s AS (SELECT *, sum(heading::INT) OVER (PARTITION BY doc_id ORDER BY i) AS section_no FROM k), g AS (SELECT doc_id, section_no::BIGINT AS section_no, max(CASE WHEN heading THEN line END) AS title, coalesce(string_agg(CASE WHEN NOT heading THEN line END, chr(10) ORDER BY i), '') AS text FROM s GROUP BY doc_id, section_no), c AS (SELECT doc_id, section_no, title, {_CLEAN} AS content FROM g) SELECT * FROM c WHERE content <> ''")
 def heading_sections(uploads):
-    marked = F.transform(F.split("text", "\n"), lambda x, i: F.when(((i + 1) % 3 == 0) & (F.trim(x) != ""), F.concat(F.lit("## "), x)).otherwise(x))
-    return cleaning.heading_sections(uploads.select("doc_id", F.array_join(marked, "\n").alias("text")))
+    def marked(x, i):
+        n, line = i + 1, F.concat(F.lit("line: "), F.trim(x), F.lit("."))
+        fence = F.when(n % 4 == 1, "\n```\n# inside\n````").when(n % 4 == 2, "\n~~~ x\n## inside\n```\n~~~").otherwise("")
+        made = F.when(n % 3 > 0, F.concat(line, fence)).when(n % 2 == 0, F.concat(F.lit("## "), line, F.lit(" ##"))).otherwise(F.concat(F.lit("\n"), line, F.lit("\n---")))
+        return F.when(F.trim(x) == "", x).otherwise(made)
+
+    lines = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
+    return cleaning.heading_sections(uploads.select("doc_id", F.array_join(F.transform(lines, marked), "\n").alias("text")))
+
+
+_HTML = ", b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)^.*</head>', ''), '(?s)<!--.*?-->', '', 'g') AS h FROM pages{rows}), m AS (SELECT page_id, regexp_replace(regexp_replace(replace(regexp_replace(h, '\\s+', ' ', 'g'), '<h1>', chr(10) || chr(1)), '</?(p|li|ul|nav|div|article|footer|body|html|h1|br)( [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS h FROM b), e AS (SELECT page_id, string_split(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(10)) AS ls FROM m), ln AS (SELECT page_id, unnest(range(1, len(ls) + 1)) AS i, trim(regexp_replace(unnest(ls), '\\s+', ' ', 'g')) AS line FROM e)"
+
+
+@query("pages", _HTML.replace("{rows}", "") + f", k AS (SELECT page_id, i, ltrim(line, chr(1)) AS line, starts_with(line, chr(1)) AS head FROM ln WHERE line <> ''), s AS (SELECT *, sum(head::INT) OVER (PARTITION BY page_id ORDER BY i) AS section_no FROM k), g AS (SELECT page_id, section_no::BIGINT AS section_no, max(CASE WHEN head THEN line END) AS title, coalesce(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY i), '') AS text FROM s GROUP BY page_id, section_no), c AS (SELECT page_id, section_no, title, {_CLEAN} AS content FROM g) SELECT * FROM c WHERE content <> ''")
+def html_sections(pages):
+    """The sections of all pages; what stands above the h1 has no title."""
+    return cleaning.html_sections(markup.html_elements(pages))
+
+
+@query("pages", _HTML.replace("{rows}", " WHERE html LIKE '%<nav>%'").replace("SELECT page_id, regexp_replace(regexp_replace(html,", "SELECT page_id, regexp_extract(regexp_replace(regexp_replace(html,").replace("'(?s)<!--.*?-->', '', 'g') AS h", "'(?s)<!--.*?-->', '', 'g'), '(?s)<nav>.*</nav>') AS h") + ", c AS (SELECT page_id, i, line FROM ln WHERE line <> ''), d AS (SELECT page_id, i, line, lag(line) OVER (PARTITION BY page_id ORDER BY i) AS before FROM c), r AS (SELECT page_id, list(line ORDER BY i) AS m FROM d WHERE before IS NULL OR before <> line GROUP BY page_id) SELECT page_id, '| ' || array_to_string(m, ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(m, lambda x: '---'), ' | ') || ' |' AS text FROM r")
+def html_tables(pages):
+    """The navigation of each page as a table of one row whose first cell spans two columns."""
+    table = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", "<ul><li>", "<table><tr><td colspan=2>"), "</?li>", "<td>"), "<td></ul>", "</table>")
+    nav = F.regexp_replace(table, "<td><td>", "<td>")
+    rows = markup.html_tables(markup.html_elements(pages.select("page_id", nav.alias("html"))))
+    return cleaning.table_rows_markdown(rows.select(F.col("page_id").alias("table_id"), "row_no", "cells")).select(F.col("table_id").alias("page_id"), "text")
 
 
 @query("uploads", f", w AS (SELECT doc_id // 10 AS table_id, doc_id % 10 AS row_no, list_transform(string_split(text, ' '), lambda x: {_STRIP.format('replace(x, chr(10), chr(32))')}) AS c FROM uploads), m AS (SELECT table_id, row_no, list_filter(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN i = 1 OR c[i] <> c[i - 1] THEN c[i] END), lambda x: x IS NOT NULL) AS m FROM w), r AS (SELECT table_id, row_no, '| ' || array_to_string(m, ' | ') || ' |' || CASE WHEN row_no = 0 THEN chr(10) || '| ' || array_to_string(list_transform(m, lambda x: '---'), ' | ') || ' |' ELSE '' END AS line FROM m) SELECT table_id, string_agg(line, chr(10) ORDER BY row_no) AS text FROM r GROUP BY table_id")
@@ -233,9 +258,12 @@ def chunk_metadata(chunks):
     return chunking.chunk_metadata(_packed(chunks)).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("metadata.char_count").alias("char_count"), F.sum("metadata.estimated_tokens").alias("estimated_tokens"))
 
 
-@query("chunks", _PACK + " SELECT doc_id, content, chunk_index FROM ci WHERE chunk_index < 10")
+@query("chunks", _PACK + " SELECT doc_id, content, chunk_index, CASE WHEN chunk_index % 4 = 3 THEN 0 ELSE tok END AS estimated_tokens FROM ci WHERE chunk_index < 10")
 def chunk_preview(chunks):
-    return chunking.chunk_preview(chunking.chunk_index(_packed(chunks))).select("doc_id", "content", "chunk_index")
+    """Every fourth chunk has no metadata here."""
+    indexed = chunking.chunk_metadata(chunking.chunk_index(_packed(chunks)))
+    indexed = indexed.withColumn("metadata", F.when(F.col("chunk_index") % 4 < 3, F.col("metadata")))
+    return chunking.chunk_preview(indexed).select("doc_id", "content", "chunk_index", "estimated_tokens")
 
 
 # Embedding
@@ -244,6 +272,13 @@ def embed_batch_plan(chunks):
     return ingest.embed_batch_plan(chunks.select(F.col("document_id").alias("doc_id"), F.floor(F.length("content") / 100).alias("n")))
 
 
+@query("chunks", ", k AS (SELECT source AS doc_id, chunk_id, row_number() OVER (PARTITION BY source ORDER BY chunk_id) - 1 AS chunk_index, count(*) OVER (PARTITION BY source) AS n FROM chunks) SELECT doc_id, chunk_id, (chunk_index // greatest(1, least(32, ceil(n / 10)::INT)))::INT AS batch_no FROM k")
+def embed_batches(chunks):
+    """The chunks of a source are one document here."""
+    indexed = numbered(chunks.select(F.col("source").alias("doc_id"), "chunk_id"), "doc_id", "chunk_id", "place").withColumn("chunk_index", F.col("place") - 1)
+    return ingest.embed_batches(indexed).select("doc_id", "chunk_id", "batch_no")
+
+
 @query("chunks", "SELECT chunk_id AS vec_id, dense_embedding IS NULL AS missing, coalesce(len(dense_embedding) <> 64, false) AS wrong_dim, coalesce(len(list_filter(dense_embedding, lambda x: x <> 0)) = 0, false) AS all_zero, coalesce(len(list_filter(dense_embedding[1:20], lambda x: abs(x) >= 0.4)) > 0, false) AS out_of_range FROM chunks")
 def embedding_qc(chunks):
     return ingest.embedding_qc(chunks.select(F.col("chunk_id").alias("vec_id"), F.col("dense_embedding").alias("embedding")), 64, 0.4)
@@ -336,6 +371,15 @@ def ranked_topk(queries, users, chunks):
     return retrieval.ranked_topk(_reranked(queries, users, chunks)).select("query_id", "chunk_id", "final_rank", F.round("rerank_score", 6).alias("rerank_score"))
 
 
+@query("queries users chunks", _RERANK + ", rs AS (SELECT query_id, rank - 1 AS index, rank % 7 + 1 AS s FROM hy UNION ALL SELECT query_id, 1000 + query_id % 2, 5.5 FROM queries), rp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, index) AS final_rank FROM rs) SELECT query_id, chunk_id, final_rank::INT AS final_rank FROM rp JOIN hy USING (query_id) WHERE hy.rank = index + 1 AND final_rank <= 5")
+def ranked_by_index(queries, users, chunks):
+    """Scores from the prior rank; each query has a result that points to no row."""
+    retrieved = hybrid_search(queries, users, chunks).select("query_id", "chunk_id", "rank")
+    results = retrieved.select("query_id", (F.col("rank") - 1).alias("index"), (F.col("rank") % 7 + 1).cast("double").alias("rerank_score"))
+    stray = queries.select("query_id", (F.lit(1000) + F.col("query_id") % 2).cast("int").alias("index"), F.lit(5.5).alias("rerank_score"))
+    return retrieval.ranked_by_index(retrieved, results.unionByName(stray)).select("query_id", "chunk_id", "final_rank")
+
+
 @query("queries users chunks", _RERANK + " SELECT query_id, round(best, 6) AS best, CASE WHEN coalesce(best < 0.3, true) THEN 'no_relevant_content' ELSE 'answer' END AS finish_reason FROM queries LEFT JOIN (SELECT query_id, max(rerank_score) AS best FROM tk GROUP BY query_id) b USING (query_id)")
 def relevance_gate(queries, users, chunks):
     ranked = retrieval.ranked_topk(_reranked(queries, users, chunks))
@@ -501,26 +545,45 @@ def documents_page(uploads):
     return catalog.documents_page(uploads.withColumn("created_at", F.timestamp_seconds(F.col("doc_id") % 97)), 3, 20).select("doc_id", "filename", "total")
 
 
-_PATCH = "CASE WHEN doc_id % 5 = 0 THEN ['hr'] WHEN doc_id % 5 = 1 THEN CAST([] AS VARCHAR[]) WHEN doc_id % 5 = 2 THEN ['nobody'] END"
-_PATCHED = f", p AS (SELECT *, {_PATCH} AS nt, CASE WHEN doc_id % 5 = 3 THEN 'public' END AS nl, CASE WHEN doc_id % 11 = 0 THEN 'processing' ELSE 'done' END AS status FROM uploads WHERE doc_id % 2 = 0), o AS (SELECT *, CASE WHEN status = 'processing' THEN 'processing' WHEN nt IS NULL AND nl IS NULL THEN 'nothing' WHEN len(nt) = 0 THEN 'empty_tags' WHEN list_contains(nt, 'nobody') THEN 'unknown_value' ELSE 'applied' END AS outcome FROM p), pp AS (SELECT doc_id, CASE WHEN outcome = 'applied' THEN coalesce(nt, acl_tags) ELSE acl_tags END AS tags, CASE WHEN outcome = 'applied' THEN coalesce(nl, sensitivity_level) ELSE sensitivity_level END AS level, outcome FROM o)"
+#: Up to four patches a document: tags by doc_id % 5, then a level, other tags, unknown tags.
+_PATCHES = """, pa AS (
+SELECT doc_id * 10 AS patch_id, doc_id, CASE WHEN doc_id % 5 = 0 THEN ['hr'] WHEN doc_id % 5 = 1 THEN CAST([] AS VARCHAR[]) WHEN doc_id % 5 = 2 THEN ['nobody'] END AS nt, CASE WHEN doc_id % 5 = 3 THEN 'public' END AS nl FROM uploads WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id * 10 + 1, doc_id, NULL, 'confidential' FROM uploads WHERE doc_id % 2 = 0 AND doc_id % 3 = 0
+UNION ALL SELECT doc_id * 10 + 2, doc_id, ['legal', 'finance'], NULL FROM uploads WHERE doc_id % 2 = 0 AND doc_id % 7 = 0
+UNION ALL SELECT doc_id * 10 + 3, doc_id, ['nobody'], 'public' FROM uploads WHERE doc_id % 2 = 0 AND doc_id % 7 < 2),
+ju AS (SELECT *, CASE WHEN nt IS NULL AND nl IS NULL THEN 'nothing' WHEN len(nt) = 0 THEN 'empty_tags' WHEN list_contains(nt, 'nobody') THEN 'unknown_value' ELSE 'applied' END AS outcome FROM pa),
+fo AS (SELECT doc_id, arg_max(nt, patch_id) FILTER (outcome = 'applied' AND nt IS NOT NULL) AS nt, arg_max(nl, patch_id) FILTER (outcome = 'applied' AND nl IS NOT NULL) AS nl, bool_or(outcome = 'applied') AS ok, max(patch_id) FILTER (outcome = 'applied') AS touched, arg_max(outcome, patch_id) AS last FROM ju GROUP BY doc_id),
+pp AS (SELECT u.doc_id, CASE WHEN u.doc_id % 11 > 0 AND ok THEN coalesce(nt, acl_tags) ELSE acl_tags END AS tags, CASE WHEN u.doc_id % 11 > 0 AND ok THEN coalesce(nl, sensitivity_level) ELSE sensitivity_level END AS level, CASE WHEN u.doc_id % 11 > 0 AND ok THEN touched ELSE 0 END AS touched, CASE WHEN u.doc_id % 11 = 0 THEN 'processing' WHEN ok THEN 'applied' ELSE last END AS outcome FROM uploads u JOIN fo ON fo.doc_id = u.doc_id)"""
 
 
-def _patched(uploads: DataFrame) -> DataFrame:
-    n = F.col("doc_id") % 5
+def _patches(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents with status and updated_at, patches)."""
+    n, some = F.col("doc_id") % 5, uploads.where("doc_id % 2 = 0")
     tags = F.when(n == 0, F.array(F.lit("hr"))).when(n == 1, F.array().cast("array<string>")).when(n == 2, F.array(F.lit("nobody")))
-    patches = uploads.where("doc_id % 2 = 0").select("doc_id", tags.alias("acl_tags"), F.when(n == 3, "public").alias("sensitivity_level"))
-    return catalog.permission_patch(uploads.withColumn("status", F.when(F.col("doc_id") % 11 == 0, "processing").otherwise("done")), patches)
+    no_tags, no_level = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
+    made = [(some, tags, F.when(n == 3, "public")), (some.where("doc_id % 3 = 0"), no_tags, F.lit("confidential")), (some.where("doc_id % 7 = 0"), F.array(F.lit("legal"), F.lit("finance")), no_level), (some.where("doc_id % 7 < 2"), F.array(F.lit("nobody")), F.lit("public"))]
+    rows = [df.select((F.col("doc_id") * 10 + i).alias("patch_id"), "doc_id", t.alias("acl_tags"), level.alias("sensitivity_level"), F.timestamp_seconds(F.col("doc_id") * 10 + i).alias("patched_at")) for i, (df, t, level) in enumerate(made)]
+    docs = uploads.withColumn("status", F.when(F.col("doc_id") % 11 == 0, "processing").otherwise("done")).withColumn("updated_at", F.timestamp_seconds(F.lit(0)))
+    return docs, reduce(DataFrame.unionByName, rows)
 
 
-@query("uploads", _PATCHED + " SELECT doc_id, array_to_string(tags, ',') AS acl_tags, level AS sensitivity_level, outcome FROM pp")
+@query("uploads", _PATCHES + " SELECT doc_id, array_to_string(tags, ',') AS acl_tags, level AS sensitivity_level, make_timestamp(touched * 1000000) AS updated_at, outcome FROM pp")
 def permission_patch(uploads):
-    return _patched(uploads).withColumn("acl_tags", F.array_join("acl_tags", ","))
+    return catalog.permission_patch(*_patches(uploads)).withColumn("acl_tags", F.array_join("acl_tags", ","))
+
+
+@query("uploads", _PATCHES + " SELECT patch_id, doc_id, CASE WHEN doc_id % 11 = 0 THEN 'processing' ELSE outcome END AS outcome FROM ju UNION ALL SELECT -doc_id, -doc_id, 'not_found' FROM uploads WHERE doc_id % 100 = 1")
+def permission_outcomes(uploads):
+    """The outcome of each patch; some are for documents that don't exist."""
+    docs, patches = _patches(uploads)
+    lost = uploads.where("doc_id % 100 = 1").select((-F.col("doc_id")).alias("patch_id"), (-F.col("doc_id")).alias("doc_id"), F.array(F.lit("hr")).alias("acl_tags"), F.lit("public").alias("sensitivity_level"), F.timestamp_seconds(F.lit(0)).alias("patched_at"))
+    return catalog.permission_outcomes(docs, patches.unionByName(lost))
 
 
-@query("uploads chunks", _PATCHED + f" SELECT chunk_id, array_to_string(CASE WHEN outcome = 'applied' THEN tags ELSE acl_tags END, ',') AS acl_tags, CASE WHEN outcome = 'applied' THEN {_ORDINAL.format('level')} ELSE sensitivity_ordinal END AS sensitivity_ordinal FROM chunks LEFT JOIN pp ON doc_id = document_id")
+@query("uploads chunks", _PATCHES + f" SELECT chunk_id, array_to_string(CASE WHEN outcome = 'applied' THEN tags ELSE acl_tags END, ',') AS acl_tags, CASE WHEN outcome = 'applied' THEN {_ORDINAL.format('level')} ELSE sensitivity_ordinal END AS sensitivity_ordinal FROM chunks LEFT JOIN pp ON doc_id = document_id")
 def permission_patch_chunks(uploads, chunks):
     """The chunks that retrieval reads after the patches of permission_patch."""
-    return catalog.patch_chunks(chunks, _patched(uploads)).select("chunk_id", F.array_join("acl_tags", ",").alias("acl_tags"), "sensitivity_ordinal")
+    return catalog.patch_chunks(chunks, catalog.permission_patch(*_patches(uploads))).select("chunk_id", F.array_join("acl_tags", ",").alias("acl_tags"), "sensitivity_ordinal")
 
 
 @query("uploads chunks", f"SELECT chunk_id, document_id FROM chunks c JOIN uploads u ON u.doc_id = c.document_id WHERE list_sort(c.acl_tags) <> list_sort(u.acl_tags) OR c.sensitivity_ordinal <> {_ORDINAL.format('sensitivity_level')}")
@@ -552,11 +615,13 @@ def users_list(users):
     return catalog.users_list(users)
 
 
-@query("users", ", o AS (SELECT *, CASE WHEN user_id % 4 = 1 THEN 'unknown_value' WHEN user_id = 0 THEN 'self_demotion' ELSE 'applied' END AS outcome FROM users) SELECT user_id, array_to_string(CASE WHEN outcome = 'applied' AND user_id % 4 = 2 THEN ['hr'] ELSE permission_tags END, ',') AS permission_tags, clearance_level, CASE WHEN outcome = 'applied' THEN false ELSE is_admin END AS is_admin, CASE WHEN outcome = 'applied' AND user_id % 4 = 3 THEN NOT is_active ELSE is_active END AS is_active, outcome FROM o")
+@query("users", ", o AS (SELECT *, CASE WHEN user_id % 4 = 1 AND user_id % 3 <> 0 THEN 'unknown_value' WHEN user_id = 0 THEN 'self_demotion' ELSE 'applied' END AS outcome FROM users), f AS (SELECT *, outcome = 'applied' AND NOT (user_id % 4 = 1) AS first FROM o) SELECT user_id, array_to_string(CASE WHEN user_id % 3 = 0 THEN ['legal'] WHEN first AND user_id % 4 = 2 THEN ['hr'] ELSE permission_tags END, ',') AS permission_tags, CASE WHEN user_id % 3 = 0 THEN 2 ELSE clearance_level END AS clearance_level, CASE WHEN first AND user_id > 0 THEN false ELSE is_admin END AS is_admin, CASE WHEN first AND user_id % 4 = 3 THEN NOT is_active ELSE is_active END AS is_active, CASE WHEN user_id % 3 = 0 THEN 'applied' ELSE outcome END AS outcome FROM f")
 def user_patch(users):
+    """A first patch of every user, then one of every third that sets tags and clearance."""
     n = F.col("user_id") % 4
-    patches = users.select("user_id", F.when(n == 1, F.array(F.lit("x"))).when(n == 2, F.array(F.lit("hr"))).alias("permission_tags"), F.lit(None).cast("int").alias("clearance_level"), F.lit(False).alias("is_admin"), F.when(n.isin(1, 3), ~F.col("is_active")).alias("is_active"))
-    return catalog.user_patch(users, patches, 0).withColumn("permission_tags", F.array_join("permission_tags", ","))
+    first = users.select((F.col("user_id") * 2).alias("patch_id"), "user_id", F.when(n == 1, F.array(F.lit("x"))).when(n == 2, F.array(F.lit("hr"))).alias("permission_tags"), F.lit(None).cast("int").alias("clearance_level"), F.lit(False).alias("is_admin"), F.when(n.isin(1, 3), ~F.col("is_active")).alias("is_active"))
+    second = users.where("user_id % 3 = 0").select((F.col("user_id") * 2 + 1).alias("patch_id"), "user_id", F.array(F.lit("legal")).alias("permission_tags"), F.lit(2).alias("clearance_level"), F.lit(None).cast("boolean").alias("is_admin"), F.lit(None).cast("boolean").alias("is_active"))
+    return catalog.user_patch(users, first.unionByName(second), 0).withColumn("permission_tags", F.array_join("permission_tags", ","))
 
 
 @query("users queries", ", r AS (SELECT query_id AS request_id, 'user' || (query_id % 30) AS username FROM queries), f AS (SELECT min(request_id) AS request_id, username FROM r GROUP BY username) SELECT request_id, username, 'all' AS permission_tags, 0 AS clearance_level FROM f WHERE username NOT IN (SELECT 'user' || user_id FROM users WHERE user_id % 2 = 0)")
@@ -652,10 +717,10 @@ def attachment_types(chunks):
     return conversation.attachment_types(chunks.select(F.col("chunk_id").alias("attachment_id"), data.alias("data")))
 
 
-@query("answers queries users chunks", _CITED + """ SELECT answer_id, '[' || string_agg('{"marker":' || marker || ',"chunk_id":' || chunk_id || ',"score":' || (chunk_id % 8 / 8)::DOUBLE || '}', ',' ORDER BY ord) || ']' AS citations FROM cited GROUP BY answer_id""")
+@query("answers queries users chunks", _CITED + """ SELECT a.answer_id, coalesce(j, '[]') AS citations FROM answers a LEFT JOIN (SELECT answer_id, '[' || string_agg('{"marker":' || marker || ',"chunk_id":' || chunk_id || ',"score":' || (chunk_id % 8 / 8)::DOUBLE || '}', ',' ORDER BY ord) || ']' AS j FROM cited GROUP BY answer_id) c ON c.answer_id = a.answer_id""")
 def citation_json(answers, queries, users, chunks):
     cited = conversation.extract_citations(answers, _ranked(queries, users, chunks))
-    return conversation.citation_json(cited.withColumn("score", (F.col("chunk_id") % 8) / 8))
+    return conversation.citation_json(cited.withColumn("score", (F.col("chunk_id") % 8) / 8), answers)
 
 
 #: A fold over each document's events: the last percentage that was forwarded.
@@ -667,10 +732,14 @@ def progress_throttle(progress):
     return catalog.progress_throttle(catalog.progress_percent(progress))
 
 
-@query("sessions messages", "SELECT session_id, CASE WHEN session_id % 3 = 0 THEN 'new ' || session_id ELSE 'old' END AS title, updated_at FROM sessions")
+@query("sessions messages", "SELECT session_id, CASE WHEN session_id % 6 = 0 THEN 'last ' || session_id WHEN session_id % 3 = 0 THEN 'new ' || session_id ELSE 'old' END AS title, CASE WHEN session_id % 6 = 0 THEN updated_at + INTERVAL 2 HOUR WHEN session_id % 3 = 0 THEN updated_at + INTERVAL 1 HOUR ELSE updated_at END AS updated_at FROM sessions")
 def session_patch(sessions, messages):
-    renames = sessions.where("session_id % 3 < 2").select("session_id", F.when(F.col("session_id") % 3 == 0, F.concat(F.lit(" new "), F.col("session_id").cast("string"))).otherwise(" ").alias("new_title"))
-    return catalog.session_patch(sessions.withColumn("title", F.lit("old")), renames, messages)
+    """Renames in three rounds: valid or blank ones, then later ones of some sessions, then ones by users who don't own the sessions."""
+    title = lambda word: F.concat(F.lit(word), F.col("session_id").cast("string"))
+    n = F.col("session_id")
+    rounds = [(sessions.where(n % 3 < 2), F.when(n % 3 == 0, title(" new ")).otherwise(" "), F.col("user_id")), (sessions.where(n % 6 == 0), title("last "), F.col("user_id")), (sessions, title("taken "), F.col("user_id") + 1)]
+    renames = [df.select((n * 3 + i).alias("patch_id"), "session_id", who.alias("user_id"), new.alias("new_title"), (F.col("updated_at") + F.make_interval(hours=F.lit(i + 1))).alias("patched_at")) for i, (df, new, who) in enumerate(rounds)]
+    return catalog.session_patch(sessions.withColumn("title", F.lit("old")), reduce(DataFrame.unionByName, renames), messages)
 
 
 @query("uploads", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 AND doc_id % 7 > 0 THEN doc_id % 7 WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS processed_chunks FROM uploads")
@@ -696,12 +765,12 @@ def styled_sections(uploads):
     return cleaning.styled_sections(paragraphs, tables)
 
 
-_VOCABULARY = ", ".join([f"('acl_tag', '{t}', {n})" for n, t in enumerate(TAGS)] + [f"('sensitivity_level', '{name}', {n})" for name, n in LEVELS.items()])
+_VOCABULARY = ", ".join([f"('acl_tag', '{t}', {n})" for n, t in enumerate(TAGS)] + [f"('sensitivity_level', '{name}', {n})" for name, n in LEVELS.items()] + [f"('clearance_level', '{name}', {n})" for name, n in LEVELS.items()])
 
 
-@query("uploads", f", v(vocabulary, value, ordinal) AS (VALUES {_VOCABULARY}), u AS (SELECT 'acl_tag' AS vocabulary, unnest(list_distinct(acl_tags)) AS value FROM uploads UNION ALL SELECT 'sensitivity_level', sensitivity_level FROM uploads), n AS (SELECT vocabulary, value, count(*) AS n FROM u GROUP BY ALL) SELECT v.vocabulary, v.value, v.ordinal, coalesce(n, 0) AS n FROM v LEFT JOIN n ON n.vocabulary = v.vocabulary AND n.value = v.value")
-def vocab_tables(uploads):
-    return catalog.vocab_usage(uploads)
+@query("uploads users", f", v(vocabulary, value, ordinal) AS (VALUES {_VOCABULARY}), u AS (SELECT 'acl_tag' AS vocabulary, unnest(list_distinct(acl_tags)) AS value FROM uploads UNION ALL SELECT 'sensitivity_level', sensitivity_level FROM uploads), n AS (SELECT vocabulary, value, count(*) AS n FROM u GROUP BY ALL UNION ALL SELECT 'clearance_level', CASE clearance_level WHEN 0 THEN 'public' WHEN 1 THEN 'internal' WHEN 2 THEN 'confidential' END, count(*) FROM users GROUP BY ALL) SELECT v.vocabulary, v.value, v.ordinal, coalesce(n, 0) AS n FROM v LEFT JOIN n ON n.vocabulary = v.vocabulary AND n.value = v.value")
+def vocab_tables(uploads, users):
+    return catalog.vocab_usage(uploads, users)
 
 
 @query("memories")

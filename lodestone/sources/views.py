@@ -23,9 +23,9 @@ VIEWS = {
     "page_groups": "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_number, text AS content FROM documents",
     "progress": "SELECT event_id, user_id AS doc_id, CASE event_type WHEN 'signup' THEN 'parsing' WHEN 'view' THEN 'chunking' WHEN 'click' THEN 'embedding' WHEN 'purchase' THEN 'storing' ELSE 'failed' END AS stage, CAST(event_id % 101 AS INT) AS processed, 100 AS total, ts FROM events",
     "answers": "SELECT conv_id * 1000 + turn AS answer_id, conv_id % 40 AS query_id, concat(text, ' [', CAST(turn % 7 + 1 AS STRING), '] [', CAST(conv_id % 6 AS STRING), '] [', CAST(turn % 7 + 1 AS STRING), '] [123]') AS answer FROM conversations WHERE role = 'assistant'",
+    "pages": "SELECT page_id, url, html FROM pages p",
     "phrases": "SELECT conv_id AS phrase_id, conv_id % 15 AS user_id, text AS content, CAST(conv_id % 5 AS INT) AS sort_order, EPOCH(1704067200 + conv_id * 60) AS created_at FROM conversations WHERE turn = 0",
 }
-_BASE = re.compile(r"\b(documents|embeddings|events|benchmark|conversations)\b(?= [a-z] | GROUP| WHERE|\)|$)")
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -40,13 +40,13 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 def _at_rest(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return _dealt(rows) if table == "documents" else rows
+    return _dealt(rows) if table in ("documents", "pages") else rows
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, read: Callable[[SparkSession, str, str], DataFrame] = _at_rest) -> DataFrame:
     """The view over the tables of a folder, as read(spark, sf_dir, table) gives them."""
     sql = VIEWS[name].replace("ARR(", "array(").replace("NONE()", "cast(array() as array<string>)").replace("EPOCH(", "timestamp_seconds(")
-    tables = set(re.findall(r"(?:FROM|JOIN) (documents|embeddings|events|benchmark|conversations)\b", sql))
+    tables = set(re.findall(r"(?:FROM|JOIN) (documents|embeddings|events|benchmark|conversations|pages)\b", sql))
     for t in tables:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **{t: read(spark, sf_dir, t) for t in tables})

@@ -198,11 +198,13 @@ def test_frames_and_candidates_of_any_kind(spark):
 
 def test_retrieval_follows_a_permission_patch(spark, chunks, users):
     docs = chunks.select(F.col("chunk_id").alias("doc_id"), "acl_tags", F.lit("public").alias("sensitivity_level"), F.lit("done").alias("status"))
-    patches = spark.createDataFrame([(4, ["finance"], "public"), (5, None, "confidential"), (6, [], None), (7, ["x"], None)], "doc_id long, acl_tags array<string>, sensitivity_level string")
+    patches = spark.createDataFrame([(1, 4, ["legal"], None), (2, 4, ["finance"], "public"), (3, 4, ["nobody"], "internal"), (4, 5, None, "confidential"), (5, 6, [], None), (6, 7, ["x"], None)], "patch_id long, doc_id long, acl_tags array<string>, sensitivity_level string")
     patched = catalog.permission_patch(docs, patches)
     assert {r.doc_id: r.outcome for r in patched.collect()} == {4: "applied", 5: "applied", 6: "empty_tags", 7: "unknown_value"}
     after = catalog.patch_chunks(chunks.withColumn("document_id", F.col("chunk_id")), patched)
     queries = spark.createDataFrame([(u, u, [0.01] * 8) for u, _, _ in USERS], "query_id long, user_id long, query_vector array<float>")
+    assert after.count() == chunks.count()
+    assert {r.patch_id: r.outcome for r in catalog.permission_outcomes(docs, patches).collect()} == {1: "applied", 2: "applied", 3: "unknown_value", 4: "applied", 5: "empty_tags", 6: "unknown_value"}
     seen = {}
     for r in retrieval.vector_topk(retrieval.principals(queries, users), after).collect():
         seen.setdefault(r.query_id, set()).add(r.chunk_id)
@@ -262,7 +264,7 @@ def test_users_and_documents(spark):
     users = spark.createDataFrame([(i, ["all"], 1, False, True, i // 3) for i in range(20)], "user_id long, permission_tags array<string>, clearance_level int, is_admin boolean, is_active boolean, created_at int")
     for parts in (1, 4, None):
         assert [r.user_id for r in catalog.users_list(users, parts).orderBy("position").collect()] == sorted(range(20), key=lambda i: (-(i // 3), i))
-    patches = spark.createDataFrame([(1, None, None, None, False), (2, ["x"], None, None, False), (3, None, None, False, False), (4, None, 5, None, None)], "user_id long, permission_tags array<string>, clearance_level int, is_admin boolean, is_active boolean")
+    patches = spark.createDataFrame([(0, 1, None, None, None, False), (1, 2, ["x"], None, None, False), (2, 3, None, None, False, False), (3, 4, None, 5, None, None)], "patch_id long, user_id long, permission_tags array<string>, clearance_level int, is_admin boolean, is_active boolean")
     got = {r.user_id: (r.is_active, r.outcome) for r in catalog.user_patch(users, patches, 3).collect()}
     assert got == {1: (False, "applied"), 2: (True, "unknown_value"), 3: (True, "self_demotion"), 4: (True, "unknown_value")}
     drafts = users.withColumn("is_admin", F.col("user_id") == 2).withColumn("is_active", F.when(F.col("user_id") != 5, True))
@@ -284,3 +286,75 @@ def test_stored_contents_are_left_out(spark):
     docs = spark.createDataFrame([(1, "a", 9), (2, "a", 3), (3, "b", 1), (4, None, 1), (5, None, 1)], "doc_id long, text string, at int")
     stored = spark.createDataFrame([("b",), (None,)], "text string").select(F.sha2("text", 256).alias("content_hash"))
     assert sorted(r.doc_id for r in ingest.content_hash_dedup(docs, "at", stored).collect()) == [2, 4, 5]
+
+
+def test_many_patches_of_one_key(spark):
+    """10,000 patches of one document, and a few of others, in any order: a fold by patch number."""
+    import random
+
+    rng = random.Random(2)
+    docs = [(i, ["all"], "public", "processing" if i == 3 else "done", 0) for i in range(5)]
+    patches = []
+    for p in range(12_000):
+        tags = rng.choice([None, None, [], ["hr"], ["legal", "hr"], ["x"], ["all", "x"]])
+        patches.append((p, 1 if p % 6 else rng.choice([2, 3, 4, 99]), tags, rng.choice([None, "public", "internal", "confidential", "top"]) if p % 5 else None, p))
+    rng.shuffle(patches)
+    state, last, outcomes = {d[0]: list(d[1:3]) + [d[4]] for d in docs}, {}, {}
+    for p, doc, tags, level, at in sorted(patches):
+        if doc == 99:
+            out = "not_found"
+        elif doc == 3:
+            out = "processing"
+        elif tags is None and level is None:
+            out = "nothing"
+        elif tags == []:
+            out = "empty_tags"
+        elif "x" in (tags or []) or level == "top":
+            out = "unknown_value"
+        else:
+            out = "applied"
+            state[doc] = [tags or state[doc][0], level or state[doc][1], at]
+        outcomes[p] = out
+        last[doc] = "applied" if last.get(doc) == "applied" else out
+    d = spark.createDataFrame(docs, "doc_id long, acl_tags array<string>, sensitivity_level string, status string, updated_at long")
+    f = spark.createDataFrame(patches, "patch_id long, doc_id long, acl_tags array<string>, sensitivity_level string, patched_at long").repartition(7)
+    got = catalog.permission_patch(d, f).collect()
+    assert sorted((r.doc_id, r.acl_tags, r.sensitivity_level, r.updated_at, r.outcome) for r in got) == sorted((i, *state[i], last[i]) for i in last if i != 99)
+    assert {r.patch_id: r.outcome for r in catalog.permission_outcomes(d, f).collect()} == outcomes
+    chunks = spark.createDataFrame([(c, c % 5, ["all"], 0) for c in range(40)], "chunk_id long, document_id long, acl_tags array<string>, sensitivity_ordinal int")
+    after = catalog.patch_chunks(chunks, catalog.permission_patch(d, f)).collect()
+    assert sorted(r.chunk_id for r in after) == list(range(40)) and all(r.acl_tags == state[r.document_id][0] for r in after)
+
+
+def test_renames_by_owners_only(spark):
+    sessions = spark.createDataFrame([(1, 10, "a", 5), (2, 20, "b", 5), (3, 30, "c", 5)], "session_id long, user_id long, title string, updated_at long")
+    renames = [(1, 1, 10, " first ", 6), (2, 1, 10, "second", 7), (3, 1, 20, "theirs", 9), (4, 1, 10, "x" * 201, 9), (5, 2, 20, " \x1c ", 9), (6, 9, 10, "none", 9), (7, 3, None, "nobody", 9)]
+    r = spark.createDataFrame(renames, "patch_id long, session_id long, user_id long, new_title string, patched_at long")
+    messages = spark.createDataFrame([(3, 8), (1, 2)], "session_id long, created_at long")
+    assert sorted(map(tuple, catalog.session_patch(sessions, r, messages).collect())) == [(1, "second", 7), (2, "b", 5), (3, "c", 8)]
+    assert {x.patch_id: x.outcome for x in catalog.rename_outcomes(sessions, r).collect()} == {1: "applied", 2: "applied", 3: "not_found", 4: "bad_title", 5: "bad_title", 6: "not_found", 7: "not_found"}
+    users = spark.createDataFrame([(1, ["all"], 0, False, True)], "user_id long, permission_tags array<string>, clearance_level int, is_admin boolean, is_active boolean")
+    patches = spark.createDataFrame([(2, 1, ["hr"], None, None, None), (1, 1, ["legal"], 2, True, None), (3, 1, ["x"], 0, None, False), (4, 7, None, 0, None, None)], "patch_id long, user_id long, permission_tags array<string>, clearance_level int, is_admin boolean, is_active boolean")
+    assert [tuple(x) for x in catalog.user_patch(users, patches, 5).collect()] == [(1, ["hr"], 2, True, True, "applied")]
+    assert {x.patch_id: x.outcome for x in catalog.user_outcomes(users, patches, 5).collect()} == {1: "applied", 2: "applied", 3: "unknown_value", 4: "not_found"}
+
+
+def test_small_rules(spark):
+    retrieved = spark.createDataFrame([(1, 11, 1), (1, 12, 2), (1, 13, 3)], "query_id long, chunk_id long, rank int")
+    results = spark.createDataFrame([(1, 2, 0.9), (1, 7, 0.8), (1, 0, 0.7), (1, 1, 0.1)], "query_id long, index int, rerank_score double")
+    assert sorted((r.final_rank, r.chunk_id) for r in retrieval.ranked_by_index(retrieved, results, 3).collect()) == [(1, 13), (3, 11)]
+    cited = spark.createDataFrame([(1, 1, 2, 7, 0.123456)], "answer_id long, ord int, marker int, chunk_id long, score double")
+    answers = spark.createDataFrame([(1,), (2,)], "answer_id long")
+    assert {r.answer_id: r.citations for r in conversation.citation_json(cited, answers).collect()} == {1: '[{"marker":2,"chunk_id":7,"score":0.1235}]', 2: "[]"}
+    chunks = spark.createDataFrame([(1, i) for i in range(45)] + [(2, 0)], "doc_id long, chunk_index int")
+    assert {(r.doc_id, r.chunk_index): r.batch_no for r in ingest.embed_batches(chunks).collect()} == {**{(1, i): i // 5 for i in range(45)}, (2, 0): 0}
+    bare = spark.createDataFrame([(1, 0, "a", None), (1, 1, "b", (1, 9))], "doc_id long, chunk_index int, content string, metadata struct<char_count: int, estimated_tokens: int>")
+    assert sorted((r.chunk_index, r.estimated_tokens) for r in chunking.chunk_preview(bare).collect()) == [(0, 0), (1, 9)]
+
+
+def test_vectors_of_another_length(spark):
+    chunks = spark.createDataFrame([(1, [1.0, 0.0], ["all"], 0), (2, [1.0, 0.0, 0.0], ["all"], 0), (3, [0.0, 1.0], ["all"], 0), (4, [], ["all"], 0)], "chunk_id long, dense_embedding array<float>, acl_tags array<string>, sensitivity_ordinal int")
+    users = spark.createDataFrame([(1, ["all"], 1)], "user_id long, permission_tags array<string>, clearance_level int")
+    queries = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, [0.0, 0.0, 1.0]), (3, 1, [1.0])], "query_id long, user_id long, query_vector array<float>")
+    got = retrieval.vector_topk(retrieval.principals(queries, users), chunks).collect()
+    assert sorted((r.query_id, r.chunk_id, r.dist, r.rank) for r in got) == [(1, 1, 0.0, 1), (1, 3, 1.0, 2), (2, 2, 1.0, 1)]

@@ -2,10 +2,12 @@
 
 Hosts that an allow rule fits are trusted seeds, those that a block rule fits are blocked seeds. Personalised
 PageRank carries trust along the links between hosts, and distrust along the reversed links. A seed
-starts with the share of its pages that its rule fits, however many seeds there are, so one neighbourhood gets one verdict at every size. A
-host without a rule is blocked if its distrust is at least LEAST and exceeds its trust. A round is one
-join and one aggregation over the distinct host edges; rounds go on until no host's rank grows by
-TOLERANCE or more, ROUNDS at most.
+starts with the share of its pages that its rule fits. What a host gets from a neighbour is weighed by the share of its
+own links that the two have in common (distrust: of the links that it makes, trust: of those that it gets), so that its rank is
+the personalised PageRank that walks from the host itself give to the seeds. Neither the number of seeds nor the
+number of other hosts that link to one of them dilutes it, at any distance, and one neighbourhood gets one verdict at every size. A host without a
+rule is blocked if its distrust is at least LEAST and exceeds its trust. A round is one join and one
+aggregation over the distinct host edges; there are ROUNDS of them, fewer only if nothing moves any more.
 
 Edges come from absolute and scheme-relative links of a page, from the host that its copyright line
 names, and from names: a host and its parent domain, down to two
@@ -34,9 +36,10 @@ RULES = (
 )
 #: Rules are literals of the plan; more than this many are refused.
 MAX_RULES = 1000
-DAMPING, ROUNDS = 0.7, 40
-#: Limits in shares of a whole seed: a host that links straight to one whose pages are all blocked gets 0.21 over that one's links at least.
-LEAST, TOLERANCE = 0.05, 0.005
+#: What the rounds after the last one would bring is under 0.7 ** 16, a third of a percent.
+DAMPING, ROUNDS = 0.7, 16
+#: A host of which all links go to wholly blocked hosts gets 0.21, one of which all links go to such a host 0.147.
+LEAST = 0.05
 MAX_LABELS = 127
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = "(?i)(?:href|src)\\s*=\\s*[\"'](?:[a-z][a-z0-9+.-]*:)?//([^\"'/?#\\s]+)"
@@ -84,27 +87,24 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def _shares(edges: DataFrame) -> DataFrame:
-    """edges (kind, src, dst, links) with the share that each has of its source's links."""
-    out = edges.groupBy("kind", "src").agg(F.sum("links").alias("total"))
-    return edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("links") / F.col("total")).alias("share"))
+    """edges (kind, src, dst, links) with the share that each has of the links that reach its destination."""
+    reach = edges.groupBy("kind", "dst").agg(F.sum("links").alias("total"))
+    return edges.join(reach, ["kind", "dst"]).select("kind", "src", "dst", (F.col("links") / F.col("total")).alias("share"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """(kind, host, rank): personalised PageRank from seeds (kind, host, mass) along edges (kind, src, dst, share).
 
     The rank is 1 - damping times the sum of what arrives in each round, damped once more in each.
     """
     mass = cut(seeds.select("kind", "host", "mass"), "mass")
-    arrived = [mass]
+    every = mass
     for _ in range(rounds):
         moved = mass.join(edges, (mass["kind"] == edges["kind"]) & (mass["host"] == edges["src"])).select(edges["kind"], F.col("dst").alias("host"), (F.lit(damping) * F.col("mass") * F.col("share")).cast("decimal(38,18)").alias("part"))
         mass = cut(moved.groupBy("kind", "host").agg(F.sum("part").cast("double").alias("mass")), "mass")
-        arrived.append(mass)
-        if (1 - damping) * (mass.agg(F.max("mass")).first()[0] or 0.0) < tolerance:
+        if mass.isEmpty():
             break
-    every = arrived[0]
-    for m in arrived[1:]:
-        every = every.unionByName(m)
+        every = every.unionByName(mass)
     total = F.sum(F.col("mass").cast("decimal(38,18)")).cast("double")
     return every.groupBy("kind", "host").agg(F.round((1 - damping) * total, 6).alias("rank"))
 
@@ -140,12 +140,11 @@ e0 AS (SELECT src, dst, count(*) AS links FROM l WHERE src <> '' AND dst <> '' A
 n AS (SELECT host, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS l FROM (SELECT host FROM p UNION SELECT dst FROM e0) WHERE regexp_matches(host, '[a-z]')),
 u AS (SELECT DISTINCT CASE WHEN i = 1 THEN host ELSE array_to_string(l[i:], '.') END AS src, array_to_string(l[i + 1:], '.') AS dst FROM (SELECT host, l, unnest(range(1, len(l) - 1)) AS i FROM n WHERE len(l) BETWEEN 3 AND {MAX_LABELS})),
 e AS (SELECT src, dst, sum(links) AS links FROM (SELECT * FROM e0 UNION ALL SELECT src, dst, 1 FROM u WHERE src <> dst UNION ALL SELECT dst, src, 1 FROM u WHERE src <> dst) GROUP BY src, dst),
-f AS MATERIALIZED (SELECT 'trust' AS kind, src, dst, (links / sum(links) OVER (PARTITION BY src))::DOUBLE AS share FROM e UNION ALL SELECT 'distrust', dst, src, (links / sum(links) OVER (PARTITION BY dst))::DOUBLE FROM e),
+f AS MATERIALIZED (SELECT 'trust' AS kind, src, dst, (links / sum(links) OVER (PARTITION BY dst))::DOUBLE AS share FROM e UNION ALL SELECT 'distrust', dst, src, (links / sum(links) OVER (PARTITION BY src))::DOUBLE FROM e),
 h AS (SELECT host, count(*)::DOUBLE AS n, count(*) FILTER (m.verdict = 'allow') AS allowed, count(*) FILTER (m.verdict = 'block') AS blocked FROM j GROUP BY host),
 s AS MATERIALIZED (SELECT 'trust' AS kind, host, allowed / n AS mass FROM h WHERE allowed > 0 UNION ALL SELECT 'distrust', host, blocked / n FROM h WHERE blocked > 0),
 r AS (SELECT 0 AS t, kind, host, mass::DOUBLE AS mass FROM s UNION ALL SELECT t + 1, f.kind, f.dst, sum(({DAMPING}::DOUBLE * mass * share)::DECIMAL(38,18))::DOUBLE FROM r JOIN f ON f.kind = r.kind AND f.src = r.host WHERE t < {ROUNDS} GROUP BY ALL),
-z AS (SELECT coalesce(min(t), {ROUNDS}) AS last FROM (SELECT t, max(mass) AS m FROM r GROUP BY t) WHERE t > 0 AND {1 - DAMPING}::DOUBLE * m < {TOLERANCE}),
-k AS (SELECT kind, host, round({1 - DAMPING}::DOUBLE * sum(mass::DECIMAL(38,18))::DOUBLE, 6) AS rank FROM r, z WHERE t <= last GROUP BY kind, host)
+k AS (SELECT kind, host, round({1 - DAMPING}::DOUBLE * sum(mass::DECIMAL(38,18))::DOUBLE, 6) AS rank FROM r GROUP BY kind, host)
 SELECT page_id, j.host, path, m.rule AS rule, coalesce(m.verdict, CASE WHEN coalesce(d.rank, 0) >= {LEAST} AND coalesce(d.rank, 0) > coalesce(t.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict,
   coalesce(t.rank, 0.0) AS trust, coalesce(d.rank, 0.0) AS distrust
 FROM j LEFT JOIN k t ON t.host = j.host AND t.kind = 'trust' LEFT JOIN k d ON d.host = j.host AND d.kind = 'distrust'

@@ -428,20 +428,33 @@ def test_url_ranks_against_a_slow_pagerank(spark):
         links[p] = links.get(p, 0) + 1
     for n, kind in enumerate(("trust", "distrust")):
         edges = {(a, b) if not n else (b, a): v for (a, b), v in links.items()}
-        out = {}
-        for (a, _), v in edges.items():
-            out[a] = out.get(a, 0) + v
+        into = {}
+        for (_, b), v in edges.items():
+            into[b] = into.get(b, 0) + v
         mass = {h: v / number[h] for h, v in seeds[kind].items()}
         total = dict(mass)
-        for _ in range(200):
+        for _ in range(url_filters.ROUNDS):
             moved = {}
             for (a, b), v in edges.items():
-                moved[b] = moved.get(b, 0) + url_filters.DAMPING * mass.get(a, 0) * v / out[a]
+                moved[b] = moved.get(b, 0) + url_filters.DAMPING * mass.get(a, 0) * v / into[b]
             mass = moved
             for h, v in mass.items():
                 total[h] = total.get(h, 0) + v
         for h, ranks in got.items():
-            assert ranks[n] == pytest.approx((1 - url_filters.DAMPING) * total.get(h, 0), abs=0.04), (h, kind)
+            assert ranks[n] == pytest.approx((1 - url_filters.DAMPING) * total.get(h, 0), abs=2e-6), (h, kind)
+
+
+@pytest.mark.parametrize("linkers", [1, 50, 5_000])
+def test_url_verdicts_do_not_depend_on_the_number_of_linkers(spark, linkers):
+    from pyspark.sql import functions as F
+
+    name = lambda c: F.concat(F.lit("http://l"), c.cast("string"), F.lit(".org/"))
+    own = spark.createDataFrame([(1, "http://bad.net/es/1", ""), (2, "http://half.org/", '<a href="http://bad.net/"><a href="http://clean.org/">'), (3, "http://clean.org/", ""), (4, "http://friend.org/", '<a href="http://l10.org/">')], "page_id long, url string, html string")
+    pages = spark.range(10, 10 + linkers).select(F.col("id").alias("page_id"), name(F.col("id")).alias("url"), F.lit('<a href="http://bad.net/x">').alias("html"))
+    got = {r.page_id: r for r in url_filters.judge(own.unionByName(pages)).collect()}
+    assert {got[i].verdict for i in range(10, 10 + linkers)} == {"block"} and {got[i].distrust for i in range(10, 10 + linkers)} == {0.21}
+    assert (got[2].distrust, got[4].distrust) == (0.105, 0.147)
+    assert got[3].verdict == "allow" and got[4].verdict == "block"
 
 
 def test_warc_fixity(spark):

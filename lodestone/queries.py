@@ -159,7 +159,7 @@ def heading_sections(uploads):
     return cleaning.heading_sections(uploads.select("doc_id", F.array_join(F.transform(lines, marked), "\n").alias("text")))
 
 
-_HTML = ", b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)^.*</head>', ''), '(?s)<!--.*?-->', '', 'g') AS h FROM pages{rows}), m AS (SELECT page_id, regexp_replace(regexp_replace(replace(regexp_replace(h, '\\s+', ' ', 'g'), '<h1>', chr(10) || chr(1)), '</?(p|li|ul|nav|div|article|footer|body|html|h1|br)( [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS h FROM b), e AS (SELECT page_id, string_split(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(10)) AS ls FROM m), ln AS (SELECT page_id, unnest(range(1, len(ls) + 1)) AS i, trim(regexp_replace(unnest(ls), '\\s+', ' ', 'g')) AS line FROM e)"
+_HTML = ", b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)^.*</head>', ''), '(?s)<!--.*?-->', '', 'g') AS h FROM pages{rows}), m AS (SELECT page_id, regexp_replace(regexp_replace(replace(regexp_replace(h, '\\s+', ' ', 'g'), '<h1>', chr(10) || chr(1)), '</?(p|li|ul|nav|div|article|footer|body|html|h1|br)( [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS h FROM b), e AS (SELECT page_id, string_split(replace(replace(replace(replace(replace(replace(replace(h, '&quot;', chr(34)), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(10)) AS ls FROM m), ln AS (SELECT page_id, unnest(range(1, len(ls) + 1)) AS i, trim(regexp_replace(unnest(ls), '\\s+', ' ', 'g')) AS line FROM e)"
 
 
 @query("pages", _HTML.replace("{rows}", "") + f", k AS (SELECT page_id, i, ltrim(line, chr(1)) AS line, starts_with(line, chr(1)) AS head FROM ln WHERE line <> ''), s AS (SELECT *, sum(head::INT) OVER (PARTITION BY page_id ORDER BY i) AS section_no FROM k), g AS (SELECT page_id, section_no::BIGINT AS section_no, max(CASE WHEN head THEN line END) AS title, coalesce(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY i), '') AS text FROM s GROUP BY page_id, section_no), c AS (SELECT page_id, section_no, title, {_CLEAN} AS content FROM g) SELECT * FROM c WHERE content <> ''")

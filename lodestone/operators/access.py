@@ -29,24 +29,35 @@ def acl_members(users: DataFrame) -> DataFrame:
     return users.where(mask != 0).select("user_id", _group(mask, F.col("clearance_level")).alias("acl_group"))
 
 
+def _classed(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk_id", _group(tag_mask(F.col("acl_tags")), F.col("sensitivity_ordinal")).alias("acl_class"))
+
+
+def acl_grants(chunks: DataFrame, users: DataFrame) -> DataFrame:
+    """(acl_group, acl_class): which classes of chunks each group of acl_members may see.
+
+    A class is the tags and the ordinal of a chunk. There are at most 2**tags times 3 of each, whatever the number of chunks and users.
+    """
+    groups = acl_members(users).select("acl_group").distinct()
+    classes = _classed(chunks).select("acl_class").distinct()
+    bits = lambda c: F.explode(F.filter(F.array(*[F.lit(1 << i) for i in range(len(TAGS))]), lambda b: F.shiftright(c, 2).bitwiseAND(b) != 0)).alias("bit")
+    met = classes.select("acl_class", bits("acl_class")).join(groups.select("acl_group", bits("acl_group")), "bit")
+    return met.where("(acl_class & 3) <= (acl_group & 3)").select("acl_group", "acl_class").distinct()
+
+
 def acl_filter(chunks: DataFrame, users: DataFrame) -> DataFrame:
-    """(acl_group, chunk_id) of what each group of acl_members may see.
+    """(chunk_id, acl_class) of every chunk that some user may see: one row for a chunk, however many groups see it. See acl_grants.
 
-    There are at most 2**tags times 3 groups, and as many kinds of chunks (their tags and ordinal); the
-    pairs of both that fit are broadcast, so chunks are neither shuffled nor repeated for each user.
+    Chunks aren't shuffled; the classes that are granted, at most 2**tags times 3, are broadcast.
     """
-    groups = users.select(tag_mask(F.col("permission_tags")).alias("u"), F.col("clearance_level").alias("c")).where("u <> 0").distinct()
-    rows = chunks.select("chunk_id", tag_mask(F.col("acl_tags")).alias("mask"), "sensitivity_ordinal")
-    bits = lambda c: F.explode(F.filter(F.array(*[F.lit(1 << i).cast("long") for i in range(len(TAGS))]), lambda b: F.col(c).bitwiseAND(b) != 0))
-    kinds = rows.select("mask", "sensitivity_ordinal").distinct().select("mask", "sensitivity_ordinal", bits("mask").alias("bit"))
-    fits = kinds.join(groups.select("u", "c", bits("u").alias("bit")), "bit").where("sensitivity_ordinal <= c")
-    fits = fits.select("mask", "sensitivity_ordinal", _group(F.col("u"), F.col("c")).alias("acl_group")).distinct()
-    return rows.join(F.broadcast(fits), ["mask", "sensitivity_ordinal"]).select("acl_group", "chunk_id")
+    granted = acl_grants(chunks, users).select("acl_class").distinct()
+    return _classed(chunks).join(F.broadcast(granted), "acl_class", "left_semi").select("chunk_id", "acl_class")
 
 
 def acl_pairs(chunks: DataFrame, users: DataFrame) -> DataFrame:
     """(user_id, chunk_id) of all permitted pairs: as many rows as users see chunks, for small tables and tests."""
-    return acl_filter(chunks, users).join(acl_members(users), "acl_group").select("user_id", "chunk_id")
+    grants = acl_members(users).join(F.broadcast(acl_grants(chunks, users)), "acl_group")
+    return acl_filter(chunks, users).join(grants, "acl_class").select("user_id", "chunk_id")
 
 
 def visibility_matrix(chunks: DataFrame, users: DataFrame) -> DataFrame:

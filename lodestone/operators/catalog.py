@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import strip
 from lodestone.functions.vocabulary import DEFAULT_ORDINAL, LEVELS, PHRASE_LENGTH, PHRASES_PER_USER, TAGS, TITLE_LENGTH
 from lodestone.operators.ingest import ordinal
-from lodestone.sources.shared import at_rest
+from lodestone.sources.shared import at_rest, shared_folder
 
 
 def sessions_list(sessions: DataFrame, messages: DataFrame, limit: int = 50) -> DataFrame:
@@ -58,10 +58,34 @@ def delete_users(deleted: DataFrame, tables: dict[str, DataFrame]) -> dict[str,
     return out
 
 
+def page_ranges(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """docs in ranges of about equal size, newest (created_at, then the highest id) first, with the range's number _part, for documents_page.
+
+    The ranges are written once, a folder each, so a page reads those that it lies in.
+    """
+    order = [F.col("created_at").desc(), F.col("doc_id").desc()]
+    dealt = (docs.repartitionByRange(parts, *order) if parts else docs.repartitionByRange(*order)).withColumn("_part", F.spark_partition_id())
+    path = shared_folder(docs.sparkSession, "pages")
+    dealt.write.partitionBy("_part").parquet(path)
+    return docs.sparkSession.read.schema(dealt.schema).parquet(path)
+
+
 def documents_page(docs: DataFrame, page: int, size: int) -> DataFrame:
-    """One page of documents, newest (created_at, then the highest id) first, and total, the number of all documents. A page past the end is empty."""
-    rows = docs.orderBy(F.col("created_at").desc(), F.col("doc_id").desc()).offset((page - 1) * size).limit(size)
-    return rows.withColumn("total", F.lit(docs.count()).cast("long"))
+    """One page of documents, newest (created_at, then the highest id) first, and total, the number of all documents. A page past the end is empty.
+
+    docs, or their ranges (see page_ranges) if several pages are wanted. Ranges are counted, one number each; only those that
+    the page lies in are read and sorted, however deep it is.
+    """
+    ranges = docs if "_part" in docs.columns else page_ranges(docs)
+    begin, end, at, total, wanted = (page - 1) * size, page * size, 0, 0, []
+    for part, n in sorted(ranges.groupBy("_part").count().collect()):
+        if total < end and total + n > begin:
+            at = at if wanted else total
+            wanted.append(part)
+        total += n
+    rows = ranges.where(F.col("_part").isin(wanted)) if wanted else ranges.where(F.lit(False))
+    found = rows.orderBy(F.col("created_at").desc(), F.col("doc_id").desc()).offset(max(0, begin - at)).limit(size)
+    return found.drop("_part").withColumn("total", F.lit(total).cast("long"))
 
 
 def visible_docs(docs: DataFrame, hidden: DataFrame) -> DataFrame:

@@ -62,15 +62,16 @@ def pack_spans(tokens: list[int], max_tokens: int, overlap: int) -> list[tuple[i
 
 
 def chunk_pack(sections: DataFrame, max_tokens: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP, least: int = CHUNK_LEAST) -> DataFrame:
-    """doc_id, section_no, pos, content, page_number (of its first segment), tok of every chunk.
+    """doc_id, section_no, pos, content, page_number (of its first segment), tok of every chunk, and section_title if sections have it.
 
     sections: doc_id, section_no, and parts (see gather_sections) or content, with page_number if there.
     Segments stay an array of their section's row, so packing needs no shuffle. Null content gives no chunk.
     """
     kinds = dict(sections.dtypes)
-    s = sections.select("doc_id", "section_no", _segment_structs(sections, max_tokens).alias("seg"))
+    s = sections.select("doc_id", "section_no", _segment_structs(sections, max_tokens).alias("seg"), *[c for c in sections.columns if c == "section_title"])
     page = s.schema["seg"].dataType.elementType["page_number"].dataType
-    s = s.select("doc_id", "section_no", F.col("seg.text").alias("text"), F.transform("seg", lambda x: estimate_tokens(x["text"])).alias("tok"), F.col("seg.page_number").alias("page"))
+    titled = ["section_title"] if "section_title" in sections.columns else []
+    s = s.select("doc_id", "section_no", F.col("seg.text").alias("text"), F.transform("seg", lambda x: estimate_tokens(x["text"])).alias("tok"), F.col("seg.page_number").alias("page"), *titled)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,9 +83,9 @@ def chunk_pack(sections: DataFrame, max_tokens: int = CHUNK_TOKENS, overlap: int
                     content.append("\n\n".join(seg[a:b]))
                     pages.append(page[a])
             at = pa.array(own, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array(content, pa.string()), pa.array(pages, batch.column(4).type.value_type)], ["doc_id", "section_no", "pos", "content", "page_number"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array(content, pa.string()), pa.array(pages, batch.column(4).type.value_type), *[batch.column(5).take(at) for _ in titled]], ["doc_id", "section_no", "pos", "content", "page_number", *titled])
 
-    c = s.mapInArrow(pack, f"doc_id {kinds['doc_id']}, section_no {kinds['section_no']}, pos int, content string, page_number {page.simpleString()}")
+    c = s.mapInArrow(pack, f"doc_id {kinds['doc_id']}, section_no {kinds['section_no']}, pos int, content string, page_number {page.simpleString()}" + ", section_title string" * len(titled))
     return c.withColumn("tok", estimate_tokens(F.col("content"))).where(F.col("tok") >= least)
 
 

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 DIM = 64
 
@@ -44,14 +45,19 @@ def hashed_encoder(dim: int = DIM, n: int = 3) -> Callable[[], Callable[[list[st
 
 
 def embed_chunks(chunks: DataFrame, make_encoder: Callable | None = None, batch: int = 32) -> DataFrame:
-    """chunk_id, dense_embedding; the encoder is made once in each Python worker and gets batch texts at a time. Null text counts as empty."""
-    make = make_encoder or hashed_encoder()
+    """chunk_id, dense_embedding. See with_embeddings."""
+    return with_embeddings(chunks.select("chunk_id", "content"), make_encoder, batch).select("chunk_id", "dense_embedding")
+
+
+def with_embeddings(chunks: DataFrame, make_encoder: Callable | None = None, batch: int = 32) -> DataFrame:
+    """chunks with dense_embedding, all columns passed through; the encoder is made once in each Python worker and gets batch texts at a time. Null text counts as empty."""
+    make, at = make_encoder or hashed_encoder(), chunks.columns.index("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make()
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
+            texts = [t or "" for t in b.column(at).to_pylist()]
             rows = [v for i in range(0, len(texts), batch) for v in encode(texts[i : i + batch])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float32()))], ["chunk_id", "dense_embedding"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(pa.float32()))], [*b.schema.names, "dense_embedding"])
 
-    return chunks.select("chunk_id", "content").mapInArrow(run, f"chunk_id {dict(chunks.dtypes)['chunk_id']}, dense_embedding array<float>")
+    return chunks.mapInArrow(run, T.StructType([*chunks.schema.fields, T.StructField("dense_embedding", T.ArrayType(T.FloatType()))]))

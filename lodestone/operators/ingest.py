@@ -64,8 +64,9 @@ def upload_name_dedup(batch: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def ingest_rows(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Chunk rows with the tags and ordinal of their document."""
-    d = docs.select("doc_id", "acl_tags", ordinal(F.col("sensitivity_level")).alias("sensitivity_ordinal"))
+    """Chunk rows with the tags and ordinal of their document, and its source if they have none."""
+    source = ["source"] if "source" in docs.columns and "source" not in chunks.columns else []
+    d = docs.select("doc_id", "acl_tags", ordinal(F.col("sensitivity_level")).alias("sensitivity_ordinal"), *source)
     return chunks.drop("acl_tags", "sensitivity_ordinal").join(d, "doc_id")
 
 

@@ -289,11 +289,19 @@ _MASK = "list_sum(list_transform({0}, lambda t: CASE t " + " ".join(f"WHEN '{t}'
 _GROUPS = f", gr AS (SELECT user_id, permission_tags, clearance_level, ({_MASK.format('permission_tags')} * 4 + clearance_level)::INT AS acl_group FROM users WHERE len(permission_tags) > 0)"
 
 
-@query("chunks users", _GROUPS + " SELECT DISTINCT acl_group, chunk_id FROM (SELECT DISTINCT acl_group, permission_tags, clearance_level FROM gr) JOIN chunks ON list_has_any(acl_tags, permission_tags) AND sensitivity_ordinal <= clearance_level")
+_CLASSES = _GROUPS + f", cl AS (SELECT chunk_id, acl_tags, sensitivity_ordinal, (coalesce({_MASK.format('acl_tags')}, 0) * 4 + sensitivity_ordinal)::INT AS acl_class FROM chunks), gc AS (SELECT DISTINCT acl_group, acl_class FROM (SELECT DISTINCT acl_group, permission_tags, clearance_level FROM gr) JOIN (SELECT DISTINCT acl_class, acl_tags, sensitivity_ordinal FROM cl) ON list_has_any(acl_tags, permission_tags) AND sensitivity_ordinal <= clearance_level)"
+
+
+@query("chunks users", _CLASSES + " SELECT chunk_id, acl_class FROM cl WHERE acl_class IN (SELECT acl_class FROM gc)")
 def acl_filter(chunks, users):
     return access.acl_filter(chunks, users)
 
 
+@query("chunks users", _CLASSES + " SELECT acl_group, acl_class FROM gc")
+def acl_grants(chunks, users):
+    return access.acl_grants(chunks, users)
+
+
 @query("users", _GROUPS + " SELECT user_id, acl_group FROM gr")
 def acl_members(users):
     return access.acl_members(users)

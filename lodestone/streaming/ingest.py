@@ -13,12 +13,31 @@ from lodestone.operators import chunking, cleaning, embedding, ingest
 from lodestone.streaming.tables import create, put_batch, read_table
 
 DOCUMENTS = "doc_id long, content_hash string, status string, reason string, total_chunks long"
-CHUNKS = "chunk_id string, doc_id long, chunk_index int, content string, tok int, dense_embedding array<float>, acl_tags array<string>, sensitivity_ordinal int"
+CHUNKS = "chunk_id string, doc_id long, chunk_index int, content string, tok int, dense_embedding array<float>, acl_tags array<string>, sensitivity_ordinal int, page_number int, section_title string, source string"
+
+
+def document_sections(docs: DataFrame) -> DataFrame:
+    """doc_id, section_no, section_title, parts (page_number, content) of documents (doc_id, text, and filename if types differ).
+
+    A Markdown file (.md) has a section for each heading of level 1 or 2. In other texts form feeds part numbered pages, of which
+    repeated header and footer lines are removed; a text without one is a section without page numbers, and isn't shuffled.
+    """
+    markdown = F.coalesce(ingest.suffix(F.col("filename")) == "md", F.lit(False)) if "filename" in docs.columns else F.lit(False)
+    kinds = docs.select("doc_id", "text", markdown.alias("_markdown"), F.coalesce(F.contains("text", F.lit("\f")), F.lit(False)).alias("_paged"))
+    part = lambda page, content: F.array(F.struct(page.cast("int").alias("page_number"), content.alias("content"))).alias("parts")
+    no_page, no_title = F.lit(None), F.lit(None).cast("string").alias("section_title")
+    plain = cleaning.clean_text(kinds.where("not _markdown and not _paged")).select("doc_id", F.lit(0).cast("long").alias("section_no"), no_title, part(no_page, F.col("text")))
+    headed = cleaning.heading_sections(kinds.where("_markdown")).select("doc_id", F.col("section_no").cast("long").alias("section_no"), F.col("title").alias("section_title"), part(no_page, F.col("content")))
+    pages = kinds.where("not _markdown and _paged").select(F.col("doc_id").alias("source"), F.posexplode(F.split("text", "\f")).alias("page_seq", "content"))
+    quiet = cleaning.clean_text(cleaning.remove_noisy_lines(pages, cleaning.noisy_lines(pages)), "content").where("content <> ''")
+    paged = chunking.gather_sections(quiet.select(F.col("source").alias("doc_id"), F.lit(0).cast("long").alias("section_no"), "page_seq", (F.col("page_seq") + 1).alias("page_number"), "content"))
+    return plain.unionByName(headed).unionByName(paged.select("doc_id", "section_no", no_title, "parts"))
 
 
 def stream_ingest(uploads: DataFrame, path: str, max_tokens: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP, least: int = CHUNK_LEAST, make_encoder: Callable | None = None, available_now: bool = True) -> StreamingQuery:
-    """Starts ingestion of a stream of uploads (doc_id, text, acl_tags, sensitivity_level) into the tables of path.
+    """Starts ingestion of a stream of uploads (doc_id, text, acl_tags, sensitivity_level, and filename and source if there) into the tables of path.
 
+    Chunks carry what a citation shows: the page of their first segment, their section's title and the source (see document_sections).
     Every upload gets a row of `documents`: done, failed (no chunk) or rejected with its reason. A
     content that is stored already, failed or not, is a duplicate; the hashes are read from `documents`,
     so the stream keeps no state. Chunks are written first and documents last: published() shows the
@@ -34,10 +53,10 @@ def stream_ingest(uploads: DataFrame, path: str, max_tokens: int = CHUNK_TOKENS,
         gated = ingest.admission_gate(batch, stored).persist()
         try:
             accepted = gated.where("reason is null")
-            sections = cleaning.clean_text(accepted.select("doc_id", F.lit(0).alias("section_no"), F.col("text").alias("content")), "content")
-            chunks = chunking.chunk_index(chunking.chunk_pack(sections, max_tokens, overlap, least)).withColumn("chunk_id", F.concat_ws("-", "doc_id", "chunk_index"))
-            vectors = embedding.embed_chunks(chunks, make_encoder)
-            rows = ingest.ingest_rows(chunks.join(vectors, "chunk_id"), accepted)
+            chunks = chunking.chunk_index(chunking.chunk_pack(document_sections(accepted), max_tokens, overlap, least)).withColumn("chunk_id", F.concat_ws("-", "doc_id", "chunk_index"))
+            # Tags and source join the chunks before their vectors are there.
+            rows = embedding.with_embeddings(ingest.ingest_rows(chunks, accepted), make_encoder)
+            rows = rows if "source" in rows.columns else rows.withColumn("source", F.lit(None).cast("string"))
             put_batch(rows.select(*[c.split()[0] for c in CHUNKS.split(", ")]), f"{path}/chunks", n)
             counts = read_table(s, f"{path}/chunks", CHUNKS).where(F.col("batch") == n).groupBy("doc_id").agg(F.count("*").alias("total_chunks"))
             total = F.coalesce("total_chunks", F.lit(0))

@@ -19,8 +19,9 @@ def _ran(stream: DataFrame, name: str, mode: str) -> DataFrame:
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All uploads as plain texts, whatever their names end in."""
     path = shared_folder(spark, "stream_ingest")
-    uploads = view(spark, sf_dir, "uploads", table_stream)
+    uploads = view(spark, sf_dir, "uploads", table_stream).drop("filename")
     ingest.stream_ingest(uploads, path, 120, 50, 20).awaitTermination()
     chunks = ingest.published(spark, path).groupBy("doc_id").agg(F.sum("tok").alias("tokens"), F.min("sensitivity_ordinal").alias("sensitivity_ordinal"))
     return ingest.documents(spark, path).drop("batch").join(chunks, "doc_id", "left")

@@ -68,3 +68,17 @@ def test_ingest_stream(spark, tmp_path):
     chunks = ingest.published(spark, f"{tmp_path}/out").collect()
     assert {c.doc_id for c in chunks} == {1, 4, 8} and len({c.chunk_id for c in chunks}) == len(chunks)
     assert {(c.sensitivity_ordinal, *c.acl_tags) for c in chunks if c.doc_id == 4} == {(2, "all")} and all(any(c.dense_embedding) for c in chunks)
+
+
+def test_streamed_chunks_can_be_cited(spark, tmp_path):
+    body = "Some words in a sentence. " * 12
+    page = lambda i: f"ACME report\n{body}{i}\nconfidential"
+    rows = [(1, "# Intro\n" + body + "one\n```\n# code\n```\n## More\n" + body + "two", "a.md", "web"), (2, "\f".join(page(i) for i in range(4)), "b.pdf", "mail"), (3, "# no heading here\n" + body + "three", "c.txt", None), (4, "\f \f" + body + "four\f", "d.pdf", "web")]
+    df = spark.createDataFrame([(i, t, ["hr"], "public", n, s, 0) for i, t, n, s in rows], "doc_id long, text string, acl_tags array<string>, sensitivity_level string, filename string, source string, part int")
+    _files(df, f"{tmp_path}/in", (0,))
+    ingest.stream_ingest(_stream(spark, f"{tmp_path}/in", df.drop("part").schema), f"{tmp_path}/out", 60, 10, 20).awaitTermination()
+    chunks = ingest.published(spark, f"{tmp_path}/out").collect()
+    assert {(c.doc_id, c.section_title, c.source) for c in chunks} == {(1, "Intro", "web"), (1, "More", "web"), (2, None, "mail"), (3, None, None), (4, None, "web")}
+    assert {c.page_number for c in chunks if c.doc_id == 2} == {1, 2, 3, 4} and {c.page_number for c in chunks if c.doc_id in (1, 3)} == {None} and {c.page_number for c in chunks if c.doc_id == 4} == {3}
+    assert not any("ACME" in c.content or "confidential" in c.content or "code" in c.content for c in chunks) and any("# no heading" in c.content for c in chunks)
+    assert all(sorted(c.chunk_index for c in chunks if c.doc_id == d) == list(range(sum(c.doc_id == d for c in chunks))) for d in (1, 2, 3, 4))

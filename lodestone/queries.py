@@ -403,11 +403,15 @@ def score_bands(queries, users, chunks):
 _RANKED = _HYBRID + ", rk AS (SELECT query_id, rank, chunk_id, source AS s, CASE WHEN chunk_id % 3 > 0 THEN chunk_id % 9 END AS page_number, CASE WHEN chunk_id % 4 = 0 THEN source END AS section_title, content FROM hy JOIN chunks USING (chunk_id) WHERE rank <= 5)"
 
 
+def _best(queries: DataFrame, users: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, rank, chunk_id of the five best chunks of every query by hybrid search."""
+    return at_rest(hybrid_search(queries, users, chunks).where("rank <= 5").select("query_id", "rank", "chunk_id"), "ranked")
+
+
 def _ranked(queries: DataFrame, users: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The five best chunks of every query by hybrid search, as contexts show them."""
-    best = at_rest(hybrid_search(queries, users, chunks).where("rank <= 5").select("query_id", "rank", "chunk_id"), "ranked")
+    """The five best chunks as contexts show them."""
     shown = chunks.select("chunk_id", "source", F.when(F.col("chunk_id") % 3 > 0, F.col("chunk_id") % 9).alias("page_number"), F.when(F.col("chunk_id") % 4 == 0, F.col("source")).alias("section_title"), "content")
-    return best.join(shown, "chunk_id")
+    return _best(queries, users, chunks).join(shown, "chunk_id")
 
 
 _CONTEXT = f"SELECT query_id, string_agg('[' || rank || '] 📄 ' || s || '  第 ' || coalesce(page_number::VARCHAR, '—') || ' 页' || coalesce('  §' || section_title, '') || chr(10) || {_STRIP.format('content')}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM rk GROUP BY query_id"
@@ -423,12 +427,12 @@ _CITED = _RANKED + ", m AS (SELECT answer_id, query_id, list_transform(regexp_ex
 
 @query("answers queries users chunks", _CITED + " SELECT * FROM cited")
 def extract_citations(answers, queries, users, chunks):
-    return conversation.extract_citations(answers, _ranked(queries, users, chunks))
+    return conversation.extract_citations(answers, _best(queries, users, chunks))
 
 
 @query("answers queries users chunks", _CITED + ", gv AS (SELECT chunk_id, count(DISTINCT answer_id) AS n_retrieved FROM answers JOIN rk USING (query_id) GROUP BY chunk_id), us AS (SELECT chunk_id, count(*) AS n_citations, count(DISTINCT answer_id) AS n_answers FROM cited GROUP BY chunk_id) SELECT chunk_id, coalesce(n_citations, 0) AS n_citations, coalesce(n_answers, 0) AS n_answers, coalesce(n_retrieved, 0) AS n_retrieved FROM us FULL JOIN gv USING (chunk_id)")
 def citation_usage(answers, queries, users, chunks):
-    ranked = at_rest(_ranked(queries, users, chunks).select("query_id", "rank", "chunk_id"), "given")
+    ranked = _best(queries, users, chunks)
     return conversation.citation_usage(conversation.extract_citations(answers, ranked), answers.select("answer_id", "query_id").join(ranked, "query_id").select("answer_id", "chunk_id"))
 
 
@@ -727,7 +731,7 @@ def attachment_types(chunks):
 
 @query("answers queries users chunks", _CITED + """ SELECT a.answer_id, coalesce(j, '[]') AS citations FROM answers a LEFT JOIN (SELECT answer_id, '[' || string_agg('{"marker":' || marker || ',"chunk_id":' || chunk_id || ',"score":' || (chunk_id % 8 / 8)::DOUBLE || '}', ',' ORDER BY ord) || ']' AS j FROM cited GROUP BY answer_id) c ON c.answer_id = a.answer_id""")
 def citation_json(answers, queries, users, chunks):
-    cited = conversation.extract_citations(answers, _ranked(queries, users, chunks))
+    cited = conversation.extract_citations(answers, _best(queries, users, chunks))
     return conversation.citation_json(cited.withColumn("score", (F.col("chunk_id") % 8) / 8), answers)
 
 

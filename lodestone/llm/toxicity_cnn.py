@@ -7,8 +7,8 @@ text, the TOP maxima of each are pooled and a logistic layer scores the pools. O
 table starts from the smoothed evidence of its buckets; embeddings, filters and layer are then
 trained together by gradient descent through the positions of the maxima.
 
-Fitted on at most FIT_ROWS labelled documents (a documented bound; those with crc32 mod 4 = 2 held
-out). Thresholds are calibrated by language on a part of the sample that training did not see,
+Fitted on at most FIT_ROWS labelled documents of FIT_BYTES of bucket numbers together (documented bounds, by hash order of ids; those
+with crc32 mod 4 = 2 held out). Thresholds are calibrated by language on a part of the sample that training did not see,
 within THRESHOLD_RANGE; a language with too few labels uses the threshold of all. The language picks
 a threshold only and is never an input of a score.
 
@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import column, columns, id_remainder, map_batches, names
+from lodestone.llm.common import column, columns, cut, id_remainder, map_batches, names, scratch
 from lodestone.llm.statistics import labelled_sample
 from lodestone.llm.text import ALNUM, LOWER, Hasher, slices, spans
 
 FIT_ROWS = 4_000
+#: Of the sample in hash order, as many documents as have so many bytes of bucket numbers (16 a word) go to the driver.
+FIT_BYTES = 64 << 20
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 8, 6, (1, 2, 3)
 #: Bytes of a word that each table hashes; None: all.
 STEMS = (None, 4, 5, 6)
@@ -176,7 +178,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
     sample = labelled_sample(docs, labels, label, rows).select("doc_id", F.xxhash64("text").alias("h"), "lang", "y", "text")
     kind = dict(sample.dtypes)["doc_id"]
-    got = sample.mapInArrow(run, f"doc_id {kind}, h long, lang string, y int, b binary").groupBy("doc_id").agg(F.min(F.struct("h", "b", "lang", "y")).alias("s")).select("doc_id", "s.b", "s.lang", "s.y").toArrow()
+    with scratch(docs.sparkSession):
+        table = cut(sample.mapInArrow(run, f"doc_id {kind}, h long, lang string, y int, b binary").groupBy("doc_id").agg(F.min(F.struct("h", "b", "lang", "y")).alias("s")).select("doc_id", "s.b", "s.lang", "s.y"), "sample")
+        # A size for each of at most rows documents.
+        sizes = table.select(F.octet_length("b").alias("n"), F.xxhash64("doc_id").alias("place")).orderBy("place").toArrow()
+        within = np.cumsum(sizes["n"].to_numpy()) <= FIT_BYTES
+        if not within.all():
+            first_out = int(sizes["place"][int(np.argmin(within))].as_py())
+            table = table.where(F.xxhash64("doc_id") < F.lit(first_out))
+        got = table.toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     arrays = [np.frombuffer(got["b"][i].as_buffer(), np.int32).reshape(-1, len(STEMS)) for i in order.tolist()]
     y, lang = got["y"].to_numpy()[order].astype(float), np.array(got["lang"].to_pylist(), object)[order]

@@ -512,3 +512,17 @@ def test_pipeline_stages_pass_documents_on(spark, tmp_path):
     assert len(ids[0] & toxic) < 0.05 * len(toxic) and len(ids[0] - toxic) >= 300
     assert not any(i >= 1000 for i in ids[1]) and 33 in ids[2] and 33 not in ids[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    """Long texts don't pass through the driver: of the sample in hash order as many documents as fit."""
+    docs = spark.createDataFrame([(i, ("bad worse " if i % 2 else "good fine ") * (200_000 if i == 5 else 30), "en") for i in range(40)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    fit = toxicity_cnn.fit
+    monkeypatch.setattr(toxicity_cnn, "fit", lambda arrays, y: seen.append(sum(a.nbytes for a in arrays)) or fit(arrays, y))
+    for limit in (64 << 20, 10_000, 0):
+        monkeypatch.setattr(toxicity_cnn, "FIT_BYTES", limit)
+        model, limits = toxicity_cnn.train(docs, labels)
+        assert toxicity_cnn.score(docs, model, limits).count() == 40
+        assert seen[-1] <= limit

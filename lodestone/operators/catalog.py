@@ -320,11 +320,14 @@ def vocab_tables(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "vocabulary string, value string, ordinal int")
 
 
-def vocab_usage(docs: DataFrame, users: DataFrame) -> DataFrame:
-    """vocabulary, value, ordinal, n: documents that carry each allowed tag or level, users of each clearance; 0 for unused ones."""
+def vocab_usage(docs: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """vocabulary, value, ordinal, n: documents that carry each allowed tag or level, with users (clearance_level) those of each clearance; 0 for unused ones."""
     tags = docs.select(F.lit("acl_tag").alias("vocabulary"), F.explode(F.array_distinct("acl_tags")).alias("value"))
     levels = docs.select(F.lit("sensitivity_level").alias("vocabulary"), F.col("sensitivity_level").alias("value"))
     n = tags.unionByName(levels).groupBy("vocabulary", "value").agg(F.count("*").alias("n"))
+    if users is None:
+        allowed = vocab_tables(docs.sparkSession).where("vocabulary <> 'clearance_level'")
+        return allowed.join(n, ["vocabulary", "value"], "left").select("vocabulary", "value", "ordinal", F.coalesce("n", F.lit(0)).alias("n"))
     clearance = F.create_map(*[x for name, o in LEVELS.items() for x in (F.lit(o), F.lit(name))])
     of_users = users.groupBy("clearance_level").agg(F.count("*").alias("n")).select(F.lit("clearance_level").alias("vocabulary"), F.element_at(clearance, F.col("clearance_level")).alias("value"), "n")
     return vocab_tables(docs.sparkSession).join(n.unionByName(of_users), ["vocabulary", "value"], "left").select("vocabulary", "value", "ordinal", F.coalesce("n", F.lit(0)).alias("n"))

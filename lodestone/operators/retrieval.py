@@ -25,32 +25,47 @@ from lodestone.operators.access import tag_mask
 TILE = 512
 #: Query tiles of at most so many bytes are broadcast; query tiles whose best rows a task holds at a time.
 BROADCAST_BYTES, HELD = 8 << 20, 64
-#: Trigrams that are compared at a time.
-WIDTH = 4096
+#: Trigrams that are compared at a time; items of a tile; characters whose trigrams are made at a time.
+WIDTH, ITEMS, BLOCK = 1024, 1 << 20, 1 << 17
 _WORD = re.compile(r"[^\W_]+")
 _PAIRS = "query_id long, chunk_id long, score double"
-_TILE = "tile long, ids array<long>, mask array<long>, level array<int>, sizes array<int>, data array<{0}>"
+_TILE = "tile long, ids array<long>, mask array<long>, level array<int>, sizes array<int>, data array<{0}>, low int, high int"
+_LISTS = 5
 
 
 def _tiles(rows: DataFrame, encode: Callable[[pa.Array], tuple[list[int], np.ndarray]], kind: str) -> DataFrame:
-    """rows (id, mask, level, value) as tiles; encode gives the number of items of each value and all items."""
+    """rows (id, mask, level, value) as tiles; encode gives the number of items of each value and all items.
+
+    A batch's rows are ordered by their numbers of items, so a tile's values are of like size (low to high
+    items), and cut at TILE rows or ITEMS items; a value of more is a tile of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, TILE):
-                part = batch.slice(at, TILE)
-                sizes, data = encode(part.column(3))
-                ids, mask, level = (part.column(i).to_numpy() for i in range(3))
+            if not batch.num_rows:
+                continue
+            sizes, data = encode(batch.column(3))
+            order, ends = np.argsort(sizes, kind="stable"), np.cumsum(sizes, dtype=np.int64)
+            n, columns = sizes[order], [batch.column(i).to_numpy()[order] for i in range(3)]
+            before, at = np.concatenate([[0], np.cumsum(n, dtype=np.int64)]), 0
+            while at < len(n):
+                end = min(at + TILE, max(at + 1, int(np.searchsorted(before, before[at] + ITEMS, "right")) - 1))
+                own = n[at:end]
+                items = data[np.repeat((ends - sizes)[order[at:end]] - (before[at:end] - before[at]), own) + np.arange(before[end] - before[at])]
+                ids, mask, level = (c[at:end] for c in columns)
                 name = int.from_bytes(blake2b(ids.tobytes(), digest_size=8).digest(), "little", signed=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name]), *[pa.array([x], pa.list_(t)) for x, t in ((ids, pa.int64()), (mask, pa.int64()), (level, pa.int32()), (sizes, pa.int32()), (data, pa.from_numpy_dtype(data.dtype)))]], ["tile", "ids", "mask", "level", "sizes", "data"])
+                lists = [pa.array([x], pa.list_(t)) for x, t in ((ids, pa.int64()), (mask, pa.int64()), (level, pa.int32()), (own, pa.int32()), (items, pa.from_numpy_dtype(items.dtype)))]
+                yield pa.RecordBatch.from_arrays([pa.array([name]), *lists, pa.array([own[0]], pa.int32()), pa.array([own[-1]], pa.int32())], ["tile", "ids", "mask", "level", "sizes", "data", "low", "high"])
+                at = end
 
     return rows.mapInArrow(run, _TILE.format(kind))
 
 
-def _met(queries: DataFrame, chunks: DataFrame, encode: Callable, kind: str, size: Column, best: Callable, k: int | None) -> DataFrame:
+def _met(queries: DataFrame, chunks: DataFrame, encode: Callable, kind: str, size: Column, best: Callable, k: int | None, ratio: float = 0.0) -> DataFrame:
     """Pairs (query_id, chunk_id, score) of best(query tile, chunk tile), the k of lowest score of each query and task if k is given.
 
-    queries and chunks: id, mask, level, value; size: the bytes of a query's value.
+    queries and chunks: id, mask, level, value; size: the bytes of a query's value. Tiles of which no two values
+    have numbers of items within that ratio of each other don't meet.
     """
     held = queries.agg(F.coalesce(F.sum(size + 24), F.lit(0))).first()[0]
     asked, tiles = _tiles(queries, encode, kind), _tiles(chunks, encode, kind)
@@ -58,10 +73,11 @@ def _met(queries: DataFrame, chunks: DataFrame, encode: Callable, kind: str, siz
     salts = 1 if held <= BROADCAST_BYTES else 4 * chunks.sparkSession.sparkContext.defaultParallelism
     left = tiles.withColumn("salt", F.pmod("tile", F.lit(salts)).cast("int"))
     right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = left.join(F.broadcast(right) if salts == 1 else right, "salt").drop("salt")
+    fits = (F.col("high") + 1e-6 >= F.col("q_low") * ratio) & (F.col("q_high") + 1e-6 >= F.col("low") * ratio)
+    pairs = left.join(F.broadcast(right) if salts == 1 else right, "salt").where(fits).select(*tiles.columns, *right.columns[:-1])
 
     def unpack(batch: pa.RecordBatch, row: int, first: int) -> tuple:
-        return tuple(batch.column(first + i)[row].values.to_numpy(zero_copy_only=False) for i in range(1, 6))
+        return tuple(batch.column(first + i)[row].values.to_numpy(zero_copy_only=False) for i in range(1, 1 + _LISTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, list] = {}
@@ -73,7 +89,7 @@ def _met(queries: DataFrame, chunks: DataFrame, encode: Callable, kind: str, siz
 
         for batch in batches:
             for row in range(batch.num_rows):
-                mine, theirs, name = unpack(batch, row, 0), unpack(batch, row, 6), batch.column(6)[row].as_py()
+                mine, theirs, name = unpack(batch, row, 0), unpack(batch, row, _LISTS + 3), batch.column(_LISTS + 3)[row].as_py()
                 score = best(theirs, mine)
                 score[((theirs[1][:, None] & mine[1][None]) == 0) | (mine[2][None] > theirs[2][:, None])] = np.inf
                 if k is None:
@@ -152,40 +168,111 @@ def trigrams(text: str) -> set[str]:
     return out
 
 
-def _trigram_codes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The trigrams of each text as numbers: three code points of 21 bits."""
-    sets = [trigrams(t) for t in values.to_pylist()]
-    points = np.array(list(map(ord, "".join(t for s in sets for t in s))), np.int64).reshape(-1, 3)
-    return np.array([len(s) for s in sets], np.int32), points[:, 0] << 42 | points[:, 1] << 21 | points[:, 2]
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.array(list(map(len, texts)), np.int64)
+    text = np.frombuffer("".join(f"\0{t}" for t in ["\0", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    # Letters are numbered from 1 in the order of their code points, 0 is all that parts words.
+    seen = np.zeros(int(text.max()) + 1, np.int64)
+    seen[text] = 1
+    points = np.array([p for p in np.flatnonzero(seen).tolist() if _WORD.match(chr(p))], np.int64)
+    seen[:] = 0
+    seen[points] = np.arange(1, len(points) + 1)
+    letter, points = seen[text], np.concatenate([[32], points])
+    row = np.repeat(np.arange(-1, len(texts) + 1), np.concatenate([[2], n + 1, [1]]))
+    base = len(points)
+    if len(texts) > 1 and (len(texts) + 1) * base**3 >= 1 << 63:
+        parts = [_codes(texts[: len(texts) // 2]), _codes(texts[len(texts) // 2 :])]
+        return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+    # The trigram that ends at each letter, and the one that ends behind each word.
+    one, two = letter[1:-2], letter[2:-1]
+    zero = np.where(one > 0, letter[:-3], 0)
+    inside, last = two > 0, (two > 0) & (letter[3:] == 0)
+    # A key is a row and a trigram, so sorting leaves each row's trigrams once.
+    keys = np.concatenate([((row[2:-1] * base + zero) * base + one)[inside] * base + two[inside], ((row[2:-1] * base + one) * base + two)[last] * base])
+    keys = np.sort(keys)
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+    rest, third = np.divmod(keys, base)
+    rest, second = np.divmod(rest, base)
+    at, first = np.divmod(rest, base)
+    return np.bincount(at, minlength=len(texts)).astype(np.int32), points[first] << 42 | points[second] << 21 | points[third]
 
 
-def _overlap(query: tuple, chunk: tuple) -> np.ndarray:
-    """1 - similarity of each pair: shared trigrams over all of both."""
+def _trigram_codes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of each text (see trigrams) as numbers, three code points of 21 bits; BLOCK characters at a time, longer texts alone."""
+    texts = [t.lower() for t in values.to_pylist()]
+    done = [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+    start = held = 0
+    for i, t in enumerate(texts):
+        if i > start and held + len(t) > BLOCK:
+            done.append(_codes(texts[start:i]))
+            start, held = i, 0
+        held += len(t) + 1
+    done.append(_codes(texts[start:]))
+    return np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done])
+
+
+def _overlap(query: tuple, chunk: tuple, threshold: float = 0.0, counts: list | None = None) -> np.ndarray:
+    """1 - similarity of each pair: shared trigrams over all of both; infinite if the similarity is under the threshold.
+
+    Trigrams are compared WIDTH at a time, those of the fewest chunks first. Before each step a pair is given
+    up if what is left of the smaller side can't bring it to the overlap that the threshold needs of sets
+    of their sizes (first of all: sizes too far apart, or too few trigrams that the other tile has at all). Texts
+    without a pair left leave the step, so pairs of few rare trigrams in common cost one step. counts
+    gets the pairs of the tiles, those of fitting sizes, and those that were compared in each step.
+    """
     n, m = len(query[0]), len(chunk[0])
     codes, at = np.unique(query[4], return_inverse=True)
     place = np.searchsorted(codes, chunk[4])
     hit = place < len(codes)
     hit[hit] = codes[place[hit]] == chunk[4][hit]
-    rows, own, place = np.repeat(np.arange(n), query[3]), np.repeat(np.arange(m), chunk[3])[hit], place[hit]
-    common = np.zeros((n, m), np.float32)
-    for low in range(0, len(codes), WIDTH):
+    own, place = np.repeat(np.arange(m), chunk[3])[hit], place[hit]
+    shared = np.bincount(place, minlength=len(codes))
+    # Trigrams that no chunk of the tile has are left out; the others are numbered by the chunks that have them.
+    order = np.lexsort((codes, shared))
+    order = order[np.searchsorted(shared[order], 1) :]
+    number = np.full(len(codes), -1)
+    number[order] = np.arange(len(order))
+    asked = number[at] >= 0
+    rows, at, place = np.repeat(np.arange(n), query[3])[asked], number[at][asked], number[place]
+    by_q, by_c = np.argsort(at, kind="stable"), np.argsort(place, kind="stable")
+    rows, at, own, place = rows[by_q], at[by_q], own[by_c], place[by_c]
+    left_q, left_c = np.bincount(rows, minlength=n), np.bincount(own, minlength=m)
+    total = query[3][:, None].astype(np.int64) + chunk[3][None]
+    # Sets of a and b members are similar from a threshold t on if they share t (a + b) / (1 + t) or more.
+    need = np.ceil(threshold / (1 + threshold) * total - 1e-6)
+    common, alive, steps = np.zeros((n, m), np.float32), np.ones((n, m), bool), []
+    for low in range(0, max(len(order), 1), WIDTH):
+        alive &= common + np.minimum(left_q[:, None], left_c[None]) >= need
+        q, c = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+        steps.append(len(q) * len(c))
+        if not steps[-1]:
+            break
+        x, y = slice(*np.searchsorted(at, (low, low + WIDTH))), slice(*np.searchsorted(place, (low, low + WIDTH)))
+        new_q, new_c = np.full(n, -1), np.full(m, -1)
+        new_q[q], new_c[c] = np.arange(len(q)), np.arange(len(c))
         # Incidence of WIDTH trigrams; sums of ones are exact.
-        a, b = np.zeros((n, WIDTH), np.float32), np.zeros((m, WIDTH), np.float32)
-        x, y = (at >= low) & (at < low + WIDTH), (place >= low) & (place < low + WIDTH)
-        a[rows[x], at[x] - low] = b[own[y], place[y] - low] = 1
-        common += a @ b.T
-    return 1 - common.astype(np.float64) / np.maximum(query[3][:, None] + chunk[3][None] - common, 1)
+        a, b = np.zeros((len(q), WIDTH), np.float32), np.zeros((len(c), WIDTH), np.float32)
+        i, j = new_q[rows[x]], new_c[own[y]]
+        a[i[i >= 0], at[x][i >= 0] - low] = b[j[j >= 0], place[y][j >= 0] - low] = 1
+        common[np.ix_(q, c)] += a @ b.T
+        left_q, left_c = left_q - np.bincount(rows[x], minlength=n), left_c - np.bincount(own[y], minlength=m)
+    if counts is not None:
+        counts.append((n * m, int((np.minimum(query[3][:, None], chunk[3][None]) >= need).sum()), steps))
+    far = 1 - common.astype(np.float64) / np.maximum(total - common, 1)
+    return np.where(alive & (1 - far >= threshold - 1e-12), far, np.inf)
 
 
 def trigram_similarity(queries: DataFrame, chunks: DataFrame, threshold: float = TRIGRAM_THRESHOLD, k: int | None = None) -> DataFrame:
-    """query_id, chunk_id, score of permitted pairs at the threshold or above; with k the best k of each task only."""
+    """query_id, chunk_id, score of permitted pairs at the threshold or above; with k the best k of each task only.
+
+    A similarity is at most the ratio of the numbers of trigrams, so tiles of other sizes don't meet; see _overlap for the pairs of tiles that do.
+    """
 
     def similar(query: tuple, chunk: tuple) -> np.ndarray:
-        far = _overlap(query, chunk)
         # Rounded before the order counts, so that equal similarities are ties.
-        return np.where(1 - far >= threshold - 1e-12, np.round(far, 9), np.inf)
+        return np.round(_overlap(query, chunk, threshold), 9)
 
-    pairs = _met(_asked(queries, "query_text"), _guarded(chunks, "content"), _trigram_codes, "long", 8 * F.length("query_text"), similar, k)
+    pairs = _met(_asked(queries, "query_text"), _guarded(chunks, "content"), _trigram_codes, "long", 8 * F.length("query_text"), similar, k, threshold)
     return pairs.withColumn("score", F.round(1 - F.col("score"), 9))
 
 

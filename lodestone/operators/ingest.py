@@ -27,16 +27,25 @@ def ordinal(level: Column) -> Column:
     return out.otherwise(DEFAULT_ORDINAL)
 
 
+def admission_hash() -> Column:
+    """SHA-256 of an upload's text, null counting as empty."""
+    return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+
+
+def admission_fault() -> Column:
+    """Why an upload is rejected whatever else is there (null: it isn't)."""
+    text, tags = F.coalesce("text", F.lit("")), F.coalesce("acl_tags", F.array().cast("array<string>"))
+    size = F.octet_length(text)
+    return F.when(size > MAX_UPLOAD_BYTES, "too_large").when(size == 0, "empty").when(F.size(tags) == 0, "no_tags").when(F.size(F.array_except(tags, F.array(*map(F.lit, TAGS)))) > 0, "unknown_tag").when(~F.coalesce(F.col("sensitivity_level").isin(*LEVELS), F.lit(False)), "bad_level")
+
+
 def admission_gate(uploads: DataFrame, stored_hashes: DataFrame | None = None) -> DataFrame:
     """uploads with content_hash and reason (null: accepted), the first that holds.
 
     Null text counts as empty, null tags as none. Of equal contents that are valid otherwise the
     smallest doc_id is accepted; a rejected upload blocks no later one.
     """
-    text, tags = F.coalesce("text", F.lit("")), F.coalesce("acl_tags", F.array().cast("array<string>"))
-    size = F.octet_length(text)
-    bad = F.when(size > MAX_UPLOAD_BYTES, "too_large").when(size == 0, "empty").when(F.size(tags) == 0, "no_tags").when(F.size(F.array_except(tags, F.array(*map(F.lit, TAGS)))) > 0, "unknown_tag").when(~F.coalesce(F.col("sensitivity_level").isin(*LEVELS), F.lit(False)), "bad_level")
-    u = uploads.withColumn("content_hash", F.sha2(text.cast("binary"), 256)).withColumn("_bad", bad)
+    u = uploads.withColumn("content_hash", admission_hash()).withColumn("_bad", admission_fault())
     first = u.where("_bad is null").groupBy("content_hash").agg(F.min("doc_id").alias("_first"))
     u = u.join(first, "content_hash", "left")
     duplicate = F.col("doc_id") > F.col("_first")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.functions.vocabulary import CHUNK_LEAST, CHUNK_OVERLAP, CHUNK_TOKENS
 from lodestone.operators import chunking, cleaning, embedding, ingest
@@ -34,14 +36,34 @@ def document_sections(docs: DataFrame) -> DataFrame:
     return plain.unionByName(headed).unionByName(paged.select("doc_id", "section_no", no_title, "parts"))
 
 
-def stream_ingest(uploads: DataFrame, path: str, max_tokens: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP, least: int = CHUNK_LEAST, make_encoder: Callable | None = None, available_now: bool = True) -> StreamingQuery:
+def seen_before(uploads: DataFrame) -> DataFrame:
+    """content_hash of the admissible uploads of a stream whose content an earlier micro-batch held, once for each micro-batch.
+
+    The state is one flag for each content, looked up by its hash, so a micro-batch's work doesn't grow with what is stored.
+    """
+
+    def mark(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        for _ in frames:
+            pass
+        if state.exists:
+            yield pd.DataFrame({"content_hash": [key[0]]})
+        else:
+            state.update((True,))
+
+    hashes = uploads.where(ingest.admission_fault().isNull()).select(ingest.admission_hash().alias("content_hash"))
+    return hashes.groupBy("content_hash").applyInPandasWithState(mark, "content_hash string", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_ingest(uploads: DataFrame, path: str, max_tokens: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP, least: int = CHUNK_LEAST, make_encoder: Callable | None = None, available_now: bool = True, stored: DataFrame | None = None) -> StreamingQuery:
     """Starts ingestion of a stream of uploads (doc_id, text, acl_tags, sensitivity_level, and filename and source if there) into the tables of path.
 
     Chunks carry what a citation shows: the page of their first segment, their section's title and the source (see document_sections).
     Every upload gets a row of `documents`: done, failed (no chunk) or rejected with its reason. A
-    content that is stored already, failed or not, is a duplicate; the hashes are read from `documents`,
-    so the stream keeps no state. Chunks are written first and documents last: published() shows the
-    chunks of documents that are done. A batch that is run again replaces its own rows.
+    content that came before, failed or not, is a duplicate: which ones did is kept as state of the stream by
+    their hashes (see seen_before; with the RocksDB state store it needn't fit in memory), and no table of hashes
+    is read. stored: content_hash of contents that other ways brought in, read for each micro-batch. Chunks are
+    written first and documents last: published() shows the chunks of documents that are done. A batch that is
+    run again finds the state that it began with and replaces its own rows.
     """
     spark = uploads.sparkSession
     create(spark, f"{path}/documents", DOCUMENTS)
@@ -49,8 +71,10 @@ def stream_ingest(uploads: DataFrame, path: str, max_tokens: int = CHUNK_TOKENS,
 
     def step(batch: DataFrame, n: int) -> None:
         s = batch.sparkSession
-        stored = read_table(s, f"{path}/documents", DOCUMENTS).where((F.col("batch") < n) & (F.col("status") != "rejected"))
-        gated = ingest.admission_gate(batch, stored).persist()
+        batch.persist()
+        held = batch.where("_seen is not null").select(F.col("_seen").alias("content_hash"))
+        held = held if stored is None else held.unionByName(stored.select("content_hash"))
+        gated = ingest.admission_gate(batch.where("_seen is null").drop("_seen"), held).persist()
         try:
             accepted = gated.where("reason is null")
             chunks = chunking.chunk_index(chunking.chunk_pack(document_sections(accepted), max_tokens, overlap, least)).withColumn("chunk_id", F.concat_ws("-", "doc_id", "chunk_index"))
@@ -66,8 +90,11 @@ def stream_ingest(uploads: DataFrame, path: str, max_tokens: int = CHUNK_TOKENS,
             put_batch(documents, f"{path}/documents", n)
         finally:
             gated.unpersist()
+            batch.unpersist()
 
-    writer = uploads.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(step)
+    # The contents that came before travel with the uploads of their micro-batch.
+    rows = uploads.withColumn("_seen", F.lit(None).cast("string")).unionByName(seen_before(uploads).select(F.col("content_hash").alias("_seen")), allowMissingColumns=True)
+    writer = rows.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(step)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

@@ -82,3 +82,29 @@ def test_streamed_chunks_can_be_cited(spark, tmp_path):
     assert {c.page_number for c in chunks if c.doc_id == 2} == {1, 2, 3, 4} and {c.page_number for c in chunks if c.doc_id in (1, 3)} == {None} and {c.page_number for c in chunks if c.doc_id == 4} == {3}
     assert not any("ACME" in c.content or "confidential" in c.content or "code" in c.content for c in chunks) and any("# no heading" in c.content for c in chunks)
     assert all(sorted(c.chunk_index for c in chunks if c.doc_id == d) == list(range(sum(c.doc_id == d for c in chunks))) for d in (1, 2, 3, 4))
+
+
+def test_contents_that_came_before_are_found_in_state(spark, tmp_path):
+    """Eight micro-batches and a restart: each content is taken once, by rows of state alone; rejected uploads hold nothing back."""
+    rng = random.Random(9)
+    rows = [(100 * n + i, f"content {rng.randrange(40)}" if rng.random() < 0.9 else None, ["hr"] if rng.random() < 0.8 else ["typo"], "public", n) for n in range(8) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, acl_tags array<string>, sensitivity_level string, part int")
+    for parts in (range(4), range(4, 8)):
+        _files(df, f"{tmp_path}/in", parts)
+        out = ingest.seen_before(_stream(spark, f"{tmp_path}/in", df.drop("part").schema))
+        to_table(out, f"{tmp_path}/rows", f"{tmp_path}/checkpoint").awaitTermination()
+    marks = [r.content_hash for r in read_table(spark, f"{tmp_path}/rows", "content_hash string").collect()]
+    # Each content is marked in every micro-batch that has it but the first.
+    valid = [(r[1], r[4]) for r in rows if r[1] is not None and r[2] == ["hr"]]
+    assert len(marks) == len(set(valid)) - len({t for t, _ in valid})
+    first = df.where("part < 3").drop("part")
+    first.coalesce(1).write.parquet(f"{tmp_path}/other")
+    held = spark.createDataFrame([(1,)], "i int").selectExpr("sha2(cast('content 5' as binary), 256) AS content_hash")
+    ingest.stream_ingest(_stream(spark, f"{tmp_path}/other", first.schema), f"{tmp_path}/out", 60, 10, 20, stored=held).awaitTermination()
+    out = {r.doc_id: r.reason for r in ingest.documents(spark, f"{tmp_path}/out").collect()}
+    want, seen = {}, {"content 5"}
+    for i, text, tags, _, _ in sorted(r for r in rows if r[4] < 3):
+        want[i] = "empty" if text is None else "unknown_tag" if tags == ["typo"] else "duplicate" if text in seen else "chunk empty"
+        if want[i] == "chunk empty":
+            seen.add(text)
+    assert out == want

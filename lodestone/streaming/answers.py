@@ -1,7 +1,7 @@
 """Progress and answer streams with state by key.
 
-Events of one key may come in any order within a micro-batch, and in order between micro-batches. The
-state of a key is small: a number, or the answer so far. With idle_ms, keys idle for that long are
+Events of an answer may come in any order. Progress may come in any order within a micro-batch, and in order
+between them. The state of a key is small: a number, or the answer so far. With idle_ms, keys idle for that long are
 forgotten; such a stream runs batches without data too, so it never ends by itself (no availableNow).
 """
 
@@ -17,6 +17,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.operators.catalog import progress_latest, progress_percent
 
+#: Stands for a null seq: before all others.
+_NO_SEQ = -(1 << 63)
+
 
 def _timeout(idle_ms: int | None) -> str:
     return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
@@ -54,7 +57,10 @@ def throttle_stream(events: DataFrame, step: int = 5, idle_ms: int | None = None
 def assemble_stream(events: DataFrame, error_note: str = " [interrupted]", idle_ms: int | None = None) -> DataFrame:
     """answer_assembly of a stream (key, seq, type, data), for update mode: key, content, citations, finish_reason as they stand after each micro-batch.
 
-    A key without content and citations gives no row. An answer is forgotten once it is done.
+    Events of a key may come in any order, also between micro-batches: the state holds its tokens by seq, the last
+    citations with their seq, whether it failed and its finish reason, as much as the answer that is given each time.
+    A key without content and citations gives no row. Answers stay after they are done, so that late tokens
+    find their places; with idle_ms they are forgotten when nothing has come for that long, without it never.
     """
 
     def text(v: Any) -> str | None:
@@ -64,30 +70,27 @@ def assemble_stream(events: DataFrame, error_note: str = " [interrupted]", idle_
         if state.hasTimedOut:
             state.remove()
             return
-        content, citations, failed = state.get if state.exists else ("", None, False)
-        parts, reason = [content], None
-        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        for kind, data in zip(rows["type"].tolist(), map(text, rows["data"].tolist()), strict=True):
-            if kind == "token":
-                parts.append(data or "")
-            elif kind == "citation":
-                citations = citations if data is None else data
-            elif kind == "error":
-                failed = True
-            elif kind == "done":
-                reason = data if reason is None else max(reason, data or "")
-        content = "".join(parts)
-        if "done" in set(rows["type"]):
-            if state.exists:
-                state.remove()
-        else:
-            state.update((content, citations, failed))
-            if idle_ms is not None:
-                state.setTimeoutDuration(idle_ms)
-        shown = content + error_note if failed else content
-        if shown or citations is not None:
-            yield pd.DataFrame({"key": [key[0]], "content": [shown], "citations": [citations], "finish_reason": [reason]})
-
-    rows = events.select("key", "seq", "type", "data")
+        seqs, tokens, cited, citations, failed, reason = state.get if state.exists else ([], [], None, None, False, None)
+        parts = list(zip(seqs, tokens, strict=True))
+        for rows in frames:
+            for seq, kind, data in zip(rows["seq"].tolist(), rows["type"].tolist(), map(text, rows["data"].tolist()), strict=True):
+                if kind == "token":
+                    parts.append((seq, data or ""))
+                elif kind == "citation" and seq != _NO_SEQ and (cited is None or (seq, data or "") > (cited, citations or "")):
+                    cited, citations = seq, data
+                elif kind == "error":
+                    failed = True
+                elif kind == "done" and data is not None:
+                    reason = data if reason is None else max(reason, data)
+        # Tokens of one seq are ordered by themselves, as in answer_assembly.
+        parts.sort()
+        state.update(([p[0] for p in parts], [p[1] for p in parts], cited, citations, failed, reason))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        content = "".join(p[1] for p in parts) + (error_note if failed else "")
+        if content or citations is not None:
+            yield pd.DataFrame({"key": [key[0]], "content": [content], "citations": [citations], "finish_reason": [reason]})
+
+    rows = events.select("key", F.coalesce(F.col("seq").cast("long"), F.lit(_NO_SEQ)).alias("seq"), "type", "data")
     kind = dict(rows.dtypes)["key"]
-    return rows.groupBy("key").applyInPandasWithState(fold, f"key {kind}, content string, citations string, finish_reason string", "content string, citations string, failed boolean", "update", _timeout(idle_ms))
+    return rows.groupBy("key").applyInPandasWithState(fold, f"key {kind}, content string, citations string, finish_reason string", "seqs array<long>, tokens array<string>, cited long, citations string, failed boolean, reason string", "update", _timeout(idle_ms))

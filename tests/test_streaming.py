@@ -108,3 +108,14 @@ def test_contents_that_came_before_are_found_in_state(spark, tmp_path):
         if want[i] == "chunk empty":
             seen.add(text)
     assert out == want
+
+
+def test_answer_stream_in_any_order(spark, tmp_path):
+    """Events fall into micro-batches at random, so tokens come after later ones, after the citations and after done."""
+    rng = random.Random(10)
+    rows = [(f"k{rng.randrange(5)}", i, rng.choice(["token", "token", "token", "citation"]), rng.choice(["a", "b ", "é", None]), rng.randrange(4)) for i in range(160)]
+    rows += [("k1", 300, "error", None, 0), ("k2", 301, "done", "stop", 0), ("k2", 302, "done", None, 3), ("k3", 303, "done", "stop", 1), ("k3", 304, "citation", None, 0), ("k4", None, "token", "first ", 3), ("empty", 305, "token", "", 2)]
+    events = spark.createDataFrame(rows, "key string, seq long, type string, data string, part int")
+    got = newest(_both_halves(spark, events, answers.assemble_stream, tmp_path, "update"), "key")
+    want = conversation.answer_assembly(events.drop("part"))
+    assert {tuple(r[c] for c in want.columns) for r in got.collect()} == set(map(tuple, want.collect()))

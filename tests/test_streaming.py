@@ -119,3 +119,14 @@ def test_answer_stream_in_any_order(spark, tmp_path):
     got = newest(_both_halves(spark, events, answers.assemble_stream, tmp_path, "update"), "key")
     want = conversation.answer_assembly(events.drop("part"))
     assert {tuple(r[c] for c in want.columns) for r in got.collect()} == set(map(tuple, want.collect()))
+
+
+def test_throttle_stream_with_late_events(spark, tmp_path):
+    """Events come up to 100 seconds late in other micro-batches; those of the last seconds wait for a later one."""
+    rng = random.Random(11)
+    rows = [(i, rng.randrange(5), rng.randint(0, 10), 10, 1_700_000_000 + i // 2, min(3, max(0, (i + rng.randrange(-30, 30)) // 60))) for i in range(240)]
+    rows += [(1000, 99, 5, 10, 1_700_010_000, 3)]
+    events = spark.createDataFrame(rows, "event_id long, doc_id long, processed int, total int, s long, part int").selectExpr("event_id", "doc_id", "'parsing' AS stage", "processed", "total", "timestamp_seconds(s) AS ts", "part")
+    got = _both_halves(spark, events, lambda e: answers.throttle_stream(e, 20, lateness="100 seconds"), tmp_path, "append").drop("batch")
+    want = catalog.progress_throttle(catalog.progress_percent(events.where("doc_id <> 99").drop("part")), 20)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))

@@ -24,14 +24,36 @@ def clean_text(docs: DataFrame, column: str = "text") -> DataFrame:
     return docs.withColumn(column, clean(F.when(ascii_only, F.col(column)).otherwise(_nfc(F.when(~ascii_only, F.col(column))))))
 
 
-def noisy_lines(pages: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """source, line, n of lines among the first and last three of at least this share of a source's pages (three pages or more)."""
+#: Buckets of the first count of noisy_lines, and rows of it that the driver takes.
+BUCKETS, MAX_HOT = 4096, 10_000
+
+
+def _edge_lines(pages: DataFrame) -> DataFrame:
     lines = F.split("content", "\n")
     edge = F.concat(F.slice(lines, 1, 3), F.slice(lines, F.greatest(F.size(lines) - 2, F.lit(1)), 3))
-    stripped = pages.select("source", F.explode(edge).alias("line")).select("source", strip(F.col("line")).alias("line")).where("length(line) > 2 and length(line) < 80")
-    counts = stripped.groupBy("source", "line").agg(F.count("*").alias("n"))
-    n_pages = pages.groupBy("source").agg(F.count("*").alias("pages")).where("pages >= 3")
-    return counts.join(n_pages, "source").where(F.col("n") / F.col("pages") >= threshold).select("source", "line", "n")
+    return pages.select("source", F.explode(edge).alias("line")).select("source", strip(F.col("line")).alias("line")).where("length(line) > 2 and length(line) < 80")
+
+
+def noisy_lines(pages: DataFrame, threshold: float = 0.6, buckets: int = BUCKETS) -> DataFrame:
+    """source, line, n of lines among the first and last three of at least this share of a source's pages (three pages or more).
+
+    Lines are first counted by source and bucket of their hash, so that this shuffle holds no line and at most
+    `buckets` rows a source and task. A bucket counts no less than any of its lines, and a page gives six lines,
+    so at most 6 / threshold buckets of a source reach the share: only lines in these are counted themselves.
+    Where more than MAX_HOT of them do (many small sources) every edge line is counted; the rows are the same.
+    """
+    lines = _edge_lines(pages)
+    bucket = F.pmod(F.xxhash64("line"), F.lit(buckets)).cast("int")
+    n_pages = pages.groupBy("source").agg(F.count("*").alias("pages")).where("pages >= 3 and source is not null")
+    reached = F.col("n") / F.col("pages") >= threshold
+    hot = lines.groupBy("source", bucket.alias("_bucket")).agg(F.count("*").alias("n")).join(n_pages, "source").where(reached).select("source", "_bucket", "pages")
+    known = hot.limit(MAX_HOT + 1).toArrow()
+    if known.num_rows > MAX_HOT:
+        return lines.groupBy("source", "line").agg(F.count("*").alias("n")).join(n_pages, "source").where(reached).select("source", "line", "n")
+    # At most MAX_HOT rows.
+    side = F.broadcast(pages.sparkSession.createDataFrame(known, hot.schema))
+    few = lines.withColumn("_bucket", bucket).join(side, ["source", "_bucket"])
+    return few.groupBy("source", "line").agg(F.count("*").alias("n"), F.first("pages").alias("pages")).where(reached).select("source", "line", "n")
 
 
 def remove_noisy_lines(pages: DataFrame, noisy: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -232,49 +234,120 @@ def citation_json(citations: DataFrame, answers: DataFrame | None = None) -> Dat
     return answers.select("answer_id").join(shown, "answer_id", "left").select("answer_id", F.coalesce("citations", F.lit("[]")).alias("citations"))
 
 
+#: Rows of one user that memory_replay compares at once.
+BLOCK = 256
+
+
+@dataclass
+class Held:
+    """Memories of one user: when, id, unit vectors padded to one width, and their lengths (0: no direction)."""
+
+    at: np.ndarray
+    ids: np.ndarray
+    units: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def none(cls) -> Held:
+        return cls(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0, np.int64))
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Held:
+        vectors = batch.column("embedding")
+        sizes = pc.list_value_length(vectors).fill_null(0).to_numpy().astype(np.int64)
+        units = np.zeros((len(sizes), int(sizes.max())))
+        units[np.arange(units.shape[1])[None] < sizes[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
+        norms = np.linalg.norm(units, axis=1)
+        points = norms > 0
+        units[~points] = 0
+        return cls(batch.column("at").to_numpy(), batch.column("memory_id").to_numpy(), units / np.where(points, norms, 1)[:, None], np.where(points, sizes, 0))
+
+    @classmethod
+    def joined(cls, parts: list[Held]) -> Held:
+        width = max(p.units.shape[1] for p in parts)
+        wide = [p.units if p.units.shape[1] == width else np.pad(p.units, ((0, 0), (0, width - p.units.shape[1]))) for p in parts]
+        return cls(np.concatenate([p.at for p in parts]), np.concatenate([p.ids for p in parts]), np.concatenate(wide), np.concatenate([p.sizes for p in parts]))
+
+    def rows(self, which: slice | np.ndarray) -> Held:
+        return Held(self.at[which], self.ids[which], self.units[which], self.sizes[which])
+
+    def in_order(self) -> np.ndarray:
+        """Indexes from the oldest to the newest."""
+        return np.lexsort((self.ids, self.at))
+
+    def near(self, other: Held, limit: float) -> np.ndarray:
+        """Which rows of other are within the cosine distance of each row, as bits."""
+        width = min(self.units.shape[1], other.units.shape[1])
+        close = np.round(1 - self.units[:, :width] @ other.units[:, :width].T, 9) <= limit
+        return np.packbits(close & (self.sizes[:, None] == other.sizes[None]) & (self.sizes > 0)[:, None], axis=1, bitorder="little")
+
+
 def memory_replay(existing: DataFrame, candidates: DataFrame, similarity: float = MEMORY_SIMILARITY, cap: int = MEMORY_CAP) -> DataFrame:
     """memory_id, user_id of each user's store after all messages, taken in order of (created_at, message_id).
 
     existing: memory_id, user_id, embedding, created_at; candidates have message_id besides. A message's
     candidates are held against the store that the earlier messages left, not against each other; if
     any is new, the store is cut to its newest cap rows. A candidate of a null or zero vector is never
-    a duplicate. The order makes one user's messages serial; they stream through sorted partitions, and
-    a task holds one user's store and one message.
+    a duplicate, nor is one of another length. The order makes one user's messages serial; they stream through
+    sorted partitions, and a task holds one user's store, one message's new rows and a batch. Cosines are made for a
+    block of rows with the store and with each other; the fold itself then only looks at bits. So a user's work grows
+    with their messages, not with the pairs among them.
     """
+    limit = np.round(1 - similarity, 9)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        user, message, store, fresh, first = None, None, [], [], True
-
-        def settle() -> None:
-            nonlocal store, fresh
-            if fresh:
-                store = sorted(store + fresh, key=lambda m: m[:2], reverse=True)[: max(cap, 0)]
-                fresh = []
+        # fresh: what the last message brought and the store doesn't hold yet.
+        user, message, store, fresh, first = None, None, Held.none(), Held.none(), True
+
+        def settled(alive: int, new: int) -> int:
+            alive |= new
+            while new and alive.bit_count() > max(cap, 0):
+                alive &= alive - 1
+            return alive
+
+        def take(block: Held, messages: list[tuple]) -> None:
+            """Bits stand for the store, fresh and the block's rows in order of time: the lowest one is the oldest."""
+            nonlocal store, fresh, message
+            space = Held.joined([store, fresh, block])
+            order = space.in_order()
+            bits = [1 << i for i in np.argsort(order).tolist()]
+            space = space.rows(order)
+            n, m = len(store.ids), len(store.ids) + len(fresh.ids)
+            alive, new = sum(bits[:n]), sum(bits[n:m])
+            near = [0] * len(messages) if similarity >= 1 else [int.from_bytes(row.tobytes(), "little") for row in block.near(space, limit)]
+            for at, close, bit in zip(messages, near, bits[m:], strict=True):
+                if at != message:
+                    alive, new, message = settled(alive, new), 0, at
+                if not close & alive:
+                    new |= bit
+            of = lambda x: space.rows(np.unpackbits(np.frombuffer(x.to_bytes(len(bits) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(bits)].astype(bool))
+            store, fresh = of(alive), of(new)
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([m[1] for m in store], pa.int64()), pa.array([user] * len(store), pa.int64())], ["memory_id", "user_id"])
+            end = Held.joined([store, fresh])
+            ids = end.ids[end.in_order()[-cap:] if cap > 0 else slice(0)] if len(fresh.ids) else end.ids
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([user] * len(ids), pa.int64())], ["memory_id", "user_id"])
 
         for batch in batches:
-            for who, text_of, memory, at, vector in zip(*[batch.column(c).to_pylist() for c in ("user_id", "message_id", "memory_id", "at", "embedding")], strict=True):
-                if first or who != user:
-                    settle()
+            if not batch.num_rows:
+                continue
+            held = Held.of(batch)
+            who, text_of, new = (batch.column(c) for c in ("user_id", "message_id", "_new"))
+            messages = list(zip(held.at.tolist(), text_of.fill_null(-1).to_pylist(), strict=True))
+            keys = np.stack([who.fill_null(0).to_numpy(), who.is_null().to_numpy(False), new.to_numpy(False)])
+            starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+            for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+                mine = who[begin].as_py()
+                if first or mine != user:
                     if not first:
                         yield rows()
-                    user, message, store, first = who, None, [], False
-                unit = None if vector is None else np.asarray(vector, np.float64)
-                norm = 0.0 if unit is None else float(np.linalg.norm(unit))
-                item = (at, memory, unit / norm if norm > 0 else None)
-                if text_of is None:
-                    store.append(item)
-                    continue
-                if (at, text_of) != message:
-                    settle()
-                    message = (at, text_of)
-                held = [m[2] for m in store if m[2] is not None]
-                near = similarity < 1 and item[2] is not None and held and round(1 - float(np.max(np.stack(held) @ item[2])), 9) <= round(1 - similarity, 9)
-                if not near:
-                    fresh.append(item)
-        settle()
+                    user, message, store, fresh, first = mine, None, Held.none(), Held.none(), False
+                if keys[2, begin]:
+                    for i in range(begin, end, BLOCK):
+                        which = slice(i, min(i + BLOCK, end))
+                        take(held.rows(which), messages[which])
+                else:
+                    store = Held.joined([store, held.rows(slice(begin, end))])
         if not first:
             yield rows()
 

@@ -68,6 +68,27 @@ def test_memory_replay_against_a_slow_model(spark, similarity):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_memory_replay_of_one_large_user(spark):
+    """20,000 memories of one user, in messages of one to six, with vectors of another length and null ones among them."""
+    rng = np.random.default_rng(6)
+    n, cap = 20_000, 20
+    message = np.repeat(np.arange(n), rng.integers(1, 7, n))[:n]
+    vectors = [None if i % 97 == 0 else v[: 3 + (i % 89 == 0)].tolist() for i, v in enumerate(rng.normal(size=(n, 4)))]
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, 1, v, start + dt.timedelta(minutes=int(m)), int(m)) for i, (v, m) in enumerate(zip(vectors, message, strict=True))]
+    store: list = []
+    for m in range(int(message.max()) + 1):
+        new = []
+        for i in np.flatnonzero(message == m).tolist():
+            v = None if vectors[i] is None else np.array(vectors[i]) / np.linalg.norm(vectors[i])
+            if v is None or not any(w is not None and len(w) == len(v) and v @ w >= 0.9 for _, w in store):
+                new.append((i, v))
+        store = (store + new)[-cap:] if new else store
+    candidates = spark.createDataFrame(rows, "memory_id long, user_id long, embedding array<double>, created_at timestamp, message_id long")
+    got = conversation.memory_replay(candidates.drop("message_id").limit(0), candidates, 0.9, cap)
+    assert sorted(r.memory_id for r in got.collect()) == [i for i, _ in store]
+
+
 def test_styled_sections(spark):
     p = spark.createDataFrame([(1, 0, None, " intro "), (1, 1, "Heading 1", "One"), (1, 2, "Heading 2", "Two"), (1, 3, "Normal", "a"), (1, 4, "Normal", "  "), (1, 5, "Normal", None), (2, 0, "Heading 1", "only a title")], "doc_id long, seq int, style string, text string")
     t = spark.createDataFrame([(1, 0, "| x |"), (3, 0, "| y |")], "doc_id long, table_no int, text string")
@@ -87,3 +108,24 @@ def test_vocabulary(spark):
     n = {(r.vocabulary, r.value): r.n for r in catalog.vocab_usage(docs).collect()}
     assert n[("acl_tag", "hr")] == 1 and n[("sensitivity_level", "public")] == 1 and sum(n.values()) == 2 and len(n) == 10
     assert catalog.vocab_tables(spark).count() == 13
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 4096])
+def test_noisy_lines_are_those_that_a_full_count_finds(spark, monkeypatch, buckets):
+    rng = random.Random(7)
+    lines = ["Page header", "  Confidential ", "x" * 90, "ab", ""] + [f"line {i}" for i in range(40)]
+    pages = [(f"s{s}" if s else None, "\n".join(rng.choices(lines, weights=[20, 12, 5, 5, 5] + [1] * 40, k=rng.randint(1, 12)))) for s in range(40) for _ in range(rng.randint(1, 9))]
+    pages += [("big", "Running title\n" + "\n".join(f"text {i} {j}" for j in range(8))) for i in range(3000)]
+    n, total = {}, {}
+    for s, content in pages:
+        total[s] = total.get(s, 0) + 1
+        parts = content.split("\n")
+        for line in parts[:3] + parts[-3:]:
+            if s is not None and 2 < len(line.strip()) < 80:
+                n[s, line.strip()] = n.get((s, line.strip()), 0) + 1
+    want = {(s, line, c) for (s, line), c in n.items() if total[s] >= 3 and c / total[s] >= 0.6}
+    df = spark.createDataFrame(pages, "source string, content string")
+    assert {tuple(r) for r in cleaning.noisy_lines(df, buckets=buckets).collect()} == want and ("big", "Running title", 3000) in want
+    monkeypatch.setattr(cleaning, "MAX_HOT", 3)
+    assert {tuple(r) for r in cleaning.noisy_lines(df, buckets=buckets).collect()} == want
+    assert cleaning.noisy_lines(df.limit(0)).count() == 0

@@ -1,5 +1,6 @@
 """Operators against plain models and literal fixtures."""
 
+import os
 import random
 
 import pytest
@@ -277,10 +278,21 @@ def test_users_and_documents(spark):
 def test_chunks_appear_with_their_documents(spark, tmp_path):
     rows = spark.createDataFrame([(1, 10, ["hr"], 0), (2, 11, ["hr"], 1)], "chunk_id long, document_id long, acl_tags array<string>, sensitivity_ordinal int")
     docs = spark.createDataFrame([(10, "done"), (11, "failed")], "doc_id long, status string")
-    for _ in range(2):  # a batch that runs again replaces its rows
-        ingest.publish(rows, docs, str(tmp_path), 0)
-    rows.write.partitionBy("sensitivity_ordinal").parquet(f"{tmp_path}/chunks/batch=1")  # a batch whose documents aren't written yet
-    assert [r.chunk_id for r in ingest.published(spark, str(tmp_path)).collect()] == [1]
+    path = str(tmp_path)
+    ingest.publish(rows, docs, path, 0)
+    held = ingest.published(spark, path).select("chunk_id")
+    assert [r.chunk_id for r in held.collect()] == [1] and ingest.retire(spark, path).count() == 0
+    # A batch that runs again replaces its rows, while a reader of the first attempt keeps reading what it saw.
+    ingest.publish(rows.withColumn("chunk_id", F.col("chunk_id") + 100), docs, path, 0)
+    assert [r.chunk_id for r in held.collect()] == [1]
+    assert [r.chunk_id for r in ingest.published(spark, path).collect()] == [101]
+    # An attempt that stopped before its last step shows nothing, whether the batch is new or not.
+    for batch in (0, 1):
+        rows.withColumn("chunk_id", F.lit(7).cast("long")).write.partitionBy("sensitivity_ordinal").parquet(f"{path}/chunks/batch={batch}/attempt=a0")
+        docs.write.parquet(f"{path}/documents/batch={batch}/attempt=a0")
+    assert [r.chunk_id for r in ingest.published(spark, path).collect()] == [101]
+    left = ingest.retire(spark, path).collect()
+    assert len(left) == 6 and all(os.path.isdir(r.folder) for r in left) and {r.batch for r in left if r.attempt == "a0"} == {0, 1}
 
 
 def test_stored_contents_are_left_out(spark):

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import columns, cut, names, scratch
+from lodestone.llm.common import columns, cut, join_keyed, names, scratch
 from lodestone.llm.components import components
 from lodestone.llm.text import binary
 
@@ -158,13 +158,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     with scratch(docs.sparkSession) as keep:
         prints = keep(cut(fingerprints(docs), "fingerprints"))
-        nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("first")), "nodes")
+        nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("first"), F.count("*").alias("_n")), "nodes")
         roots = cut(components(links(nodes, radius)), "roots")
-        rooted = cut(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+        rooted = cut(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", "first", "_n", F.coalesce("root", "fp").alias("root")), "rooted")
         best = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("first").alias("first"))
-        label = keep(cut(rooted.drop("least_id", "first").join(best, "root").select("fp", "component_id", "first"), "labels"))
+        label = keep(cut(rooted.drop("least_id", "first").join(best, "root").select("fp", "component_id", "first", "_n"), "labels"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
-    return prints.join(label, "fp").select("doc_id", "h", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", stays.alias("stays"))
+    # Many rows may share a fingerprint: all empty texts do.
+    labelled = join_keyed(prints, label, "fp", label.count(), prints.count())
+    return labelled.select("doc_id", "h", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", stays.alias("stays"))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import Row
 
-from lodestone.llm import decontaminate, line_dedup, mixing, quality_gbt, quality_rules, secret_scan, simhash, toxicity_cnn, url_filters, warc_fixity
+from lodestone.llm import common, decontaminate, line_dedup, mixing, quality_gbt, quality_rules, secret_scan, simhash, toxicity_cnn, url_filters, warc_fixity
 from lodestone.llm.components import components
 
 #: Columns whose names clash with those that the operators make for themselves.
@@ -526,3 +526,13 @@ def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
         model, limits = toxicity_cnn.train(docs, labels)
         assert toxicity_cnn.score(docs, model, limits).count() == 40
         assert seen[-1] <= limit
+
+
+def test_simhash_labels_of_a_hot_fingerprint(spark, monkeypatch):
+    """Empty texts share one fingerprint; beyond the keys that are broadcast whole, it alone is broadcast."""
+    texts = [""] * 400 + [None] * 100 + [f"word{i} some other words that follow number {i}" for i in range(60)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id", "stays").collect()))
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 1)
+    assert sorted(map(tuple, simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id", "stays").collect())) == want
+    assert len(want) == 620 and {r[2] for r in want[:500]} == {0} and sum(r[3] for r in want[:500]) == 1

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.vocabulary import CONVERTIBLE, DEFAULT_ORDINAL, DIRECT, LEVELS, MAX_UPLOAD_BYTES, ROLES, TAGS
+from lodestone.sources import attempts
 
 
 def suffix(filename: Column) -> Column:
@@ -81,34 +80,22 @@ def ingest_rows(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return chunks.drop("acl_tags", "sensitivity_ordinal").join(d, "doc_id")
 
 
-ATTEMPTS = "batch long, attempt string, finished_at timestamp"
-
-
 def publish(rows: DataFrame, documents: DataFrame, path: str, batch: int) -> None:
-    """Adds chunk rows and the documents (doc_id, status, ...) that they belong to, both under batch=N and an attempt of their own.
+    """Adds chunk rows and the documents (doc_id, status, ...) that they belong to as a batch.
 
-    Last comes a row of `attempts`, one file that names the attempt: published() shows chunks of documents that are
-    there and done, so both appear together. A batch that is run again replaces its rows by another such row, never
-    by touching files that a reader may hold; retire() lists what is left behind.
+    Both are written as an attempt (see sources.attempts), which its row in `attempts` makes visible: published() shows
+    chunks of documents that are there and done, so both appear together. A batch that is run again replaces its
+    rows by another such row, never by touching files that a reader may hold; retire() lists what is left behind.
     """
-    # The letter in front keeps the name a string when folders are read.
-    attempt, spark = f"a{uuid.uuid4().hex}", rows.sparkSession
-    at = f"batch={batch}/attempt={attempt}"
-    rows.write.partitionBy("sensitivity_ordinal").parquet(f"{path}/chunks/{at}")
-    documents.write.parquet(f"{path}/documents/{at}")
-    finished = spark.range(1).select(F.lit(batch).cast("long").alias("batch"), F.lit(attempt).alias("attempt"), F.current_timestamp().alias("finished_at"))
-    finished.coalesce(1).write.mode("append").parquet(f"{path}/attempts")
-
-
-def _attempts(spark: SparkSession, path: str) -> DataFrame:
-    """batch, attempt: the attempt of each batch that finished last."""
-    rows = spark.read.schema(ATTEMPTS).parquet(f"{path}/attempts")
-    return rows.groupBy("batch").agg(F.max(F.struct("finished_at", "attempt"))["attempt"].alias("attempt"))
+    attempt = attempts.new_attempt()
+    rows.write.partitionBy("sensitivity_ordinal").parquet(attempts.folder(f"{path}/chunks", batch, attempt))
+    documents.write.parquet(attempts.folder(f"{path}/documents", batch, attempt))
+    attempts.finish(rows.sparkSession, f"{path}/attempts", batch, attempt)
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
     """The chunk rows whose documents are done, of the attempt that each batch finished last."""
-    valid = _attempts(spark, path)
+    valid = attempts.valid(spark, f"{path}/attempts")
     read = lambda name: spark.read.parquet(f"{path}/{name}").join(valid, ["batch", "attempt"], "left_semi")
     done = read("documents").where("status = 'done'").select(F.col("doc_id").alias("_doc"), F.col("batch").alias("_batch"))
     rows = read("chunks")
@@ -116,11 +103,8 @@ def published(spark: SparkSession, path: str) -> DataFrame:
 
 
 def retire(spark: SparkSession, path: str) -> DataFrame:
-    """batch, attempt, folder of the attempts that others replaced or that never finished, to be deleted once no reader holds them."""
-    valid = _attempts(spark, path)
-    folder = F.concat(F.lit(f"{path}/"), F.lit("{}"), F.lit("/batch="), F.col("batch").cast("string"), F.lit("/attempt="), F.col("attempt"))
-    found = [spark.read.parquet(f"{path}/{name}").select("batch", "attempt", F.replace(folder, F.lit("{}"), F.lit(name)).alias("folder")).distinct() for name in ("chunks", "documents")]
-    return found[0].unionByName(found[1]).join(valid, ["batch", "attempt"], "left_anti")
+    """batch, attempt, folder of what published() no longer or never showed (see attempts.stale)."""
+    return attempts.stale(spark, [f"{path}/chunks", f"{path}/documents"], f"{path}/attempts")
 
 
 def chunk_key_audit(chunks: DataFrame) -> DataFrame:

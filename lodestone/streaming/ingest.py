@@ -12,7 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.functions.vocabulary import CHUNK_LEAST, CHUNK_OVERLAP, CHUNK_TOKENS
 from lodestone.operators import chunking, cleaning, embedding, ingest
-from lodestone.streaming.tables import create, put_batch, read_table
+from lodestone.sources import attempts
+from lodestone.streaming.tables import create, read_table
 
 DOCUMENTS = "doc_id long, content_hash string, status string, reason string, total_chunks long"
 CHUNKS = "chunk_id string, doc_id long, chunk_index int, content string, tok int, dense_embedding array<float>, acl_tags array<string>, sensitivity_ordinal int, page_number int, section_title string, source string"
@@ -61,16 +62,17 @@ def stream_ingest(uploads: DataFrame, path: str, max_tokens: int = CHUNK_TOKENS,
     Every upload gets a row of `documents`: done, failed (no chunk) or rejected with its reason. A
     content that came before, failed or not, is a duplicate: which ones did is kept as state of the stream by
     their hashes (see seen_before; with the RocksDB state store it needn't fit in memory), and no table of hashes
-    is read. stored: content_hash of contents that other ways brought in, read for each micro-batch. Chunks are
-    written first and documents last: published() shows the chunks of documents that are done. A batch that is
-    run again finds the state that it began with and replaces its own rows.
+    is read. stored: content_hash of contents that other ways brought in, read for each micro-batch. Chunks and
+    documents of a micro-batch become visible together, by a row of their manifest (see sources.attempts): published()
+    shows the chunks of documents that are done. A batch that is run again finds the state that it began with and
+    replaces its own rows, while readers keep what they hold.
     """
     spark = uploads.sparkSession
-    create(spark, f"{path}/documents", DOCUMENTS)
-    create(spark, f"{path}/chunks", CHUNKS)
+    create(spark, f"{path}/documents", DOCUMENTS, f"{path}/attempts")
+    create(spark, f"{path}/chunks", CHUNKS, f"{path}/attempts")
 
     def step(batch: DataFrame, n: int) -> None:
-        s = batch.sparkSession
+        s, attempt = batch.sparkSession, attempts.new_attempt()
         batch.persist()
         held = batch.where("_seen is not null").select(F.col("_seen").alias("content_hash"))
         held = held if stored is None else held.unionByName(stored.select("content_hash"))
@@ -81,13 +83,15 @@ def stream_ingest(uploads: DataFrame, path: str, max_tokens: int = CHUNK_TOKENS,
             # Tags and source join the chunks before their vectors are there.
             rows = embedding.with_embeddings(ingest.ingest_rows(chunks, accepted), make_encoder)
             rows = rows if "source" in rows.columns else rows.withColumn("source", F.lit(None).cast("string"))
-            put_batch(rows.select(*[c.split()[0] for c in CHUNKS.split(", ")]), f"{path}/chunks", n)
-            counts = read_table(s, f"{path}/chunks", CHUNKS).where(F.col("batch") == n).groupBy("doc_id").agg(F.count("*").alias("total_chunks"))
+            own = attempts.folder(f"{path}/chunks", n, attempt)
+            rows.select(*[c.split()[0] for c in CHUNKS.split(", ")]).write.parquet(own)
+            counts = s.read.schema(CHUNKS).parquet(own).groupBy("doc_id").agg(F.count("*").alias("total_chunks"))
             total = F.coalesce("total_chunks", F.lit(0))
             status = F.when(F.col("reason").isNotNull(), "rejected").when(total == 0, "failed").otherwise("done")
             reason = F.coalesce("reason", F.when(total == 0, "chunk empty"))
             documents = gated.join(counts, "doc_id", "left").select("doc_id", "content_hash", status.alias("status"), reason.alias("reason"), total.cast("long").alias("total_chunks"))
-            put_batch(documents, f"{path}/documents", n)
+            documents.write.parquet(attempts.folder(f"{path}/documents", n, attempt))
+            attempts.finish(s, f"{path}/attempts", n, attempt)
         finally:
             gated.unpersist()
             batch.unpersist()
@@ -100,10 +104,10 @@ def stream_ingest(uploads: DataFrame, path: str, max_tokens: int = CHUNK_TOKENS,
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """The ingested documents, rejected ones included."""
-    return read_table(spark, f"{path}/documents", DOCUMENTS)
+    return read_table(spark, f"{path}/documents", DOCUMENTS, f"{path}/attempts")
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of the documents that are done; a batch whose documents aren't written yet shows none."""
+    """Chunks of the documents that are done; a batch that isn't finished shows none."""
     done = documents(spark, path).where("status = 'done'").select("doc_id", "batch")
-    return read_table(spark, f"{path}/chunks", CHUNKS).join(done, ["doc_id", "batch"], "left_semi")
+    return read_table(spark, f"{path}/chunks", CHUNKS, f"{path}/attempts").join(done, ["doc_id", "batch"], "left_semi")

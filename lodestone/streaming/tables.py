@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lodestone.sources import attempts
+
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 100) -> DataFrame:
     """The table as a stream of its files."""
@@ -14,23 +16,32 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
+def _manifest(path: str, manifest: str | None) -> str:
+    return manifest or f"{path}-attempts"
+
+
 def put_batch(rows: DataFrame, path: str, batch: int) -> None:
-    """The rows of one micro-batch under batch=N; a batch that is run again replaces its own rows."""
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    """The rows of one micro-batch; a batch that is run again replaces its own rows, by another attempt (see sources.attempts)."""
+    attempt = attempts.new_attempt()
+    rows.write.parquet(attempts.folder(path, batch, attempt))
+    attempts.finish(rows.sparkSession, _manifest(path, None), batch, attempt)
 
 
-def create(spark: SparkSession, path: str, schema: str) -> None:
-    """An empty table, unless it is there."""
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch=-1")
+def create(spark: SparkSession, path: str, schema: str, manifest: str | None = None) -> None:
+    """An empty table and manifest, unless they are there. Tables of one manifest change together."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(attempts.folder(path, -1, "a"))
+    # A manifest without rows is a folder that others add to.
+    spark.createDataFrame([], attempts.MANIFEST).write.mode("ignore").parquet(_manifest(path, manifest))
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str, manifest: str | None = None) -> DataFrame:
     """All batches, with the column batch."""
-    return spark.read.schema(f"{schema}, batch long").parquet(path)
+    rows = spark.read.schema(f"{schema}, batch long, attempt string").parquet(path)
+    return rows.join(attempts.valid(spark, _manifest(path, manifest)), ["batch", "attempt"], "left_semi").drop("attempt")
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", available_now: bool = True) -> StreamingQuery:
-    """Starts a query that writes each micro-batch to path/batch=N."""
+    """Starts a query that writes each micro-batch to the table at path, which read_table reads."""
     create(stream.sparkSession, path, ", ".join(f"`{n}` {t}" for n, t in stream.dtypes))
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(lambda rows, n: put_batch(rows, path, n))
     return (writer.trigger(availableNow=True) if available_now else writer).start()

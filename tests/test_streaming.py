@@ -5,8 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from lodestone.operators import catalog, conversation
+from lodestone.sources import attempts
 from lodestone.streaming import answers, ingest
-from lodestone.streaming.tables import newest, read_table, to_table
+from lodestone.streaming.tables import create, newest, put_batch, read_table, to_table
 
 
 def _files(df, folder, parts):
@@ -130,3 +131,19 @@ def test_throttle_stream_with_late_events(spark, tmp_path):
     got = _both_halves(spark, events, lambda e: answers.throttle_stream(e, 20, lateness="100 seconds"), tmp_path, "append").drop("batch")
     want = catalog.progress_throttle(catalog.progress_percent(events.where("doc_id <> 99").drop("part")), 20)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+
+
+def test_a_batch_that_runs_again_leaves_readers_their_files(spark, tmp_path):
+    path = f"{tmp_path}/rows"
+    create(spark, path, "v long")
+    assert read_table(spark, path, "v long").count() == 0
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "v long")
+    put_batch(rows(1, 2), path, 0)
+    put_batch(rows(5), path, 1)
+    held = read_table(spark, path, "v long")
+    held.count()
+    put_batch(rows(3), path, 0)
+    rows(9).write.parquet(attempts.folder(path, 1, "a0"))  # an attempt that didn't finish
+    assert sorted((r.batch, r.v) for r in held.collect()) == [(0, 1), (0, 2), (1, 5)]
+    assert sorted((r.batch, r.v) for r in read_table(spark, path, "v long").collect()) == [(0, 3), (1, 5)]
+    assert {r.batch for r in attempts.stale(spark, [path], f"{path}-attempts").collect() if r.batch >= 0} == {0, 1}

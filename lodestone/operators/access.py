@@ -54,6 +54,14 @@ def acl_filter(chunks: DataFrame, users: DataFrame) -> DataFrame:
     return _classed(chunks).join(F.broadcast(granted), "acl_class", "left_semi").select("chunk_id", "acl_class")
 
 
+def acl_links(chunks: DataFrame, users: DataFrame) -> DataFrame:
+    """(acl_group, chunk_id) of all chunks that each group of acl_members may see: the pairs of acl_pairs with users of equal rights as one.
+
+    Chunks aren't shuffled: each meets the groups of its class, which are broadcast (at most 2**tags times 3 of both).
+    """
+    return _classed(chunks).join(F.broadcast(acl_grants(chunks, users)), "acl_class").select("acl_group", "chunk_id")
+
+
 def acl_pairs(chunks: DataFrame, users: DataFrame) -> DataFrame:
     """(user_id, chunk_id) of all permitted pairs: as many rows as users see chunks, for small tables and tests."""
     grants = acl_members(users).join(F.broadcast(acl_grants(chunks, users)), "acl_group")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import clean, estimate_tokens, split_sentences
 from lodestone.operators import access, catalog, chunking, cleaning, conversation, ingest, retrieval
 from lodestone.plans.hybrid import hybrid_search
+from lodestone.queries import QUERIES
+from lodestone.sources.views import view
 
 CHUNKS = [(1, ["finance"], 0), (2, ["finance"], 1), (3, ["finance"], 2), (4, ["hr"], 1), (5, ["all"], 0), (6, ["all"], 1), (7, [], 0)]
 USERS = [(1, ["finance"], 1), (2, ["hr"], 1), (3, ["finance"], 0), (4, ["finance"], 2), (5, ["all"], 0), (6, ["all"], 1), (7, ["finance", "hr"], 1), (8, [], 2)]
@@ -37,6 +39,17 @@ def test_access_matrix(spark, chunks, users):
     assert counts == {(u, o): sum(level[c] == o for c in cs) for u, cs in VISIBLE.items() for o in (0, 1, 2) if any(level[c] == o for c in cs)}
 
 
+def test_access_query_gives_every_link(spark, tmp_path):
+    spark.createDataFrame([(i, f"text {i}", "s") for i in range(24)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, i % 7) for i in range(14)], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    chunks, users = view(spark, str(tmp_path), "chunks"), view(spark, str(tmp_path), "users")
+    links, members = QUERIES["acl_filter"](spark, str(tmp_path)), QUERIES["acl_members"](spark, str(tmp_path))
+    got = [(r.user_id, r.chunk_id) for r in links.join(members, "acl_group").collect()]
+    want = [(u.user_id, c.chunk_id) for u in users.collect() for c in chunks.collect() if set(u.permission_tags) & set(c.acl_tags) and c.sensitivity_ordinal <= u.clearance_level]
+    assert want and sorted(got) == sorted(want)
+
+
 def test_short_queries_search_by_vector_within_permissions(spark, chunks, users):
     queries = spark.createDataFrame([(10 + u, u, "x", [0.01] * 8) for u, _, _ in USERS], "query_id long, user_id long, query_text string, query_vector array<float>")
     got = {}

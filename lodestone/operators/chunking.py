@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +13,10 @@ from lodestone.functions.text import estimate_tokens, split_sentences, strip
 from lodestone.functions.vocabulary import CHUNK_LEAST, CHUNK_OVERLAP, CHUNK_TOKENS
 
 
+#: Sections that are packed in Python at a time.
+ROWS = 256
+
+
 def section_islands(pages: DataFrame) -> DataFrame:
     """pages with section_no: runs of equal titles (null equals null) in page order; a title that comes back is a new section."""
     return runs(pages, "doc_id", "page_seq", "section_title", "section_no")
@@ -67,25 +71,26 @@ def chunk_pack(sections: DataFrame, max_tokens: int = CHUNK_TOKENS, overlap: int
     sections: doc_id, section_no, and parts (see gather_sections) or content, with page_number if there.
     Segments stay an array of their section's row, so packing needs no shuffle. Null content gives no chunk.
     """
-    kinds = dict(sections.dtypes)
-    s = sections.select("doc_id", "section_no", _segment_structs(sections, max_tokens).alias("seg"), *[c for c in sections.columns if c == "section_title"])
-    page = s.schema["seg"].dataType.elementType["page_number"].dataType
     titled = ["section_title"] if "section_title" in sections.columns else []
-    s = s.select("doc_id", "section_no", F.col("seg.text").alias("text"), F.transform("seg", lambda x: estimate_tokens(x["text"])).alias("tok"), F.col("seg.page_number").alias("page"), *titled)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, pos, content, pages = [], [], [], []
-            for r, (seg, tok, page) in enumerate(zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True)):
-                for n, (a, b) in enumerate(pack_spans(tok or [], max_tokens, overlap)):
-                    own.append(r)
-                    pos.append(n)
-                    content.append("\n\n".join(seg[a:b]))
-                    pages.append(page[a])
-            at = pa.array(own, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array(content, pa.string()), pa.array(pages, batch.column(4).type.value_type), *[batch.column(5).take(at) for _ in titled]], ["doc_id", "section_no", "pos", "content", "page_number", *titled])
-
-    c = s.mapInArrow(pack, f"doc_id {kinds['doc_id']}, section_no {kinds['section_no']}, pos int, content string, page_number {page.simpleString()}" + ", section_title string" * len(titled))
+    s = sections.select("doc_id", "section_no", _segment_structs(sections, max_tokens).alias("seg"), *titled)
+    s = s.withColumn("_tok", F.transform("seg", lambda x: estimate_tokens(x["text"])))
+
+    def spans(tokens: pa.Array) -> pa.Array:
+        sizes = pc.list_value_length(tokens).fill_null(0).to_numpy()
+        flat, ends = tokens.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+        number, at = [np.zeros(1, np.int32)], [np.zeros((0, 2), np.int32)]
+        for i in range(0, len(sizes), ROWS):
+            made = [pack_spans(flat[end - n : end].tolist(), max_tokens, overlap) for n, end in zip(sizes[i : i + ROWS].tolist(), ends[i : i + ROWS].tolist())]
+            number.append(np.array(list(map(len, made)), np.int32))
+            at.append(np.array([x for own in made for x in own], np.int32).reshape(-1, 2))
+        begin, end = np.concatenate(at).T
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(number), dtype=np.int32)), pa.StructArray.from_arrays([pa.array(begin), pa.array(end)], ["a", "b"]))
+
+    # Python sees the numbers of tokens only; texts stay where they are.
+    s = s.withColumn("_spans", F.arrow_udf(spans, "array<struct<a: int, b: int>>")("_tok"))
+    text = lambda x: F.array_join(F.transform(F.slice("seg", x["a"] + 1, x["b"] - x["a"]), lambda t: t["text"]), "\n\n")
+    made = F.transform("_spans", lambda x, i: F.struct(i.alias("pos"), text(x).alias("content"), F.get("seg", x["a"])["page_number"].alias("page_number")))
+    c = s.select("doc_id", "section_no", *titled, F.explode(made).alias("c")).select("doc_id", "section_no", "c.pos", "c.content", "c.page_number", *titled)
     return c.withColumn("tok", estimate_tokens(F.col("content"))).where(F.col("tok") >= least)
 
 

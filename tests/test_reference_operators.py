@@ -396,3 +396,11 @@ def test_a_deep_page_reads_its_ranges_only(spark):
     assert len(catalog.documents_page(ranges, 1_500, 10).select("doc_id").inputFiles()) <= len(ranges.inputFiles())
     read = catalog.documents_page(ranges, 1_500, 10)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(_part" in read or "PartitionFilters: [_part" in read
+
+
+def test_packing_sends_no_text_to_python(spark):
+    sections = spark.createDataFrame([(1, 0, "a b. " * 300), (2, 0, None), (3, 0, "")], "doc_id long, section_no int, content string")
+    chunks = chunking.chunk_pack(sections, 120, 50, 20)
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+    assert {r.doc_id for r in chunks.collect()} == {1}

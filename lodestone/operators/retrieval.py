@@ -26,7 +26,9 @@ TILE = 512
 #: Query tiles of at most so many bytes are broadcast; query tiles whose best rows a task holds at a time.
 BROADCAST_BYTES, HELD = 8 << 20, 64
 #: Trigrams that are compared at a time; items of a tile; characters whose trigrams are made at a time.
-WIDTH, ITEMS, BLOCK = 1024, 1 << 20, 1 << 17
+WIDTH, ITEMS, BLOCK = 1024, 1 << 19, 1 << 17
+#: Bytes of texts (components of vectors) that are encoded for tiles at a time.
+SLICE = 1 << 21
 _WORD = re.compile(r"[^\W_]+")
 _PAIRS = "query_id long, chunk_id long, score double"
 _TILE = "tile long, ids array<long>, mask array<long>, level array<int>, sizes array<int>, data array<{0}>, low int, high int"
@@ -36,26 +38,39 @@ _LISTS = 5
 def _tiles(rows: DataFrame, encode: Callable[[pa.Array], tuple[list[int], np.ndarray]], kind: str) -> DataFrame:
     """rows (id, mask, level, value) as tiles; encode gives the number of items of each value and all items.
 
-    A batch's rows are ordered by their numbers of items, so a tile's values are of like size (low to high
-    items), and cut at TILE rows or ITEMS items; a value of more is a tile of its own.
+    A batch's rows are encoded SLICE bytes at a time, the shortest first. Each time that there are items for two tiles, rows are
+    ordered by their numbers of items, so a tile's values are of like size (low to high items), and cut at TILE rows or
+    ITEMS items; a value of more is a tile of its own. So what Python holds besides its Arrow batch doesn't grow with that.
     """
 
+    def packed(keys: list[np.ndarray], sizes: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order, ends = np.argsort(sizes, kind="stable"), np.cumsum(sizes, dtype=np.int64)
+        n, columns = sizes[order], [x[order] for x in keys]
+        before, at = np.concatenate([[0], np.cumsum(n, dtype=np.int64)]), 0
+        while at < len(n):
+            end = min(at + TILE, max(at + 1, int(np.searchsorted(before, before[at] + ITEMS, "right")) - 1))
+            own = n[at:end]
+            items = data[np.repeat((ends - sizes)[order[at:end]] - (before[at:end] - before[at]), own) + np.arange(before[end] - before[at])]
+            ids, mask, level = (c[at:end] for c in columns)
+            name = int.from_bytes(blake2b(ids.tobytes(), digest_size=8).digest(), "little", signed=True)
+            lists = [pa.array([x], pa.list_(t)) for x, t in ((ids, pa.int64()), (mask, pa.int64()), (level, pa.int32()), (own, pa.int32()), (items, pa.from_numpy_dtype(items.dtype)))]
+            yield pa.RecordBatch.from_arrays([pa.array([name]), *lists, pa.array([own[0]], pa.int32()), pa.array([own[-1]], pa.int32())], ["tile", "ids", "mask", "level", "sizes", "data", "low", "high"])
+            at = end
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sizes, data = encode(batch.column(3))
-            order, ends = np.argsort(sizes, kind="stable"), np.cumsum(sizes, dtype=np.int64)
-            n, columns = sizes[order], [batch.column(i).to_numpy()[order] for i in range(3)]
-            before, at = np.concatenate([[0], np.cumsum(n, dtype=np.int64)]), 0
-            while at < len(n):
-                end = min(at + TILE, max(at + 1, int(np.searchsorted(before, before[at] + ITEMS, "right")) - 1))
-                own = n[at:end]
-                items = data[np.repeat((ends - sizes)[order[at:end]] - (before[at:end] - before[at]), own) + np.arange(before[end] - before[at])]
-                ids, mask, level = (c[at:end] for c in columns)
-                name = int.from_bytes(blake2b(ids.tobytes(), digest_size=8).digest(), "little", signed=True)
-                lists = [pa.array([x], pa.list_(t)) for x, t in ((ids, pa.int64()), (mask, pa.int64()), (level, pa.int32()), (own, pa.int32()), (items, pa.from_numpy_dtype(items.dtype)))]
-                yield pa.RecordBatch.from_arrays([pa.array([name]), *lists, pa.array([own[0]], pa.int32()), pa.array([own[-1]], pa.int32())], ["tile", "ids", "mask", "level", "sizes", "data", "low", "high"])
+            values, keys = batch.column(3), [batch.column(i).to_numpy() for i in range(3)]
+            length = (pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)).to_numpy(zero_copy_only=False)
+            by = np.argsort(length, kind="stable")
+            total, held, begin, at = np.cumsum(length[by], dtype=np.int64), [], 0, 0
+            while at < len(by):
+                end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE, "right")))
+                held.append(encode(values.take(pa.array(by[at:end]))))
+                if end == len(by) or sum(len(data) for _, data in held) >= 2 * ITEMS:
+                    yield from packed([x[by[begin:end]] for x in keys], np.concatenate([n for n, _ in held]), np.concatenate([data for _, data in held]))
+                    held, begin = [], end
                 at = end
 
     return rows.mapInArrow(run, _TILE.format(kind))

@@ -75,3 +75,21 @@ def test_tiles_of_like_size(spark, monkeypatch):
         monkeypatch.setattr(retrieval, "BROADCAST_BYTES", limit)
         got = {(r.query_id, r.chunk_id): r.score for r in retrieval.trigram_similarity(everyone, chunks).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+
+
+def test_tiles_take_bounded_slices_of_a_batch(spark, monkeypatch):
+    texts = [" ".join(f"w{i}x{j}" for j in range(1 + i % 40)) for i in range(300)]
+    monkeypatch.setattr(retrieval, "SLICE", 1000)
+    monkeypatch.setattr(retrieval, "ITEMS", 500)
+
+    def encode(values):
+        assert len(values) == 1 or sum(map(len, values.to_pylist())) <= 1000
+        return retrieval._trigram_codes(values)
+
+    rows = spark.createDataFrame([(i, 1, 0, t) for i, t in enumerate(texts)], "id long, mask long, level int, value string").coalesce(1)
+    tiles = retrieval._tiles(rows, encode, "long").collect()
+    assert sorted(i for t in tiles for i in t.ids) == list(range(len(texts)))
+    for t in tiles:
+        assert len(t.data) <= 500 or len(t.ids) == 1
+        for i, n, end in zip(t.ids, t.sizes, np.cumsum(t.sizes).tolist(), strict=True):
+            assert set(t.data[end - n : end]) == set(retrieval._trigram_codes(pa.array([texts[i]]))[1].tolist())

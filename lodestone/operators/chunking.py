@@ -86,8 +86,8 @@ def chunk_pack(sections: DataFrame, max_tokens: int = CHUNK_TOKENS, overlap: int
         begin, end = np.concatenate(at).T
         return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(number), dtype=np.int32)), pa.StructArray.from_arrays([pa.array(begin), pa.array(end)], ["a", "b"]))
 
-    # Python sees the numbers of tokens only; texts stay where they are.
-    s = s.withColumn("_spans", F.arrow_udf(spans, "array<struct<a: int, b: int>>")("_tok"))
+    # Python sees the numbers of tokens only; texts stay where they are. Called nondeterministic, so that the optimizer leaves it its own step.
+    s = s.withColumn("_spans", F.arrow_udf(spans, "array<struct<a: int, b: int>>").asNondeterministic()("_tok"))
     text = lambda x: F.array_join(F.transform(F.slice("seg", x["a"] + 1, x["b"] - x["a"]), lambda t: t["text"]), "\n\n")
     made = F.transform("_spans", lambda x, i: F.struct(i.alias("pos"), text(x).alias("content"), F.get("seg", x["a"])["page_number"].alias("page_number")))
     c = s.select("doc_id", "section_no", *titled, F.explode(made).alias("c")).select("doc_id", "section_no", "c.pos", "c.content", "c.page_number", *titled)

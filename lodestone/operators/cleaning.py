@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,9 +13,14 @@ from lodestone.functions.text import clean, strip
 from lodestone.operators.markup import element_sections, markdown_elements
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+#: Texts that are Python strings at a time.
+ROWS = 256
+
+
+@F.arrow_udf(T.StringType())
+def _nfc(texts: pa.Array) -> pa.Array:
+    parts = [pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in texts.slice(i, ROWS).to_pylist()], pa.string()) for i in range(0, len(texts), ROWS)]
+    return pa.concat_arrays([pa.array([], pa.string()), *parts])
 
 
 def clean_text(docs: DataFrame, column: str = "text") -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 DIM = 64
+#: Rows of an Arrow batch that are texts and vectors in Python at a time.
+ROWS = 1024
 
 
 def hashed_encoder(dim: int = DIM, n: int = 3) -> Callable[[], Callable[[list[str]], np.ndarray]]:
@@ -55,7 +57,7 @@ def with_embeddings(chunks: DataFrame, make_encoder: Callable | None = None, bat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make()
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             texts = [t or "" for t in b.column(at).to_pylist()]
             rows = [v for i in range(0, len(texts), batch) for v in encode(texts[i : i + batch])]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(pa.float32()))], [*b.schema.names, "dense_embedding"])

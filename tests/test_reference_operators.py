@@ -404,3 +404,14 @@ def test_packing_sends_no_text_to_python(spark):
     plan = chunks._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
     assert {r.doc_id for r in chunks.collect()} == {1}
+
+
+def test_normalising_and_encoding_take_slices_of_a_batch(spark):
+    from lodestone.operators import embedding
+
+    def make():
+        return lambda texts: [[float(len(t))] for t in texts]
+
+    rows = spark.createDataFrame([(i, None if i % 9 == 0 else f"e\u0301{i}") for i in range(3 * embedding.ROWS)], "id long, content string").coalesce(1)
+    got = {r.id: r for r in embedding.with_embeddings(cleaning.clean_text(rows, "content"), make).collect()}
+    assert len(got) == 3 * embedding.ROWS and all(r.content == (None if i % 9 == 0 else f"\xe9{i}") and r.dense_embedding == [float(len(r.content or ""))] for i, r in got.items())

@@ -106,14 +106,21 @@ def per_row(docs: DataFrame, compute: Callable[[np.ndarray, np.ndarray], list[np
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], columns]))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """doc_id, text, lang and y of at most rows labelled documents, by hash order of their ids, none of them held out.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """doc_id, text, lang and y of all labelled documents that aren't held out; with rows of at most so many, by hash order of their ids.
 
-    The ids are at most rows, so broadcasting them is safe. A document id that is repeated gives one row.
+    At most rows ids are broadcast. A document id that is repeated in labels gives one row.
     """
     from lodestone.llm.common import id_remainder
 
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (id_remainder(F.col("doc_id")) != 2))
-    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    if rows is not None:
+        known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    return docs.select("doc_id", "text", lang).join(F.broadcast(known), "doc_id")
+    return docs.select("doc_id", "text", lang).join(known, "doc_id")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """labelled_rows of at most rows documents."""
+    return labelled_rows(docs, labels, label, rows)

@@ -528,6 +528,35 @@ def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
         assert seen[-1] <= limit
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """The start is fitted on 40 rows; labels of the others count as well, in the model and in the thresholds."""
+    from lodestone.llm.common import id_remainder
+    from pyspark.sql import functions as F
+
+    d, labels = labelled(spark)
+    known = labels.where(id_remainder(F.col("doc_id")) != 2)
+    first = [r.doc_id for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(40).collect()]
+    model, limits = toxicity_cnn.train(d, labels, rows=40)
+    again, same = toxicity_cnn.train(d, labels, rows=40)
+    other, _ = toxicity_cnn.train(d, labels.withColumn("toxic", F.when(F.col("doc_id").isin(first), F.col("toxic")).otherwise(F.col("doc_id").cast("int") % 3 % 2)), rows=40)
+    scores = lambda m: {r.doc_id: r._score for r in toxicity_cnn.score(d, m, limits).collect()}
+    got = scores(model)
+    assert got == pytest.approx(scores(again), abs=1e-5) and limits == same and max(abs(got[i] - x) for i, x in scores(other).items()) > 0.3
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [r.doc_id for r in labels.where(id_remainder(F.col("doc_id")) == 2).collect()]
+    assert np.mean([(got[i] >= 0.3) == (truth[i] > 0) for i in held]) > 0.95
+
+
+def test_toxicity_thresholds_by_counts(spark):
+    d, labels = labelled(spark)
+    model, _ = toxicity_cnn.train(d, labels)
+    rows = d.join(labels, "doc_id").selectExpr("text", "lang", "case when doc_id % 7 = 0 then 1 - toxic else toxic end as y")
+    got = rows.collect()
+    s = np.array([toxicity_cnn.forward(model, *toxicity_cnn.tokens(np.frombuffer(r.text.encode(), np.uint8), np.array([0, len(r.text.encode())])))[0] for r in got])
+    want = toxicity_cnn.thresholds(s, np.array([r.y for r in got], float), np.array([r.lang for r in got], object))
+    assert toxicity_cnn.thresholds_all(rows, model) == want and len(want) == 3
+
+
 def test_simhash_labels_of_a_hot_fingerprint(spark, monkeypatch):
     """Empty texts share one fingerprint; beyond the keys that are broadcast whole, it alone is broadcast."""
     texts = [""] * 400 + [None] * 100 + [f"word{i} some other words that follow number {i}" for i in range(60)] * 2

@@ -20,8 +20,8 @@ line at an end stays if it has fewer than LEAST_WORDS words and as many are left
 Repetition inside one document is left to the chunks.
 
 A text is read five times: for the hashes of its chunks and runs, for the places of the repeated ones, twice for
-single runs of those that differ where they begin or end (their hashes, then the places of the repeated ones), and to be cut. Bitmaps of hashes keep the rest
-out of the joins and decide nothing.
+single runs of those that differ where they begin or end (their hashes, then the places of the repeated ones; other texts are passed over), and to be cut. Bitmaps of hashes keep the rest
+out of the joins and decide nothing. Hashes are counted as packed arrays, without a row for each.
 
 Cases: null texts stay null; texts of one line or without words are unchanged but for repeated runs; rows with the same
 id and text are one document and get the same text; ids of any type; a row whose id is null is ordered last; an empty table gives an empty result;
@@ -30,7 +30,7 @@ other columns pass untouched, whatever their names, n_chars (if there) is set to
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +41,25 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import bitmap, column, columns, cut, in_bitmap, map_batches, names, scratch
 from lodestone.llm.statistics import repeats
-from lodestone.llm.text import NOT_SPACE, SPACE, Hasher, SecondHasher, binary, mix, row_of, slices, spans
+from lodestone.llm.text import SPACE, Hasher, SecondHasher, binary, mix, row_of
+from lodestone.llm.text import slices as _slices
 
 DIVISOR = 3
 MAX_LINES = 16
 #: A run of so many words is found wherever it begins; it is held to others by its least hash of GRAM words.
 LEAST_WORDS, GRAM = 50, 20
+#: Texts are taken in slices of so many bytes, whose hash tables (8 bytes for each) stay in a core's cache.
+SLICE = 1 << 18
+#: Hashes that a task holds before it packs them.
+PACK = 1 << 20
 _U = np.uint64
-_STOP = np.zeros(256, bool)
-_STOP[[33, 46, 63]] = True  # ! . ?
 _NONE = np.zeros(0, np.int64)
+#: What is kept of a line beside a chunk: both hashes and the length.
+_LINE = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("n", "<i4")])
+
+
+def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    return _slices(column, SLICE)
 
 
 def line_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -58,20 +67,40 @@ def line_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(data)
     cut_after = np.zeros(n + 1, bool)
     if n:
-        cut_after[1:][data == 10] = True
-        stop = _STOP[data[:-1]] & SPACE[data[1:]] & (data[1:] != 10)
-        seams = offsets[1:-1]
-        stop[seams[(seams > 0) & (seams < n)] - 1] = False
-        cut_after[2:][stop] = True  # the blank belongs to the line it ends
+        np.equal(data, 10, out=cut_after[1:])
+        stop = np.flatnonzero((data[:-1] == 33) | (data[:-1] == 46) | (data[:-1] == 63))  # ! . ?
+        after = data[stop + 1]
+        stop = stop[SPACE[after] & (after != 10)]
+        # A row's last stop has no blank; the blank belongs to the line it ends.
+        seam = np.zeros(n + 1, bool)
+        seam[offsets] = True
+        cut_after[stop[~seam[stop + 1]] + 2] = True
     cut_after[offsets] = True
     cut_after[0] = False
     return np.flatnonzero(cut_after)
 
 
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words [^\\x20\\x09-\\x0D]+ and the number of the first word of each row, by comparisons and not by a table."""
+    n = len(data)
+    core = np.zeros(n + 2, bool)
+    core[1:-1] = ((data - np.uint8(9)) > 4) & (data != 32)
+    step = core[1:] != core[:-1]
+    # Where two rows meet inside words, one ends and one begins.
+    seams = offsets[1:-1]
+    both = np.unique(seams[(seams > 0) & (seams < n)])
+    both = both[core[both] & core[both + 1]]
+    edges = np.flatnonzero(step)
+    if len(both):
+        edges = np.sort(np.concatenate([edges, both, both]))
+    starts = edges[::2]
+    return starts, edges[1::2], np.searchsorted(starts, offsets)
+
+
 class Chunks:
     """Chunks of all rows: row, the index of the first and of the line after the last, begin, end and hash. Line n is starts[n] to ends[n]."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, hasher: Hasher | None = None):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, hasher: Hasher | None = None, word: np.ndarray | None = None):
         self.ends = line_ends(data, offsets)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)[: len(self.ends)]
         row = np.searchsorted(offsets, self.starts, "right") - 1
@@ -91,17 +120,29 @@ class Chunks:
         self.row = row[self.first]
         self.begin, self.end = self.starts[self.first], self.ends[self.to - 1]
         self.hash = hasher(self.begin, self.end)
-        words = np.concatenate([[0], np.cumsum(NOT_SPACE[data])])
-        self.counts = (self.to - self.first > 1) & (words[self.end] > words[self.begin])
+        # No word begins before a chunk and ends in it.
+        word = words(data, offsets)[0] if word is None else word
+        self.counts = (self.to - self.first > 1) & (np.searchsorted(word, self.end) > np.searchsorted(word, self.begin))
 
-    def sides(self, at: np.ndarray, step: int, second: SecondHasher) -> tuple[pa.Array, pa.Array]:
-        """For each chunk, the lines of the chunk before (step -1) or after (1) in its row, nearest first: both hashes of each, and lengths."""
+    def sides(self, at: np.ndarray, step: int, second: SecondHasher) -> pa.Array:
+        """For each chunk, the lines (_LINE) of the chunk before (step -1) or after (1) in its row, nearest first, as bytes."""
         side = np.clip(at + step, 0, len(self.row) - 1)
         number = np.where((side != at) & (self.row[side] == self.row[at]), (self.to - self.first)[side], 0)
         line = _ranges(np.where(step > 0, self.first[side], self.to[side] - 1), number, step)
-        key = np.column_stack([self.lines[line], second(self.starts[line], self.ends[line])])
-        ends = np.concatenate([[0], np.cumsum(number)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(2 * ends), pa.array(key.ravel().view(np.int64))), pa.ListArray.from_arrays(pa.array(ends), pa.array((self.ends - self.starts)[line].astype(np.int32)))
+        out = np.empty(len(line), _LINE)
+        out["h1"], out["h2"], out["n"] = self.lines[line], second(self.starts[line], self.ends[line]), self.ends[line] - self.starts[line]
+        return _packed(out, np.concatenate([[0], np.cumsum(number)]))
+
+
+def _packed(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The values between successive offsets as bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * values.itemsize).astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
+def _unpacked(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a column of _packed."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(dtype), (offsets - offsets[0]) // np.dtype(dtype).itemsize
 
 
 def _ranges(first: np.ndarray, number: np.ndarray, step: int = 1) -> np.ndarray:
@@ -116,8 +157,8 @@ class Runs:
     at and number say which of them: words at, at + 1, ... begin one. single gives their places.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, hasher: Hasher | None = None):
-        self.starts, self.ends, first = spans(data, offsets, NOT_SPACE)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, hasher: Hasher | None = None, found: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+        self.starts, self.ends, first = found or words(data, offsets)
         n = len(self.starts) - LEAST_WORDS + 1
         if n < 1:
             self.anchor, self.row, self.begin, self.end, self.at, self.number = np.zeros(0, _U), *[_NONE] * 5
@@ -149,23 +190,76 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").where("text is not null").select("doc_id", "h", F.xxhash64("doc_id", "h").alias("r"), "text")
 
 
-def hashes(docs: DataFrame) -> DataFrame:
-    """(kind, hash): every chunk (kind 0) of two or more lines with a word, and the anchors of word runs (kind 1), each once for a document."""
+def _at_most_twice(h: np.ndarray) -> np.ndarray:
+    """The values in order, those that occur more than twice twice."""
+    h = np.sort(h)
+    keep = np.ones(len(h), bool)
+    keep[2:] = h[2:] != h[:-2]
+    return h[keep]
+
+
+def repeated(docs: DataFrame, gather: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, ...]]]) -> DataFrame:
+    """(kind, hash) of the hashes that gather gives more than once over all batches of docs. It gives an array for each kind, again and again.
+
+    Hashes meet as arrays by their upper bits, of each task a value twice at most for PACK of them, so that a frequent one is no task's load.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(256, parts)
+
+    def pack(kind: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        h = _at_most_twice(np.concatenate(held))
+        # In order of the hashes; 32 upper bits times the number of buckets stay below 2**64.
+        at = np.searchsorted(((h >> _U(32)) * _U(buckets)) >> _U(32), np.arange(buckets + 1).astype(_U))
+        full = np.flatnonzero(np.diff(at))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(full), kind, np.int32)), pa.array(full.astype(np.int32)), _packed(h, at).take(pa.array(full))], ["kind", "bucket", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        size: dict[int, int] = {}
+        for arrays in gather(batches):
+            for kind, h in enumerate(arrays):
+                held.setdefault(kind, []).append(h)
+                size[kind] = size.get(kind, 0) + len(h)
+                if size[kind] >= PACK:
+                    yield pack(kind, held.pop(kind))
+                    size[kind] = 0
+        for kind, h in held.items():
+            yield pack(kind, h)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy()
+            for kind in np.unique(kinds).tolist():
+                held.setdefault(kind, []).append(_unpacked(batch.column("hashes").filter(pa.array(kinds == kind)), _U)[0].copy())
+        for kind, h in held.items():
+            h = np.sort(np.concatenate(h))
+            again = h[1:] == h[:-1]
+            h = h[1:][again & ~np.concatenate([[False], again[:-1]])[: len(again)]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64))], ["kind", "hash"])
+
+    return docs.mapInArrow(run, "kind int, bucket int, hashes binary").repartition(parts, "bucket").mapInArrow(meet, "kind int, hash long")
+
+
+def _once_a_row(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The hashes, each once for a row."""
+    return h[np.unique(mix(h + row.astype(_U) * _U(0xC2B2AE3D27D4EB4F)), return_index=True)[1]]
+
+
+def repeated_hashes(docs: DataFrame) -> DataFrame:
+    """(kind, hash): chunks (kind 0) of two or more lines with a word that occur more than once, and anchors of word runs (kind 1) of more than one document."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             for _, data, offsets in slices(batch.column("text")):
-                hasher = Hasher(data)
-                c, r = Chunks(data, offsets, hasher), Runs(data, offsets, hasher)
-                _, once = np.unique(mix(r.anchor + r.row.astype(_U) * _U(0xC2B2AE3D27D4EB4F)), return_index=True)
-                h = np.concatenate([c.hash[c.counts], r.anchor[once]])
-                kind = np.repeat(np.array([0, 1], np.int32), [int(c.counts.sum()), len(once)])
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(h.view(np.int64))], ["kind", "hash"])
+                hasher, found = Hasher(data), words(data, offsets)
+                c, r = Chunks(data, offsets, hasher, found[0]), Runs(data, offsets, hasher, found)
+                yield c.hash[c.counts], _once_a_row(r.anchor, r.row)
 
-    return docs.select("text").where("text is not null").mapInArrow(run, "kind int, hash long")
+    return repeated(docs.select("text").where("text is not null"), gather)
 
 
-_FOUND = [("kind", "int"), ("hash", "long"), ("k1", "long"), ("k2", "long"), ("h", "long"), ("begin", "long"), ("end", "long"), ("place", "long"), ("again", "boolean"), ("body", "binary"), ("before", "array<long>"), ("n_before", "array<int>"), ("after", "array<long>"), ("n_after", "array<int>")]
+_FOUND = [("kind", "int"), ("hash", "long"), ("k1", "long"), ("k2", "long"), ("h", "long"), ("begin", "long"), ("end", "long"), ("place", "long"), ("again", "boolean"), ("body", "binary"), ("before", "binary"), ("after", "binary")]
 
 
 def _kind(df: DataFrame, name: str) -> str:
@@ -190,11 +284,13 @@ def repeated_places(docs: DataFrame, chunk_bits, run_bits) -> DataFrame:
             ids, h = batch.column("doc_id"), batch.column("h")
             doc = batch.column("r").to_numpy().view(_U)
             for first, data, offsets in slices(batch.column("text")):
-                hasher = Hasher(data)
-                second, text = SecondHasher(data, hasher), data.tobytes()
-                c, r = Chunks(data, offsets, hasher), Runs(data, offsets, hasher)
+                hasher, found = Hasher(data), words(data, offsets)
+                c, r = Chunks(data, offsets, hasher, found[0]), Runs(data, offsets, hasher, found)
                 at, to = np.flatnonzero(c.counts & in_bitmap(of_chunks, c.hash)), np.flatnonzero(in_bitmap(of_runs, r.anchor))
                 n, m = len(at), len(to)
+                if not n and not m:
+                    continue
+                second, text = SecondHasher(data, hasher), data.tobytes()
                 row = np.concatenate([c.row[at], r.row[to]])
                 begin, end = np.concatenate([c.begin[at], r.begin[to]]), np.concatenate([c.end[at], r.end[to]])
                 zero, start = np.zeros(n, np.int64), offsets[row]
@@ -207,7 +303,7 @@ def repeated_places(docs: DataFrame, chunk_bits, run_bits) -> DataFrame:
                     if not seen:
                         own_first[x, k] = body
                     bodies.append(None if seen and own_first[x, k] == body else body)
-                sides = [pa.concat_arrays([x, pa.nulls(m, x.type)]) for step in (-1, 1) for x in c.sides(at, step, second)]
+                sides = [pa.concat_arrays([x, pa.nulls(m, x.type)]) for x in (c.sides(at, -1, second), c.sides(at, 1, second))]
                 own = pa.array(row + first)
                 both = [np.repeat(np.array([0, 1], np.int32), [n, m]), np.concatenate([c.hash[at].view(np.int64), r.anchor[to].view(np.int64)]), np.concatenate([zero, k1]), np.concatenate([zero, k2])]
                 rest = [begin - start, end - start, np.concatenate([zero, place]), again]
@@ -216,18 +312,17 @@ def repeated_places(docs: DataFrame, chunk_bits, run_bits) -> DataFrame:
     return _scan(docs).mapInArrow(run, f"doc_id {_kind(docs, 'doc_id')}, " + ", ".join(f"{a} {b}" for a, b in _FOUND))
 
 
-def _agreeing(mine: pa.Array, theirs: pa.Array, lengths: pa.Array) -> np.ndarray:
-    """Bytes of the lines at the begin of each pair of line lists that are equal, up to the first that differs. lengths: of mine."""
-    flat = lambda x: (x.values.to_numpy(), x.offsets.to_numpy().astype(np.int64))
-    (a, a0), (b, b0), (n, n0) = flat(mine), flat(theirs), flat(lengths)
-    number = np.minimum(np.diff(a0), np.diff(b0)) // 2
-    i, j = _ranges(a0[:-1] // 2, number), _ranges(b0[:-1] // 2, number)
-    differs = (a.reshape(-1, 2)[i] != b.reshape(-1, 2)[j]).any(axis=1)
+def _agreeing(mine: pa.Array, theirs: pa.Array) -> np.ndarray:
+    """Bytes of the lines at the begin of each pair of line lists that are equal, up to the first that differs."""
+    (a, a0), (b, b0) = _unpacked(mine, _LINE), _unpacked(theirs, _LINE)
+    number = np.minimum(np.diff(a0), np.diff(b0))
+    i, j = _ranges(a0[:-1], number), _ranges(b0[:-1], number)
+    differs = (a["h1"][i] != b["h1"][j]) | (a["h2"][i] != b["h2"][j])
     owner = np.repeat(np.arange(len(number)), number)
     # Lines count as long as no difference was seen inside the pair.
     seen = np.cumsum(differs)
     good = seen == np.concatenate([[0], seen])[np.cumsum(number) - number][owner]
-    return np.bincount(owner[good], n[_ranges(n0[:-1], number)][good], len(number)).astype(np.int64)
+    return np.bincount(owner[good], a["n"][i][good], len(number)).astype(np.int64)
 
 
 def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +330,8 @@ def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         # Else equal hashes, other bytes; no bytes where they equal those of an earlier place of the document.
         same = pc.fill_null(pc.equal(batch.column("body"), batch.column("first_body")), True)
-        begin = batch.column("begin").to_numpy() - _agreeing(batch.column("before"), batch.column("first_before"), batch.column("n_before"))
-        end = batch.column("end").to_numpy() + _agreeing(batch.column("after"), batch.column("first_after"), batch.column("n_after"))
+        begin = batch.column("begin").to_numpy() - _agreeing(batch.column("before"), batch.column("first_before"))
+        end = batch.column("end").to_numpy() + _agreeing(batch.column("after"), batch.column("first_after"))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(begin), pa.array(end)], ["doc_id", "h", "begin", "end"]).filter(same)
 
 
@@ -269,40 +364,50 @@ def duplicate_spans(chunks: DataFrame) -> DataFrame:
     first = cut(first.select("hash", F.col("f.h").alias("first_h"), F.col("f.body").alias("first_body"), F.col("f.before").alias("first_before"), F.col("f.after").alias("first_after")).join(least, "hash"), "first")
     # Both sides come from tables, so Spark may split a frequent chunk over tasks.
     later = chunks.join(first, "hash").where(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("first_id")) | (F.col("h") != F.col("first_h")))
-    return later.select("doc_id", "h", "begin", "end", "body", "before", "n_before", "after", "n_after", "first_body", "first_before", "first_after").mapInArrow(_removals, f"doc_id {_kind(chunks, 'doc_id')}, h long, begin long, end long")
+    return later.select("doc_id", "h", "begin", "end", "body", "before", "after", "first_body", "first_before", "first_after").mapInArrow(_removals, f"doc_id {_kind(chunks, 'doc_id')}, h long, begin long, end long")
 
 
-def _single(docs: DataFrame, places, shared=None) -> DataFrame:
-    """Each LEAST_WORDS words inside the runs whose place may be in the bitmap: k1 of each, once for a batch.
+def _chosen(batches: Iterator[pa.RecordBatch], docs: np.ndarray, places: np.ndarray) -> Iterator[tuple]:
+    """Of each slice with runs whose place may be in the bitmap: batch, the batch's rows, data, offsets, hasher and runs of the texts, and the places of single.
 
-    With shared, a bitmap of k1: k1, k2, doc_id, h, begin and end of those that may be in it.
+    Texts that the bitmap of documents (r) doesn't have are not looked at.
     """
+    for batch in batches:
+        doc = batch.column("r").to_numpy().view(_U)
+        here = np.flatnonzero(in_bitmap(docs, doc))
+        for first, data, offsets in slices(batch.column("text").take(pa.array(here))):
+            hasher = Hasher(data)
+            r, rows = Runs(data, offsets, hasher), here[first : first + len(offsets) - 1]
+            chosen = np.flatnonzero(in_bitmap(places, _place(doc[rows[r.row]], r.begin - offsets[r.row])))
+            if len(chosen):
+                yield batch, rows, data, offsets, hasher, r, r.single(chosen)
+
+
+def _single_twice(docs: DataFrame, chosen, places) -> DataFrame:
+    """k1 of each LEAST_WORDS words inside the runs whose place may be in the bitmap, where several documents have it."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for _, _, _, _, hasher, r, (of, begin, end) in _chosen(batches, chosen.value, places.value):
+            yield (_once_a_row(hasher(begin, end), r.row[of]),)
+
+    return repeated(_scan(docs), gather).select(F.col("hash").alias("k1"))
+
+
+def _single(docs: DataFrame, chosen, places, shared) -> DataFrame:
+    """k1, k2, doc_id, h, begin and end of each LEAST_WORDS words of these runs whose k1 may be in the bitmap shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, known = places.value, None if shared is None else shared.value
-        for batch in batches:
-            doc = batch.column("r").to_numpy().view(_U)
-            for first, data, offsets in slices(batch.column("text")):
-                hasher = Hasher(data)
-                r = Runs(data, offsets, hasher)
-                chosen = np.flatnonzero(in_bitmap(wanted, _place(doc[r.row + first], r.begin - offsets[r.row])))
-                if not len(chosen):
-                    continue
-                of, begin, end = r.single(chosen)
-                k1 = hasher(begin, end)
-                if known is None:
-                    # Words in two documents of one batch count twice.
-                    once = np.unique(mix(k1 + r.row[of].astype(_U) * _U(0xC2B2AE3D27D4EB4F)), return_index=True)[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(k1[once].view(np.int64))], ["k1"])
-                    continue
-                at = np.flatnonzero(in_bitmap(known, k1))
-                of, begin, end, k1 = of[at], begin[at], end[at], k1[at]
-                own, start = pa.array(r.row[of] + first), offsets[r.row[of]]
-                keys = [k1.view(np.int64), SecondHasher(data, hasher)(begin, end).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), batch.column("doc_id").take(own), batch.column("h").take(own), pa.array(begin - start), pa.array(end - start)], ["k1", "k2", "doc_id", "h", "begin", "end"])
+        for batch, rows, data, offsets, hasher, r, (of, begin, end) in _chosen(batches, chosen.value, places.value):
+            k1 = hasher(begin, end)
+            at = np.flatnonzero(in_bitmap(shared.value, k1))
+            if not len(at):
+                continue
+            of, begin, end, k1 = of[at], begin[at], end[at], k1[at]
+            own, start = pa.array(rows[r.row[of]]), offsets[r.row[of]]
+            keys = [k1.view(np.int64), SecondHasher(data, hasher)(begin, end).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), batch.column("doc_id").take(own), batch.column("h").take(own), pa.array(begin - start), pa.array(end - start)], ["k1", "k2", "doc_id", "h", "begin", "end"])
 
-    full = f"k1 long, k2 long, doc_id {_kind(docs, 'doc_id')}, h long, begin long, end long"
-    return _scan(docs).mapInArrow(run, "k1 long" if shared is None else full)
+    return _scan(docs).mapInArrow(run, f"k1 long, k2 long, doc_id {_kind(docs, 'doc_id')}, h long, begin long, end long")
 
 
 def _bits(values: DataFrame, column: str):
@@ -320,18 +425,17 @@ def repeated_word_spans(docs: DataFrame, runs: DataFrame, ties: bool) -> DataFra
     # Where an anchor stands in different runs, these may still share some words: the first of each is taken apart.
     several = first.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     of_first = runs.join(first.drop("hash"), key).where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    apart = cut(of_first.join(several, "hash", "left_semi").select("place"), "apart")
-    where = _bits(apart, "place")
+    apart = cut(of_first.join(several, "hash", "left_semi").select("place", F.xxhash64("doc_id", "h").alias("r")), "apart")
+    where = _bits(apart, "r"), _bits(apart, "place")
     # Counted first, so that words that stand once are never written.
-    twice = cut(_single(docs, where).groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1"), "twice")
-    single = cut(_single(docs, where, _bits(twice, "k1")), "single_runs")
+    single = cut(_single(docs, *where, _bits(cut(_single_twice(docs, *where), "twice"), "k1")), "single_runs")
     shared = cut(single.groupBy(*key).agg(F.min("doc_id").alias("first_id")), "shared")
     return _later(runs, first.drop("hash"), key, ties).select(*_SPAN).unionByName(_later(single, shared, key, ties).select(*_SPAN))
 
 
 def whole_lines(data: np.ndarray, begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
     """The spans of one text joined where they overlap, and cut to whole lines where that leaves fewer than LEAST_WORDS words of each part."""
-    word, stop, _ = spans(data, np.array([0, len(data)]), NOT_SPACE)
+    word = words(data, np.array([0, len(data)]))[0]
     lines = np.concatenate([[0], line_ends(data, np.array([0, len(data)]))])
     joined: list[list[int]] = []
     for a, b in sorted(zip(begins, ends)):
@@ -339,24 +443,24 @@ def whole_lines(data: np.ndarray, begins: list[int], ends: list[int]) -> list[tu
             joined[-1][1] = max(b, joined[-1][1])
         else:
             joined.append([a, b])
-    words = lambda a, b: int(np.searchsorted(word, b) - np.searchsorted(word, a))
+    number = lambda a, b: int(np.searchsorted(word, b) - np.searchsorted(word, a))
     out = []
     for a, b in joined:
         line, after = int(lines[np.searchsorted(lines, a, "right") - 1]), int(lines[np.searchsorted(lines, b)])
-        a = line if not words(line, a) else a
-        b = after if not words(b, after) else b
+        a = line if not number(line, a) else a
+        b = after if not number(b, after) else b
         nearest, last = int(lines[np.searchsorted(lines, a)]), int(lines[np.searchsorted(lines, b, "right") - 1])
-        x = nearest if words(a, nearest) < LEAST_WORDS else a
-        y = last if words(last, b) < LEAST_WORDS else b
-        out.append((x, y) if x < y and words(x, y) >= LEAST_WORDS else (a, b))
+        x = nearest if number(a, nearest) < LEAST_WORDS else a
+        y = last if number(last, b) < LEAST_WORDS else b
+        out.append((x, y) if x < y and number(x, y) >= LEAST_WORDS else (a, b))
     return out
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, h, spans) of the documents (doc_id, text) that lose something: spans are longs of begin, end and whether words found it."""
     with scratch(docs.sparkSession) as keep:
-        repeated = cut(hashes(docs).groupBy("kind", "hash").agg(F.count("*").alias("n")).where("n > 1").select("kind", "hash"), "repeated")
-        bits = [_bits(repeated.where(F.col("kind") == k), "hash") for k in (0, 1)]
+        twice = cut(repeated_hashes(docs), "repeated")
+        bits = [_bits(twice.where(F.col("kind") == k), "hash") for k in (0, 1)]
         found = cut(repeated_places(docs, *bits), "found")
         by_chunks, by_words = duplicate_spans(found.where("kind = 0")), repeated_word_spans(docs, found.where("kind = 1"), _ties(found))
         code = lambda n: F.shiftleft("begin", 32).bitwiseOR(F.shiftleft("end", 1)).bitwiseOR(F.lit(n).cast("long")).alias("span")
@@ -366,15 +470,15 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def _without(data: bytes, codes: list[int]) -> tuple[bytes, int, bool]:
     """The text without the spans, the number of bytes removed, and whether no word is left."""
-    gone = np.zeros(len(data) + 1, np.int64)
-    whole = np.frombuffer(data, np.uint8)
     found = [(x >> 32, (x & 0xFFFFFFFF) >> 1, x & 1) for x in codes]
     of_words = [(a, b) for a, b, words in found if words]
-    for begin, end in [(a, b) for a, b, words in found if not words] + (whole_lines(whole, *zip(*of_words)) if of_words else []):
-        gone[begin] += 1
-        gone[end] -= 1
-    left = whole[np.cumsum(gone)[:-1] == 0]
-    return left.tobytes(), len(data) - len(left), not NOT_SPACE[left].any()
+    left, to = [], 0
+    for begin, end in sorted([(a, b) for a, b, words in found if not words] + (whole_lines(np.frombuffer(data, np.uint8), *zip(*of_words)) if of_words else [])):
+        if begin > to:
+            left.append(data[to:begin])
+        to = max(to, end)
+    text = b"".join([*left, data[to:]])
+    return text, len(data) - len(text), not text.strip()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Each training-data operator against a brute-force version, on rows with every awkward case."""
 
+import collections
 import hashlib
 import random
 import re
@@ -250,6 +251,45 @@ def test_line_dedup_does_not_depend_on_bitmap_or_copies(spark, monkeypatch):
     assert removed(rows) == alone
 
 
+def test_line_dedup_sends_hashes_packed(spark):
+    r = random.Random(6)
+    said = lambda n: "".join(" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(8)) + ".\n" for _ in range(n))
+    rows = [(i, said(60), "en", "s") for i in range(300)]
+    data, offsets = np.frombuffer("".join(t for _, t, _, _ in rows).encode(), np.uint8), np.cumsum([0, *(len(t) for _, t, _, _ in rows)])
+    hashes = int(line_dedup.Chunks(data, offsets).counts.sum()) + len(line_dedup.Runs(data, offsets).anchor)
+    docs = frame(spark, rows).repartition(2).localCheckpoint()
+
+    def stages():
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        none = spark._jvm.java.util.ArrayList()
+        known = spark._jsc.sc().statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return {x.stageId(): x.shuffleWriteRecords() for x in map(known.apply, range(known.size()))}
+
+    before = stages()
+    assert line_dedup.dedup_lines(docs).where("_removed > 0").count() == 0
+    sent = sum(n for k, n in stages().items() if k not in before)
+    # Nothing is repeated: one row for each task and 1/256 of the hashes of a kind, and the documents.
+    assert hashes > 10_000 and sent < hashes / 2
+
+
+def test_repeated_hashes_are_those_that_occur_twice(spark, monkeypatch):
+    r = random.Random(8)
+    monkeypatch.setattr(line_dedup, "PACK", 50)
+    some = [0, 1, 2**32 - 1, 2**32, 2**63, 2**64 - 1, *(r.randrange(2**64) for _ in range(300))]
+    values = [[r.choice(some) for _ in range(400)] + [7] * 500 + [r.randrange(2**64) for _ in range(100)] for _ in range(2)]
+    rows = [(k, x - (x >> 63 << 64)) for k, column in enumerate(values) for x in column] + [(2, x) for x in range(100)]
+    r.shuffle(rows)
+
+    def gather(batches):
+        for batch in batches:
+            kinds, x = batch.column("k").to_numpy(), batch.column("x").to_numpy().view(np.uint64)
+            for a in range(0, len(x), 30):
+                yield tuple(x[a : a + 30][kinds[a : a + 30] == k] for k in range(3))
+
+    got = line_dedup.repeated(spark.createDataFrame(rows, "k int, x long").repartition(5), gather).collect()
+    assert sorted((x.kind, x.hash) for x in got) == sorted(k for k, n in collections.Counter(rows).items() if n > 1)
+
+
 def test_chunk_boundaries_resist_shifts():
     a = text(40).encode()
     b = (sentence(5) + "\n").encode() + a

@@ -30,6 +30,7 @@ other columns pass untouched, whatever their names, n_chars (if there) is set to
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import bitmap, column, columns, cut, in_bitmap, map_batches, names, scratch
 from lodestone.llm.statistics import repeats
-from lodestone.llm.text import SPACE, Hasher, SecondHasher, binary, mix, row_of
+from lodestone.llm.text import SPACE, Hasher, SecondHasher, mix, row_of
 from lodestone.llm.text import slices as _slices
 
 DIVISOR = 3
@@ -108,13 +109,14 @@ class Chunks:
         h = self.lines = hasher(self.starts, self.ends)
         rolling = mix(h + _U(3) * np.concatenate([[_U(0)], h[:-1]]).astype(_U)) if len(h) else h
         stop = np.concatenate([row[1:] != row[:-1], [True]])[: len(row)]
-        wants = (rolling % _U(DIVISOR) == 0).tolist()
-        last, size = [], 0
-        for n, (final, cut_here) in enumerate(zip(stop.tolist(), wants)):
-            size += 1
-            if final or (cut_here and size > 1) or size == MAX_LINES:
-                last.append(n + 1)
-                size = 0
+        last, begin = [], 0
+        for n, final in zip((at := np.flatnonzero(stop | (rolling % _U(DIVISOR) == 0))).tolist(), stop[at].tolist()):
+            while n - begin >= MAX_LINES:
+                begin += MAX_LINES
+                last.append(begin)
+            if final or n > begin:
+                begin = n + 1
+                last.append(begin)
         self.to = np.array(last, np.int64)
         self.first = np.concatenate([[0], self.to[:-1]]).astype(np.int64)[: len(self.to)]
         self.row = row[self.first]
@@ -426,30 +428,31 @@ def repeated_word_spans(docs: DataFrame, runs: DataFrame, ties: bool) -> DataFra
     several = first.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     of_first = runs.join(first.drop("hash"), key).where(F.col("doc_id").eqNullSafe(F.col("first_id")))
     apart = cut(of_first.join(several, "hash", "left_semi").select("place", F.xxhash64("doc_id", "h").alias("r")), "apart")
-    where = _bits(apart, "r"), _bits(apart, "place")
+    where = _bits(cut(apart.select("r").distinct(), "documents"), "r"), _bits(apart, "place")
     # Counted first, so that words that stand once are never written.
     single = cut(_single(docs, *where, _bits(cut(_single_twice(docs, *where), "twice"), "k1")), "single_runs")
     shared = cut(single.groupBy(*key).agg(F.min("doc_id").alias("first_id")), "shared")
     return _later(runs, first.drop("hash"), key, ties).select(*_SPAN).unionByName(_later(single, shared, key, ties).select(*_SPAN))
 
 
-def whole_lines(data: np.ndarray, begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
-    """The spans of one text joined where they overlap, and cut to whole lines where that leaves fewer than LEAST_WORDS words of each part."""
-    word = words(data, np.array([0, len(data)]))[0]
-    lines = np.concatenate([[0], line_ends(data, np.array([0, len(data)]))])
+def whole_lines(word: list[int], lines: list[int], found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans of one text joined where they overlap, and cut to whole lines where that leaves fewer than LEAST_WORDS words of each part.
+
+    word: where its words begin. lines: 0 and where its lines end.
+    """
     joined: list[list[int]] = []
-    for a, b in sorted(zip(begins, ends)):
+    for a, b in sorted(found):
         if joined and a <= joined[-1][1]:
             joined[-1][1] = max(b, joined[-1][1])
         else:
             joined.append([a, b])
-    number = lambda a, b: int(np.searchsorted(word, b) - np.searchsorted(word, a))
+    number = lambda a, b: bisect_left(word, b) - bisect_left(word, a)
     out = []
     for a, b in joined:
-        line, after = int(lines[np.searchsorted(lines, a, "right") - 1]), int(lines[np.searchsorted(lines, b)])
+        line, after = lines[bisect_right(lines, a) - 1], lines[bisect_left(lines, b)]
         a = line if not number(line, a) else a
         b = after if not number(b, after) else b
-        nearest, last = int(lines[np.searchsorted(lines, a)]), int(lines[np.searchsorted(lines, b, "right") - 1])
+        nearest, last = lines[bisect_left(lines, a)], lines[bisect_right(lines, b) - 1]
         x = nearest if number(a, nearest) < LEAST_WORDS else a
         y = last if number(last, b) < LEAST_WORDS else b
         out.append((x, y) if x < y and number(x, y) >= LEAST_WORDS else (a, b))
@@ -468,17 +471,26 @@ def removals(docs: DataFrame) -> DataFrame:
         return keep(cut(gone.groupBy("doc_id", "h").agg(F.collect_set("span").alias("spans")), "spans"))
 
 
-def _without(data: bytes, codes: list[int]) -> tuple[bytes, int, bool]:
-    """The text without the spans, the number of bytes removed, and whether no word is left."""
-    found = [(x >> 32, (x & 0xFFFFFFFF) >> 1, x & 1) for x in codes]
-    of_words = [(a, b) for a, b, words in found if words]
-    left, to = [], 0
-    for begin, end in sorted([(a, b) for a, b, words in found if not words] + (whole_lines(np.frombuffer(data, np.uint8), *zip(*of_words)) if of_words else [])):
-        if begin > to:
-            left.append(data[to:begin])
-        to = max(to, end)
-    text = b"".join([*left, data[to:]])
-    return text, len(data) - len(text), not text.strip()
+def _without(texts: pa.Array, codes: pa.Array) -> Iterator[tuple[bytes, int, bool]]:
+    """Of each text, what its spans (see removals) leave, the number of bytes removed, and whether no word is left."""
+    of, flat = codes.offsets.to_numpy(), codes.values.to_numpy()
+    for first, data, offsets in slices(texts):
+        word, _, first_word = words(data, offsets)
+        ends = line_ends(data, offsets)
+        first_end = np.searchsorted(ends, offsets, "right")
+        for n in range(len(offsets) - 1):
+            x, start, whole = flat[of[first + n] : of[first + n + 1]], offsets[n], data[offsets[n] : offsets[n + 1]].tobytes()
+            found = list(zip((x >> 32).tolist(), ((x & 0xFFFFFFFF) >> 1).tolist(), (x & 1).tolist()))
+            of_words = [(a, b) for a, b, by_words in found if by_words]
+            if of_words:
+                of_words = whole_lines((word[first_word[n] : first_word[n + 1]] - start).tolist(), [0, *(ends[first_end[n] : first_end[n + 1]] - start).tolist()], of_words)
+            left, to = [], 0
+            for begin, end in sorted([(a, b) for a, b, by_words in found if not by_words] + of_words):
+                if begin > to:
+                    left.append(whole[to:begin])
+                to = max(to, end)
+            text = b"".join([*left, whole[to:]])
+            yield text, len(whole) - len(text), not text.strip()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -498,9 +510,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for batch in batches:
             lists, text = batch.column(width), batch.column(at)
-            body = binary(text)
             hit = lists.is_valid()
-            done = [_without(body[i].as_py(), lists[i].as_py()) for i in np.flatnonzero(hit.to_numpy(zero_copy_only=False)).tolist()]
+            done = list(_without(text.filter(hit), lists.filter(hit)))
             arrays = list(batch.columns[:width])
             arrays[at] = pc.replace_with_mask(text, hit, pa.array([x[0] for x in done], pa.binary()).cast(text.type))
             zero, no = pa.array(np.zeros(batch.num_rows, np.int64)), pa.array(np.zeros(batch.num_rows, bool))
